@@ -98,7 +98,7 @@ class Planes:
         self.n = len(values)
         bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         bits = np.pad(bits, ((0, -self.n % 64), (0, 0)))
-        self.planes = np.packbits(bits.T, axis=1, bitorder="little").view(np.uint64)
+        self.planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
         self.real = np.packbits(np.arange(len(bits)) < self.n, bitorder="little").view(np.uint64)
 
     def within(self, value: int, radius: int = RADIUS) -> np.ndarray:
@@ -210,8 +210,7 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot: i
         for rows, free, path in todo:
             dealt = _deal(rows, free, radius, blocks)
             key = ["table", "bucket"]
-            own = F.lit(path) if not path else F.lit(path)
-            dealt = dealt.select(F.concat(own, F.col("d.i").cast("string")).alias("table"), F.xxhash64(*([F.col("bucket")] if "bucket" in rows.columns else []), F.col("d.b")).alias("bucket"), "fp", "id")
+            dealt = dealt.select(F.concat(F.lit(path), F.col("d.i").cast("string")).alias("table"), F.xxhash64(*([F.col("bucket")] if "bucket" in rows.columns else []), F.col("d.b")).alias("bucket"), "fp", "id")
             last = level + 1 == levels
             if not last:
                 crowded = checkpoint(dealt.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*key, F.lit(True).alias("crowded")))
