@@ -13,17 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def checkpoint(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint of at most ``files`` files.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests) a temporary folder is used.
+    where that is unset (tests) a temporary folder is used. By default there are
+    at most four files a core: small files by the thousand cost more than the
+    rows in them.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    return df.coalesce(max(1, files or 4 * sc.defaultParallelism)).checkpoint(eager=True)
 
 
 def fold(doc_id: Column, n: int) -> Column:

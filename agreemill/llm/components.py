@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from agreemill.llm.common import checkpoint
 
 MAX_ROUNDS = 60
+ROWS_A_FILE = 200_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,11 +39,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     component is the smallest node it can reach."""
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct()
     now = checkpoint(now)
-    before = None
+    before, rows = None, now.count()
     for _ in range(MAX_ROUNDS):
-        now = checkpoint(_small_star(_large_star(now)))
+        now = checkpoint(_small_star(_large_star(now)), 1 + rows // ROWS_A_FILE)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or not state["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct()
-        before = state
+        before, rows = state, state["n"]
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -213,8 +213,9 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot: i
             dealt = dealt.select(F.concat(F.lit(path), F.col("d.i").cast("string")).alias("table"), F.xxhash64(*([F.col("bucket")] if "bucket" in rows.columns else []), F.col("d.b")).alias("bucket"), "fp", "id")
             last = level + 1 == levels
             if not last:
-                crowded = checkpoint(dealt.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*key, F.lit(True).alias("crowded")))
+                crowded = dealt.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*key, F.lit(True).alias("crowded"))
                 if crowded.head(1):
+                    crowded = checkpoint(crowded)
                     marked = dealt.join(crowded, key, "left")
                     for i, m in enumerate(masks(free, radius, blocks)):
                         again.append((checkpoint(marked.where(F.col("crowded") & (F.col("table") == f"{path}{i}")).select("bucket", "fp", "id")), free & ~m, f"{path}{i}."))
