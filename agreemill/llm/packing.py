@@ -170,7 +170,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nearly_full: int | None =
     now = items.select(*keep, F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"), key.alias("to"))
     while True:
         dealt = now.repartition(n, "to") if n > 1 else now.repartition(1)
-        packed = checkpoint(dealt.drop("to").mapInArrow(_round(level, capacity, nearly_full if n > 1 else 0, carry), _ITEM))
+        # Bins are named by the task that makes them, so its partitions stay apart.
+        packed = checkpoint(dealt.drop("to").mapInArrow(_round(level, capacity, nearly_full if n > 1 else 0, carry), _ITEM), files=1 << 30)
         out = out.union(packed.where("closed").select(*keep, F.col("bin").alias("sequence_id"), "offset"))
         if n == 1:
             return out
