@@ -207,15 +207,20 @@ def main_text(html: str | None) -> str:
         return ""
     page = parse(html)
     n = len(page.tag)
-    holds = [t in ("article", "main", "h1") for t in page.tag]
+    holds = [t in ("article", "main", "h1") and not s for t, s in zip(page.tag, page.soft, strict=True)]
+    share = [0] * n
+    for owner, text, _ in page.blocks:
+        share[owner] += len(text)
     for i in range(n - 1, 0, -1):
+        share[page.parent[i]] += 0 if page.hard[i] else share[i]
         if holds[i]:
             holds[page.parent[i]] = True
+    holds = [h and 2 * x > share[0] for h, x in zip(holds, share, strict=True)]
     dropped = [False] * n
     inside = [t in ("article", "main") for t in page.tag]
     for i in range(1, n):
         up = page.parent[i]
-        soft = page.soft[i] and not (page.tag[i] == "article" and not _teaser(page, i)) and not (holds[i] and (page.tag[i] != "header" or inside[up]))
+        soft = page.soft[i] and not (page.tag[i] == "article" and not _teaser(page, i)) and not (page.tag[i] == "header" and inside[up]) and not (page.tag[i] != "header" and holds[i])
         dropped[i] = dropped[up] or page.hard[i] or soft
         inside[i] = inside[i] or inside[up]
     blocks = [b for b in page.blocks if not dropped[b[0]]]

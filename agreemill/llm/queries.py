@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agreemill.llm import decontam, langid, packing, simhash, toxicity
+from agreemill.llm import chat, decontam, htmltext, langid, packing, simhash, toxicity
 from agreemill.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.page_texts(table(spark, sf_dir, "pages"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicate_components(table(spark, sf_dir, "documents"))
 
@@ -35,6 +43,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_langid": op2_langid,
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
+        "op5_htmltext": op5_htmltext,
+        "op7_chat": op7_chat,
         "op9_simhash": op9_simhash,
         "op10_decontam": op10_decontam,
     }
@@ -42,5 +52,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_chat": chat.ORACLE_SQL,
         "op10_decontam": decontam.ORACLE_SQL,
     }
