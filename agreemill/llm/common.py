@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and tables between stages."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a table in the shared folder and read it again."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def checkpoint(df: DataFrame, files: int | None = None) -> DataFrame:
     """Cut the lineage with a reliable checkpoint of at most ``files`` files.
 
@@ -22,9 +39,7 @@ def checkpoint(df: DataFrame, files: int | None = None) -> DataFrame:
     rows in them.
     """
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    checkpoint_dir(df.sparkSession)
     return df.coalesce(max(1, files or 4 * sc.defaultParallelism)).checkpoint(eager=True)
 
 

@@ -226,6 +226,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     )
 
 
+def accepted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents that are near a language learned from the labelled ones."""
+    name = free_name(docs, "langid")
+    found = docs.withColumn(name, predict(fit(docs, text, lang), col(text)))
+    return found.where(~F.col(name)["rejected"]).select(*[col(c) for c in docs.columns])
+
+
 def held_out_predictions(docs: DataFrame) -> DataFrame:
     """The op2 query: learn off the fold whose remainder is 1, predict all."""
     rows = docs.select("doc_id", "text", "lang")

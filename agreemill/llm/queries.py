@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from agreemill.llm import chat, decontam, htmltext, langid, packing, simhash, toxicity
 from agreemill.llm.common import table
 
@@ -47,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat": op7_chat,
         "op9_simhash": op9_simhash,
         "op10_decontam": op10_decontam,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agreemill.llm.common import checkpoint, col
+from agreemill.llm.common import checkpoint, col, free_name
 from agreemill.llm.components import components
 
 WORDS = 3
@@ -227,12 +227,39 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot: i
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(key, fp, component) of every row; component: the least key reachable."""
+    """(key, fp, group, component) of every row.
+
+    component: the least key reachable; group: one fingerprint of the group,
+    which tells groups apart even where keys repeat.
+    """
     rows = checkpoint(docs.select(col(key).alias("id"), fingerprint(col(text), words).alias("fp")))
     classes = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("id")))
-    found = components(links(classes.where("id is not null"), radius, blocks), "a", "b")
-    of_class = classes.join(found, classes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component"))
-    return rows.join(of_class, "fp").select(F.col("id").alias(key), "fp", "component")
+    linked = components(links(classes.select("fp", F.col("fp").alias("id")), radius, blocks), "a", "b")
+    groups = linked.join(classes, linked["node"] == classes["fp"]).select("fp", "id", "component")
+    least = groups.groupBy("component").agg(F.min("id").alias("least"))
+    labels = groups.join(least, "component").select("fp", F.col("component").alias("group"), "least")
+    of_class = classes.join(labels, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), F.coalesce("least", "id").alias("component"))
+    return rows.join(of_class, "fp").select(F.col("id").alias(key), "fp", "group", "component")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents, one of each group of near-duplicates: the one of least key.
+
+    Rows with a null key can't be told apart and stay. Texts are not shuffled
+    unless the ids to drop are too many to broadcast.
+    """
+    found = checkpoint(near_duplicates(docs, text, key))
+    repeated = found.where(col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    dropped = found.where(col(key) != F.col("component")).select(key)
+    kept = docs.join(dropped, key, "left_anti").select(*[col(c) for c in docs.columns])
+    if not repeated.head(1):
+        return kept
+    repeated = checkpoint(repeated)
+    mark = free_name(docs, "fp")
+    own = docs.join(repeated, key, "left_semi").withColumn(mark, fingerprint(col(text)))
+    least = found.where(col(key) == F.col("component")).select(key, F.col("fp").alias(mark), F.col("group").alias(f"{mark}_group")).distinct()
+    some = own.join(least, [key, mark]).dropDuplicates([key, f"{mark}_group"]).select(*[col(c) for c in docs.columns])
+    return kept.join(repeated, key, "left_anti").select(*[col(c) for c in docs.columns]).union(some)
 
 
 def duplicate_components(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agreemill.llm import langid
-from agreemill.llm.common import col, fold
+from agreemill.llm.common import col, fold, free_name
 
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -272,6 +272,13 @@ def score(model: Model, text: Column) -> Column:
     return toxic(text)
 
 
+def harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that score under the threshold; learns from all labels."""
+    name = free_name(docs, "toxicity")
+    found = docs.withColumn(name, score(fit(docs, labels), col("text")))
+    return found.where(F.col(name) < 0.5).select(*[col(c) for c in docs.columns])
+
+
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The op4 query: learn off the fold whose remainder is 0, score all."""
     model = fit(docs, labels, fold(F.col("doc_id"), 5) != 0)
