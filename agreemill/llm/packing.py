@@ -43,6 +43,17 @@ _plain = re.compile("[\x00-ɏ]*").fullmatch
 _must_cut = re.compile(r"(?<=\S)(?= [^\W\d_])")
 
 
+def stretches(text: str, size: int | None = None) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, cut only where any
+    tokeniser of this pattern cuts: before a space between word and letter."""
+    size, at = size or STRETCH, 0
+    while at < len(text):
+        cut = _must_cut.search(text, at + size) if len(text) - at > size else None
+        stop = cut.start() if cut else len(text)
+        yield text[at:stop]
+        at = stop
+
+
 class Encoder:
     """Token ids of the byte-level vocabulary whose files ``name`` has.
 
@@ -62,15 +73,10 @@ class Encoder:
         self.exact.encode_special_tokens = True
 
     def __call__(self, text: str | None) -> np.ndarray:
-        parts, at = [], 0
-        text = text or ""
-        while at < len(text):
-            cut = _must_cut.search(text, at + STRETCH) if len(text) - at > STRETCH else None
-            stop = cut.start() if cut else len(text)
-            piece = text[at:stop]
+        parts = []
+        for piece in stretches(text or ""):
             ids = self.fast.encode_ordinary(piece) if _plain(piece) else self.exact.encode(piece, add_special_tokens=False).ids
             parts.append(np.array(ids, "<u4"))
-            at = stop
         return np.concatenate([*parts, np.array([END], "<u4")])
 
 

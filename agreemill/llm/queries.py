@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from agreemill.llm import chat, decontam, htmltext, langid, packing, simhash, toxicity
+from agreemill.llm import chat, decontam, htmltext, langid, licenses, packing, simhash, tokencount, toxicity
 from agreemill.llm.common import table
 
 
@@ -27,10 +27,18 @@ def op5_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.page_texts(table(spark, sf_dir, "pages"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_blocks(table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.edited_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicate_components(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
         "op5_htmltext": op5_htmltext,
+        "op6_licenses": op6_licenses,
         "op7_chat": op7_chat,
+        "op8_tokencount": op8_tokencount,
         "op9_simhash": op9_simhash,
         "op10_decontam": op10_decontam,
         "pipeline": corpus_pipeline.run,
