@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from agreemill.llm import chat, decontam, htmltext, langid, licenses, packing, simhash, tokencount, toxicity
+from agreemill.llm import chat, chroma, decontam, htmltext, langid, licenses, packing, simhash, tokencount, toxicity
 from agreemill.llm.common import table
 
 
+def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.tune_classes(table(spark, sf_dir, "embeddings"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_predictions(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chroma": op1_chroma,
         "op2_langid": op2_langid,
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
