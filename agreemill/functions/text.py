@@ -23,6 +23,11 @@ METHOD_DIRS = {
 CATEGORIES = ("live_subject_animal", "live_subject_human", "object", "style")
 
 
+def bare(text: Column | str) -> Column:
+    """No white space of any kind at the ends."""
+    return F.regexp_replace(c(text), r"(?U)^\s+|\s+$", "")
+
+
 def collapse(text: Column | str) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(c(text), r"(?U)\s+", " "))
@@ -45,10 +50,10 @@ def strip_subject(prompt: Column | str, subject: Column | str, stripper: str = "
         return c(prompt)
     if stripper != "regex":
         raise ValueError(f"no column function for stripper {stripper!r}; known: {', '.join(STRIPPERS)}")
-    prompt, subject = c(prompt), F.coalesce(F.trim(c(subject)), F.lit(""))
-    bare = F.concat(F.lit(r"(?iu)\b"), quoted(subject), F.lit(r"\b"))
+    prompt, subject = c(prompt), F.coalesce(bare(subject), F.lit(""))
+    alone = F.concat(F.lit(r"(?iu)\b"), quoted(subject), F.lit(r"\b"))
     full = F.concat(F.lit(r"(?iu)\b(?:a|an|the)\s+"), quoted(subject), F.lit(r"\b"))
-    cut = F.when(F.regexp_like(prompt, full), F.regexp_replace(prompt, full, F.lit(""))).otherwise(F.regexp_replace(prompt, bare, F.lit("")))
+    cut = F.when(F.regexp_like(prompt, full), F.regexp_replace(prompt, full, F.lit(""))).otherwise(F.regexp_replace(prompt, alone, F.lit("")))
     return collapse(F.when(subject == "", prompt).otherwise(cut))
 
 
@@ -100,12 +105,12 @@ def is_style(category: Column | str) -> Column:
 
 
 def comma_list(text: Column | str) -> Column:
-    return F.filter(F.transform(F.split(c(text), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(c(text), ","), lambda x: bare(x)), lambda x: x != "")
 
 
 def segmenter_prompt(name: Column | str) -> Column:
     """Lower case with a final period."""
-    low = F.lower(F.trim(c(name)))
+    low = F.lower(bare(name))
     return F.when(F.endswith(low, F.lit(".")), low).otherwise(F.concat(low, F.lit(".")))
 
 
@@ -117,3 +122,8 @@ def perturbation_label(p: Column | str) -> Column:
     """Erode or Dilate with the percentage, or Default."""
     pct = F.concat(F.bround(F.abs(c(p)) * 100, 0).cast("int").cast("string"), F.lit("%"))
     return F.when(c(p) < 0, F.concat(F.lit("Erode "), pct)).when(c(p) > 0, F.concat(F.lit("Dilate "), pct)).otherwise(F.lit("Default"))
+
+
+def result_name(signal: Column | str, model: Column | str, tag: Column | str, method: Column | str) -> Column:
+    """The name of a run's results: signal, short model, tag (if any), method."""
+    return F.concat_ws("__", c(signal), model_tag(model), F.when(c(tag) != "", c(tag)), c(method))

@@ -6,6 +6,7 @@ distinct (mask, perturbation, grid).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,17 +55,33 @@ def _lower_envelope(f: np.ndarray) -> np.ndarray:
     return (np.arange(n) - near) ** 2 + f[near]
 
 
-def squared_distance(target: np.ndarray) -> np.ndarray:
-    """Exact squared Euclidean distance of each pixel to the nearest true one."""
-    h, w = target.shape
-    rows = np.arange(h)[:, None]
+def _column_gap(target: np.ndarray) -> np.ndarray:
+    """Rows to the nearest true pixel of the same column; huge without one."""
+    rows = np.arange(target.shape[0])[:, None]
     above = np.maximum.accumulate(np.where(target, rows, -(10**9)), axis=0)
     below = np.minimum.accumulate(np.where(target, rows, 10**9)[::-1], axis=0)[::-1]
-    gap = np.minimum(rows - above, below - rows).astype(float)
+    return np.minimum(rows - above, below - rows)
+
+
+def squared_distance(target: np.ndarray) -> np.ndarray:
+    """Exact squared Euclidean distance of each pixel to the nearest true one."""
+    gap = _column_gap(target).astype(float)
     column = np.where(gap > 10**8, np.inf, gap**2)
     return np.stack([_lower_envelope(r) for r in column])
 
 
+def within(target: np.ndarray, r: int) -> np.ndarray:
+    """Pixels at most ``r`` from a true one: the distance's threshold, without
+    the distance. For each shift of columns the rows left by Pythagoras."""
+    gap, out = _column_gap(target), np.zeros(target.shape, bool)
+    w = target.shape[1]
+    for dx in range(min(r, w - 1) + 1):
+        near = gap <= math.isqrt(r * r - dx * dx)
+        out[:, : w - dx] |= near[:, dx:]
+        out[:, dx:] |= near[:, : w - dx]
+    return out
+
+
 def perturb(mask: np.ndarray, p: float) -> np.ndarray:
     """Dilate (p > 0) or erode (p < 0) by a disk of round(|p| * shorter side);
     p = 0 is the mask itself, an empty mask stays empty, and beyond the border
@@ -76,9 +93,9 @@ def perturb(mask: np.ndarray, p: float) -> np.ndarray:
         return np.zeros(on.shape, np.uint8)
     r = round(abs(p) * min(on.shape))
     if p > 0:
-        grown = squared_distance(on) <= r * r
+        grown = within(on, r)
     else:
-        grown = on & (squared_distance(~np.pad(on, 1))[1:-1, 1:-1] > r * r)
+        grown = on & ~within(~np.pad(on, 1), r)[1:-1, 1:-1]
     return grown.astype(np.uint8) * 255
 
 

@@ -141,3 +141,53 @@ def points_in_mask(points: DataFrame, mask: DataFrame, key: str, x: str, y: str,
 
 def away_from_border(x: Column, y: Column, width: int, height: int, margin: int = 3) -> Column:
     return (x >= margin) & (x < width - margin) & (y >= margin) & (y < height - margin)
+
+
+def flagged(match_rows: DataFrame, flags: DataFrame, index: str, name: str) -> DataFrame:
+    """Matches with the foreground flag of one side's keypoint, by its index."""
+    return match_rows.join(flags.select(F.col("pair"), F.col("kp").alias(index), F.col("fg").alias(name)), ["pair", index], "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+
+
+def match_recall(ref: str = "in_ref", out: str = "in_out", score: str | None = None) -> dict[str, Column]:
+    """Aggregates over sparse matches: recall of foreground matches, counters,
+    and their mean match score."""
+    inside, both = F.col(ref), F.col(ref) & F.col(out)
+    parts = {"recall": F.coalesce(ratio(F.count_if(both), F.count_if(inside)), F.lit(0.0)), "n_ref_fg": F.count_if(inside), "n_both_fg": F.count_if(both), "n_matches": F.count("*")}
+    return parts | ({"mean_score_fg": F.coalesce(F.avg(F.when(inside, F.col(score))), F.lit(0.0))} if score else {})
+
+
+def strided(rows: DataFrame, step: int, y: str = "gy", x: str = "gx") -> DataFrame:
+    """Every ``step``-th patch in both directions, before any product is made."""
+    return rows.where((F.col(y) % step == 0) & (F.col(x) % step == 0))
+
+
+def without_prefix(tokens: DataFrame, n: int, index: str = "token_idx") -> DataFrame:
+    """Patch tokens without the class and register tokens in front."""
+    return tokens.where(F.col(index) >= n).withColumn(index, F.col(index) - n)
+
+
+def row_max_mean(confidence: Column, weights: Column, threshold: float = THRESHOLD) -> Column:
+    """Mean row maximum of an assignment matrix over foreground rows, 0 without."""
+    tops = F.zip_with(confidence, weights, lambda row, w: F.when(w > threshold, F.array_max(row)))
+    return masked_mean(tops)
+
+
+def certainty_mean(certainty: Column, weights: Column, width: int, threshold: float = THRESHOLD) -> Column:
+    """Mean certainty of the left half (the reference's) of each row of a
+    symmetric map, over foreground pixels, 0 without."""
+    left = F.flatten(F.transform(certainty, lambda row: F.slice(row, 1, width)))
+    return masked_mean(F.zip_with(left, weights, lambda v, w: F.when(w > threshold, v)))
+
+
+def masked_mean(values: Column) -> Column:
+    kept = F.array_compact(values)
+    total = F.aggregate(kept, F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return F.coalesce(ratio(total, F.size(kept)), F.lit(0.0))
+
+
+def remask(results: DataFrame, arrays: DataFrame, grids: DataFrame, keys: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """Stored nearest cosines under other masks: results by key to their arrays,
+    by reference image to each perturbed grid, then one aggregate in the row."""
+    joined = results.join(arrays, keys).join(grids.withColumnRenamed("image_id", "ref"), "ref")
+    fg = F.zip_with("nn_cos_per_ref", "w", lambda c, w: F.when(w > threshold, c))
+    return joined.select(*results.columns, "p", masked_mean(fg).alias("remasked"), F.size(F.array_compact(fg)).alias("n_fg"))

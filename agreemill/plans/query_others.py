@@ -211,5 +211,9 @@ ORACLE_SQL = {
     "bench_summary": "SELECT event_type, count(*) AS n, round(median(value), 6) AS median, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stdev, round(1000 / nullif(median(value), 0), 6) AS throughput FROM events GROUP BY event_type",
     "mask_fg_fraction": """WITH k AS (SELECT s_suppkey, 20 + s_suppkey % 24 AS cy, s_suppkey % 25 - 1 AS r FROM supplier)
       SELECT CAST(s_suppkey AS VARCHAR) AS image_id, round(CAST(count(*) FILTER (WHERE (y - cy) * (y - cy) + (x - 24) * (x - 24) <= r * r) AS DOUBLE) / (64 * 48), 6) AS fraction FROM k, range(64) AS a(y), range(48) AS b(x) GROUP BY s_suppkey""",
+    "mask_grid_weights": """WITH k AS (SELECT s_suppkey, 20 + s_suppkey % 24 AS cy, s_suppkey % 25 - 1 AS r FROM supplier)
+      SELECT CAST(s_suppkey AS VARCHAR) AS image_id, CAST(gy * 6 + gx AS INTEGER) AS patch_idx,
+      CAST(avg(CASE WHEN (8 * gy + 3 + dy - cy) * (8 * gy + 3 + dy - cy) + (8 * gx + 3 + dx - 24) * (8 * gx + 3 + dx - 24) <= r * r THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS FLOAT) AS w
+      FROM k, range(8) AS a(gy), range(6) AS b(gx), range(2) AS c(dy), range(2) AS d(dx) GROUP BY s_suppkey, gy, gx""",
     "stream_resume": "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS sum_id FROM events WHERE event_id % 3 <> 0 GROUP BY event_type",
 }

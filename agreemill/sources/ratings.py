@@ -21,7 +21,7 @@ def ratings(spark: SparkSession, paths: str | list[str], pattern: str = FILE, st
     found = paths if strict else _existing(spark, paths)
     if not found:
         return spark.createDataFrame([], "method STRING, key STRING, rater STRING, signal STRING, value DOUBLE")
-    text = spark.read.option("wholetext", "true").text(found).select("value", F.col("_metadata.file_path").alias("path"))
+    text = spark.read.text(found, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     part = [F.regexp_extract("path", pattern, i) for i in (1, 2, 3)]
     parsed = text.select(part[0].alias("method"), part[1].alias("signal"), part[2].alias("rater"), F.from_json("value", "map<string,double>").alias("m"))
     rows = parsed.select("method", "signal", "rater", F.explode("m").alias("key", "value"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agreemill.functions.text import is_style, key_of, stem_parts, subject_parts
+from agreemill.functions.text import bare, is_style, key_of, stem_parts, subject_parts
 
 IMAGES = ("png", "jpg", "jpeg", "webp")
 
@@ -28,14 +28,14 @@ def images(files: DataFrame) -> DataFrame:
 
 def first_lines(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
     """(path, folder, stem, line): the trimmed first line of each caption."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     name = F.element_at(F.split("path", "/"), -1)
-    return text.select("path", F.element_at(F.split("path", "/"), -2).alias("folder"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.trim(F.get(F.split("value", "\n"), F.lit(0))).alias("line"))
+    return text.select("path", F.element_at(F.split("path", "/"), -2).alias("folder"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), bare(F.get(F.split("value", "\n"), F.lit(0))).alias("line"))
 
 
 def object_name(caption: Column, keyword: Column) -> Column:
     """The caption, or the folder keyword with its underscores as spaces."""
-    return F.coalesce(F.when(F.trim(caption) != "", F.trim(caption)), F.replace(keyword, F.lit("_"), F.lit(" ")))
+    return F.coalesce(F.when(bare(caption) != "", bare(caption)), F.replace(keyword, F.lit("_"), F.lit(" ")))
 
 
 def decoded(spark: SparkSession, root: str) -> DataFrame:
@@ -74,7 +74,7 @@ def rated_samples(outputs: DataFrame, refs: DataFrame, out_masks: DataFrame | No
         F.col("idx").alias("subject_idx"),
         F.concat("category", F.lit("/"), "idx").alias("subject"),
         object_name(F.col("caption"), F.col("keyword")).alias("object_name"),
-        F.coalesce(F.trim("prompt"), F.lit("")).alias("prompt"),
+        F.coalesce(bare("prompt"), F.lit("")).alias("prompt"),
         is_style("category").alias("is_style"),
     )
 
