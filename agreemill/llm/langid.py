@@ -1,7 +1,8 @@
 """Language identification by nearest centroid.
 
 Character 1- to 3-grams of the letters are hashed into a fixed number of
-dimensions, weighted by sublinear TF and by IDF, and normalised. Each language
+dimensions, weighted by sublinear TF (a power under one, so that the greater part of a mixed
+text weighs more) and by IDF, and normalised. Each language
 has several centroids (spherical k-means); a text takes the language of the
 centroid with the largest cosine. A text is *rejected* when it has no letter or
 when its cosine stays under a floor for texts of its size.
@@ -31,7 +32,9 @@ from agreemill.llm.common import col, fold, free_name
 
 UNKNOWN = "und"
 DIMS = 4096
-CENTROIDS = 3
+CENTROIDS = 6
+REJECT = 0.25
+TF_POWER = 0.75
 SAMPLE = 2400
 CHUNK = 128
 MAX_LANGUAGES = 1000
@@ -70,7 +73,7 @@ def grams(text: str | None, dims: int = DIMS) -> np.ndarray | None:
 
 
 def sublinear(counts: np.ndarray) -> np.ndarray:
-    return np.log1p(counts, dtype=np.float32)
+    return np.power(counts, TF_POWER, dtype=np.float32)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -110,7 +113,7 @@ def _size_class(counts: np.ndarray) -> np.ndarray:
     return np.minimum(15, np.log2(np.maximum(1, (counts > 0).sum(axis=1))).astype(int))
 
 
-def fit_vectors(tf: np.ndarray, langs: list[str], idf: np.ndarray, k: int = CENTROIDS, reject: float = 0.5) -> Model:
+def fit_vectors(tf: np.ndarray, langs: list[str], idf: np.ndarray, k: int = CENTROIDS, reject: float = REJECT) -> Model:
     """Cluster sublinear TF rows of each language into ``k`` centroids.
 
     ``reject`` times the smallest cosine seen in a size class is its floor;
@@ -165,7 +168,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [grams(x.as_py()) for x in batch.column(1)]
-        packed = [None if g is None else sublinear(g).astype(np.float16).tobytes() for g in found]
+        packed = [None if g is None else sublinear(g).tobytes() for g in found]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["id", "lang", "tf"])
 
 
@@ -187,7 +190,7 @@ def fit(learn: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     picked = rows.where(drawn < F.coalesce(share[F.col("l")], F.lit(0.0))).select("k", "t", "l").limit(2 * sample)
     got = picked.select(F.col("k").cast("string").alias("id"), "t", "l").mapInArrow(_vectors, "id string, lang string, tf binary").collect()
     got = sorted((r for r in got if r["tf"] is not None), key=lambda r: (r["lang"], r["id"] or ""))
-    tf = np.stack([np.frombuffer(r["tf"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, DIMS), np.float32)
+    tf = np.stack([np.frombuffer(r["tf"], np.float32) for r in got]) if got else np.zeros((0, DIMS), np.float32)
     return fit_vectors(tf, [r["lang"] for r in got], idf_of(df_counts, n))
 
 

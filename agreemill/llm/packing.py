@@ -2,8 +2,9 @@
 
 Documents are tokenised; longer ones are cut into pieces of the capacity, the
 first piece taking the remainder. Full pieces are sequences of their own. The
-others are dealt over partitions, each of which packs its own best-fit
-decreasing, emits its nearly full bins, and hands the underfull ones on as
+others are dealt over partitions, each of which packs its own best-fit (both
+decreasing and by sets that fill a bin, keeping what takes fewer bins), emits
+its nearly full bins, and hands the underfull ones on as
 items; a tree of merges (``FAN_IN`` partitions into one) repeats that until one
 task is left, which emits all its bins. What a task hands on is bounded by
 ``CARRY`` bins, the least filled; fuller ones beyond that are emitted too, so no
@@ -132,6 +133,82 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, n
     return bins, offsets
 
 
+def _exact_pair(there: np.ndarray, counts: np.ndarray, room: int) -> tuple[int, int] | None:
+    """Two sizes that fill ``room``, as even as they come, or None."""
+    found = np.flatnonzero(there[1 : room // 2 + 1] & there[room - 1 : room - room // 2 - 1 : -1])[::-1][:2] if room > 1 else ()
+    for a in found:
+        x = int(a) + 1
+        if 2 * x != room or counts[x] > 1:
+            return x, room - x
+    return None
+
+
+def best_sets(sizes: np.ndarray, capacity: int = CAPACITY, tried: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Best-fit by sets: (bin, offset) of each size.
+
+    The largest size left opens a bin. What fits its room best is taken: one
+    size, two or three that fill it, else the single size or pair that leaves
+    the least room.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    counts = np.bincount(sizes, minlength=capacity + 1)
+    there = counts > 0
+    bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    at = np.concatenate([[0], np.cumsum(counts[::-1])])[::-1][1:].copy()
+    n, top = -1, capacity
+
+    def take(size: int, room: int) -> int:
+        item = order[at[size]]
+        at[size] += 1
+        counts[size] -= 1
+        there[size] = counts[size] > 0
+        bins[item], offsets[item] = n, capacity - room
+        return room - size
+
+    def three(room: int) -> list[int] | None:
+        for a in (np.flatnonzero(there[1 : room - 1]) + 1)[::-1][:tried].tolist() if room > 2 else ():
+            counts[a] -= 1
+            there[a] = counts[a] > 0
+            pair = _exact_pair(there, counts, room - a)
+            counts[a] += 1
+            there[a] = True
+            if pair:
+                return [a, *pair]
+        return None
+
+    while True:
+        while top > 0 and not counts[top]:
+            top -= 1
+        if not top:
+            return bins, offsets
+        n += 1
+        room = take(top, capacity)
+        while room:
+            if there[room]:
+                chosen = [room]
+            else:
+                pair = _exact_pair(there, counts, room)
+                chosen = list(pair) if pair else three(room)
+            if not chosen:
+                fits = np.flatnonzero(there[1 : room + 1])
+                if not len(fits):
+                    break
+                chosen = [int(fits[-1]) + 1]
+                for slack in range(1, room - chosen[0]):
+                    pair = _exact_pair(there, counts, room - slack)
+                    if pair:
+                        chosen = list(pair)
+                        break
+            for size in chosen:
+                room = take(size, room)
+
+
+def fewest(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """The better of best-fit decreasing and best-fit by sets."""
+    one, two = best_fit(sizes, capacity), best_sets(sizes, capacity)
+    return one if one[0].max(initial=-1) <= two[0].max(initial=-1) else two
+
+
 _ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, part int, closed boolean"
 
 
@@ -146,7 +223,7 @@ def _round(level: int, capacity: int, nearly_full: int, carry: int):
         item = np.arange(len(length)) if level == 0 else np.unique(bins, return_inverse=True)[1]
         size = np.zeros(item.max() + 1, np.int64)
         np.maximum.at(size, item, offset + length)
-        to, shift = best_fit(size, capacity)
+        to, shift = fewest(size, capacity)
         fill = np.bincount(to, weights=size).astype(np.int64)
         closed = fill >= nearly_full
         waiting = np.flatnonzero(~closed)

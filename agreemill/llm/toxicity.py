@@ -8,8 +8,8 @@ from the text by ``langid``, so neither labels nor the lang, source and doc_id
 columns are inputs of a score. A score of 0.5 is the threshold.
 
 The classifier is fitted on a bounded sample of labelled rows: about ``SAMPLE``
-documents of each class (never over twice that), of at most ``FIT_CHARS``
-characters each. Scoring reads whole texts of any length.
+documents of labels 0 and 1 (never over twice that), of at most ``FIT_CHARS``
+characters each, equal texts once. Scoring reads whole texts of any length.
 
 Edge cases: null and empty texts get the score of a text without words.
 Without training rows of both classes every score is 0. Several label rows of
@@ -37,9 +37,9 @@ FILTERS = 8
 DIM = 8
 BUCKETS = 1 << 15
 FEATURES = 5
-SAMPLE = 2500
+SAMPLE = (4500, 2500)
 FIT_CHARS = 6000
-EPOCHS = 6
+EPOCHS = 8
 BATCH = 128
 CACHE_WORDS = 200_000
 CHUNK_WORDS = 50_000
@@ -126,7 +126,7 @@ def _log_odds(docs: list[np.ndarray], feats: np.ndarray, y: np.ndarray) -> np.nd
     for doc, label in zip(docs, y, strict=True):
         seen[label, np.unique(feats[np.unique(doc)])] += 1
     n = np.bincount(y, minlength=2)
-    return np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
+    return np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
 
 
 def train(texts: list[str | None], labels: list[int], langs: list[str | None], prior: float | None = None, epochs: int = EPOCHS, seed: int = 7) -> Model:
@@ -234,8 +234,8 @@ def _step(model: Model, docs: list[np.ndarray], feats: np.ndarray, y: np.ndarray
     model.embedding[touched] -= (rate * total / np.sqrt(squares["e"][touched])[:, None]).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE) -> Model:
-    """Train on about ``sample`` labelled documents of each class.
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: tuple[int, int] = SAMPLE) -> Model:
+    """Train on about ``sample`` labelled documents of each label.
 
     ``learn``: a condition on doc_id that training rows meet.
     """
@@ -246,12 +246,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample:
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return train([], [], [])
-    share = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
+    share = F.when(F.col("toxic") == 1, min(1.0, sample[1] / sizes[1])).otherwise(min(1.0, sample[0] / sizes[0]))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_003)) / 1_000_003.0
-    picked = known.where(drawn < share).limit(4 * sample)
+    picked = known.where(drawn < share).limit(2 * sum(sample))
     texts = docs.select("doc_id", "text", "lang").where(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS)
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "lang", "toxic").limit(4 * sample).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "lang", "toxic").limit(2 * sum(sample)).collect()
+    rows = list({r["text"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))}.values())
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], [r["lang"] for r in rows], prior=sizes[1] / sum(sizes.values()))
 
 

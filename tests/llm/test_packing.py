@@ -96,6 +96,17 @@ def test_best_fit_takes_the_tightest_bin():
     assert bins.tolist() == [0, 1, 0, 1] and offsets.tolist() == [0, 0, 7, 6]
 
 
+def test_both_best_fits_place_every_item_once():
+    rng = np.random.default_rng(3)
+    for sizes in (rng.integers(1, 1024, 700), rng.integers(200, 400, 300), np.full(50, 512), np.array([1]), np.zeros(0, np.int64), rng.integers(1, 30, 500)):
+        for pack in (packing.best_fit, packing.best_sets, packing.fewest):
+            bins, offsets = pack(sizes)
+            used, _ = check_packed([{"sequence_id": b, "offset": o, "length": n} for b, o, n in zip(bins.tolist(), offsets.tolist(), sizes.tolist(), strict=True)])
+            assert used == len(set(bins.tolist())) and len(bins) == len(sizes)
+    sizes = np.array([600, 300, 124, 500, 400, 124])
+    assert packing.best_sets(sizes)[0].max() + 1 == 2
+
+
 def test_long_texts_are_cut_where_tokens_end(monkeypatch):
     text = " ".join(random.Random(1).choices(["alpha", "it's", "12", "\n\n  x", "Žluť", "...", "a b"], k=3000))
     encode = packing.Encoder()
