@@ -2,27 +2,45 @@
 
 Rows are first counted by value, so ties cost nothing. Running totals are built
 in two levels: values are dealt over buckets by approximate quantiles, totals
-run inside each bucket, and the few bucket totals run over all. No task sees
-more than a bucket, whatever the size of a group.
+run inside each bucket, and the bucket totals run over all. No task sees more than a
+bucket, whatever the size of a group, and buckets grow with the cluster.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 32
+MIN_BUCKETS, MAX_BUCKETS = 32, 4096
+
+
+def bucket_count(df: DataFrame) -> int:
+    """A few buckets for each shuffle partition, within bounds."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, 2 * partitions))
+
+
+def _place(value: Column, edges: Column, n: int) -> Column:
+    """How many of the ``n`` ordered edges lie under a value: a search in two
+    steps of about the root of ``n`` comparisons each."""
+    step = max(1, math.isqrt(n))
+    every = F.filter(edges, lambda e, i: (i % step == step - 1) & (e < value))
+    coarse = F.size(every) * step
+    return coarse + F.size(F.filter(F.slice(edges, coarse + 1, F.lit(step)), lambda e: e < value))
 
 
-def running_totals(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def running_totals(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Add ``<sum>_below``: the total of each of ``sums`` over smaller values.
 
     ``counts`` has one row a distinct (by, value).
     """
-    by = by or []
-    edges = F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000).alias("_edges")
-    splits = counts.groupBy(*by).agg(edges)
-    placed = (counts.join(splits, by) if by else counts.crossJoin(F.broadcast(splits))).withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    by, buckets = by or [], buckets or bucket_count(counts)
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    splits = counts.groupBy(*by).agg(F.percentile_approx(value, shares, 10 * buckets).alias("_edges"))
+    with_edges = counts.join(splits, by) if by else counts.crossJoin(F.broadcast(splits))
+    placed = with_edges.withColumn("_bucket", _place(F.col(value), F.col("_edges"), buckets - 1)).drop("_edges")
     totals = placed.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     over = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_{s}").over(over), F.lit(0)).alias(f"_{s}") for s in sums])

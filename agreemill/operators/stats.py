@@ -83,10 +83,11 @@ def auc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None
     return out.select(*by, "n_pos", "n_neg", ratio(F.col("_wins"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"))
 
 
-def separation(score: Column | str, within: Column) -> dict[str, Column]:
+def separation(score: Column | str, within: Column, divisor: float = 1.0) -> dict[str, Column]:
     """Aggregates that describe within and cross scores: means, population
-    deviations, their difference, and that over the observed range."""
-    s = c(score)
+    deviations, their difference, and that over the observed range. Scores are
+    divided by ``divisor`` first (a metric's own scale)."""
+    s = c(score) / divisor
     w, x = F.when(within, s), F.when(~within, s)
     delta = F.avg(w) - F.avg(x)
     span = F.max(s) - F.min(s)

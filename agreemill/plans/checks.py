@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agreemill.functions.numbers import python_format
 
 
+def expected(spark: SparkSession, path: str) -> DataFrame:
+    """Printed numbers from a CSV of (name, paper, digits, tol)."""
+    return spark.read.schema("name STRING, paper DOUBLE, digits INT, tol DOUBLE").option("header", "true").csv(path)
+
+
+def against(ours: DataFrame, printed: DataFrame) -> DataFrame:
+    """Cells to check: (name, ours) joined with the printed numbers."""
+    return ours.join(printed, "name", "inner").select("name", "ours", "paper", "digits", "tol")
+
+
 def checked(cells: DataFrame) -> DataFrame:
     """Add ``ok`` and ``same_print`` to (name, ours, paper, digits, tol).
 

@@ -12,12 +12,15 @@ from agreemill.plans import checks, conditions, keysets, keytable
 CELLS = [("a", 0.47149, 0.471, 3, None, True), ("b", 0.4716, 0.472, 3, None, True), ("n", 7304.0, 7304.0, 0, None, True), ("c", 0.4726, 0.471, 3, None, False), ("t", 0.4726, 0.471, 3, 0.002, True), ("x hi", 0.4746, 0.471, 3, 0.002, False)]
 
 
-def test_printed_precision(spark):
+def test_printed_precision(spark, tmp_path):
     df = spark.createDataFrame([c[:5] for c in CELLS], "name string, ours double, paper double, digits int, tol double")
     done = checks.checked(df)
     assert {r["name"]: r["ok"] for r in done.collect()} == {c[0]: c[5] for c in CELLS}
     assert [r["name"] for r in checks.within_tolerance(done).collect()] == ["t"]
     assert checks.exit_code(done) == 1 and checks.exit_code(done.where("name = 'a'")) == 0
+    (tmp_path / "e.csv").write_text("name,paper,digits,tol\na,0.471,3,\nt,0.471,3,0.002\n")
+    again = checks.checked(checks.against(df.select("name", "ours"), checks.expected(spark, str(tmp_path / "e.csv"))))
+    assert {r["name"]: r["ok"] for r in again.collect()} == {"a": True, "t": True}
     assert checks.without_intervals(df, 100).count() == 5 and checks.without_intervals(df, 10_000).count() == 6
 
 

@@ -98,7 +98,7 @@ def test_running_totals_do_not_depend_on_buckets(spark):
     rng = np.random.default_rng(4)
     rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 500), rng.exponential(size=500).round(1), strict=True)] + [(3, 1.0)]
     df = spark.createDataFrame(rows, "g int, v double")
-    for buckets in (2, 7, 64):
+    for buckets in (2, 7, 64, 300):
         counts = df.groupBy("g", "v").agg(F.count("*").alias("n"))
         got = {(r["g"], r["v"]): r["n_below"] for r in ranks.running_totals(counts, "v", ["n"], ["g"], buckets).collect()}
         assert got == {(g, v): sum(1 for a, b in rows if a == g and b < v) for g, v in set(rows)}
