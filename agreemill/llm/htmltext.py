@@ -35,8 +35,10 @@ RAW = frozenset("script style textarea title noscript iframe noembed noframes xm
 DROPPED = frozenset("head title nav footer aside form script style noscript iframe noembed noframes textarea select option optgroup button input svg math canvas audio video object applet template dialog menu datalist search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 NAMES = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations sidebar aside nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead comment comments disqus reply replies respond widget toolbar".split()
+    "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations sidebar aside nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead comment comments disqus reply replies respond toolbar".split()
 )
+#: A header with one of these belongs to the article.
+OWN_HEADERS = frozenset("article post entry story content main title section".split())
 #: Start tag -> open elements that it ends.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"), "thead": ("tr", "td", "th")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "tfoot": ("table",), "thead": ("table",)}
@@ -45,6 +47,7 @@ _open = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/])")
 _attribute = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 _name_parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _hidden = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_closers = {t: re.compile(f"</{t}", re.I) for t in RAW}
 _blank = re.compile(r"\s+")
 
 
@@ -90,7 +93,8 @@ class _Page:
                 if hidden or name == "hidden" or (name == "style" and _hidden.search(value)) or (name == "role" and value.lower() in ROLES) or (name == "aria-hidden" and value.lower() == "true"):
                     hard = True
                 elif name in ("class", "id") and tag not in ("html", "body", "main"):
-                    soft = soft or any(p.lower() in NAMES for p in _name_parts.findall(value))
+                    parts = {p.lower() for p in _name_parts.findall(value)}
+                    soft = soft or bool(parts & NAMES) or ("header" in parts and not parts & OWN_HEADERS)
         if closed and tag not in BLOCKS:
             return
         self.tag.append(tag)
@@ -142,7 +146,6 @@ class _Page:
 
 def parse(html: str) -> _Page:
     page, at, n = _Page(), 0, len(html)
-    lower: str | None = None
     endless: set[str] = set()
 
     def find(what: str, start: int, where: str) -> int:
@@ -186,10 +189,9 @@ def parse(html: str) -> _Page:
             continue
         page.start(tag, attributes.rstrip("/") if attributes.strip() not in ("", "/") else "", attributes.endswith("/"))
         if tag in RAW and page.tag[page.stack[-1]] == tag:
-            lower = html.lower() if lower is None and len(html.lower()) == n else lower
-            k = find(f"</{tag}", at, lower if lower is not None else html)
-            page.text(html[at:] if k < 0 else html[at:k])
-            at = n if k < 0 else k
+            close = _closers[tag].search(html, at)
+            page.text(html[at : close.start()] if close else html[at:])
+            at = close.start() if close else n
     while len(page.stack) > 1:
         page._pop()
     page.flush()

@@ -21,6 +21,7 @@ EXPECTED = "Title\n\nFirst, with bold and a link, here.\n\nSecond & last."
         (f"<article>{ARTICLE}<form><p>Name, mail</p><input></form><div role=alert>Notice, this</div><div hidden>no</div></article>", EXPECTED),
         (f"<article>{ARTICLE}<script>if (a < b) document.write('<p>x</p>')</script><style>p{{}}</style><!-- <p>c</p> --></article>", EXPECTED),
         (f"<article>{ARTICLE}<div class='ad'>Buy, buy</div><div class=cookieNotice>We, us</div></article>", EXPECTED),
+        (f"<div id=header><p>My site, yes</p></div><div class=elementor-widget><div class='entry-header'><h1>Title</h1></div>{ARTICLE[14:]}</div>", EXPECTED),
         ("<p>One<p>Two<br>three<p>  Four\n\tfive ", "One\n\nTwo three\n\nFour five"),
         ("<ul><li>a<li>b</ul>", "a\n\nb"),
         ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n\n2\n\n3"),
@@ -29,6 +30,7 @@ EXPECTED = "Title\n\nFirst, with bold and a link, here.\n\nSecond & last."
         ('<a title="a > b" href=\'x>y\'>link</a> text enough, really', "link text enough, really"),
         ("<div><p>x</p></div></p></div></b>tail, tail", "x\n\ntail, tail"),
         ("<title>t</title>", ""),
+        ("<p>İ<SCRIPT>x</Script>y<textarea>z</TEXTAREA></p>", "İy"),
         ("<nav>only</nav>", ""),
         ("", ""),
         (None, ""),
