@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read a whole table through Spark's reader, so any Hadoop path works."""
@@ -43,6 +45,12 @@ def checkpoint(df: DataFrame, files: int | None = None) -> DataFrame:
     return df.coalesce(max(1, files or 4 * sc.defaultParallelism)).checkpoint(eager=True)
 
 
+def small_batches() -> None:
+    """Bound by bytes what a Python worker gets at once: texts may be long, and
+    a default batch of 10,000 of them fills memory on both sides."""
+    SparkSession.active().conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agreemill.llm.common import col
+from agreemill.llm.common import col, small_batches
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -129,6 +129,7 @@ def blocks(items: DataFrame, text: str = "text", key: str = "item_id", block_cha
 
 def contained(index: Index, text: Column) -> Column:
     """array of struct(item_id, matched, shingles) found in a text column."""
+    small_batches()
     from pyspark import SparkContext
 
     sent = SparkContext.getOrCreate().broadcast(index)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agreemill.llm.common import col
+from agreemill.llm.common import col, small_batches
 
 #: Element names by how they behave.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -267,6 +267,7 @@ def _teaser(page: _Page, i: int) -> bool:
 
 def extract(html: Column) -> Column:
     """The main text of an html column."""
+    small_batches()
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

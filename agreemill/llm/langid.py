@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agreemill.llm.common import col, fold, free_name
+from agreemill.llm.common import col, fold, free_name, small_batches
 
 UNKNOWN = "und"
 DIMS = 4096
@@ -174,6 +174,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(learn: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Fit on ``learn``: IDF over all its rows, centroids on about ``sample``."""
+    small_batches()
     rows = learn.select(col(text).alias("t"), col(lang).alias("l"), col(key).alias("k")).where(F.col("l").isNotNull())
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
     df_counts, n = np.zeros(DIMS, np.int64), 0
@@ -196,6 +197,7 @@ def fit(learn: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
 
 def predict(model: Model, text: Column) -> Column:
     """struct(lang, score, rejected) of a text column."""
+    small_batches()
     shared = _Shared(model)
 
     @F.arrow_udf("lang string, score double, rejected boolean")

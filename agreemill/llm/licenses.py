@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agreemill.llm.common import col
+from agreemill.llm.common import col, small_batches
 
 THRESHOLD = 0.8
 CANDIDATES = 4
@@ -177,6 +177,7 @@ _KIND = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("license", pa.st
 
 def findings(text: Column) -> Column:
     """array of the confirmed license blocks of a text column."""
+    small_batches()
 
     @F.arrow_udf(f"array<{_FINDING}>")
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -21,6 +21,8 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agreemill.llm.common import checkpoint, col
+from agreemill.llm.common import checkpoint, col, small_batches
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
 
 CAPACITY = 1024
 END = 2
@@ -65,13 +70,20 @@ class Encoder:
     def __init__(self, name: str = VOCABULARY):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.exact.encode_special_tokens = True
+        self.file = public_tokenizers.path(f"{name}.json")
+
+    @cached_property
+    def exact(self) -> Tokenizer:
+        """Loaded with the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.file)
+        own.encode_special_tokens = True
+        return own
 
     def __call__(self, text: str | None) -> np.ndarray:
         parts = []
@@ -89,6 +101,7 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def pieces_of(text: Column, capacity: int = CAPACITY, name: str = VOCABULARY) -> Column:
     """array of struct(start, length, ids_crc32) of a text column."""
+    small_batches()
 
     @F.arrow_udf("array<struct<start: long, length: long, ids_crc32: long>>")
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agreemill.llm.common import checkpoint, col, free_name
+from agreemill.llm.common import checkpoint, col, free_name, small_batches
 from agreemill.llm.components import components
 
 WORDS = 3
@@ -62,6 +62,7 @@ def fingerprint_of(text: str | None, words: int = WORDS) -> int:
 
 def fingerprint(text: Column, words: int = WORDS) -> Column:
     """The fingerprint of a text column as a (signed) bigint."""
+    small_batches()
 
     @F.arrow_udf("long")
     def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

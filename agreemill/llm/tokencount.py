@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agreemill.llm.common import col
+from agreemill.llm.common import col, small_batches
 from agreemill.llm.packing import VOCABULARY, stretches
 
 LEAF = 64
@@ -186,6 +186,7 @@ _NAMES = ("tokens_before", "tokens_after", "pretokens", "chars", "reencoded_char
 
 def edited_counts(text: Column, edits: Column) -> Column:
     """struct of counts of a text and an array of struct(start, length, text) edits."""
+    small_batches()
     kind = ", ".join(f"{n}: long" for n in _NAMES)
 
     @F.arrow_udf(f"struct<{kind}>")

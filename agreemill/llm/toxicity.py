@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agreemill.llm import langid
-from agreemill.llm.common import col, fold, free_name
+from agreemill.llm.common import col, fold, free_name, small_batches
 
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -257,6 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample:
 
 def score(model: Model, text: Column) -> Column:
     """The score column of a text column."""
+    small_batches()
     from pyspark import SparkContext
 
     sent = SparkContext.getOrCreate().broadcast(model)
