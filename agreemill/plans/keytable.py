@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def wide(scores: DataFrame, raters: list[str]) -> DataFrame:
     """(method, key, one column a rater) of the long score table; the raters are
     fixed, so the pivot is a single aggregate."""
-    return scores.groupBy("method", "key").agg(*[F.first(F.when(F.col("rater") == r, F.col("value")), ignorenulls=True).alias(r) for r in raters])
+    return scores.groupBy("method", "key").agg(*[F.max(F.when(F.col("rater") == r, F.col("value"))).alias(r) for r in raters])
 
 
 def build(skeleton: DataFrame, scores: DataFrame, raters: list[str]) -> DataFrame:

@@ -112,3 +112,18 @@ def test_command_line(spark, capsys):
         p.parse_args(["score"])
     assert cli.main(["list"]) == 0 and "rating_spearman" in capsys.readouterr().out
     assert cli.main(["strip", "a cat here", "cat"]) == 0 and capsys.readouterr().out.strip().endswith("here")
+
+
+def test_scoring_run_from_the_command_line(spark, tmp_path):
+    patches = [(i, k, w, [float(k + 1), float(len(i)), w]) for i in ("r", "out1", "o2") for k, w in enumerate((0.9, 0.1, 0.6))]
+    spark.createDataFrame(patches, "image_id string, patch_idx int, w double, feat array<double>").write.parquet(f"{tmp_path}/patches")
+    pairs = [("r", "out1", "a cat here", "cat", "m1", 0.3, 0.3, 0), ("r", "o2", "a dog", "cat", "m2", 0.3, 0.01, 1), ("r", "r", "x", "", "m3", 0.5, 0.5, 2)]
+    spark.createDataFrame(pairs, "ref string, out string, prompt string, object_name string, gen_method string, fg_ref double, fg_out double, row_idx int").write.parquet(f"{tmp_path}/pairs")
+    (tmp_path / "c.json").write_text('{"model": "m"}')
+    base = ["score", "--config", f"{tmp_path}/c.json", "--pairs", f"{tmp_path}/pairs", "--patches", f"{tmp_path}/patches"]
+    assert cli.main([*base, "--out", f"{tmp_path}/a", "--method", "m1,m2", "--dump-patch-arrays"]) == 0
+    got = spark.read.parquet(f"{tmp_path}/a").collect()
+    assert [(r["out"], r["extras"]["pf_prompt"]) for r in got] == [("out1", "here")] and 0 < got[0]["cp"] <= 1
+    assert spark.read.parquet(f"{tmp_path}/a_arrays").count() == 1
+    assert cli.main([*base, "--out", f"{tmp_path}/b", "--min-fg-fraction", "none", "--max-samples", "2"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/b").count() == 2
