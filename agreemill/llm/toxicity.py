@@ -40,6 +40,7 @@ FEATURES = 5
 SAMPLE = (4500, 2500)
 FIT_CHARS = 6000
 EPOCHS = 8
+LANGUAGE_SAMPLE = 1500
 BATCH = 128
 CACHE_WORDS = 200_000
 CHUNK_WORDS = 50_000
@@ -133,7 +134,8 @@ def train(texts: list[str | None], labels: list[int], langs: list[str | None], p
     """Train on rows at hand. ``prior``: the share of label 1 in all rows."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, int)
-    language = langid.fit_texts(texts, [x or langid.UNKNOWN for x in langs]) if texts else langid.fit_texts([], [])
+    step = max(1, -(-len(texts) // LANGUAGE_SAMPLE))
+    language = langid.fit_texts(texts[::step], [x or langid.UNKNOWN for x in langs[::step]])
     filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for w in filters:
         w[:, 0, :4] += 1.0 / len(w)
