@@ -168,7 +168,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [grams(x.as_py()) for x in batch.column(1)]
-        packed = [None if g is None else sublinear(g).tobytes() for g in found]
+        packed = [None if g is None else np.minimum(sublinear(g), 60_000).astype(np.float16).tobytes() for g in found]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["id", "lang", "tf"])
 
 
@@ -191,7 +191,7 @@ def fit(learn: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     picked = rows.where(drawn < F.coalesce(share[F.col("l")], F.lit(0.0))).select("k", "t", "l").limit(2 * sample)
     got = picked.select(F.col("k").cast("string").alias("id"), "t", "l").mapInArrow(_vectors, "id string, lang string, tf binary").collect()
     got = sorted((r for r in got if r["tf"] is not None), key=lambda r: (r["lang"], r["id"] or ""))
-    tf = np.stack([np.frombuffer(r["tf"], np.float32) for r in got]) if got else np.zeros((0, DIMS), np.float32)
+    tf = np.stack([np.frombuffer(r["tf"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, DIMS), np.float32)
     return fit_vectors(tf, [r["lang"] for r in got], idf_of(df_counts, n))
 
 
