@@ -19,17 +19,21 @@ MAX_ROUNDS = 60
 ROWS_A_FILE = 200_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the node's least neighbour."""
+def _large_star(edges: DataFrame, files: int) -> DataFrame:
+    """Link every larger neighbour of a node to the node's least neighbour.
+
+    The least neighbours are written first: a join of two plain tables is one
+    whose hot keys (hubs) an adaptive plan can split.
+    """
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), files)
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, files: int) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = checkpoint(down.groupBy("u").agg(F.min("v").alias("m")), files)
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
@@ -41,7 +45,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = checkpoint(now)
     before, rows = None, now.count()
     for _ in range(MAX_ROUNDS):
-        now = checkpoint(_small_star(_large_star(now)), 1 + rows // ROWS_A_FILE)
+        files = 1 + rows // ROWS_A_FILE
+        large = checkpoint(_large_star(now, files), files)
+        now = checkpoint(_small_star(large, files), files)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or not state["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct()

@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     groups = linked.join(classes, linked["node"] == classes["fp"]).select("fp", "id", "component")
     least = groups.groupBy("component").agg(F.min("id").alias("least"))
     labels = groups.join(least, "component").select("fp", F.col("component").alias("group"), "least")
-    of_class = classes.join(labels, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), F.coalesce("least", "id").alias("component"))
+    named = classes.join(labels, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), F.coalesce("least", "id").alias("component"))
+    of_class = checkpoint(named)  # a plain table, so that a hot fingerprint's rows can be split
     return rows.join(of_class, "fp").select(F.col("id").alias(key), "fp", "group", "component")
 
 
