@@ -1,0 +1,149 @@
+"""Near copies by exact Jaccard similarity: the pipeline's near-duplicate stage.
+
+Two texts are near copies if the sets of their five-word shingles (words split
+at white space, ASCII case folded) have a Jaccard similarity of at least 0.8.
+Equal texts are one *class* from then on.
+
+Search: ``BANDS`` bands of ``ROWS`` MinHashes each; classes that agree in a band
+share a bucket. A pair of similarity s shares none with probability
+(1 - s**4)**32: 5e-8 at 0.8, less above. Every candidate is confirmed on the
+whole sets. Classes of a bucket are compared with one of them first (linear in
+its size), and then all pairs that this does not show to be connected.
+
+Edge cases: null and wordless texts are copies of each other; fewer words than a
+shingle are one shingle. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from agreemill.llm import simhash
+from agreemill.llm.common import checkpoint, col, small_batches
+
+WORDS = 5
+#: Least similarity, as a fraction so that its test is exact.
+LEAST, OF = 4, 5
+BANDS = 32
+ROWS = 4
+CHUNK = 1024
+
+_factors = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct shingles of a text, as hashes in order."""
+    parts = (text or "").encode("utf-8", "replace").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined, h = b" ".join(parts), xxhash.xxh64_intdigest
+    if len(parts) <= words:
+        return np.array([h(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = len(parts) - words + 1
+    spans = zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((h(joined[s:e], 42) for s, e in spans), np.uint64, n))
+
+
+def buckets(hashes: np.ndarray) -> list[int]:
+    """One bucket a band, by the band's MinHashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), CHUNK):
+        least = np.minimum(least, (_factors * hashes[at : at + CHUNK]).min(axis=1))
+    return [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Is the Jaccard similarity of two sets LEAST / OF at least? Empty sets are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return OF * both >= LEAST * (len(a) + len(b) - both)
+
+
+def sketch(text: Column) -> Column:
+    """(n, buckets): the number of distinct shingles of a text, and its buckets."""
+    small_batches()
+
+    @F.arrow_udf("struct<n: int, buckets: array<long>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch]
+            values = np.array([buckets(s) for s in sets], np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(values))
+            yield pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int32()), lists], ["n", "buckets"])
+
+    return run(text)
+
+
+def class_of(text: Column) -> Column:
+    """The class of a text: equal texts have the same one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _near(a: Column, b: Column) -> Column:
+    small_batches()
+
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            yield pa.array([alike(shingles(s.as_py()), shingles(t.as_py())) for s, t in zip(x, y, strict=True)], pa.bool_())
+
+    return run(a, b)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are near copies."""
+    left, right = (texts.select(F.col("fp").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").where(_near(F.col("text_a"), F.col("text_b"))).select("a", "b")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of (x, n_x, y, n_y) that may be near copies by their sizes."""
+    sized = F.least("n_x", "n_y") * OF >= F.greatest("n_x", "n_y") * LEAST
+    return rows.where((F.col("x") != F.col("y")) & sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that connect all near copies that share a bucket.
+
+    ``members`` holds (bucket, fp, n), plain and distinct; ``texts`` holds
+    (fp, text). Each member is compared with the least of its bucket; what that
+    shows to be connected has one label, and pairs of other labels are compared.
+    """
+    lead = checkpoint(members.groupBy("bucket").agg(F.min(F.struct("fp", "n")).alias("lead")).select("bucket", F.col("lead.fp").alias("y"), F.col("lead.n").alias("n_y")))
+    tried = checkpoint(_pairs(members.withColumnsRenamed({"fp": "x", "n": "n_x"}).join(lead, "bucket")))
+    near = checkpoint(_confirmed(tried, texts))
+    first = checkpoint(near.groupBy("b").agg(F.min("a").alias("a")))
+    jumped = first.alias("f").join(first.alias("g"), F.col("f.a") == F.col("g.b"), "left")
+    label = checkpoint(jumped.select(F.col("f.b").alias("fp"), F.coalesce("g.a", "f.a").alias("label")))
+    named = checkpoint(members.join(label, "fp", "left").select("bucket", "fp", "n", F.coalesce("label", "fp").alias("label")))
+    still = checkpoint(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket"))
+    x = checkpoint(named.join(still, "bucket").select("bucket", F.col("fp").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x")))
+    y = x.withColumnsRenamed({"x": "y", "n_x": "n_y", "label_x": "label_y"})
+    rest = checkpoint(_pairs(x.join(y, "bucket").where("x < y AND label_x != label_y")).join(tried, ["a", "b"], "left_anti"))
+    return near.union(checkpoint(_confirmed(rest, texts)))
+
+
+def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, fp, group, component) of every row, as simhash.near_duplicates has
+    them; fp is the class."""
+    texts = docs.select(class_of(col(text)).alias("fp"), col(text).alias("text"))
+    rows = checkpoint(docs.select(col(key).alias("id"), class_of(col(text)).alias("fp"), sketch(col(text)).alias("s")).select("id", "fp", "s.n", "s.buckets"))
+    dealt = rows.select("fp", "n", F.explode("buckets").alias("bucket")).distinct()
+    shared = checkpoint(dealt.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"))
+    members = checkpoint(dealt.join(shared, "bucket").select("bucket", "fp", "n"))
+    wanted = checkpoint(members.select("fp").distinct())
+    texts = checkpoint(texts.join(wanted, "fp").groupBy("fp").agg(F.min("text").alias("text")))
+    classes = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("id")))
+    return simhash.grouped(rows.select("id", "fp"), classes, links(members, texts), key)
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents, one of each group of near copies: the one of least key."""
+    return simhash.one_of_each(docs, text, key, near_copies, class_of)

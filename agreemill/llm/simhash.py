@@ -20,7 +20,7 @@ share a class. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -235,7 +235,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     """
     rows = checkpoint(docs.select(col(key).alias("id"), fingerprint(col(text), words).alias("fp")))
     classes = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("id")))
-    linked = components(links(classes.select("fp", F.col("fp").alias("id")), radius, blocks), "a", "b")
+    return grouped(rows, classes, links(classes.select("fp", F.col("fp").alias("id")), radius, blocks), key)
+
+
+def grouped(rows: DataFrame, classes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, fp, group, component) of rows (id, fp), from links (a, b) between classes."""
+    linked = components(edges, "a", "b")
     groups = linked.join(classes, linked["node"] == classes["fp"]).select("fp", "id", "component")
     least = groups.groupBy("component").agg(F.min("id").alias("least"))
     labels = groups.join(least, "component").select("fp", F.col("component").alias("group"), "least")
@@ -244,13 +249,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     return rows.join(of_class, "fp").select(F.col("id").alias(key), "fp", "group", "component")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", find: Callable[..., DataFrame] = near_duplicates, fp: Callable[[Column], Column] = fingerprint) -> DataFrame:
     """The documents, one of each group of near-duplicates: the one of least key.
 
+    ``find`` gives the groups, as near_duplicates does; ``fp`` its fp of a text.
+
     Rows with a null key can't be told apart and stay. Texts are not shuffled
     unless the ids to drop are too many to broadcast.
     """
-    found = checkpoint(near_duplicates(docs, text, key))
+    found = checkpoint(find(docs, text, key))
     repeated = found.where(col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
     dropped = found.where(col(key) != F.col("component")).select(key)
     kept = docs.join(dropped, key, "left_anti").select(*[col(c) for c in docs.columns])
@@ -258,7 +265,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         return kept
     repeated = checkpoint(repeated)
     mark = free_name(docs, "fp")
-    own = docs.join(repeated, key, "left_semi").withColumn(mark, fingerprint(col(text)))
+    own = docs.join(repeated, key, "left_semi").withColumn(mark, fp(col(text)))
     least = found.where(col(key) == F.col("component")).select(key, F.col("fp").alias(mark), F.col("group").alias(f"{mark}_group")).distinct()
     some = own.join(least, [key, mark]).dropDuplicates([key, f"{mark}_group"]).select(*[col(c) for c in docs.columns])
     return kept.join(repeated, key, "left_anti").select(*[col(c) for c in docs.columns]).union(some)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agreemill.llm import decontam, langid, packing, simhash, toxicity
+from agreemill.llm import decontam, langid, nearcopies, packing, toxicity
 from agreemill.llm.common import table, written
 
 
@@ -21,7 +21,7 @@ def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return nearcopies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
