@@ -21,6 +21,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -32,11 +34,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` gave and nobody reads any more."""
+    jvm = df.sparkSession._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        if where.getName().startswith("table-"):
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpoint(df: DataFrame, files: int | None = None) -> DataFrame:
     """Cut the lineage with a reliable checkpoint of at most ``files`` files.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests) a temporary folder is used. By default there are
+    where that is unset a local session (tests) uses a temporary one. By default there are
     at most four files a core: small files by the thousand cost more than the
     rows in them.
     """

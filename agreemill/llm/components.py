@@ -38,18 +38,23 @@ def _small_star(edges: DataFrame, files: int) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
+def _settled(edges: DataFrame, rows: int) -> bool:
+    """Are the edges (u, v) stars, each u with one v that is no u itself?"""
+    nodes = edges.select("u").distinct()
+    return nodes.count() == rows and not edges.join(nodes.withColumnRenamed("u", "v"), "v", "left_semi").head(1)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node that has an edge to another one;
     component is the smallest node it can reach."""
-    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct()
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a) != F.col(b)).distinct()
     now = checkpoint(now)
-    before, rows = None, now.count()
+    rows = now.count()
     for _ in range(MAX_ROUNDS):
+        if _settled(now, rows):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct()
         files = 1 + rows // ROWS_A_FILE
         large = checkpoint(_large_star(now, files), files)
         now = checkpoint(_small_star(large, files), files)
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before or not state["n"]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct()
-        before, rows = state, state["n"]
+        rows = now.count()
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

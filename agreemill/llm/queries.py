@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from agreemill.llm import chat, chroma, decontam, htmltext, langid, licenses, packing, simhash, tokencount, toxicity
 from agreemill.llm.common import table
 
@@ -63,7 +62,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tokencount": op8_tokencount,
         "op9_simhash": op9_simhash,
         "op10_decontam": op10_decontam,
-        "pipeline": corpus_pipeline.run,
     }
 
 

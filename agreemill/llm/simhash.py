@@ -1,27 +1,39 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 Fingerprints: XXH64 (seed 42) of each word shingle; a bit is 1 if more than
-half the shingles set it. Equal fingerprints are one *class* from then on.
-
-Search: two fingerprints that differ in at most ``radius`` bits agree on at
-least ``blocks - radius`` of ``blocks`` bit ranges, so each fingerprint is dealt
-once for every choice of that many ranges and meets all its partners there.
-Inside such a bucket the bits are stored vertically (a *plane* holds one bit of
-every member); distances to 64 members a machine word are counted by carry-save
-bitwise adders, and a block of members is abandoned as soon as each of them is
-beyond the radius. A bucket emits a spanning forest of its links, never all
-pairs. Buckets over ``hot`` members are dealt again on the bits not yet fixed,
-which keeps every link (the differences lie in those bits) and bounds a bucket.
+half the shingles set it. Inside a bucket of candidates the fingerprints' bits
+are stored vertically (a *plane* holds one bit of 64 members a word). A value is
+compared with a word of members at a time: carry-save bitwise counters add up
+the differing planes for all 64 at once, and the word is abandoned as soon as
+each of its members is beyond the radius.
+
+Two searches fill the buckets:
+
+* ``near_duplicates``: all pairs within ``radius`` bits. Such a pair agrees on at
+  least ``blocks - radius`` of ``blocks`` bit ranges, so each fingerprint is
+  dealt once for every choice of that many ranges. Nothing is lost.
+* ``near_copies``: all pairs whose sets of five-word shingles have a Jaccard
+  similarity of at least 0.8. Candidates agree in one of ``BANDS`` bands of
+  ``ROWS`` MinHashes (a pair at 0.8 shares none with probability 5e-8) and differ
+  in at most ``WIDE`` bits (a pair at 0.8 differs in 10 on average, in over 26
+  with probability 2e-6 at most); each is confirmed on the whole sets. A bucket's
+  members are compared with its most typical one first, then all pairs that this
+  does not show to be connected.
+
+Equal fingerprints (near_copies: equal texts) are one *class* from then on, so
+copies are never compared. Buckets over ``PART`` classes are dealt as pairs of
+parts, each its own task's work: every pair meets once, no task holds a bucket.
 
 Edge cases: null or empty text has fingerprint zero and links like any other;
 fewer words than a shingle hash as one shingle. Copies, ties and repeated rows
-share a class. An empty table gives an empty result.
+share a class. An empty table gives an empty result. Texts of any length are
+read whole. Other columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,29 +47,47 @@ from agreemill.llm.components import components
 WORDS = 3
 RADIUS = 3
 BLOCKS = 5
-HOT = 2048
-LEVELS = 3
-TILE = 4096
+PART = 1 << 15
+UNITS = 1 << 14
 
+#: near_copies: words of a shingle, least similarity as an exact fraction.
+COPY_WORDS = 5
+LEAST, OF = 4, 5
+BANDS = 32
+ROWS = 4
+WIDE = 26
 
-def fingerprint_of(text: str | None, words: int = WORDS) -> int:
-    """The 64-bit fingerprint of one text."""
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_BELOW = np.array([(1 << k) - 1 for k in range(65)], np.uint64)
+_factors = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's shingles, in order; none without words."""
     parts = (text or "").encode("utf-8", "replace").lower().split()
     if not parts:
-        return 0
-    joined = b" ".join(parts)
+        return np.zeros(0, np.uint64)
+    joined, h = b" ".join(parts), xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([h(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    ones, n = np.zeros(64, np.int64), len(parts) - words + 1
-    h = xxhash.xxh64_intdigest
-    for at in range(0, n, 1 << 16):
-        stop = min(n, at + (1 << 16))
-        spans = zip(starts[at:stop].tolist(), ends[at + words - 1 : stop + words - 1].tolist(), strict=True)
-        hashes = np.array([h(joined[s:e], 42) for s, e in spans], np.uint64)
-        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    n = len(parts) - words + 1
+    spans = zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)
+    return np.fromiter((h(joined[s:e], 42) for s, e in spans), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: the bits that over half of them set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint_of(text: str | None, words: int = WORDS) -> int:
+    """The 64-bit fingerprint of one text."""
+    return majority(shingles(text, words))
 
 
 def fingerprint(text: Column, words: int = WORDS) -> Column:
@@ -73,158 +103,180 @@ def fingerprint(text: Column, words: int = WORDS) -> Column:
     return simhash(text)
 
 
+# Bit-sliced comparison
+
+
+def planes_of(values: np.ndarray) -> np.ndarray:
+    """(64, words): bit 63 - k of every value in plane k, 64 values a word."""
+    bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    bits = np.pad(bits, ((0, -len(values) % 64), (0, 0)))
+    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
+
+
+def _beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Members whose count, given as bit planes from low to high, is over ``radius``."""
+    over, equal = np.zeros_like(counters[0]), np.full_like(counters[0], _FULL)
+    for k in reversed(range(len(counters))):
+        if radius >> k & 1:
+            equal &= counters[k]
+        else:
+            over |= equal & counters[k]
+            equal &= ~counters[k]
+    return over
+
+
+def near(values: np.ndarray, begin: np.ndarray, end: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) with begin[i] <= j < end[i] whose values differ in at most
+    ``radius`` bits, in arrays.
+
+    A unit of work is one value against one word of 64 members. A member is lost
+    once its count overflows or passes the radius; every eight planes, units
+    without a member left are abandoned.
+    """
+    if not len(values):
+        return
+    planes = planes_of(values)
+    rows = np.flatnonzero(end > begin)
+    first = begin[rows] >> 6
+    count = ((end[rows] - 1) >> 6) - first + 1
+    total = np.concatenate([[0], np.cumsum(count)])
+    at = 0
+    while at < len(rows):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + UNITS, "right")) - 1)
+        c = count[at:stop]
+        i = np.repeat(rows[at:stop], c)
+        w = np.repeat(first[at:stop] - (total[at:stop] - total[at]), c) + np.arange(len(i))
+        at = stop
+        alive = _BELOW[np.clip(end[i] - 64 * w, 0, 64)] & ~_BELOW[np.clip(begin[i] - 64 * w, 0, 64)]
+        own = values[i]
+        counters = [np.zeros_like(alive) for _ in range(radius.bit_length())]
+        for k in range(64):
+            carry = planes[k][w] ^ -(own >> np.uint64(63 - k) & np.uint64(1))
+            for b, counter in enumerate(counters):
+                counters[b], carry = counter ^ carry, counter & carry
+            alive &= ~carry
+            if k % 8 == 7:
+                if counters and radius + 1 != 1 << len(counters):
+                    alive &= ~_beyond(counters, radius)
+                left = np.flatnonzero(alive)
+                if len(left) < len(alive):
+                    i, w, own, alive = i[left], w[left], own[left], alive[left]
+                    counters = [x[left] for x in counters]
+                if not len(left):
+                    break
+        if len(alive):
+            unit, bit = np.nonzero(np.unpackbits(alive.view(np.uint8), bitorder="little").reshape(-1, 64))
+            yield i[unit], 64 * w[unit] + bit
+
+
+def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of links between ``n`` members: of each two trees that meet,
+    the one of larger label is hooked to the other by one link."""
+    label, out = np.arange(n), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, j in pairs:
+        while True:
+            a, b = label[i], label[j]
+            differ = np.flatnonzero(a != b)
+            if not len(differ):
+                break
+            i, j, low, high = i[differ], j[differ], np.minimum(a, b)[differ], np.maximum(a, b)[differ]
+            hooked, at = np.unique(high, return_index=True)
+            out.append((i[at], j[at]))
+            to = np.arange(n)
+            to[hooked] = low[at]
+            while (to[to] != to).any():
+                to = to[to]
+            label = to[label]
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Rows sorted by their first ``keys`` columns, in blocks of whole groups, with
+    the first row of each group."""
+    held: list[list[np.ndarray]] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if batch.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if sum(len(h[0]) for h in held) < PART:
+                continue
+        if not held:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns[:keys]], axis=0)
+        starts = np.flatnonzero(new)
+        stop = len(new) if batch is None else int(starts[-1])
+        held = [[c[stop:] for c in columns]] if stop < len(new) else []
+        if stop:
+            yield [c[:stop] for c in columns], starts[starts < stop]
+
+
+def _spans(starts: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each row is compared with: the rows after it, or the second part where
+    its group is a pair of parts (first rows first)."""
+    n = len(second)
+    sizes = np.diff(np.append(starts, n))
+    end = np.repeat(starts + sizes, sizes)
+    seconds = np.add.reduceat(second.astype(np.int64), starts) if n else second
+    middle = np.repeat(starts + sizes - seconds, sizes)
+    begin = np.where(np.repeat(seconds, sizes) > 0, np.where(second > 0, end, middle), np.arange(n) + 1)
+    return begin, end
+
+
+def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+
+
+_TILE = ["bucket", "lo", "hi", "second"]
+
+
+def _tiles(rows: DataFrame, part: int) -> DataFrame:
+    """Rows (bucket, fp, ...) with (lo, hi, second): a crowded bucket is dealt as
+    pairs of its parts, any other one is a pair of part 0 with itself."""
+    crowded = checkpoint(rows.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > part))
+    if not crowded.head(1):
+        return rows.select("*", *[F.lit(0).alias(c) for c in _TILE[1:]])
+    parts = F.coalesce(F.ceil(F.col("members") / part), F.lit(1)).cast("int")
+    dealt = rows.join(crowded, "bucket", "left").withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.select(*rows.columns, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("second"))
+
+
+# All pairs within a radius
+
+
 def ranges(bits: int, blocks: int) -> list[tuple[int, int]]:
     """Split ``bits`` into ``blocks`` nearly even (first, width) ranges."""
     edges = [bits * i // blocks for i in range(blocks + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
-def masks(free: int, radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
-    """For each choice of ranges to agree on, the mask of its bits in ``free``."""
-    positions = [i for i in range(64) if free >> i & 1]
-    parts = [sum(1 << positions[i] for i in range(first, first + width)) for first, width in ranges(len(positions), blocks)]
-    if len(parts) <= radius:
-        return [0]
-    return [sum(c) for c in combinations(parts, len(parts) - radius)]
+def masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
+    """For each choice of ranges to agree on, the mask of its bits."""
+    parts = [((1 << width) - 1) << first for first, width in ranges(64, blocks)]
+    return [sum(c) for c in combinations(parts, max(0, len(parts) - radius))]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-class Planes:
-    """Members of a block, stored as 64 bit planes of packed words."""
-
-    def __init__(self, values: np.ndarray):
-        self.n = len(values)
-        bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        bits = np.pad(bits, ((0, -self.n % 64), (0, 0)))
-        self.planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
-        self.real = np.packbits(np.arange(len(bits)) < self.n, bitorder="little").view(np.uint64)
-
-    def within(self, value: int, radius: int = RADIUS) -> np.ndarray:
-        """Indexes of the members that differ from ``value`` in at most ``radius`` bits.
-
-        Two-bit counters saturate: a carry out of them (a fourth difference)
-        marks a member as lost. Works for radii up to 3.
-        """
-        low = np.zeros_like(self.real)
-        high, lost = low.copy(), ~self.real
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        for first in range(0, 64, 8):
-            for i in range(first, first + 8):
-                differs = self.planes[i] ^ full if value >> (63 - i) & 1 else self.planes[i]
-                carry = low & differs
-                low = low ^ differs
-                lost = lost | (high & carry)
-                high = high ^ carry
-            if (lost == full).all():
-                return np.zeros(0, np.int64)
-        if radius < 3:
-            over = {2: low & high, 1: high, 0: low | high}[radius]
-            lost = lost | over
-        return np.flatnonzero(np.unpackbits((~lost).view(np.uint8), bitorder="little")[: self.n])
-
-
-def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """A spanning forest of the links between distinct fingerprints, as index pairs."""
-    parent = list(range(len(values)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-
-    def link(a: int, b: int) -> None:
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-
-    if len(values) <= 24:
-        for i in range(len(values) - 1):
-            near = np.bitwise_count(values[i + 1 :] ^ values[i]) <= radius
-            for j in np.flatnonzero(near):
-                link(i, i + 1 + int(j))
-        return out
-    for first in range(0, len(values), TILE):
-        block = Planes(values[first : first + TILE])
-        for i in range(first, len(values)):
-            for j in block.within(int(values[i]), radius):
-                if first + j < i:
-                    link(first + int(j), i)
-    return out
-
-
 def _links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by bucket; a bucket may span batches but is bounded."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        key = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                fps, ids = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                held.clear()
-                if len(fps) > 1:
-                    pairs = forest(fps.view(np.uint64), radius)
-                    if pairs:
-                        at = np.array(pairs)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["a", "b"])
-
-        for batch in batches:
-            table, bucket, fps, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(fps):
-                continue
-            cut = np.flatnonzero((table[1:] != table[:-1]) | (bucket[1:] != bucket[:-1])) + 1
-            for s, e in zip([0, *cut], [*cut, len(fps)], strict=True):
-                now = (table[s], bucket[s])
-                if now != key:
-                    yield from flush()
-                    key = now
-                held.append((fps[s:e], ids[s:e]))
-        yield from flush()
+        for (_, _, _, second, fp), starts in _groups(batches, 3):
+            pairs = near(fp.view(np.uint64), *_spans(starts, second), radius)
+            a, b = forest(pairs, len(fp))
+            yield _batch({"a": fp[a], "b": fp[b]})
 
     return run
 
 
-def _deal(rows: DataFrame, free: int, radius: int, blocks: int) -> DataFrame:
-    """One row a choice of agreeing ranges: (table, bucket, fp, id)."""
-    options = masks(free, radius, blocks)
-    dealt = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("b")) for i, m in enumerate(options)]))
-    return rows.select("*", dealt.alias("d"))
-
-
-def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
-    """Links (a, b) that connect all classes within ``radius`` bits.
-
-    ``classes`` holds (fp, id), fp distinct. Crowded buckets are dealt again,
-    ``levels`` times at most, on the bits that their key leaves free.
-    """
-    found = None
-    todo = [(classes, (1 << 64) - 1, "")]
-    for level in range(levels):
-        again = []
-        for rows, free, path in todo:
-            dealt = _deal(rows, free, radius, blocks)
-            key = ["table", "bucket"]
-            dealt = dealt.select(F.concat(F.lit(path), F.col("d.i").cast("string")).alias("table"), F.xxhash64(*([F.col("bucket")] if "bucket" in rows.columns else []), F.col("d.b")).alias("bucket"), "fp", "id")
-            last = level + 1 == levels
-            if not last:
-                crowded = dealt.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*key, F.lit(True).alias("crowded"))
-                if crowded.head(1):
-                    crowded = checkpoint(crowded)
-                    marked = dealt.join(crowded, key, "left")
-                    for i, m in enumerate(masks(free, radius, blocks)):
-                        again.append((checkpoint(marked.where(F.col("crowded") & (F.col("table") == f"{path}{i}")).select("bucket", "fp", "id")), free & ~m, f"{path}{i}."))
-                    dealt = marked.where(F.col("crowded").isNull()).select(*key, "fp", "id")
-            near = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_links(radius), "a long, b long")
-            found = near if found is None else found.union(near)
-        todo = [x for x in again if x[0].head(1)]
-    return found.distinct()
+def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints ``fp`` within ``radius`` bits."""
+    dealt = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks(radius, blocks))]))
+    rows = _tiles(classes.select(dealt.alias("bucket"), "fp"), part).select(*_TILE, "fp")
+    return rows.repartition(*_TILE[:3]).sortWithinPartitions(*_TILE).mapInArrow(_links(radius), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -235,10 +287,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     """
     rows = checkpoint(docs.select(col(key).alias("id"), fingerprint(col(text), words).alias("fp")))
     classes = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("id")))
-    return grouped(rows, classes, links(classes.select("fp", F.col("fp").alias("id")), radius, blocks), key)
+    return _grouped(rows, classes, links(classes.select("fp"), radius, blocks), key)
 
 
-def grouped(rows: DataFrame, classes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+def _grouped(rows: DataFrame, classes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, fp, group, component) of rows (id, fp), from links (a, b) between classes."""
     linked = components(edges, "a", "b")
     groups = linked.join(classes, linked["node"] == classes["fp"]).select("fp", "id", "component")
@@ -249,26 +301,162 @@ def grouped(rows: DataFrame, classes: DataFrame, edges: DataFrame, key: str) ->
     return rows.join(of_class, "fp").select(F.col("id").alias(key), "fp", "group", "component")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", find: Callable[..., DataFrame] = near_duplicates, fp: Callable[[Column], Column] = fingerprint) -> DataFrame:
-    """The documents, one of each group of near-duplicates: the one of least key.
+# Near copies by similarity
+
 
-    ``find`` gives the groups, as near_duplicates does; ``fp`` its fp of a text.
+def min_hash_buckets(hashes: np.ndarray) -> list[int]:
+    """One bucket a band, by the band's MinHashes."""
+    least = np.full(BANDS * ROWS, _FULL, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (_factors * hashes[at : at + 1024]).min(axis=1))
+    return [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
 
-    Rows with a null key can't be told apart and stay. Texts are not shuffled
-    unless the ids to drop are too many to broadcast.
+
+def sketch(text: Column) -> Column:
+    """(n, sim, buckets): the number of distinct shingles of a text, their
+    fingerprint, and its MinHash buckets."""
+    small_batches()
+
+    @F.arrow_udf("struct<n: int, sim: long, buckets: array<long>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sizes, sims, values = [], [], []
+            for t in batch:
+                own = np.unique(shingles(t.as_py(), COPY_WORDS))
+                sizes.append(len(own))
+                sims.append(majority(own))
+                values.append(min_hash_buckets(own))
+            flat = np.array(values, np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(flat))
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(np.array(sims, np.uint64).view(np.int64)), lists], ["n", "sim", "buckets"])
+
+    return run(text)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Is the Jaccard similarity of two sets LEAST / OF at least? Empty sets are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return OF * both >= LEAST * (len(a) + len(b) - both)
+
+
+def _alike(a: Column, b: Column) -> Column:
+    small_batches()
+
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kept: dict[str, np.ndarray] = {}  # one text of many pairs is cut once
+
+        def cut(text: str) -> np.ndarray:
+            if text not in kept:
+                if len(kept) >= 8:
+                    kept.pop(next(iter(kept)))
+                kept[text] = np.unique(shingles(text, COPY_WORDS))
+            return kept[text]
+
+        for x, y in batches:
+            yield pa.array([alike(cut(s.as_py() or ""), cut(t.as_py() or "")) for s, t in zip(x, y, strict=True)], pa.bool_())
+
+    return run(a, b)
+
+
+def _sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Can sets of these sizes be alike?"""
+    return OF * np.minimum(a, b).astype(np.int64) >= LEAST * np.maximum(a, b).astype(np.int64)
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) of each group's most typical member, the one nearest to
+    the group's majority fingerprint."""
+    for (_, _, fp, sim, n), starts in _groups(batches, 2):
+        values, sizes = sim.view(np.uint64), np.diff(np.append(starts, len(sim)))
+        bits = np.unpackbits(values.astype(">u8").view(np.uint8)).reshape(-1, 64)
+        centres = np.packbits(2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int32) > sizes[:, None], axis=1).view(">u8")[:, 0]
+        off = np.bitwise_count(values ^ np.repeat(centres, sizes).astype(np.uint64))
+        leads = np.lexsort((fp, off, np.repeat(starts, sizes)))[starts]
+        begin, end = np.zeros(len(sim), np.int64), np.zeros(len(sim), np.int64)
+        begin[leads], end[leads] = starts, starts + sizes
+        for i, j in near(values, begin, end, WIDE):
+            ok = (i != j) & _sized(n[i], n[j])
+            a, b = fp[i[ok]], fp[j[ok]]
+            yield _batch({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) with different labels, of all pairs of a group."""
+    for (_, _, _, second, fp, sim, n, label), starts in _groups(batches, 3):
+        for i, j in near(sim.view(np.uint64), *_spans(starts, second), WIDE):
+            ok = (label[i] != label[j]) & _sized(n[i], n[j])
+            a, b = fp[i[ok]], fp[j[ok]]
+            yield _batch({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole texts are near copies."""
+    left, right = (texts.select(F.col("fp").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").where(_alike(F.col("text_a"), F.col("text_b"))).select("a", "b")
+
+
+def copy_links(members: DataFrame, texts: DataFrame, part: int = PART) -> DataFrame:
+    """Confirmed links (a, b) that connect all near copies that share a bucket.
+
+    ``members`` holds (bucket, m, fp, sim, n), plain and distinct, m members in a
+    bucket; ``texts`` holds (fp, text). What the comparison with the most typical
+    member shows to be connected gets one label; then pairs of other labels meet.
+    """
+    salted = members.select("bucket", F.pmod(F.xxhash64("fp"), F.ceil(F.col("m") / part)).cast("int").alias("salt"), "fp", "sim", "n")
+    tried = checkpoint(salted.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(_led, "a long, b long").distinct())
+    found = checkpoint(_confirmed(tried, texts))
+    both = found.select(F.col("a").alias("x"), F.col("b").alias("y")).union(found.select("b", "a"))
+    least = checkpoint(both.groupBy("x").agg(F.least("x", F.min("y")).alias("y")))
+    jumped = least.alias("f").join(least.alias("g"), F.col("f.y") == F.col("g.x"), "left")
+    label = checkpoint(jumped.select(F.col("f.x").alias("fp"), F.coalesce("g.y", "f.y").alias("label")))
+    named = checkpoint(members.join(label, "fp", "left").select("bucket", "fp", "sim", "n", F.coalesce("label", "fp").alias("label")))
+    still = checkpoint(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket"))
+    rows = _tiles(checkpoint(named.join(still, "bucket")), part).select(*_TILE, "fp", "sim", "n", "label")
+    pairs = rows.repartition(*_TILE[:3]).sortWithinPartitions(*_TILE).mapInArrow(_unconnected, "a long, b long").distinct()
+    rest = checkpoint(pairs.join(tried, ["a", "b"], "left_anti"))
+    return found.union(checkpoint(_confirmed(rest, texts)))
+
+
+def class_of(text: Column) -> Column:
+    """The class of a text: equal texts have the same one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, fp, group, component) of every row, as near_duplicates has them; fp is
+    the class of equal texts."""
+    rows = checkpoint(docs.select(col(key).alias("id"), class_of(col(text)).alias("fp"), sketch(col(text)).alias("s")).select("id", "fp", "s.sim", "s.n", "s.buckets"))
+    distinct = rows.groupBy("fp").agg(F.min("id").alias("id"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    classes = checkpoint(distinct)
+    dealt = classes.select("fp", "sim", "n", F.explode("buckets").alias("bucket"))
+    shared = checkpoint(dealt.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
+    members = checkpoint(dealt.join(shared, "bucket").select("bucket", "m", "fp", "sim", "n"))
+    wanted = checkpoint(members.select("fp").distinct())
+    texts = docs.select(class_of(col(text)).alias("fp"), col(text).alias("text")).join(wanted, "fp").groupBy("fp").agg(F.min("text").alias("text"))
+    return _grouped(rows.select("id", "fp"), classes.select("fp", "id"), copy_links(members, checkpoint(texts)), key)
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents, one of each group of near copies: the one of least key.
+
+    Rows with a null key can't be told apart and stay. Of rows with one key, one a
+    group stays. Texts are not shuffled unless the ids to drop are too many to
+    broadcast.
     """
-    found = checkpoint(find(docs, text, key))
-    repeated = found.where(col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
-    dropped = found.where(col(key) != F.col("component")).select(key)
-    kept = docs.join(dropped, key, "left_anti").select(*[col(c) for c in docs.columns])
+    found = checkpoint(near_copies(docs, text, key).select(F.col(key).alias("id"), "fp", "group", "component"))
+    columns = [col(c) for c in docs.columns]
+    repeated = found.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias(key))
+    dropped = found.where("id != component").select(F.col("id").alias(key))
+    kept = docs.join(dropped, key, "left_anti").select(*columns)
     if not repeated.head(1):
         return kept
     repeated = checkpoint(repeated)
-    mark = free_name(docs, "fp")
-    own = docs.join(repeated, key, "left_semi").withColumn(mark, fp(col(text)))
-    least = found.where(col(key) == F.col("component")).select(key, F.col("fp").alias(mark), F.col("group").alias(f"{mark}_group")).distinct()
-    some = own.join(least, [key, mark]).dropDuplicates([key, f"{mark}_group"]).select(*[col(c) for c in docs.columns])
-    return kept.join(repeated, key, "left_anti").select(*[col(c) for c in docs.columns]).union(some)
+    mark, group = free_name(docs, "class"), free_name(docs, "group")
+    own = docs.join(repeated, key, "left_semi").withColumn(mark, class_of(col(text)))
+    least = found.where("id = component").select(F.col("id").alias(key), F.col("fp").alias(mark), F.col("group").alias(group)).distinct()
+    some = own.join(least, [key, mark]).dropDuplicates([key, group]).select(*columns)
+    return kept.join(repeated, key, "left_anti").select(*columns).union(some)
 
 
 def duplicate_components(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from agreemill.llm import nearcopies
+from agreemill.llm import simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -55,15 +58,45 @@ def test_stage_drops_every_edited_copy(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i in least if least[i] == i)
 
 
-def test_pairs_that_the_leader_does_not_show_are_compared(spark):
-    """All texts in one bucket: its leader is like few of them."""
-    rows = corpus()
-    least, _ = least_of(rows)
-    texts = spark.createDataFrame([(i, t or "") for i, t in rows], "fp long, text string")
-    members = spark.createDataFrame([(1, i, len(sets(t))) for i, t in rows], "bucket long, fp long, n int")
-    edges = [tuple(r) for r in nearcopies.links(members, texts).collect()]
+def merged(least, edges):
     mine = {i: i for i in least}
-    for _ in rows:
+    for _ in least:
         for a, b in edges:
             mine[a] = mine[b] = min(mine[a], mine[b])
-    assert mine == least
+    return mine
+
+
+@pytest.mark.parametrize("part", [simhash.PART, 20])
+def test_all_pairs_of_one_bucket_meet(spark, part):
+    """All texts in one bucket, whole or in parts: its most typical one is like few of them."""
+    rows = corpus()
+    least, _ = least_of(rows)
+    texts = spark.createDataFrame([(i, t or "") for i, t in rows], "fp long, text string")
+    members = []
+    for i, t in rows:
+        own = np.unique(simhash.shingles(t, 5))
+        members.append((1, len(rows), i, int(np.uint64(simhash.majority(own)).view(np.int64)), len(own)))
+    edges = simhash.copy_links(spark.createDataFrame(members, "bucket long, m long, fp long, sim long, n int"), texts, part)
+    assert merged(least, [tuple(r) for r in edges.collect()]) == least
+
+
+def test_edited_copies_of_one_text_in_great_number(spark):
+    """Copies that are far from each other but near their origin are one group."""
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(500, " ".join(base))]
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(400), 8):
+            copy[at] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    got = simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["component"] for r in got} == {0}
+    assert jaccard(rows[1][1], rows[2][1]) < 0.8 <= jaccard(rows[0][1], rows[1][1])
+
+
+def test_small_and_repeated_texts(spark):
+    rows = [(i, t) for i, t in enumerate(["a b c d e f g h", "A b c d  e f g h", "a b c d e f g h i", "a b c d e f g x", "la " * 3000, "la " * 9000, "one", "One"])]
+    got = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    least, _ = least_of(rows)
+    assert got == least and got[1] == 0 and got[5] == 4 and got[7] == 6

@@ -5,6 +5,7 @@ import zlib
 
 import corpus_pipeline
 from agreemill.llm import decontam, langid, simhash, toxicity
+from tests.llm.test_nearcopies import jaccard
 from tests.llm.test_packing import check_packed, check_whole
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string"
@@ -48,16 +49,12 @@ def test_stages_take_effect_and_match_brute_force(spark, tmp_path):
     assert ids["toxicity"] == sorted(i for i, _, _ in rows if i not in toxic)
     assert ids["language_id"] == sorted(i for i, _, _ in rows if i not in toxic | {202, 203})
     texts = {i: t for i, t, _ in rows if i in set(ids["language_id"])}
-    fps = {i: simhash.fingerprint_of(t) for i, t in texts.items()}
-    least = dict(zip(fps, fps, strict=True))
-    for _ in fps:
-        for a in fps:
-            for b in fps:
-                if (fps[a] ^ fps[b]).bit_count() <= 3:
-                    least[a] = min(least[a], least[b])
-        if len(fps) > 0:
-            break
-    assert ids["near_duplicates"] == sorted(i for i in fps if least[i] == i)
+    least = {i: i for i in texts}
+    near = [(a, b) for a in texts for b in texts if a < b and jaccard(texts[a], texts[b]) >= 0.8]
+    for _ in texts:
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+    assert ids["near_duplicates"] == sorted(i for i in least if least[i] == i)
     assert 200 not in ids["near_duplicates"] and 201 not in ids["near_duplicates"]
     assert ids["decontamination"] == [i for i in ids["near_duplicates"] if i != 204]
     packed = corpus_pipeline.run(spark, where).collect()
@@ -68,7 +65,7 @@ def test_stages_take_effect_and_match_brute_force(spark, tmp_path):
 
 def test_one_of_each_with_repeated_and_null_keys(spark):
     rows = [(5, "a b c d"), (5, "a b c d"), (5, "x y z w v"), (7, "x y z w v"), (None, "q r s"), (None, "q r s"), (9, "a b c d")]
-    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, fp string, component int")
+    df = spark.createDataFrame([(*r, *"cdefgh") for r in rows], "doc_id long, text string, fp string, component string, fp_group string, id string, class string, group string")
     got = simhash.one_of_each(df)
     assert got.columns == df.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(5, "a b c d"), (5, "x y z w v"), (None, "q r s"), (None, "q r s")], key=str)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from agreemill.llm import simhash
@@ -58,27 +59,66 @@ def test_fingerprint_equals_slow_form():
         assert simhash.fingerprint_of(text) == slow_fingerprint(text)
 
 
-def test_planes_count_differences():
-    rng = np.random.default_rng(1)
-    centre = int(rng.integers(0, 1 << 63))
-    values = [centre] + [int(x) for x in rng.integers(0, 1 << 63, 200)]
-    for k in range(1, 7):
-        for _ in range(40):
-            values.append(centre ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)))
-    a = np.array(values, np.uint64)
-    for radius in range(4):
-        expected = [i for i, v in enumerate(values) if (v ^ centre).bit_count() <= radius]
-        assert simhash.Planes(a).within(centre, radius).tolist() == expected
+def near_pairs(values, radius):
+    n = len(values)
+    return {p for i, j in simhash.near(values, np.arange(n) + 1, np.full(n, n), radius) for p in zip(i.tolist(), j.tolist(), strict=True)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 64, 65, 300])
+def test_planes_count_differences(n):
+    rng = np.random.default_rng(n)
+    values = rng.integers(0, 1 << 63, 8, dtype=np.uint64)[rng.integers(0, 8, n)]
+    for _ in range(12):
+        values = values ^ np.where(rng.random(n) < 0.5, np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64), np.uint64(0))
+    for radius in (0, 1, 2, 3, 4, 7, 26, 31):
+        assert near_pairs(values, radius) == {(i, j) for i in range(n) for j in range(i + 1, n) if int(values[i] ^ values[j]).bit_count() <= radius}
+
+
+def test_groups_meet_whole_or_as_two_parts():
+    begin, end = simhash._spans(np.array([0, 3, 4]), np.array([0, 0, 0, 0, 0, 0, 1, 1]))
+    met = {(i, j) for i in range(8) for j in range(begin[i], end[i])}
+    assert met == {(0, 1), (0, 2), (1, 2), (4, 6), (4, 7), (5, 6), (5, 7)}
+
+
+def test_every_link_comes_from_the_planes(spark, monkeypatch):
+    """Buckets of two and more alike: with the planes blind, no link is left."""
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    values = np.concatenate([values, values ^ np.uint64(5)])
+    starts = np.arange(0, 80, 2)
+    order = np.argsort(np.concatenate([np.arange(40), np.arange(40)]), kind="stable")
+    span = simhash._spans(starts, np.zeros(80, int))
+    a, _ = simhash.forest(simhash.near(values[order], *span), 80)
+    assert len(a) == 40
+    monkeypatch.setattr(simhash, "planes_of", lambda v: np.repeat(np.uint64([[0xAAAAAAAAAAAAAAAA], [0x5555555555555555]]), 2, axis=1).repeat(32, axis=0))
+    assert not len(simhash.forest(simhash.near(values[order], *span), 80)[0])
+
+
+def test_forest_keeps_components_and_no_cycle():
+    rng = np.random.default_rng(3)
+    i, j = rng.integers(0, 400, (2, 700))
+    a, b = simhash.forest(iter([(i[:300], j[:300]), (i[300:], j[300:])]), 400)
+
+    def roots(edges):
+        label = list(range(400))
+        for _ in range(400):
+            before = list(label)
+            for x, y in edges:
+                label[x] = label[y] = min(label[x], label[y])
+            if label == before:
+                return label
+
+    whole = roots(list(zip(i.tolist(), j.tolist(), strict=True)))
+    assert roots(list(zip(a.tolist(), b.tolist(), strict=True))) == whole
+    assert len(a) == 400 - len(set(whole))
 
 
 def test_masks_leave_no_pair_apart():
     rng = random.Random(5)
-    for free in ((1 << 64) - 1, (1 << 39) - 1, 0b1011):
-        options = simhash.masks(free)
-        bits = [i for i in range(64) if free >> i & 1]
-        for _ in range(200):
-            x = sum(1 << b for b in rng.sample(bits, min(3, len(bits))))
-            assert any(x & m == 0 for m in options)
+    options = simhash.masks()
+    for _ in range(200):
+        x = sum(1 << b for b in rng.sample(range(64), 3))
+        assert any(x & m == 0 for m in options)
 
 
 def test_components_match_brute_force(spark):
@@ -90,7 +130,7 @@ def test_components_match_brute_force(spark):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == expected
 
 
-def test_crowded_buckets_are_dealt_again_without_losing_links(spark):
+def test_crowded_buckets_are_dealt_as_parts_without_losing_links(spark):
     rng = random.Random(8)
     centre = rng.getrandbits(64)
     fps = {centre}
@@ -98,11 +138,10 @@ def test_crowded_buckets_are_dealt_again_without_losing_links(spark):
         fps.add(rng.choice(sorted(fps)) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))))
     while len(fps) < 400:
         fps.add(rng.getrandbits(64))
-    order = sorted(fps)
-    classes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(order)], "fp long, id long")
-    found = {r["node"]: r["component"] for r in components(simhash.links(classes, hot=8), "a", "b").collect()}
-    whole = {r["node"]: r["component"] for r in components(simhash.links(classes, hot=10**6, levels=1), "a", "b").collect()}
-    assert found == whole and len({*found.values()}) >= 1 and len(found) >= 300
+    classes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in sorted(fps)], "fp long")
+    found = {r["node"]: r["component"] for r in components(simhash.links(classes, part=8), "a", "b").collect()}
+    whole = {r["node"]: r["component"] for r in components(simhash.links(classes), "a", "b").collect()}
+    assert found == whole and len(found) >= 300
 
 
 def test_components_of_a_chain_a_hub_and_noise(spark):
