@@ -5,17 +5,22 @@ dimensions, weighted by sublinear TF (a power under one, so that the greater par
 text weighs more) and by IDF, and normalised. Each language
 has several centroids (spherical k-means); a text takes the language of the
 centroid with the largest cosine. A text is *rejected* when it has no letter or
-when its cosine stays under a floor for texts of its size.
+when its cosine stays under the floor for texts of its size (distinct n-grams, by
+powers of two): ``REJECT`` times a low quantile of the cosines of sampled texts
+that the clustering did not see.
 
 Document frequencies cover every training row (one distributed pass). Only the
-centroids are fitted on a sample of about ``sample`` rows in all (never over
-twice that), divided evenly between languages.
+centroids are fitted on a sample: ``sample`` rows in all, divided evenly between
+languages, at least one row of each, those of the least hashes. The model takes
+16 KB a centroid; over ``MANY`` languages raise an error.
 
 Edge cases: a null text, an empty text and a text without letters give ``und``
-with score 0 and are rejected. With no training rows every text gives ``und``,
-score 0, and nothing but letterless text is rejected. Rows with a null language
-are not learned from. Repeated rows each get their own, equal, prediction.
-Ties between centroids go to the alphabetically first language.
+with score 0 and are rejected. With no training rows (an empty table too) every
+text gives ``und``, score 0, and nothing but letterless text is rejected. Rows
+with a null language are not learned from. Repeated rows each get their own,
+equal, prediction. Ties between centroids go to the alphabetically first
+language. Texts are read whole at any length. ``identify`` replaces columns of
+the caller that are named like its own three; ``accepted`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agreemill.llm.common import col, fold, free_name, small_batches
@@ -33,11 +38,13 @@ from agreemill.llm.common import col, fold, free_name, small_batches
 UNKNOWN = "und"
 DIMS = 4096
 CENTROIDS = 6
-REJECT = 0.25
+REJECT = 0.65
+QUANTILE = 0.01
+HELD = 5
 TF_POWER = 0.75
 SAMPLE = 2400
 CHUNK = 128
-MAX_LANGUAGES = 1000
+MANY = 20_000
 
 _letters: np.ndarray | None = None
 
@@ -82,7 +89,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Fitted centroids; small, its size depends on languages alone."""
+    """Fitted centroids; its size depends on the number of languages alone."""
 
     languages: list[str]
     owner: np.ndarray
@@ -113,20 +120,33 @@ def _size_class(counts: np.ndarray) -> np.ndarray:
     return np.minimum(15, np.log2(np.maximum(1, (counts > 0).sum(axis=1))).astype(int))
 
 
+def _floors(best: np.ndarray, sizes: np.ndarray, reject: float) -> np.ndarray:
+    """Floors by size class, never falling with size. A class without rows takes the
+    floor of the nearest smaller one, or 0."""
+    floors = np.zeros(16)
+    for s in range(16):
+        seen = best[sizes == s]
+        floors[s] = reject * np.quantile(seen, QUANTILE) if len(seen) else (floors[s - 1] if s else 0.0)
+    return np.minimum.accumulate(floors[::-1])[::-1]
+
+
 def fit_vectors(tf: np.ndarray, langs: list[str], idf: np.ndarray, k: int = CENTROIDS, reject: float = REJECT) -> Model:
     """Cluster sublinear TF rows of each language into ``k`` centroids.
 
-    ``reject`` times the smallest cosine seen in a size class is its floor;
-    a class without samples takes the floor of the nearest smaller one, or 0.
+    Every ``HELD``-th row of a language sets the floors and is not clustered.
     """
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros(0, int), np.zeros((0, len(idf)), np.float32), idf, np.zeros(16))
     rows = unit(tf * idf)
-    label = np.array([names.index(x) for x in langs])
+    at = {x: i for i, x in enumerate(names)}
+    label = np.array([at[x] for x in langs])
+    held = np.zeros(len(label), bool)
     owner, centroids = [], []
     for n in range(len(names)):
-        own = rows[label == n]
+        own = np.flatnonzero(label == n)
+        held[own[HELD - 1 :: HELD]] = True
+        own = rows[own[~held[own]]]
         centres = own[np.linspace(0, len(own) - 1, min(k, len(own))).astype(int)]
         for _ in range(8):
             nearest = (own @ centres.T).argmax(axis=1)
@@ -134,12 +154,8 @@ def fit_vectors(tf: np.ndarray, langs: list[str], idf: np.ndarray, k: int = CENT
         owner += [n] * len(centres)
         centroids.append(centres)
     c = np.concatenate(centroids).astype(np.float32)
-    best, sizes = (rows @ c.T).max(axis=1), _size_class(tf)
-    floors = np.zeros(16)
-    for s in range(16):
-        seen = best[sizes == s]
-        floors[s] = reject * seen.min() if len(seen) else (floors[s - 1] if s else 0.0)
-    return Model(names, np.array(owner), c, idf.astype(np.float32), np.minimum.accumulate(floors[::-1])[::-1])
+    floors = _floors((rows[held] @ c.T).max(axis=1), _size_class(tf[held]), reject) if held.any() else np.zeros(16)
+    return Model(names, np.array(owner), c, idf.astype(np.float32), floors)
 
 
 def idf_of(df_counts: np.ndarray, n: int) -> np.ndarray:
@@ -176,7 +192,9 @@ def fit(learn: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     """Fit on ``learn``: IDF over all its rows, centroids on about ``sample``."""
     small_batches()
     rows = learn.select(col(text).alias("t"), col(lang).alias("l"), col(key).alias("k")).where(F.col("l").isNotNull())
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(MANY + 1).collect()}
+    if len(sizes) > MANY:
+        raise ValueError(f"over {MANY} languages")
     df_counts, n = np.zeros(DIMS, np.int64), 0
     for r in rows.select("t").mapInArrow(_document_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
         if r["bucket"] < 0:
@@ -186,9 +204,11 @@ def fit(learn: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     if not sizes:
         return fit_vectors(np.zeros((0, DIMS), np.float32), [], idf_of(df_counts, n))
     each = max(1, sample // len(sizes))
-    share = F.create_map(*[F.lit(x) for lang_, size in sizes.items() for x in (lang_, min(1.0, each / size))])
+    share = F.create_map(*[F.lit(x) for lang_, size in sizes.items() for x in (lang_, min(1.0, (2 * each + 20) / size))])
     drawn = F.pmod(F.xxhash64(F.col("k"), F.lit("langid")), F.lit(1_000_003)) / 1_000_003.0
-    picked = rows.where(drawn < F.coalesce(share[F.col("l")], F.lit(0.0))).select("k", "t", "l").limit(2 * sample)
+    likely = rows.withColumn("drawn", drawn).where(F.col("drawn") < share[F.col("l")])
+    first = F.row_number().over(Window.partitionBy("l").orderBy("drawn", "k", F.xxhash64("t")))
+    picked = likely.withColumn("first", first).where(F.col("first") <= each)
     got = picked.select(F.col("k").cast("string").alias("id"), "t", "l").mapInArrow(_vectors, "id string, lang string, tf binary").collect()
     got = sorted((r for r in got if r["tf"] is not None), key=lambda r: (r["lang"], r["id"] or ""))
     tf = np.stack([np.frombuffer(r["tf"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, DIMS), np.float32)
@@ -212,7 +232,7 @@ def predict(model: Model, text: Column) -> Column:
 
 
 class _Shared:
-    """A model as a broadcast; its size is bounded by MAX_LANGUAGES centroids."""
+    """A model as a broadcast; its size is bounded by MANY languages."""
 
     def __init__(self, model: Model):
         from pyspark import SparkContext
@@ -224,11 +244,11 @@ class _Shared:
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``rejected``."""
+    """``docs`` with ``lang_pred``, ``score`` and ``rejected``, which replace columns of these names."""
     name = free_name(docs, "langid")
-    return docs.withColumn(name, predict(model, col(text))).select(
-        *[col(c) for c in docs.columns], F.col(name)["lang"].alias("lang_pred"), F.col(name)["score"].alias("score"), F.col(name)["rejected"].alias("rejected")
-    )
+    new = {"lang_pred": "lang", "score": "score", "rejected": "rejected"}
+    kept = [col(c) for c in docs.columns if c.lower() not in new]
+    return docs.withColumn(name, predict(model, col(text))).select(*kept, *[F.col(name)[v].alias(k) for k, v in new.items()])
 
 
 def accepted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -14,7 +14,9 @@ characters each, equal texts once. Scoring reads whole texts of any length.
 Edge cases: null and empty texts get the score of a text without words.
 Without training rows of both classes every score is 0. Several label rows of
 a document count as their largest label; null labels are ignored. Repeated
-documents get equal scores. Extra columns are kept by ``score``.
+documents get equal scores, ties count as toxic (a score of 0.5), and an empty
+table gives an empty result. ``harmless`` keeps the caller's columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -250,9 +252,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample:
         return train([], [], [])
     share = F.when(F.col("toxic") == 1, min(1.0, sample[1] / sizes[1])).otherwise(min(1.0, sample[0] / sizes[0]))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_003)) / 1_000_003.0
-    picked = known.where(drawn < share).limit(2 * sum(sample))
+    picked = known.where(drawn < share).orderBy(drawn, "doc_id").limit(2 * sum(sample))
     texts = docs.select("doc_id", "text", "lang").where(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS)
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "lang", "toxic").limit(2 * sum(sample)).collect()
+    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "lang", "toxic").orderBy("doc_id", F.xxhash64("text")).limit(2 * sum(sample)).collect()
     rows = list({r["text"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))}.values())
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], [r["lang"] for r in rows], prior=sizes[1] / sum(sizes.values()))
 

@@ -81,25 +81,6 @@ def test_empty_documents(spark, tmp_path):
     assert decontam.clean(docs, items).collect() == []
 
 
-def test_langid_edges(spark):
-    rows = [(1, "Größe über alles", "de"), (2, None, None), (3, "123 ...", "de"), (4, "", "fr"), (None, "le chat où été", "fr"), (5, "x" * 300_000, None)]
-    got = {r["doc_id"]: r for r in langid.held_out_predictions(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert len(got) == 6
-    for i in (2, 3, 4):
-        assert (got[i]["lang_pred"], got[i]["score"], got[i]["rejected"]) == ("und", 0.0, True)
-    assert all(0 <= r["score"] <= 1 for r in got.values())
-    assert got[1]["held_out"] == (zlib.crc32(b"1") % 3 == 1)
-
-
-def test_langid_learns_on_held_out_rows(spark):
-    rng = random.Random(1)
-    words = {"aa": ["tion", "ment", "able"], "bb": ["ção", "ñor", "dad"], "cc": ["ung", "keit", "schaft"]}
-    rows = [(i, " ".join("".join(rng.choices(words[w], k=rng.randint(1, 3))) for _ in range(rng.randint(3, 80))), w) for i in range(300) for w in [rng.choice(sorted(words))]]
-    got = langid.held_out_predictions(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
-    truth = {i: w for i, _, w in rows}
-    assert len(got) > 60 and sum(truth[r["doc_id"]] == r["lang_pred"] for r in got) >= 0.98 * len(got)
-
-
 def test_toxicity_learns_on_held_out_rows(spark, tmp_path):
     where, rows = sf_dir(spark, tmp_path)
     docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
