@@ -7,19 +7,25 @@ pitch, both, or centre against surround). Each answer is quantised to two bits
 of Gray code; the 16 answers of a time step pack into one 32-bit integer.
 
 Two recordings are aligned by the histogram of offsets between equal integers
-and judged by the bit errors of the overlap at the fullest offset. Recordings
-*link* when they share an integer at an offset whose overlap has at most
-``MAX_ERRORS`` of its bits in error; a *class* is all that links reach.
-
-Candidates come from an index on the integers. Integers of one recording only
-are dropped by a count before fingerprints move. A crowded integer is dealt over
-salted parts of about ``PART`` recordings; each part keeps one recording of each
-group it finds, and these meet again by the integer alone, so no task gathers a
-whole hot integer. Within a part every link is found, by breadth-first search.
+and judged by the bit errors of the overlap. They *link* when some offset of the
+histogram has at most ``MAX_ERRORS`` of its overlap's bits in error (an overlap of
+at least ``MIN_OVERLAP`` integers, or the whole shorter recording); a *class* is
+all that links reach. Equal fingerprints are never compared.
+
+Candidates share an integer. Postings are (integer, recording) alone, and each
+candidate pair is aligned once, so what is shuffled grows with the length of a
+recording, not with its square. Within an integer all recordings are first
+compared with one of them; then only pairs that this does not show to be
+connected. Integers of up to ``FEW`` recordings yield these pairs; crowded ones
+are dealt as pairs of parts of ``PART`` recordings, with their fingerprints, and
+each such task yields a spanning forest of its links. No pair goes unseen and no
+task holds a whole hot integer.
 
 Edge cases: null, empty and too short recordings have no integers and are
 classes of their own (null ids too); silence gives zero frames and equal
-integers. Copies and ties share a class; repeated rows each get a row.
+integers. Copies and ties share a class; repeated rows each get a row. Recordings
+are read whole at any length. An empty table gives an empty result. Other columns
+of the table, whatever their names, are not used.
 """
 
 from __future__ import annotations
@@ -27,7 +33,6 @@ from __future__ import annotations
 import io
 import wave
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,7 +51,8 @@ SPAN = 16
 THRESHOLD = 0.25
 MAX_ERRORS = 0.2
 MIN_OVERLAP = 16
-PART = 2048
+FEW = 32
+PART = 256
 
 Decoder = Callable[[object], np.ndarray | None]
 
@@ -154,23 +160,50 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return int(np.bitwise_count(x).sum()), 32 * (stop - start)
 
 
+def offset_histogram(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, counts): how often an integer of ``a`` equals one of ``b`` at each offset."""
+    order = np.argsort(b, kind="stable")
+    sorted_b = b[order]
+    first, last = np.searchsorted(sorted_b, a, "left"), np.searchsorted(sorted_b, a, "right")
+    times = last - first
+    counts = np.zeros(len(a) + len(b), np.int64)
+    total = np.cumsum(times)
+    at = 0
+    while at < len(a):  # in stretches: equal integers on both sides meet times over
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")))
+        n = times[at:stop]
+        i = np.repeat(np.arange(at, stop), n)
+        j = order[np.repeat(first[at:stop] - np.cumsum(n) + n, n) + np.arange(len(i))]
+        counts += np.bincount(j - i + len(a), minlength=len(counts))
+        at = stop
+    some = np.flatnonzero(counts)
+    return some - len(a), counts[some]
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int] | None:
     """(offset, bit errors, bits) at the fullest offset, or None without equal integers.
 
     Of offsets equally full the one with the smallest share of errors, then the
     smallest shift, wins.
     """
-    where: dict[int, list[int]] = {}
-    for j, x in enumerate(b.tolist()):
-        where.setdefault(x, []).append(j)
-    histogram = Counter(j - i for i, x in enumerate(a.tolist()) for j in where.get(x, ()))
-    if not histogram:
+    offsets, counts = offset_histogram(a, b)
+    if not len(offsets):
         return None
-    top = max(histogram.values())
-    tried = [(o, *bit_errors(a, b, o)) for o, n in histogram.items() if n == top]
+    tried = [(o, *bit_errors(a, b, o)) for o in offsets[counts == counts.max()].tolist()]
     return min(tried, key=lambda r: (r[1] / r[2], abs(r[0]), r[0]))
 
 
+def linked(a: np.ndarray, b: np.ndarray, max_errors: float = MAX_ERRORS) -> bool:
+    """Does any offset of the histogram, fullest first, align the two?"""
+    offsets, counts = offset_histogram(a, b)
+    need = 32 * min(MIN_OVERLAP, len(a), len(b))
+    for o in offsets[np.argsort(-counts, kind="stable")].tolist():
+        errors, bits = bit_errors(a, b, o)
+        if bits >= need and errors <= max_errors * bits:
+            return True
+    return False
+
+
 def fingerprints(cell: Column, decode: Decoder = decode_wav) -> Column:
     """array<int> of a media column; ``decode`` turns a cell into samples."""
     small_batches()
@@ -183,83 +216,84 @@ def fingerprints(cell: Column, decode: Decoder = decode_wav) -> Column:
     return fingerprint(cell)
 
 
-def groups(fps: list[np.ndarray], positions: list[int], max_errors: float = MAX_ERRORS) -> list[int]:
-    """For recordings that share an integer at ``positions``: the first member
-    of each one's group, by breadth-first search over all links."""
-    n = len(fps)
-    longest = max(map(len, fps))
-    first = max(positions)
-    data = np.zeros((n, first + longest), np.uint32)
-    real = np.zeros(data.shape, bool)
-    for i, (f, p) in enumerate(zip(fps, positions, strict=True)):
-        data[i, first - p : first - p + len(f)] = f.view(np.uint32)
-        real[i, first - p : first - p + len(f)] = True
-    out = [-1] * n
-    left = np.arange(n)
-    for i in range(n):
-        if out[i] >= 0:
-            continue
-        out[i], frontier = i, [i]
-        left = left[left != i]
-        while frontier and len(left):
-            x = frontier.pop()
-            both = real[left] & real[x]
-            errors = (np.bitwise_count(data[left] ^ data[x]) * both).sum(axis=1, dtype=np.int64)
-            overlap = both.sum(axis=1)
-            need = np.minimum(MIN_OVERLAP, np.minimum(len(fps[x]), real[left].sum(axis=1)))
-            near = (overlap >= need) & (errors <= max_errors * 32 * overlap)
-            for j in left[near].tolist():
-                out[j] = i
-                frontier.append(j)
-            left = left[~near]
-    return out
-
-
-def _grouped(max_errors: float):
+def _tried(max_errors: float, a: Column, b: Column) -> Column:
+    small_batches()
+
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            yield pa.array([linked(np.array(s.as_py(), np.int32), np.array(t.as_py(), np.int32), max_errors) for s, t in zip(x, y, strict=True)], pa.bool_())
+
+    return run(a, b)
+
+
+def _confirmed(pairs: DataFrame, prints: DataFrame, max_errors: float) -> DataFrame:
+    """The pairs (a, b) whose recordings link."""
+    left, right = (prints.select(F.col("n").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").where(_tried(max_errors, F.col("fp_a"), F.col("fp_b"))).select("a", "b")
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _crowd(max_errors: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by (value, salt): emit each member with its group's first."""
-        held: list[tuple[int, int, np.ndarray]] = []
+        """Sorted by (value, lo, hi, second): a spanning forest of the links of each
+        group, within it or, where it is two parts, between them."""
+        held: list[tuple[int, int, int, np.ndarray]] = []
         key = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                held.sort(key=lambda r: r[0])
-                first = groups([h[2] for h in held], [h[1] for h in held], max_errors)
-                ids, pos = [h[0] for h in held], [h[1] for h in held]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key[0]] * len(held), pa.int32()), pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array([ids[f] for f in first], pa.int64())], ["value", "n", "pos", "first"]
-                )
-                held.clear()
+            label = {x[2]: x[2] for x in held}
+            out = []
+            for i, (_, n, mine, fp) in enumerate(held):
+                for second, m, other, print_ in held[i + 1 :]:
+                    if key[1] != key[2] and (held[i][0] or not second):
+                        continue
+                    x, y = label[mine], label[other]
+                    if x != y and linked(fp, print_, max_errors):
+                        out.append((min(n, m), max(n, m)))
+                        label = {k: min(x, y) if v == max(x, y) else v for k, v in label.items()}
+            held.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for value, salt, n, pos, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (value, salt) != key:
+            for value, lo, hi, second, n, label_, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (value, lo, hi) != key:
                     yield from flush()
-                    key = value, salt
-                held.append((n, pos, np.array(fp, np.int32)))
+                    key = value, lo, hi
+                held.append((second, n, label_, np.array(fp, np.int32)))
         yield from flush()
 
     return run
 
 
-def links(prints: DataFrame, max_errors: float = MAX_ERRORS, part: int = PART) -> DataFrame:
-    """(a, b) of linked recordings among (n, fp): each with its group's first."""
-    post = prints.select("n", F.posexplode("fp").alias("pos", "value")).groupBy("n", "value").agg(F.min("pos").alias("pos"))
-    sizes = checkpoint(post.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"))
-    now = post.join(sizes, "value").select("value", "n", "pos", "size")
-    found = None
-    while True:
-        salted = now.withColumn("salt", F.pmod(F.xxhash64("n"), F.greatest(F.lit(1), F.ceil(F.col("size") / part))).cast("int"))
-        rows = salted.join(prints, "n").select("value", "salt", "n", "pos", "fp")
-        done = checkpoint(rows.repartition("value", "salt").sortWithinPartitions("value", "salt").mapInArrow(_grouped(max_errors), "value int, n long, pos int, first long"))
-        pairs = done.where("n != first").select(F.col("first").alias("a"), F.col("n").alias("b"))
-        found = pairs if found is None else found.union(pairs)
-        split = now.groupBy("value").agg(F.max("size").alias("was")).where(F.col("was") > part)
-        again = done.where("n = first").join(split, "value").select("value", "n", "pos", "was")
-        counts = again.groupBy("value").agg(F.count("*").alias("size"), F.max("was").alias("was")).where("size > 1 AND size < was").select("value", "size")
-        if not counts.head(1):
-            return found.distinct()
-        now = checkpoint(again.join(counts, "value").select("value", "n", "pos", "size"))
+def links(prints: DataFrame, max_errors: float = MAX_ERRORS, few: int = FEW, part: int = PART) -> DataFrame:
+    """(a, b) that connect all linked recordings among (n, fp), n and fp distinct."""
+    post = prints.select("n", F.explode(F.array_distinct("fp")).alias("value"))
+    led = post.groupBy("value").agg(F.count("*").alias("size"), F.min("n").alias("lead")).where("size > 1")
+    post = checkpoint(post.join(checkpoint(led), "value"))
+    tried = checkpoint(post.where("n != lead").select(*_pair("n", "lead")).distinct())
+    found = checkpoint(_confirmed(tried, prints, max_errors))
+    of = components(found, "a", "b")
+    named = checkpoint(post.join(checkpoint(of), post["n"] == of["node"], "left").select("value", "n", F.coalesce("component", "n").alias("label")))
+    still = checkpoint(named.groupBy("value").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("value", "size"))
+    rows = checkpoint(named.join(still, "value"))
+    small, large = rows.where(F.col("size") <= few), rows.where(F.col("size") > few)
+    other = small.select("value", F.col("n").alias("m"), F.col("label").alias("other"))
+    pairs = small.join(other, "value").where("n < m AND label != other").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct()
+    rest = checkpoint(pairs.join(tried, ["a", "b"], "left_anti"))
+    found = found.union(checkpoint(_confirmed(rest, prints, max_errors)))
+    if not large.head(1):
+        return found
+    parts = F.ceil(F.col("size") / part).cast("int")
+    tiles = large.withColumn("own", F.pmod(F.xxhash64("n"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    tiles = checkpoint(tiles.select("value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("second"), "n", "label"))
+    order = ["value", "lo", "hi", "second"]
+    crowd = tiles.join(prints, "n").select(*order, "n", "label", "fp").repartition(*order[:3]).sortWithinPartitions(*order, "n")
+    return found.union(checkpoint(crowd.mapInArrow(_crowd(max_errors), "a long, b long").distinct()))
 
 
 def alignment(a: Column, b: Column) -> Column:
@@ -279,21 +313,27 @@ def classes(media: DataFrame, cell: str, key: str, decode: Decoder = decode_wav,
     """(key, n_ints, fp, class_id, offset, bit_error_rate) of every recording.
 
     class_id is the smallest key its links reach; offset and bit error rate are
-    against that recording (0 and 0 for itself).
+    against that recording (0 and 0 for itself). Rows with one key and different
+    recordings each have the class of their own recording.
     """
-    rows = checkpoint(media.select(col(key).cast("long").alias("n"), fingerprints(col(cell), decode).alias("fp")))
-    usable = rows.where("n IS NOT NULL AND size(fp) > 0").dropDuplicates(["n"])
-    found = components(links(usable, max_errors), "a", "b")
-    of = found.where("node != component")
-    heads = checkpoint(of.select("component").distinct().join(usable.withColumnRenamed("n", "component"), "component").withColumnRenamed("fp", "head"))
-    members = of.join(heads, "component").select(F.col("node").alias("m"), F.col("component").alias("class_id"), "head")
-    joined = rows.join(members, rows["n"] == members["m"], "left")
-    near = F.when(F.col("class_id").isNotNull(), alignment(F.col("fp"), F.coalesce("head", F.array().cast("array<int>"))))
-    out = joined.select("n", "fp", "class_id", near.alias("near"))
-    bits = F.try_divide(F.col("near.errors"), F.col("near.bits"))
+    rows = checkpoint(media.select(col(key).cast("long").alias("n"), fingerprints(col(cell), decode).alias("fp")).withColumn("print", F.when(F.col("n").isNotNull() & (F.size("fp") > 0), F.xxhash64("fp"))))
+    distinct = checkpoint(rows.where("print IS NOT NULL").groupBy("print").agg(F.min("n").alias("n"), F.min("fp").alias("fp")))
+    prints = distinct.select(F.col("print").alias("n"), "fp")
+    of = checkpoint(components(links(prints, max_errors), "a", "b"))
+    members = distinct.join(of, distinct["print"] == of["node"]).select("component", "print", "n", "fp")
+    heads = members.groupBy("component").agg(F.min(F.struct("n", "print", "fp")).alias("head"))
+    placed = checkpoint(members.join(checkpoint(heads), "component").select("print", "fp", "head"))
+    aligned = checkpoint(placed.where("print != head.print").select("print", F.col("head.n").alias("class_id"), alignment(F.col("fp"), F.col("head.fp")).alias("near")))
+    same = distinct.select("print", F.col("n").alias("least"))
+    out = rows.join(checkpoint(same.join(aligned, "print", "left")), "print", "left")
     own = F.col("class_id").isNull()
     return out.select(
-        F.col("n").alias(key), F.size("fp").alias("n_ints"), "fp", F.coalesce("class_id", "n").alias("class_id"), F.when(own, 0).otherwise(F.col("near.offset")).alias("offset"), F.when(own, 0.0).otherwise(F.round(bits, 6)).alias("bit_error_rate")
+        F.col("n").alias(key),
+        F.size("fp").alias("n_ints"),
+        "fp",
+        F.coalesce("class_id", "least", "n").alias("class_id"),
+        F.when(own, 0).otherwise(F.col("near.offset")).alias("offset"),
+        F.when(own, 0.0).otherwise(F.round(F.try_divide(F.col("near.errors"), F.col("near.bits")), 6)).alias("bit_error_rate"),
     )
 
 

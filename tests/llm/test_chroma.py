@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
+import pytest
 
 from agreemill.llm import chroma
 
@@ -22,6 +25,17 @@ def fp_of(v):
     return chroma.fingerprint_of(chroma.chroma(chroma.melody(v)))
 
 
+def slow_linked(a, b):
+    """Every offset at which any integer agrees, one by one."""
+    a, b = a.view(np.uint32).tolist(), b.view(np.uint32).tolist()
+    for offset in range(-len(a) + 1, len(b)):
+        both = [(x, b[i + offset]) for i, x in enumerate(a) if 0 <= i + offset < len(b)]
+        errors = sum((x ^ y).bit_count() for x, y in both)
+        if any(x == y for x, y in both) and len(both) >= min(chroma.MIN_OVERLAP, len(a), len(b)) and errors <= chroma.MAX_ERRORS * 32 * len(both):
+            return True
+    return False
+
+
 def slow_classes(rows):
     fps = {i: fp_of(v) for i, v in rows if v}
     parent = {i: i for i, _ in rows}
@@ -34,16 +48,9 @@ def slow_classes(rows):
     ids = sorted(fps)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            first = {}
-            for side, i in enumerate((a, b)):
-                for at, x in enumerate(fps[i].tolist()):
-                    first.setdefault(x, {}).setdefault(side, at)
-            for at in first.values():
-                if len(at) == 2:
-                    errors, bits = chroma.bit_errors(fps[a], fps[b], at[1] - at[0])
-                    if bits >= 32 * chroma.MIN_OVERLAP and errors <= chroma.MAX_ERRORS * bits:
-                        ra, rb = root(a), root(b)
-                        parent[max(ra, rb)] = min(ra, rb)
+            if slow_linked(fps[a], fps[b]):
+                ra, rb = root(a), root(b)
+                parent[max(ra, rb)] = min(ra, rb)
     return {i: root(i) for i, _ in rows}
 
 
@@ -78,6 +85,59 @@ def test_hot_integers_are_dealt_in_parts(spark):
     assert one == parts and len(one) > 100
 
 
+def prints_with_one_integer(pairs, seed=0):
+    """Recordings in pairs of near copies; all share one integer, twice, at varied places."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(pairs):
+        fp = rng.integers(-(2**31), 2**31, 40)
+        fp[rng.integers(3, 17)] = fp[rng.integers(20, 36)] = 77
+        other = fp.copy()
+        other[::3] ^= 0b1011
+        rows += [(2 * i, fp.astype(int).tolist()), (2 * i + 1, other.astype(int).tolist())]
+    for _, fp in rows:
+        fp[38] = 77
+    return rows
+
+
+@pytest.mark.parametrize(("few", "part"), [(1000, 10), (5, 10), (5, 1000), (5, 3)])
+def test_pairs_that_share_one_hot_integer_are_all_found(spark, few, part):
+    rows = prints_with_one_integer(40)
+    got = {tuple(sorted(r)) for r in chroma.links(spark.createDataFrame(rows, "n long, fp array<int>"), few=few, part=part).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(40)}
+
+
+def test_repeated_integers_are_tried_at_every_offset(spark):
+    rng = np.random.default_rng(6)
+    a = rng.integers(-(2**31), 2**31, 40).astype(np.int32)
+    a[25] = 5
+    b = a ^ np.int32(0b111)
+    b[25] = 5
+    b[3] = 5
+    assert chroma.linked(a, b) and slow_linked(a, b)
+    rows = [(1, a.tolist()), (2, b.tolist()), (3, a[::-1].tolist())]
+    assert [tuple(r) for r in chroma.links(spark.createDataFrame(rows, "n long, fp array<int>")).collect()] == [(1, 2)]
+    for _ in range(60):
+        x, y = (rng.integers(0, 4, rng.integers(1, 30)).astype(np.int32) for _ in range(2))
+        offsets, counts = chroma.offset_histogram(x, y)
+        slow = Counter(j - i for i, p in enumerate(x.tolist()) for j, q in enumerate(y.tolist()) if p == q)
+        assert dict(zip(offsets.tolist(), counts.tolist(), strict=True)) == slow
+        assert chroma.linked(x, y) == slow_linked(x, y)
+
+
+def test_long_silence_is_aligned_in_bounded_memory():
+    a = np.zeros(20_000, np.int32)
+    assert chroma.linked(a, a[:15_000])
+
+
+def test_rows_of_one_key_and_clashing_names(spark):
+    rng = np.random.default_rng(3)
+    v, w = ((rng.normal(0, 0.125, 64)).astype(np.float32).tolist() for _ in range(2))
+    df = spark.createDataFrame([(1, v, "a", 1), (1, w, "b", 2), (2, w, "c", 3), (None, v, "d", 4)], "vec_id long, embedding array<float>, fp string, n int")
+    got = sorted((r["vec_id"] or 0, r["class_id"] or 0) for r in chroma.tune_classes(df).collect())
+    assert got == [(0, 0), (1, 1), (1, 1), (2, 1)]
+
+
 def test_shifted_and_resampled_recordings_align():
     rng = np.random.default_rng(1)
     tune = chroma.melody(rng.normal(0, 0.125, 200))
