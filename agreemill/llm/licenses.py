@@ -1,18 +1,23 @@
 """License scan by conditional compression.
 
-A text is split into units (sentences within lines). Units with a license cue,
-or made mostly of words of the templates, are license-like; a maximal run of
-them that holds a cue is a candidate block. A block is compressed with each
-template as a zstandard raw dictionary; templates are ranked by the reduction of
-its size against compression without one. The best few are confirmed by exact
+Templates are short notices (below) and whole license texts (``wordings``). A text
+is split into units (sentences within lines). A unit is license-like for the
+templates whose runs of four words cover half of it (shorter units: that have it as
+a run); consecutive units that one
+template could hold form a candidate block, which ends where its first unit comes again (the
+next copy of a notice) or where it outgrows the template. A block is compressed with
+each template as a zstandard raw dictionary; templates are ranked by the reduction
+of its size against compression without one. The best few are confirmed by exact
 wording: the block's words are aligned with the template's, and a template is
-accepted if at least ``threshold`` (0.8) of the block's words agree. A block
-that no template fits is judged unit by unit. The result names the words that differ on either side.
-
-Edge cases: null, empty and cue-less texts give no row. Blocks over
-``BLOCK_WORDS`` words are cut into consecutive blocks, so nothing is skipped and
-an alignment stays bounded. Ties rank by template name. Repeated rows each get
-their rows.
+accepted if at least ``threshold`` (0.8) of the block's words agree. A block that
+no template fits is judged unit by unit. The result names the words that differ on
+either side.
+
+Edge cases: null and empty texts, and texts without four words in a row (or an SPDX
+tag) of a template, give no row. Texts of any length are scanned whole; a block has
+at most a quarter more words than its longest template, so an alignment is bounded.
+Ties rank by license name. Repeated rows each get their rows. An empty table gives
+an empty result. Other columns, whatever their names, are not used.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from functools import lru_cache
+from importlib import resources
 
 import pyarrow as pa
 import zstandard
@@ -30,9 +37,10 @@ from pyspark.sql import functions as F
 from agreemill.llm.common import col, small_batches
 
 THRESHOLD = 0.8
-CANDIDATES = 4
-MIN_WORDS = 4
-BLOCK_WORDS = 400
+CANDIDATES = 6
+RUN = 4
+COVER = 0.5
+SPDX = "spdx-license-identifier"
 CACHE = 20_000
 
 #: Notice and license wordings as their stewards publish them.
@@ -54,14 +62,17 @@ TEMPLATES = {
     "CC0-1.0": """To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under CC0 1.0 Universal. SPDX-License-Identifier: CC0-1.0""",
 }
 
-#: Words that any license block has one of; valid for Java and Python alike.
-CUE = r"licen[sc]|copyright|spdx|permission is hereby|redistribut|creative commons|public domain|free software|warrant"
-
-_cue = re.compile(CUE, re.I)
-_unit = re.compile(r"[^\n]+?(?:[.!?;:](?=\s)|(?=\n)|$)", re.S)
+_unit = re.compile(r"[^\n]+?(?:[.!?;](?=\s)|(?=\n)|$)", re.S)
 _words = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*").findall
 
 
+@lru_cache(1)
+def templates() -> list[tuple[str, str]]:
+    """(license, wording) of the notices above and of the whole license texts, by name."""
+    whole = [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in (resources.files(__package__) / "wordings").iterdir() if f.name.endswith(".txt")]
+    return sorted([*TEMPLATES.items(), *whole])
+
+
 @dataclass
 class Finding:
     start: int
@@ -83,54 +94,93 @@ def normal(text: str) -> list[str]:
 
 
 class Scanner:
-    """Compressors and word lists of the templates, with a bounded memory of blocks."""
-
-    def __init__(self, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, candidates: int = CANDIDATES):
-        self.names = sorted(templates)
-        self.words = {n: normal(templates[n]) for n in self.names}
-        self.known = {w for ws in self.words.values() for w in ws}
+    """Compressors and word runs of the templates, with a bounded memory of blocks."""
+
+    def __init__(self, given: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, candidates: int = CANDIDATES):
+        given = templates() if given is None else given
+        self.names = [name for name, _ in given]
+        self.words = [normal(text) for _, text in given]
+        self.runs: dict[tuple[str, ...], list[int]] = {}
+        self.short: dict[tuple[str, ...], int] = {}
+        self.holders: dict[str, int] = {}
+        for i, words in enumerate(self.words):
+            for run in set(zip(*(words[k:] for k in range(RUN)), strict=False)):
+                self.runs.setdefault(run, []).append(i)
+            for word in set(words):
+                self.holders[word] = self.holders.get(word, 0) | 1 << i
+            for n in range(2, RUN):
+                for own in set(zip(*(words[k:] for k in range(n)), strict=False)):
+                    self.short[own] = self.short.get(own, 0) | 1 << i
         self.plain = zstandard.ZstdCompressor(level=19, write_content_size=False)
         raw = zstandard.DICT_TYPE_RAWCONTENT
-        self.given = {n: zstandard.ZstdCompressor(level=19, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(self._bytes(templates[n]), dict_type=raw)) for n in self.names}
+        self.given = [zstandard.ZstdCompressor(level=19, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode("utf-8", "replace"), dict_type=raw)) for w in self.words]
         self.threshold, self.candidates = threshold, candidates
         self.memory: dict[str, Finding | None] = {}
 
-    @staticmethod
-    def _bytes(text: str) -> bytes:
-        return " ".join(normal(text)).encode("utf-8", "replace")
+    def candidate(self, text: str) -> bool:
+        """Does the text share any run of words, or an SPDX tag, with a template?"""
+        words = normal(text)
+        return not self.runs.keys().isdisjoint(zip(*(words[k:] for k in range(RUN)), strict=False)) or SPDX in words
+
+    def like(self, words: list[str]) -> int:
+        """The templates, as bits, that a unit is like."""
+        if len(words) < RUN:
+            return self.short.get(tuple(words), 0)
+        covered: dict[int, int] = {}
+        last: dict[int, int] = {}
+        for k in range(len(words) - RUN + 1):
+            for i in self.runs.get(tuple(words[k : k + RUN]), ()):
+                covered[i] = covered.get(i, 0) + min(RUN, k + RUN - last.get(i, 0))
+                last[i] = k + RUN
+        return sum(1 << i for i, n in covered.items() if n >= COVER * len(words))
+
+    def _room(self, which: int) -> int:
+        """The most words of a block that these templates could hold."""
+        return 8 + max((len(w) for i, w in enumerate(self.words) if which >> i & 1), default=0) * 5 // 4
 
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
         """(start, end) of the candidate blocks, in order."""
         start = end = -1
-        cued, size = False, 0
+        which = size = 0
+        first: list[str] = []
         for m in _unit.finditer(text):
             words = normal(m[0])
-            cue = bool(_cue.search(m[0]))
-            like = cue or (len(words) >= MIN_WORDS and sum(w in self.known for w in words) >= 0.7 * len(words))
-            if like and start >= 0 and size + len(words) <= BLOCK_WORDS:
-                end, cued, size = m.end(), cued or cue, size + len(words)
+            if not words:
                 continue
-            if start >= 0 and not like and len(words) < MIN_WORDS and all(w in self.known for w in words) and size + len(words) <= BLOCK_WORDS:
+            like = self.like(words)
+            both = which & like
+            if start >= 0 and both and words != first and size + len(words) <= self._room(both):
+                end, which, size = m.end(), both, size + len(words)
+            elif start >= 0 and not like and len(words) < RUN and which & self._hold(words) and size + len(words) <= self._room(which):
                 size += len(words)  # the number of a list item, which a like unit may follow
                 continue
-            if start >= 0 and cued:
-                yield start, end
-            start, end, cued, size = (m.start(), m.end(), cue, len(words)) if like else (-1, -1, False, 0)
-        if start >= 0 and cued:
+            else:
+                if start >= 0:
+                    yield start, end
+                start, end, which, size = (m.start(), m.end(), like, len(words)) if like else (-1, -1, 0, 0)
+                first = words if len(words) >= RUN else []
+        if start >= 0:
             yield start, end
 
-    def rank(self, block: str) -> list[tuple[float, str]]:
+    def _hold(self, words: list[str]) -> int:
+        """The templates that have all these words."""
+        which = -1
+        for w in words:
+            which &= self.holders.get(w, 0)
+        return which
+
+    def rank(self, block: str) -> list[tuple[float, int]]:
         """(size reduction, template), best first."""
-        data = self._bytes(block)
+        data = " ".join(normal(block)).encode("utf-8", "replace")
         whole = len(self.plain.compress(data))
-        return sorted(((1 - len(self.given[n].compress(data)) / whole, n) for n in self.names), key=lambda x: (-x[0], x[1]))
+        return sorted(((1 - len(given.compress(data)) / whole, i) for i, given in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
 
-    def confirm(self, block: str, name: str) -> tuple[int, int, list[str], list[str]]:
+    def confirm(self, block: str, which: int) -> tuple[int, int, list[str], list[str]]:
         """(words, matched, extra words, missing words) against a template.
 
         Missing words are those the template has between the matched ones.
         """
-        own, template = normal(block), self.words[name]
+        own, template = normal(block), self.words[which]
         runs = [m for m in SequenceMatcher(None, own, template, autojunk=False).get_matching_blocks() if m.size]
         matched = sum(m.size for m in runs)
         kept = {i for m in runs for i in range(m.a, m.a + m.size)}
@@ -141,12 +191,13 @@ class Scanner:
     def judge(self, block: str) -> Finding | None:
         """The confirmed winner of a block: most words matched, fewest differences."""
         best = None
-        for reduction, name in self.rank(block)[: self.candidates]:
-            words, matched, extra, missing = self.confirm(block, name)
-            if words >= MIN_WORDS and matched >= self.threshold * words and reduction > 0:
-                key = (-matched, len(extra) + len(missing), -reduction, name)
+        for reduction, i in self.rank(block)[: self.candidates]:
+            words, matched, extra, missing = self.confirm(block, i)
+            enough = words >= RUN or (matched == words > 1 and SPDX in block.lower())
+            if enough and matched >= self.threshold * words and reduction > 0:
+                key = (-matched, len(extra) + len(missing), -reduction, self.names[i])
                 if best is None or key < best[0]:
-                    best = key, Finding(0, 0, name, reduction, words, matched, extra, missing)
+                    best = key, Finding(0, 0, self.names[i], reduction, words, matched, extra, missing)
         return best[1] if best else None
 
     def recall(self, block: str) -> Finding | None:
@@ -159,13 +210,13 @@ class Scanner:
     def scan(self, text: str | None) -> list[Finding]:
         """The confirmed blocks. A block that agrees with no template as a whole
         (several notices in a row) is judged unit by unit."""
-        if not text or not _cue.search(text):
+        if not text or not self.candidate(text):
             return []
         out = []
         for start, end in self.blocks(text):
             spans = [(start, end)]
             if self.recall(text[start:end]) is None:
-                spans = [m.span() for m in _unit.finditer(text, start, end) if _cue.search(m[0])]
+                spans = [m.span() for m in _unit.finditer(text, start, end) if self.like(normal(m[0]))]
             for s, e in spans:
                 s += len(text[s:e]) - len(text[s:e].lstrip())
                 f = self.recall(text[s:e])
@@ -192,7 +243,6 @@ def findings(text: Column) -> Column:
 
 
 def license_blocks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row a confirmed block: the op6 query. Texts without a cue never leave the JVM."""
-    cued = docs.where(col(text).rlike(f"(?i){CUE}"))
-    found = cued.select(col(key).alias(key), F.explode(findings(col(text))).alias("f"))
+    """One row a confirmed block: the op6 query."""
+    found = docs.where(col(text).isNotNull()).select(col(key).alias(key), F.explode(findings(col(text))).alias("f"))
     return found.select(key, F.col("f.start").alias("block_start"), F.col("f.end").alias("block_end"), "f.license", F.round("f.reduction", 6).alias("reduction"), "f.words", "f.matched", F.array_join("f.extra", " ").alias("extra"), F.array_join("f.missing", " ").alias("missing"), "f.exact")

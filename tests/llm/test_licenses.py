@@ -34,7 +34,7 @@ def exhaustive(text):
     for start, end in s.blocks(text or ""):
         spans = [(start, end)]
         if not fits(s, text[start:end]):
-            spans = [m.span() for m in licenses._unit.finditer(text, start, end) if licenses._cue.search(m[0])]
+            spans = [m.span() for m in licenses._unit.finditer(text, start, end) if s.like(licenses.normal(m[0]))]
         for a, b in spans:
             a += len(text[a:b]) - len(text[a:b].lstrip())
             if fits(s, text[a:b]):
@@ -44,8 +44,8 @@ def exhaustive(text):
 
 def fits(s, block):
     """The most words that any template matches, if they are enough."""
-    tried = [s.confirm(block, name)[:2] for name in s.names]
-    return max((m for words, m in tried if words >= 4 and m >= 0.8 * words), default=0)
+    tried = [s.confirm(block, i)[:2] for i in range(len(s.names))]
+    return max((m for words, m in tried if (words >= 4 or "SPDX" in block) and m >= 0.8 * words), default=0)
 
 
 def test_known_wordings_are_found(spark):
@@ -76,6 +76,44 @@ def test_prose_about_licenses_is_left_alone():
     assert Scanner().scan("license") == []
 
 
+def paragraphs():
+    for name, text in licenses.templates():
+        for p in text.split("\n\n"):
+            if len(licenses.normal(p)) >= 8:
+                yield name, p
+
+
+def test_every_paragraph_of_every_template_is_found_alone():
+    s = Scanner()
+    for name, p in paragraphs():
+        found = s.scan(f"Some words of our own before it.\n{p}\nAnd xyzzy plugh after it.")
+        words = sum(f.words for f in found)
+        holders = {s.names[i] for i in range(len(s.names)) if s.confirm(p, i)[1] == len(licenses.normal(p))}
+        assert found and {f.license for f in found} <= holders | {name}, (name, p)
+        assert words >= 0.8 * len(licenses.normal(p)) - 3, (name, p)  # a number or title word before it may stay out
+
+
+def test_whole_license_texts_are_one_block():
+    """A license with a word changed here and there, inside other text, is not cut."""
+    s = Scanner()
+    for name, text in licenses.templates():
+        words = len(licenses.normal(text))
+        if words > 1000:
+            edited = text.replace(" the ", " our ", 3)
+            found = s.scan(f"Our own words come first.\n\n{edited}\n\nOur own words come last.")
+            assert sum(f.words for f in found if f.license == name) >= 0.97 * words, name
+            assert max(f.words for f in found) >= 0.9 * words, (name, [f.words for f in found])
+
+
+def test_a_sentence_without_cue_words():
+    found = Scanner().scan("Hello.\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary.\nBye.")
+    assert [f.license for f in found] == ["Unlicense"]
+
+
+def test_spdx_tags_alone():
+    assert [f.license for f in Scanner().scan("# SPDX-License-Identifier: MIT\nimport x\n")] == ["MIT"]
+
+
 def test_long_blocks_are_cut_and_kept(spark):
     text = "Licensed under CC BY-NC 4.0. " * 3000
     found = Scanner().scan(text)
