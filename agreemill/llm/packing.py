@@ -10,18 +10,21 @@ task is left, which emits all its bins. What a task hands on is bounded by
 ``CARRY`` bins, the least filled; fuller ones beyond that are emitted too, so no
 row is ever lost and no task grows with the corpus.
 
-Edge cases: a null or empty text is the end token alone. Repeated rows are
-packed once each. An empty table gives an empty result. Long texts are
+Edge cases: a null or empty text is the end token alone. Added tokens written in a
+text get their ids, as the tokeniser's plain call gives them. Repeated rows are
+packed once each; ties of length are packed in the order of id and piece. Other
+columns, whatever their names, are not used. An empty table gives an empty result. Long texts are
 tokenised whole, in stretches cut only where the tokeniser must cut as well.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cache, cached_property
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -60,11 +63,21 @@ def stretches(text: str, size: int | None = None) -> Iterator[str]:
         at = stop
 
 
+@cache
+def added_tokens(name: str = VOCABULARY) -> list[str]:
+    """The added tokens of a vocabulary, as they are written in a text."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+        return [x["content"] for x in json.load(file)["added_tokens"]]
+
+
 class Encoder:
     """Token ids of the byte-level vocabulary whose files ``name`` has.
 
-    The fast library serves texts of Latin characters, where it gives the same
-    ids; other texts go through the reference tokeniser.
+    The fast library serves texts of Latin characters without an added token (such
+    as the end-of-text marker), where it gives the same ids; other texts go through
+    the reference tokeniser, which turns added tokens into their own ids.
     """
 
     def __init__(self, name: str = VOCABULARY):
@@ -75,20 +88,19 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.file = public_tokenizers.path(f"{name}.json")
+        self.added = added_tokens(name)
 
     @cached_property
     def exact(self) -> Tokenizer:
         """Loaded with the first text that needs it."""
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(self.file)
-        own.encode_special_tokens = True
-        return own
+        return Tokenizer.from_file(self.file)
 
     def __call__(self, text: str | None) -> np.ndarray:
         parts = []
         for piece in stretches(text or ""):
-            ids = self.fast.encode_ordinary(piece) if _plain(piece) else self.exact.encode(piece, add_special_tokens=False).ids
+            ids = self.fast.encode_ordinary(piece) if _plain(piece) and not any(x in piece for x in self.added) else self.exact.encode(piece, add_special_tokens=False).ids
             parts.append(np.array(ids, "<u4"))
         return np.concatenate([*parts, np.array([END], "<u4")])
 
@@ -262,7 +274,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nearly_full: int | None =
     full = pieces.where(F.col("length") >= capacity).select(*keep, (F.monotonically_increasing_id() + F.lit(1 << 60)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = pieces.where(F.col("length") < capacity)
     n, level, out = max(1, -(-items.count() // per_task)), 0, full
-    key = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
+    key = F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.monotonically_increasing_id())  # equal rows are spread
     now = items.select(*keep, F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"), key.alias("to"))
     while True:
         dealt = now.repartition(n, "to") if n > 1 else now.repartition(1)

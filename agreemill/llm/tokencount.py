@@ -5,21 +5,24 @@ characters and tokens below it. An edit walks down to its place, re-encodes only
 from a little before it to the point where old and new pre-token boundaries
 meet again, and updates the sums on the way up. The split into pre-tokens
 depends only on what follows a boundary, so beyond that point nothing changes;
-before it, a pre-token can see at most ``CONTEXT`` characters past its end.
+before it, a pre-token can see at most ``CONTEXT`` characters, or an added token,
+past its end. An added token (such as the end-of-text marker) is one token.
 
 Counts of single pre-tokens are remembered in a bounded table. Edits apply in
 order, each to the text the ones before it left.
 
 Edge cases: null text is empty; null or empty edits change nothing; positions
-are clipped to the text. Repeated documents are counted once each. Texts of any
-length are split in stretches; a leaf keeps numbers, not strings.
+are clipped to the text. Repeated documents are counted once each; edits at one
+place apply in their order. Texts of any length are split in stretches; a leaf
+keeps numbers, not strings. An empty table gives an empty result. Other columns,
+whatever their names, are not used.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agreemill.llm.common import col, small_batches
-from agreemill.llm.packing import VOCABULARY, stretches
+from agreemill.llm.packing import VOCABULARY, added_tokens, stretches
 
 LEAF = 64
 CONTEXT = 3
@@ -46,18 +49,34 @@ class Counter(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.added = added_tokens(name)
+        self.marker = regex.compile("|".join(map(regex.escape, self.added)) or r"(?!)")
+        self.context = max([CONTEXT, *map(len, self.added)])
+        self.update(dict.fromkeys(self.added, 1))
 
     def __missing__(self, piece: str) -> int:
         if len(self) > CACHE_WORDS:
             self.clear()
+            self.update(dict.fromkeys(self.added, 1))
         self[piece] = n = len(self.encode(piece))
         return n
 
+    def pieces(self, text: str, begin: int = 0) -> Iterator[tuple[int, int]]:
+        """(start, end) of the pre-tokens from a boundary on; added tokens are cut out first."""
+        for mark in chain(self.marker.finditer(text, begin), [None]):
+            stop = mark.start() if mark else len(text)
+            for m in self.pattern.finditer(text, begin, stop):
+                yield m.span()
+            if mark:
+                yield mark.span()
+                begin = mark.end()
+
     def split(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(characters, tokens) of each pre-token."""
         chars, tokens = [], []
         for part in stretches(text):
-            pieces = self.pattern.findall(part)
+            marked = any(x in part for x in self.added)
+            pieces = [part[a:b] for a, b in self.pieces(part)] if marked else self.pattern.findall(part)
             chars.append(np.fromiter(map(len, pieces), np.int32, len(pieces)))
             tokens.append(np.fromiter(map(self.__getitem__, pieces), np.int32, len(pieces)))
         return (np.concatenate(chars), np.concatenate(tokens)) if chars else (np.zeros(0, np.int32), np.zeros(0, np.int32))
@@ -127,25 +146,26 @@ class Document:
             return
         new = f"{self.text[:start]}{replacement}{self.text[stop:]}"
         shift, settled = len(new) - len(self.text), start + len(replacement)
-        first, at, _ = self._leaf(max(0, start - CONTEXT))
+        context = self.counter.context
+        first, at, _ = self._leaf(max(0, start - context))
         chars, tokens = self.leaves[first]
         ends = at + np.cumsum(chars)
-        keep = int((ends < start - CONTEXT + 1).sum())
+        keep = int((ends < start - context + 1).sum())
         begin = int(ends[keep - 1]) if keep else at
         last, last_at, _ = self._leaf(stop)
         old_ends = self._ends(last, last_at)
         old = next(old_ends)
         done_chars, done_tokens, joined = [], [], None
-        for m in self.counter.pattern.finditer(new, begin):
-            done_chars.append(m.end() - m.start())
-            done_tokens.append(self.counter[m[0]])
-            self.reencoded += done_chars[-1]
-            if m.end() >= settled:
-                while old is not None and old[0] + shift < m.end():
+        for a, b in self.counter.pieces(new, begin):
+            done_chars.append(b - a)
+            done_tokens.append(self.counter[new[a:b]])
+            self.reencoded += b - a
+            if b >= settled:
+                while old is not None and old[0] + shift < b:
                     old = next(old_ends, None)
                 if old is None:
                     break
-                if old[0] + shift == m.end() and old[0] >= stop:
+                if old[0] + shift == b and old[0] >= stop:
                     joined = old
                     break
         self.text = new

@@ -14,9 +14,7 @@ SCHEMA = "doc_id long, text string, piece string"
 
 
 def exact():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check_whole(rows, texts, capacity=1024):
@@ -113,3 +111,13 @@ def test_long_texts_are_cut_where_tokens_end(monkeypatch):
     whole = encode(text)
     monkeypatch.setattr(packing, "STRETCH", 50)
     assert (encode(text) == whole).all() and whole.tolist() == [*exact().encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_added_tokens_have_their_own_ids():
+    encode, plain = packing.Encoder(), exact()
+    assert encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275, 2]
+    rng = random.Random(4)
+    bits = ["<|endoftext|>", "<|", "|>", "endoftext", " ", "  ", "\n", "a", "é", "日", "'s", "."]
+    for _ in range(500):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 12)))
+        assert encode(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
