@@ -4,15 +4,18 @@ A forgiving tokeniser builds the element tree. Every block of text passes
 points (one, plus one a comma, plus its length) to the elements above it, in
 full to its container, half to the next and less further up, discounted by the
 block's share of linked text. The element with the most points, discounted by
-its own link density, is the main container; siblings that score near it, or
-that are running text, are kept too. Elements that are no article text by their
+its own link density, is the main container. Inside an article (or else a main)
+element, what surrounds the container up to that element is kept too, unless most
+of it is links; elsewhere siblings that score near it or that are running text. Elements that are no article text by their
 tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments) never count, unless they enclose the article.
 
 Edge cases: null, empty or textless html gives an empty text. Unclosed and
 stray tags, comments and quotes are read as browsers do, to the end of the page
-if need be. Pages of any length and depth are read in linear time. Repeated
-rows each get their text; ties go to the element that opens first.
+if need be. Each text node's references are decoded by themselves. Pages of any
+length and depth are read in linear time. Repeated rows each get their text; ties
+go to the element that opens first. An empty table gives an empty result. Other
+columns, whatever their names, are not used.
 """
 
 from __future__ import annotations
@@ -44,119 +47,108 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "tfoot": ("table",), "thead": ("table",)}
 
 _open = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/])")
-_attribute = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
+#: The rest of a tag: quotes count only after an equals sign.
+_rest = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+_attribute = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s"'>]++)))?+""")
 _name_parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _hidden = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_closers = {t: re.compile(f"</{t}", re.I) for t in RAW}
+_closers = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _blank = re.compile(r"\s+")
 
 
 class _Page:
+    """Elements by number: tag, parent, whether they never count (hard) or count only
+    where they hold the article (soft); and the blocks of text: (owner, text, linked)."""
+
     def __init__(self) -> None:
         self.tag, self.parent, self.hard, self.soft = ["#root"], [-1], [False], [False]
         self.stack = [0]
-        self.count = {"#root": 1}
+        self.holders = [0]
+        self.opened: dict[str, list[int]] = {}
         self.blocks: list[tuple[int, str, int]] = []
         self.parts: list[str] = []
         self.linked = self.links = self.muted = 0
 
     def text(self, raw: str) -> None:
+        """A text node; its references are decoded by themselves."""
         if raw and not self.muted:
-            self.parts.append(raw)
+            own = unescape(raw) if "&" in raw else raw
+            self.parts.append(own)
             if self.links:
-                self.linked += len(raw)
+                self.linked += len(own)
 
     def flush(self) -> None:
         if self.parts:
-            text = _blank.sub(" ", unescape("".join(self.parts))).strip()
+            text = _blank.sub(" ", "".join(self.parts)).strip()
             if text:
-                owner = next((n for n in reversed(self.stack) if self.tag[n] in BLOCKS), 0)
-                self.blocks.append((owner, text, min(self.linked, len(text))))
+                self.blocks.append((self.holders[-1], text, min(self.linked, len(text))))
         self.parts, self.linked = [], 0
 
     def start(self, tag: str, attributes: str, closed: bool) -> None:
         if tag in BLOCKS:
-            if self.count.get("p") and tag not in ("html", "head", "body", "option", "optgroup", "caption", "li", "dd", "dt", "legend"):
+            if self.opened.get("p") and tag not in ("html", "head", "body", "option", "optgroup", "caption", "li", "dd", "dt", "legend"):
                 self.end("p")
             for other in ENDS.get(tag, ()):
-                if self.count.get(other):
-                    self._end_in_scope(other, SCOPES[tag])
+                at = self.opened.get(other)
+                if at and all(at[-1] > where[-1] for s in SCOPES[tag] if (where := self.opened.get(s))):
+                    self.end(other)
             self.flush()
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
         hard, soft = tag in DROPPED, tag == "header"
-        if attributes:
-            for name, a, b, c, hidden in _attribute.findall(attributes):
-                name, value = name.lower(), a or b or c
-                if hidden or name == "hidden" or (name == "style" and _hidden.search(value)) or (name == "role" and value.lower() in ROLES) or (name == "aria-hidden" and value.lower() == "true"):
-                    hard = True
-                elif name in ("class", "id") and tag not in ("html", "body", "main"):
-                    parts = {p.lower() for p in _name_parts.findall(value)}
-                    soft = soft or bool(parts & NAMES) or ("header" in parts and not parts & OWN_HEADERS)
+        for name, a, b, c in _attribute.findall(attributes):
+            name, value = name.lower(), a or b or c
+            if name == "hidden" or (name == "style" and _hidden.search(value)) or (name == "role" and value.lower() in ROLES) or (name == "aria-hidden" and value.lower() == "true"):
+                hard = True
+            elif name in ("class", "id") and tag not in ("html", "body", "main"):
+                parts = {p.lower() for p in _name_parts.findall(value)}
+                soft = soft or bool(parts & NAMES) or ("header" in parts and not parts & OWN_HEADERS)
         if closed and tag not in BLOCKS:
             return
+        node = len(self.tag)
         self.tag.append(tag)
         self.parent.append(self.stack[-1])
         self.hard.append(hard)
         self.soft.append(soft)
-        self.stack.append(len(self.tag) - 1)
-        self.count[tag] = self.count.get(tag, 0) + 1
+        self.opened.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(node)
+        if tag in BLOCKS:
+            self.holders.append(node)
         self.links += tag == "a"
-        self.muted += self._mutes(len(self.tag) - 1)
+        self.muted += self._mutes(node)
 
     def _mutes(self, node: int) -> bool:
         """Inline elements to leave out, without ending the block around them."""
         return self.tag[node] not in BLOCKS and (self.hard[node] or self.soft[node])
 
-    def _pop(self) -> str:
+    def pop(self) -> str:
         node = self.stack[-1]
         tag = self.tag[node]
         if tag in BLOCKS:
             self.flush()
+            self.holders.pop()
         self.stack.pop()
-        self.count[tag] -= 1
+        self.opened[tag].pop()
         self.links -= tag == "a"
         self.muted -= self._mutes(node)
         return tag
 
-    def _end_in_scope(self, tag: str, scopes: tuple[str, ...]) -> None:
-        for node in reversed(self.stack):
-            if self.tag[node] == tag:
-                self.end(tag)
-                return
-            if self.tag[node] in scopes:
-                return
-
     def end(self, tag: str) -> None:
+        """Close the innermost such element; an inline one only within its block."""
         if tag == "br":
             self.parts.append(" ")
-        if not self.count.get(tag) or tag in ("html", "body", "#root"):
+        if not self.opened.get(tag) or tag in ("html", "body"):
+            return
+        if tag not in BLOCKS and self.stack[self.opened[tag][-1]] < self.holders[-1]:
             return
-        if tag not in BLOCKS:
-            for node in reversed(self.stack):
-                if self.tag[node] == tag:
-                    break
-                if self.tag[node] in BLOCKS:
-                    return
-        while self._pop() != tag:
+        while self.pop() != tag:
             pass
 
 
 def parse(html: str) -> _Page:
     page, at, n = _Page(), 0, len(html)
-    endless: set[str] = set()
-
-    def find(what: str, start: int, where: str) -> int:
-        """Like str.find, remembering what is known to be absent."""
-        if what in endless:
-            return -1
-        k = where.find(what, start)
-        if k < 0:
-            endless.add(what)
-        return k
-
     while at < n:
         m = _open.search(html, at)
         if not m:
@@ -167,43 +159,28 @@ def parse(html: str) -> _Page:
             k = html.find("-->", m.start() + 2)
             at = n if k < 0 else k + 3
             continue
-        k = find(">", m.end(), html)
-        if k < 0:
-            break
-        quote = _first_quote(html, m.end(), k)
-        while quote:
-            close = find(html[quote - 1], quote, html)
-            if close < 0 or close < k and not (quote := _first_quote(html, close + 1, k)):
-                break
-            if close > k:
-                k2 = find(">", close + 1, html)
-                if k2 < 0:
-                    break
-                quote, k = _first_quote(html, close + 1, k2), k2
-        at = k + 1
         if not m[2]:
+            at = html.find(">", m.end()) + 1 or n
             continue
-        tag, attributes = m[2].lower(), html[m.end() : k]
+        rest = _rest.match(html, m.end())
+        if not rest:
+            break
+        at = rest.end()
+        tag, attributes = m[2].lower(), html[m.end() : at - 1]
         if m[1]:
             page.end(tag)
             continue
-        page.start(tag, attributes.rstrip("/") if attributes.strip() not in ("", "/") else "", attributes.endswith("/"))
+        page.start(tag, attributes.rstrip("/"), attributes.endswith("/"))
         if tag in RAW and page.tag[page.stack[-1]] == tag:
             close = _closers[tag].search(html, at)
             page.text(html[at : close.start()] if close else html[at:])
             at = close.start() if close else n
     while len(page.stack) > 1:
-        page._pop()
+        page.pop()
     page.flush()
     return page
 
 
-def _first_quote(html: str, start: int, stop: int) -> int:
-    """One past the first quote that opens an attribute value before ``stop``, or 0."""
-    found = [q for q in (html.find('="', start, stop), html.find("='", start, stop)) if q >= 0]
-    return min(found) + 2 if found else 0
-
-
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -220,9 +197,13 @@ def main_text(html: str | None) -> str:
     holds = [h and 2 * x > share[0] for h, x in zip(holds, share, strict=True)]
     dropped = [False] * n
     inside = [t in ("article", "main") for t in page.tag]
+    articles = page.tag.count("article")
+    nested = [False] * n  # inside an article
     for i in range(1, n):
         up = page.parent[i]
-        soft = page.soft[i] and not (page.tag[i] == "article" and not _teaser(page, i)) and not (page.tag[i] == "header" and inside[up]) and not (page.tag[i] != "header" and holds[i])
+        nested[i] = nested[up] or page.tag[up] == "article"
+        own = page.tag[i] == "article" and articles == 1 and not nested[i]
+        soft = page.soft[i] and not own and not (page.tag[i] == "header" and inside[up]) and not (page.tag[i] != "header" and holds[i])
         dropped[i] = dropped[up] or page.hard[i] or soft
         inside[i] = inside[i] or inside[up]
     blocks = [b for b in page.blocks if not dropped[b[0]]]
@@ -246,23 +227,28 @@ def main_text(html: str | None) -> str:
     final = [points[i] * (1 - density[i]) for i in range(n)]
     best = max(range(n), key=lambda i: (final[i], -i))
     kept = [False] * n
+    path, top = {best}, best
+    node, wide = best, -1
+    while node > 0:  # the article that holds the best container, or else its main element
+        if page.tag[node] == "article" or (page.tag[node] == "main" and wide < 0):
+            wide = node
+        node = page.parent[node]
+    while wide >= 0 and top != wide:
+        top = page.parent[top]
+        path.add(top)
     kept[best] = True
     for i in range(1, n):
-        if i != best and page.parent[i] == page.parent[best] and not dropped[i]:
-            running = page.tag[i] in LEAVES and page.tag[i] != "li" and density[i] < 0.25
-            kept[i] = running or final[i] > 0.2 * final[best]
+        up = page.parent[i]
+        if i not in path and not dropped[i]:
+            if up in path and up != best and wide >= 0:
+                kept[i] = density[i] < 0.5
+            elif up == page.parent[best]:
+                running = page.tag[i] in LEAVES and page.tag[i] != "li" and density[i] < 0.25
+                kept[i] = running or final[i] > 0.2 * final[best]
     for i in range(1, n):
-        kept[i] = kept[i] or kept[page.parent[i]]
-    beside = page.parent[best]
-    return "\n\n".join(text for owner, text, links in blocks if kept[owner] or (owner == beside and links < 0.25 * len(text)))
-
-
-def _teaser(page: _Page, i: int) -> bool:
-    """Is this article inside another one, or one of several beside each other?"""
-    up = page.parent[i]
-    while up > 0 and page.tag[up] != "article":
-        up = page.parent[up]
-    return up > 0 or page.tag.count("article") > 1
+        kept[i] = kept[i] or (kept[page.parent[i]] and i not in path)
+    beside = {page.parent[best]} | (path if wide >= 0 else set())
+    return "\n\n".join(text for owner, text, links in blocks if kept[owner] or (owner in beside and links < 0.25 * len(text)))
 
 
 def extract(html: Column) -> Column:
