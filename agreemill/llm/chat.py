@@ -129,7 +129,7 @@ def _turns(df: DataFrame, m: Mapping) -> Column | None:
 
 
 def canonical_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Add ``fingerprint``, ``layout`` and ``turns``."""
+    """Add ``fingerprint``, ``layout`` and ``turns``, which replace columns of these names."""
     mark = free_name(df, "fingerprint_")
     layout, turns = F.lit("unknown"), F.array().cast(f"array<{TURN}>")
     for m in reversed(mappings):
@@ -158,7 +158,8 @@ def unescape(text: Column, escapes: tuple[tuple[str, str], ...] = ESCAPES) -> Co
 
 
 def format_turns(df: DataFrame, turns: str = "turns", loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Add ``formatted`` and ``loss_spans``: (start, length) in code points from 0."""
+    """Add ``formatted`` and ``loss_spans``, which replace columns of these names:
+    (start, length) in code points from 0."""
     parts = F.transform(
         col(turns),
         lambda t: F.struct(
@@ -178,7 +179,8 @@ def format_turns(df: DataFrame, turns: str = "turns", loss_roles: tuple[str, ...
     name = free_name(df, "parts")
     formatted = F.array_join(F.transform(col(name), lambda p: F.concat(p["head"], p["body"], F.lit(STOP))), "")
     out = df.withColumn(name, parts)
-    return out.select(*[col(c) for c in df.columns], formatted.alias("formatted"), F.aggregate(col(name), zero, step, lambda acc: acc["spans"]).alias("loss_spans"))
+    kept = [col(c) for c in df.columns if c.lower() not in ("formatted", "loss_spans")]
+    return out.select(*kept, formatted.alias("formatted"), F.aggregate(col(name), zero, step, lambda acc: acc["spans"]).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:

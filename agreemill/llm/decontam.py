@@ -12,13 +12,15 @@ nothing. The document side is not sketched, since a short item is a vanishing
 part of a long document; all its shingle hashes probe the signature table.
 Candidates are verified on the shingles themselves.
 
-Items are sent to the tasks in blocks of at most ``BLOCK_CHARS`` characters, so
-what is broadcast is bounded; each further block is one more pass.
+Up to ``BLOCK_CHARS`` characters of items are sent to the tasks as one index, so
+what is broadcast is bounded. More items are searched by a join of the documents'
+shingle hashes with the signatures, with the same results.
 
 Edge cases: null, empty and wordless texts have no shingle and match nothing;
 one to four words are a single shingle (matched only by an equal text). Repeated
-documents and repeated items each get their rows. Long texts are read whole.
-Extra columns are kept by ``clean``.
+documents and repeated items each get their rows; a tie with the threshold is a
+match. Long texts are read whole. Empty tables match nothing. ``clean`` keeps all
+columns of the caller, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agreemill.llm.common import col, small_batches
+from agreemill.llm.common import checkpoint, class_of, col, free_name, small_batches
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -82,8 +84,18 @@ def need(n: int, threshold: Fraction = THRESHOLD) -> int:
     return ceil(threshold * n)
 
 
+def signature(text: str | None, hashes: _Hashes, threshold: Fraction = THRESHOLD) -> np.ndarray:
+    """The smallest shingle hashes of an item: as many as its size partition needs."""
+    tokens = words(text)
+    n = len(shingle_set(tokens))
+    if not n:
+        return np.zeros(0, np.uint64)
+    upper = 1 << max(0, (n - 1).bit_length())
+    return np.unique(hashes.shingles(tokens))[: min(n, upper - need(upper, threshold) + 1)]
+
+
 class Index:
-    """Signatures of one block of items, by size partition."""
+    """Signatures of a bounded number of items."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], threshold: Fraction = THRESHOLD):
         self.ids = [i for i, _ in items]
@@ -91,10 +103,7 @@ class Index:
         self.needs = [need(len(s), threshold) for s in self.sets]
         hashes, owners = _Hashes(), defaultdict(list)
         for at, (_, text) in enumerate(items):
-            own = np.unique(hashes.shingles(words(text))) if self.sets[at] else np.zeros(0, np.uint64)
-            n = len(self.sets[at])
-            upper = 1 << max(0, (n - 1).bit_length())
-            for h in own[: min(n, upper - need(upper, threshold) + 1)]:
+            for h in signature(text, hashes, threshold):
                 owners[int(h)].append(at)
         self.keys = np.array(sorted(owners), np.uint64)
         self.owners = [owners[int(k)] for k in self.keys]
@@ -117,14 +126,13 @@ class Index:
         return [f[:3] for f in found if f[1] >= self.needs[f[3]]]
 
 
-def blocks(items: DataFrame, text: str = "text", key: str = "item_id", block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
-    """The items as indexes of bounded size, one at a time."""
-    rows = items.select(col(key).cast("long").alias("i"), col(text).alias("t"))
+def index_of(items: DataFrame, block_chars: int | None = None) -> Index | None:
+    """An index of (item_id, text), or None if they are too long to broadcast."""
+    rows = items.select(col("item_id").cast("long").alias("i"), col("text").alias("t"))
     chars = rows.agg(F.sum(F.coalesce(F.length("t"), F.lit(0)) + 64)).first()[0] or 0
-    n = max(1, -(-chars // block_chars))
-    for b in range(n):
-        own = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) if n > 1 else rows
-        yield Index(sorted(((r["i"], r["t"]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+    if chars > (BLOCK_CHARS if block_chars is None else block_chars):
+        return None
+    return Index(sorted(((r["i"], r["t"]) for r in rows.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
 
 
 def contained(index: Index, text: Column) -> Column:
@@ -144,20 +152,69 @@ def contained(index: Index, text: Column) -> Column:
     return search(text)
 
 
-def contaminations(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _hashes_of(text: Column, of_item: bool) -> Column:
+    """array<long>: the signature of an item, or all distinct hashes of a document."""
+    small_batches()
+
+    @F.arrow_udf("array<long>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = _Hashes()
+        for batch in batches:
+            found = []
+            for t in batch:
+                tokens = words(t.as_py())
+                found.append((signature(t.as_py(), hashes) if of_item else np.unique(hashes.shingles(tokens)) if tokens else np.zeros(0, np.uint64)).view(np.int64))
+            yield pa.array(found, pa.list_(pa.int64()))
+
+    return run(text)
+
+
+def _verified(text: Column, item: Column) -> Column:
+    """struct(matched, shingles) of a document's and an item's text."""
+    small_batches()
+
+    @F.arrow_udf("struct<matched: int, shingles: int>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, items in batches:
+            sets = [(shingle_set(words(t.as_py())), shingle_set(words(i.as_py()))) for t, i in zip(texts, items, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array([len(a & b) for a, b in sets], pa.int32()), pa.array([len(b) for _, b in sets], pa.int32())], ["matched", "shingles"])
+
+    return run(text, item)
+
+
+def _joined(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
+    """(class, item_class, matched, shingles): the search by joins. Equal texts, on
+    either side, are one class."""
+    item = checkpoint(items.select(class_of(col("text")).alias("item_class"), col("text").alias("item")).groupBy("item_class").agg(F.min("item").alias("item")))
+    signatures = checkpoint(item.select("item_class", F.explode(_hashes_of(F.col("item"), True)).alias("h")))
+    texts = docs.select(class_of(col(text)).alias("class"), col(text).alias("text"))
+    pairs = checkpoint(texts.select("class", F.explode(_hashes_of(F.col("text"), False)).alias("h")).join(signatures, "h").select("class", "item_class").distinct())
+    some = checkpoint(texts.join(pairs.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("text").alias("text")))
+    found = pairs.join(some, "class").join(item, "item_class").select("class", "item_class", _verified(F.col("text"), F.col("item")).alias("v"))
+    enough = F.col("v.matched") * THRESHOLD.denominator >= F.col("v.shingles") * THRESHOLD.numerator
+    return checkpoint(found.where(enough).select("class", "item_class", "v.matched", "v.shingles"))
+
+
+def contaminations(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", block_chars: int | None = None) -> DataFrame:
     """(key, item_id, matched, shingles, containment) of every contained item."""
-    out = None
-    for index in blocks(items):
-        found = docs.select(col(key).alias(key), F.explode(contained(index, col(text))).alias("f"))
-        out = found if out is None else out.union(found)
-    return out.select(key, "f.item_id", "f.matched", "f.shingles", (F.col("f.matched") / F.col("f.shingles")).alias("containment"))
+    index = index_of(items, block_chars)
+    if index is not None:
+        out = docs.select(col(key).alias(key), F.explode(contained(index, col(text))).alias("f")).select(key, "f.item_id", "f.matched", "f.shingles")
+    else:
+        rows = docs.select(col(key).alias(key), class_of(col(text)).alias("class"))
+        of_item = items.select(class_of(col("text")).alias("item_class"), col("item_id").cast("long").alias("item_id"))
+        out = rows.join(_joined(docs, items, text), "class").join(of_item, "item_class").select(key, "item_id", "matched", "shingles")
+    return out.select("*", (F.col("matched") / F.col("shingles")).alias("containment"))
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", block_chars: int | None = None) -> DataFrame:
     """The documents that contain no item."""
-    for index in blocks(items):
-        docs = docs.where(F.size(contained(index, col(text))) == 0)
-    return docs
+    index = index_of(items, block_chars)
+    if index is not None:
+        return docs.where(F.size(contained(index, col(text))) == 0)
+    mark = free_name(docs, "class")
+    dirty = _joined(docs, items, text).select(F.col("class").alias(mark)).distinct()
+    return docs.withColumn(mark, class_of(col(text))).join(dirty, mark, "left_anti").select(*[col(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""

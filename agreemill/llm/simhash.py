@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agreemill.llm.common import checkpoint, col, free_name, small_batches
+from agreemill.llm.common import checkpoint, class_of, col, free_name, small_batches
 from agreemill.llm.components import components
 
 WORDS = 3
@@ -418,11 +418,6 @@ def copy_links(members: DataFrame, texts: DataFrame, part: int = PART) -> DataFr
     return found.union(checkpoint(_confirmed(rest, texts)))
 
 
-def class_of(text: Column) -> Column:
-    """The class of a text: equal texts have the same one."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fp, group, component) of every row, as near_duplicates has them; fp is
     the class of equal texts."""

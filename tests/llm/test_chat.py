@@ -104,3 +104,9 @@ def test_oracle(spark):
     expected = con.sql(f"SELECT {', '.join(names)} FROM ({chat.ORACLE_SQL})").fetchall()
     got = chat.formatted_conversations(spark.createDataFrame(rows, SCHEMA)).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_own_columns_replace_those_of_the_caller(spark):
+    df = spark.createDataFrame([([("user", "a")], "mine", 3)], "turns array<struct<role: string, text: string>>, Formatted string, parts int")
+    got = chat.format_turns(df)
+    assert got.columns == ["turns", "parts", "formatted", "loss_spans"] and got.first()["parts"] == 3

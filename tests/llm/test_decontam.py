@@ -47,18 +47,15 @@ def test_matches_brute_force(spark):
     assert len(got) > 40
 
 
-def test_blocks_of_items_find_the_same(spark, monkeypatch):
+def test_items_too_long_to_broadcast_are_joined(spark):
     docs, items = corpus(9)
-    left = spark.createDataFrame(items, ITEMS)
-    parts = list(decontam.blocks(left, block_chars=4000))
-    assert len(parts) > 3 and sum(len(p.ids) for p in parts) == len(items)
-    monkeypatch.setattr(decontam.blocks, "__defaults__", ("text", "item_id", 4000))
-    frame = spark.createDataFrame(docs, DOCS)
-    got = decontam.contaminations(frame, left).collect()
+    left, frame = spark.createDataFrame(items, ITEMS), spark.createDataFrame(docs, DOCS).withColumnRenamed("item_id", "class")
+    assert decontam.index_of(left, 4000) is None and decontam.index_of(left) is not None
+    got = decontam.contaminations(frame, left, block_chars=4000).collect()
     assert sorted(((r["doc_id"], r["item_id"], r["matched"], r["shingles"]) for r in got), key=str) == slow(docs, items)
-    kept = decontam.clean(frame, left)
-    assert kept.columns == ["doc_id", "text", "item_id"]
-    assert {r["doc_id"] for r in kept.collect()} == {d[0] for d in docs} - {x[0] for x in slow(docs, items)}
+    kept = decontam.clean(frame, left, block_chars=4000)
+    assert kept.columns == ["doc_id", "text", "class"]
+    assert {r["doc_id"] for r in kept.collect()} == {d[0] for d in docs} - {x[0] for x in slow(docs, items)} == {r["doc_id"] for r in decontam.clean(frame, left).collect()}
 
 
 def test_empty_tables(spark):
