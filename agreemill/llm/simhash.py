@@ -49,6 +49,7 @@ RADIUS = 3
 BLOCKS = 5
 PART = 1 << 15
 UNITS = 1 << 14
+STRETCH = 1 << 20
 
 #: near_copies: words of a shingle, least similarity as an exact fraction.
 COPY_WORDS = 5
@@ -59,7 +60,9 @@ WIDE = 26
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BELOW = np.array([(1 << k) - 1 for k in range(65)], np.uint64)
-_factors = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+_factors = np.random.default_rng(42).integers(0, 1 << 31, BANDS * ROWS, np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -77,6 +80,45 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((h(joined[s:e], 42) for s, e in spans), np.uint64, n)
 
 
+class ShingleHashes:
+    """Distinct shingles of texts, as hashes: a polynomial modulo 2**64 over the bytes
+    of a shingle, from running sums over the text, then mixed."""
+
+    def __init__(self) -> None:
+        self.powers = self.inverse = np.zeros(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if n > len(self.powers):
+            n = max(n, 1 << 16)
+            one = np.ones(1, np.uint64)
+            self.powers = np.concatenate([one, np.cumprod(np.full(n - 1, _BASE))])
+            self.inverse = np.concatenate([one, np.cumprod(np.full(n - 1, np.uint64(pow(int(_BASE), -1, 1 << 64))))])
+
+    def __call__(self, text: str | None, words: int = COPY_WORDS) -> np.ndarray:
+        joined = b" ".join((text or "").encode("utf-8", "replace").lower().split())
+        if not joined:
+            return np.zeros(0, np.uint64)
+        data = np.frombuffer(joined, np.uint8)
+        gaps = np.flatnonzero(data == 32)
+        starts, ends = np.append(0, gaps + 1), np.append(gaps, len(data))
+        k = min(words, len(starts))
+        starts, ends = starts[: len(starts) - k + 1], ends[k - 1 :]
+        out = np.empty(len(starts), np.uint64)
+        at = 0
+        while at < len(starts):  # stretches of bounded length, however long the text
+            first = starts[at]
+            stop = max(at + 1, int(np.searchsorted(ends, first + STRETCH, "right")))
+            own = data[first : ends[stop - 1]].astype(np.uint64) + np.uint64(1)
+            self._grow(len(own))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * self.powers[: len(own)])])
+            s, e = starts[at:stop] - first, ends[at:stop] - first
+            out[at:stop] = (sums[e] - sums[s]) * self.inverse[s]
+            at = stop
+        for factor in _MIX:
+            out = (out ^ (out >> np.uint64(32))) * factor
+        return np.unique(out ^ (out >> np.uint64(32)))
+
+
 def majority(hashes: np.ndarray) -> int:
     """The fingerprint of shingle hashes: the bits that over half of them set."""
     ones = np.zeros(64, np.int64)
@@ -306,9 +348,10 @@ def _grouped(rows: DataFrame, classes: DataFrame, edges: DataFrame, key: str) ->
 
 def min_hash_buckets(hashes: np.ndarray) -> list[int]:
     """One bucket a band, by the band's MinHashes."""
-    least = np.full(BANDS * ROWS, _FULL, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        least = np.minimum(least, (_factors * hashes[at : at + 1024]).min(axis=1))
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(short), 256):
+        least = np.minimum(least, (_factors * short[at : at + 256]).min(axis=1))
     return [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
 
 
@@ -319,10 +362,11 @@ def sketch(text: Column) -> Column:
 
     @F.arrow_udf("struct<n: int, sim: long, buckets: array<long>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = ShingleHashes()
         for batch in batches:
             sizes, sims, values = [], [], []
             for t in batch:
-                own = np.unique(shingles(t.as_py(), COPY_WORDS))
+                own = hashes(t.as_py())
                 sizes.append(len(own))
                 sims.append(majority(own))
                 values.append(min_hash_buckets(own))
@@ -344,13 +388,13 @@ def _alike(a: Column, b: Column) -> Column:
 
     @F.arrow_udf("boolean")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kept: dict[str, np.ndarray] = {}  # one text of many pairs is cut once
+        hashes, kept = ShingleHashes(), {}  # one text of many pairs is cut once
 
         def cut(text: str) -> np.ndarray:
             if text not in kept:
                 if len(kept) >= 8:
                     kept.pop(next(iter(kept)))
-                kept[text] = np.unique(shingles(text, COPY_WORDS))
+                kept[text] = hashes(text)
             return kept[text]
 
         for x, y in batches:

@@ -74,7 +74,7 @@ def test_all_pairs_of_one_bucket_meet(spark, part):
     texts = spark.createDataFrame([(i, t or "") for i, t in rows], "fp long, text string")
     members = []
     for i, t in rows:
-        own = np.unique(simhash.shingles(t, 5))
+        own = simhash.ShingleHashes()(t)
         members.append((1, len(rows), i, int(np.uint64(simhash.majority(own)).view(np.int64)), len(own)))
     edges = simhash.copy_links(spark.createDataFrame(members, "bucket long, m long, fp long, sim long, n int"), texts, part)
     assert merged(least, [tuple(r) for r in edges.collect()]) == least
@@ -100,3 +100,20 @@ def test_small_and_repeated_texts(spark):
     got = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
     least, _ = least_of(rows)
     assert got == least and got[1] == 0 and got[5] == 4 and got[7] == 6
+
+
+def test_shingle_hashes_tell_sets_apart(monkeypatch):
+    rng = random.Random(2)
+    texts = [t for _, t in corpus()] + [" ".join(rng.choices(["a", "B", "é", "ab"], k=rng.randint(0, 40))) for _ in range(300)]
+    hashes = simhash.ShingleHashes()
+    seen = {}
+    for t in texts:
+        own = set(hashes(t).tolist())
+        assert len(own) == len(sets(t))
+        for s in sets(t):
+            seen.setdefault(s, set()).update(hashes(" ".join(s)).tolist())
+        assert own == {x for s in sets(t) for x in seen[s]}
+    assert all(len(x) == 1 for x in seen.values()) and len(set.union(*seen.values())) == len(seen)
+    whole = hashes(texts[0])
+    monkeypatch.setattr(simhash, "STRETCH", 50)
+    assert (hashes(texts[0]) == whole).all()
