@@ -13,8 +13,9 @@ Two searches fill the buckets:
   least ``blocks - radius`` of ``blocks`` bit ranges, so each fingerprint is
   dealt once for every choice of that many ranges. Nothing is lost.
 * ``near_copies``: all pairs whose sets of five-word shingles have a Jaccard
-  similarity of at least 0.8. Candidates agree in one of ``BANDS`` bands of
-  ``ROWS`` MinHashes (a pair at 0.8 shares none with probability 5e-8) and differ
+  similarity of at least 0.8. Candidates agree in one of ``BANDS`` bands of ``ROWS``
+  MinHashes (a pair at 0.8 shares none with probability 5e-8; in crowded buckets also
+  in ``LANES`` of all 128, which a pair at 0.8 misses with probability 2e-7) and differ
   in at most ``WIDE`` bits (a pair at 0.8 differs in 10 on average, in over 26
   with probability 2e-6 at most); each is confirmed on the whole sets. A bucket's
   members are compared with its most typical one first, then all pairs that this
@@ -56,7 +57,10 @@ COPY_WORDS = 5
 LEAST, OF = 4, 5
 BANDS = 32
 ROWS = 4
+LANES = 78
 WIDE = 26
+FEW = 64
+CROWD_PART = 512
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BELOW = np.array([(1 << k) - 1 for k in range(65)], np.uint64)
@@ -232,7 +236,7 @@ def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.n
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = PART) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """Rows sorted by their first ``keys`` columns, in blocks of whole groups, with
     the first row of each group."""
     held: list[list[np.ndarray]] = []
@@ -240,7 +244,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list
         if batch is not None:
             if batch.num_rows:
                 held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if sum(len(h[0]) for h in held) < PART:
+            if sum(len(h[0]) for h in held) < rows:
                 continue
         if not held:
             continue
@@ -346,12 +350,16 @@ def _grouped(rows: DataFrame, classes: DataFrame, edges: DataFrame, key: str) ->
 # Near copies by similarity
 
 
-def min_hash_buckets(hashes: np.ndarray) -> list[int]:
-    """One bucket a band, by the band's MinHashes."""
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(short), 256):
         least = np.minimum(least, (_factors * short[at : at + 256]).min(axis=1))
+    return least
+
+
+def buckets_of(least: np.ndarray) -> list[int]:
+    """One bucket a band, by the band's MinHashes."""
     return [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
 
 
@@ -369,7 +377,7 @@ def sketch(text: Column) -> Column:
                 own = hashes(t.as_py())
                 sizes.append(len(own))
                 sims.append(majority(own))
-                values.append(min_hash_buckets(own))
+                values.append(buckets_of(min_hashes(own)))
             flat = np.array(values, np.uint64).reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(flat))
             yield pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(np.array(sims, np.uint64).view(np.int64)), lists], ["n", "sim", "buckets"])
@@ -434,18 +442,59 @@ def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
+def _set_of(text: Column) -> Column:
+    """The distinct shingles of a text, packed."""
+    small_batches()
+
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = ShingleHashes()
+        for batch in batches:
+            yield pa.array([hashes(t.as_py()).tobytes() for t in batch], pa.binary())
+
+    return run(text)
+
+
+def _crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect the near copies of different labels in each group. A pair is
+    judged in the first bucket that it shares, if enough of its MinHashes agree."""
+    for (bucket, _, _, second, fp, sim, n, label, packed), starts in _groups(batches, 3, 1):
+        for s, e in zip(starts, [*starts[1:], len(fp)], strict=True):
+            sets = [np.frombuffer(x, np.uint64) for x in packed[s:e]]
+            lanes = np.stack([min_hashes(x) for x in sets])
+            places = np.array([buckets_of(x) for x in lanes], np.uint64).view(np.int64)
+            tree, links_ = label[s:e].copy(), []
+            for i, j in near(sim[s:e].view(np.uint64), *_spans(np.zeros(1, np.int64), second[s:e]), WIDE):
+                for at in range(0, len(i), 1 << 13):
+                    x, y = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
+                    ok = (tree[x] != tree[y]) & _sized(n[s:e][x], n[s:e][y])
+                    x, y = x[ok], y[ok]
+                    ok = (lanes[x] == lanes[y]).sum(axis=1) >= LANES
+                    x, y = x[ok], y[ok]
+                    ok = places[x, (places[x] == places[y]).argmax(axis=1)] == bucket[s]
+                    for u, v in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                        if tree[u] != tree[v] and alike(sets[u], sets[v]):
+                            links_.append((fp[s + u], fp[s + v]))
+                            tree[tree == max(tree[u], tree[v])] = min(tree[u], tree[v])
+            if links_:
+                a, b = np.array(links_).T
+                yield _batch({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole texts are near copies."""
     left, right = (texts.select(F.col("fp").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     return pairs.join(left, "a").join(right, "b").where(_alike(F.col("text_a"), F.col("text_b"))).select("a", "b")
 
 
-def copy_links(members: DataFrame, texts: DataFrame, part: int = PART) -> DataFrame:
+def copy_links(members: DataFrame, texts: DataFrame, part: int = PART, few: int = FEW, crowd_part: int = CROWD_PART) -> DataFrame:
     """Confirmed links (a, b) that connect all near copies that share a bucket.
 
     ``members`` holds (bucket, m, fp, sim, n), plain and distinct, m members in a
     bucket; ``texts`` holds (fp, text). What the comparison with the most typical
-    member shows to be connected gets one label; then pairs of other labels meet.
+    member shows to be connected gets one label; then pairs of other labels meet:
+    those of up to ``few`` members as pairs of texts, those of crowded buckets in
+    parts of ``crowd_part`` members, whose tasks hold their sets and yield forests.
     """
     salted = members.select("bucket", F.pmod(F.xxhash64("fp"), F.ceil(F.col("m") / part)).cast("int").alias("salt"), "fp", "sim", "n")
     tried = checkpoint(salted.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(_led, "a long, b long").distinct())
@@ -454,12 +503,19 @@ def copy_links(members: DataFrame, texts: DataFrame, part: int = PART) -> DataFr
     least = checkpoint(both.groupBy("x").agg(F.least("x", F.min("y")).alias("y")))
     jumped = least.alias("f").join(least.alias("g"), F.col("f.y") == F.col("g.x"), "left")
     label = checkpoint(jumped.select(F.col("f.x").alias("fp"), F.coalesce("g.y", "f.y").alias("label")))
-    named = checkpoint(members.join(label, "fp", "left").select("bucket", "fp", "sim", "n", F.coalesce("label", "fp").alias("label")))
+    named = checkpoint(members.join(label, "fp", "left").select("bucket", "m", "fp", "sim", "n", F.coalesce("label", "fp").alias("label")))
     still = checkpoint(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket"))
-    rows = _tiles(checkpoint(named.join(still, "bucket")), part).select(*_TILE, "fp", "sim", "n", "label")
-    pairs = rows.repartition(*_TILE[:3]).sortWithinPartitions(*_TILE).mapInArrow(_unconnected, "a long, b long").distinct()
+    rows = checkpoint(named.join(still, "bucket"))
+    small = _tiles(rows.where(F.col("m") <= few).drop("m"), part).select(*_TILE, "fp", "sim", "n", "label")
+    pairs = small.repartition(*_TILE[:3]).sortWithinPartitions(*_TILE).mapInArrow(_unconnected, "a long, b long").distinct()
     rest = checkpoint(pairs.join(tried, ["a", "b"], "left_anti"))
-    return found.union(checkpoint(_confirmed(rest, texts)))
+    found = found.union(checkpoint(_confirmed(rest, texts)))
+    large = rows.where(F.col("m") > few)
+    if not large.head(1):
+        return found
+    sets = checkpoint(texts.join(large.select("fp").distinct(), "fp", "left_semi").select("fp", _set_of(F.col("text")).alias("set")))
+    crowd = checkpoint(_tiles(large.drop("m"), crowd_part).select(*_TILE, "fp", "sim", "n", "label")).join(sets, "fp").select(*_TILE, "fp", "sim", "n", "label", "set")
+    return found.union(checkpoint(crowd.repartition(*_TILE[:3]).sortWithinPartitions(*_TILE).mapInArrow(_crowd, "a long, b long").distinct()))
 
 
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -468,9 +524,10 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     rows = checkpoint(docs.select(col(key).alias("id"), class_of(col(text)).alias("fp"), sketch(col(text)).alias("s")).select("id", "fp", "s.sim", "s.n", "s.buckets"))
     distinct = rows.groupBy("fp").agg(F.min("id").alias("id"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     classes = checkpoint(distinct)
-    dealt = classes.select("fp", "sim", "n", F.explode("buckets").alias("bucket"))
+    dealt = classes.select("fp", F.explode("buckets").alias("bucket"))
     shared = checkpoint(dealt.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
-    members = checkpoint(dealt.join(shared, "bucket").select("bucket", "m", "fp", "sim", "n"))
+    placed = checkpoint(dealt.join(shared, "bucket"))
+    members = checkpoint(placed.join(classes.select("fp", "sim", "n"), "fp").select("bucket", "m", "fp", "sim", "n"))
     wanted = checkpoint(members.select("fp").distinct())
     texts = docs.select(class_of(col(text)).alias("fp"), col(text).alias("text")).join(wanted, "fp").groupBy("fp").agg(F.min("text").alias("text"))
     return _grouped(rows.select("id", "fp"), classes.select("fp", "id"), copy_links(members, checkpoint(texts)), key)

@@ -66,8 +66,8 @@ def merged(least, edges):
     return mine
 
 
-@pytest.mark.parametrize("part", [simhash.PART, 20])
-def test_all_pairs_of_one_bucket_meet(spark, part):
+@pytest.mark.parametrize(("part", "few"), [(simhash.PART, 10**6), (20, 10**6)])
+def test_all_pairs_of_one_bucket_meet(spark, part, few):
     """All texts in one bucket, whole or in parts: its most typical one is like few of them."""
     rows = corpus()
     least, _ = least_of(rows)
@@ -76,7 +76,7 @@ def test_all_pairs_of_one_bucket_meet(spark, part):
     for i, t in rows:
         own = simhash.ShingleHashes()(t)
         members.append((1, len(rows), i, int(np.uint64(simhash.majority(own)).view(np.int64)), len(own)))
-    edges = simhash.copy_links(spark.createDataFrame(members, "bucket long, m long, fp long, sim long, n int"), texts, part)
+    edges = simhash.copy_links(spark.createDataFrame(members, "bucket long, m long, fp long, sim long, n int"), texts, part, few)
     assert merged(least, [tuple(r) for r in edges.collect()]) == least
 
 
@@ -95,6 +95,16 @@ def test_edited_copies_of_one_text_in_great_number(spark):
     assert jaccard(rows[1][1], rows[2][1]) < 0.8 <= jaccard(rows[0][1], rows[1][1])
 
 
+@pytest.mark.parametrize("crowd_part", [512, 9])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, crowd_part):
+    """Every bucket crowded, whole or in parts."""
+    monkeypatch.setattr(simhash.copy_links, "__defaults__", (simhash.PART, 1, crowd_part))
+    rows = corpus()
+    least, _ = least_of(rows)
+    got = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == least
+
+
 def test_small_and_repeated_texts(spark):
     rows = [(i, t) for i, t in enumerate(["a b c d e f g h", "A b c d  e f g h", "a b c d e f g h i", "a b c d e f g x", "la " * 3000, "la " * 9000, "one", "One"])]
     got = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
