@@ -9,14 +9,14 @@ from agreemill.schema import TOKEN, struct
 #: text/lemma/pos/dep/head, one line a document; an underscore before a slash
 #: means that no space follows. Names come after the bar.
 PARSES = {
-    "d1": "A/a/DET/det/1 photo/photo/NOUN/ROOT/1 of/of/ADP/prep/1 a/a/DET/det/7 small_/small/ADJ/amod/7 ,/,/PUNCT/punct/7 fluffy/fluffy/ADJ/amod/7 kitten/kitten/NOUN/pobj/2 chasing/chase/VERB/acl/7 a/a/DET/det/10 butterfly_/butterfly/NOUN/dobj/8|kitten/kitten/NOUN/ROOT/0",
-    "d2": "The/the/DET/det/1 dog_/dog/NOUN/poss/3 's/'s/PART/case/1 ball/ball/NOUN/nsubj/4 lies/lie/VERB/ROOT/4 on/on/ADP/prep/4 the/the/DET/det/7 grass_/grass/NOUN/pobj/5|dog/dog/NOUN/ROOT/0",
-    "d3": "a/a/DET/det/2 dolphin/dolphin/NOUN/compound/2 swimming/swimming/NOUN/ROOT/2 in/in/ADP/prep/2 the/the/DET/det/5 sea_/sea/NOUN/pobj/3|dolphin/dolphin/NOUN/ROOT/0",
-    "d4": "A/a/DET/det/1 photo/photo/NOUN/ROOT/1 of/of/ADP/prep/1 two/two/NUM/nummod/5 piggy/piggy/NOUN/compound/5 banks/bank/NOUN/pobj/2 on/on/ADP/prep/1 a/a/DET/det/8 desk_/desk/NOUN/pobj/6|piggy/piggy/NOUN/compound/1 bank/bank/NOUN/ROOT/1",
-    "d5": "a/a/DET/det/2 motorcycle/motorcycle/NOUN/compound/2 rider/rider/NOUN/nsubj/3 waits/wait/VERB/ROOT/3 near/near/ADP/prep/3 the/the/DET/det/6 shop_/shop/NOUN/pobj/4|motorcycle/motorcycle/NOUN/ROOT/0",
-    "d6": "A/a/DET/det/2 red/red/ADJ/amod/2 barn/barn/NOUN/ROOT/2 with/with/ADP/prep/2 snow_/snow/NOUN/pobj/3|cow/cow/NOUN/ROOT/0",
+    "d1": "A/a/DET/det/1 painting/painting/NOUN/ROOT/1 of/of/ADP/prep/1 a/a/DET/det/7 tall_/tall/ADJ/amod/7 ,/,/PUNCT/punct/7 crooked/crooked/ADJ/amod/7 lantern/lantern/NOUN/pobj/2 guarding/guard/VERB/acl/7 a/a/DET/det/10 doorway_/doorway/NOUN/dobj/8|lantern/lantern/NOUN/ROOT/0",
+    "d2": "The/the/DET/det/1 fox_/fox/NOUN/poss/3 's/'s/PART/case/1 den/den/NOUN/nsubj/4 sits/sit/VERB/ROOT/4 under/under/ADP/prep/4 an/an/DET/det/7 oak_/oak/NOUN/pobj/5|fox/fox/NOUN/ROOT/0",
+    "d3": "a/a/DET/det/2 heron/heron/NOUN/compound/2 fishing/fishing/NOUN/ROOT/2 in/in/ADP/prep/2 the/the/DET/det/5 reeds_/reed/NOUN/pobj/3|heron/heron/NOUN/ROOT/0",
+    "d4": "A/a/DET/det/1 picture/picture/NOUN/ROOT/1 of/of/ADP/prep/1 two/two/NUM/nummod/5 garden/garden/NOUN/compound/5 gnomes/gnome/NOUN/pobj/2 by/by/ADP/prep/1 a/a/DET/det/8 fence_/fence/NOUN/pobj/6|garden/garden/NOUN/compound/1 gnome/gnome/NOUN/ROOT/1",
+    "d5": "a/a/DET/det/2 canoe/canoe/NOUN/compound/2 paddler/paddler/NOUN/nsubj/3 rests/rest/VERB/ROOT/3 beside/beside/ADP/prep/3 the/the/DET/det/6 jetty_/jetty/NOUN/pobj/4|canoe/canoe/NOUN/ROOT/0",
+    "d6": "A/a/DET/det/2 blue/blue/ADJ/amod/2 door/door/NOUN/ROOT/2 with/with/ADP/prep/2 ivy_/ivy/NOUN/pobj/3|goat/goat/NOUN/ROOT/0",
     "d7": "A/a/DET/det/1 painting_/painting/NOUN/ROOT/1|",
-    "d8": "The/the/DET/det/1 cat/cat/NOUN/nsubj/2 sleeps_/sleep/VERB/ROOT/2 ,/,/PUNCT/punct/2 a/a/DET/det/5 cat/cat/NOUN/nsubj/6 styled/style/VERB/conj/2|cat/cat/NOUN/ROOT/0",
+    "d8": "The/the/DET/det/1 owl/owl/NOUN/nsubj/2 blinks_/blink/VERB/ROOT/2 ,/,/PUNCT/punct/2 an/an/DET/det/5 owl/owl/NOUN/nsubj/6 styled/style/VERB/conj/2|owl/owl/NOUN/ROOT/0",
 }
 
 
