@@ -23,10 +23,18 @@ def session(app: str = "agreemill", master: str | None = None, **settings: str)
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name in the shared checkpoint folder; a temporary one only
-    where ``spark.checkpoint.dir`` is unset."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder; a temporary one only where
+    ``spark.checkpoint.dir`` is unset in a local session."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
