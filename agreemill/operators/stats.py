@@ -71,18 +71,28 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, name: s
     return ranked.groupBy(*(by or [])).agg(F.count("*").alias("n"), pearson("rank_x", "rank_y").alias(name))
 
 
-def auc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
-    """(by, n_pos, n_neg, auc): the chance that a positive row scores higher,
-    ties counted half. NULL where a side is empty. Rows are counted by score
-    first; only distinct scores are ordered."""
+def score_counts(df: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
+    """(by, score, pos, neg): rows of either kind at each distinct score."""
+    return df.groupBy(*(by or []), score).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+
+
+def auc_of_counts(counts: DataFrame, score: str, by: list[str] | None = None) -> DataFrame:
+    """(by, n_pos, n_neg, auc) of ``score_counts``, which is read three times:
+    checkpoint it where it costs more than a scan."""
     by = by or []
-    counts = df.groupBy(*by, score).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
     below = running_totals(counts, score, ["neg"], by)
     wins = F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2.0))
     out = below.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), wins.alias("_wins"))
     return out.select(*by, "n_pos", "n_neg", ratio(F.col("_wins"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"))
 
 
+def auc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
+    """(by, n_pos, n_neg, auc): the chance that a positive row scores higher,
+    ties counted half. NULL where a side is empty. Rows are counted by score
+    first; only distinct scores are ordered."""
+    return auc_of_counts(score_counts(df, score, positive, by), score, by)
+
+
 def separation(score: Column | str, within: Column, divisor: float = 1.0) -> dict[str, Column]:
     """Aggregates that describe within and cross scores: means, population
     deviations, their difference, and that over the observed range. Scores are

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from agreemill.functions import text as tx
 from agreemill.functions.numbers import r6, ratio
-from agreemill.operators import masks, pairs, resample, syntax
+from agreemill.operators import masks, resample, syntax
+from agreemill.plans.query_pairs import pair_counts
 from agreemill.session import scratch
 from agreemill.sources import testdata as td
 from agreemill.sources import tokens, trees
@@ -153,13 +154,10 @@ def boot_cluster_alpha_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boot_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUC intervals on a bounded sample of pairs, as for a published pair set."""
-    rows = pairs.all_pairs(td.table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
-    drawn = (F.col("a") * 7919 + F.col("b") * 104729) % 1000003
-    some = rows.withColumn("draw", drawn)
-    sides = [some.where(F.col("within") == w).orderBy("draw", "a", "b").limit(2250).toPandas() for w in (True, False)]
-    make = lambda f: {"score": f["score"].to_numpy(), "rounded": f["score"].round(1).to_numpy()}
-    return resample.intervals(resample.auc_replicates(spark, make(sides[0]), make(sides[1]), "boot_auc", REPLICATES))
+    """AUC intervals of all embedding pairs, by scores of six decimals and of one."""
+    counts = pair_counts(spark, sf_dir)
+    of = lambda label, decimals: resample.auc_count_replicates(counts, "score", label, f"boot_auc|{label}", REPLICATES, decimals)
+    return resample.intervals(of("score", 6).unionByName(of("rounded", 1)))
 
 
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agreemill.functions.numbers import r6, ratio
 from agreemill.operators import pairs, patches, stats
+from agreemill.session import kept
 from agreemill.sources import testdata as td
 from agreemill.sources.testdata import sql
 
@@ -15,8 +16,13 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.all_pairs(td.table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
 
 
+def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(score, pos, neg) of all pairs, scored once: within and cross pairs at each score."""
+    return kept(stats.score_counts(_pairs(spark, sf_dir), "score", F.col("within")))
+
+
 def pair_auc_within_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = stats.auc(_pairs(spark, sf_dir), "score", F.col("within"))
+    out = stats.auc_of_counts(pair_counts(spark, sf_dir), "score")
     return out.select(F.col("n_pos").alias("n_within"), F.col("n_neg").alias("n_cross"), r6(F.col("auc")).alias("auc"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive plans, UTC, Arrow; partition counts are left to the cluster.
 SETTINGS = {
@@ -38,3 +38,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession) -> str:
     """A new folder name in the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows computed once, in the shared checkpoint folder, for plans that
+    read them several times."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -63,6 +63,13 @@ def test_results_do_not_depend_on_partitions(spark, name):
     assert seen[0] == seen[1] == seen[2]
 
 
+def test_auc_intervals_cover_all_pairs(spark):
+    whole = registry.queries()["pair_auc_within_cross"](spark, SF).first()["auc"]
+    found = {r["label"]: r for r in registry.queries()["boot_auc"](spark, SF).collect()}
+    assert abs(found["score"]["point"] - whole) < 1e-6 and found["score"]["lo"] < whole < found["score"]["hi"]
+    assert found["rounded"]["lo"] < found["rounded"]["point"] < found["rounded"]["hi"]
+
+
 def test_nothing_else_imports_the_training_data_operators():
     for path in [*ROOT.glob("agreemill/**/*.py"), *ROOT.glob("tests/*.py")]:
         if "llm" in path.relative_to(ROOT).parts:

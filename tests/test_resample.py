@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
-from agreemill.operators import resample
+from agreemill.operators import resample, stats
 from agreemill.plans import rated
 
 ROWS = {"good": False, "rubric": True}
@@ -91,6 +93,28 @@ def test_auc_replicates(spark):
     assert len(by) == 41 and np.std([v for k, v in by.items() if k[2] >= 0]) > 0
 
 
+def test_auc_of_counts(spark):
+    rng = np.random.default_rng(3)
+    w, c = rng.normal(0.3, 0.3, 150).round(2), rng.normal(0, 0.3, 400).round(2)
+    rows = [(float(v), True) for v in w] + [(float(v), False) for v in c]
+    df = spark.createDataFrame([*rows, (None, True), (float("nan"), False)], "s double, within boolean")
+    counts = stats.score_counts(df, "s", F.col("within"))
+    expected = []
+    for iw, ic in resample.auc_draws("plain", len(w), len(c), 0, 600, 600):
+        expected.append(resample.auc_of(w[iw], c[ic]))
+    for width in (0.02, 0.3, 100.0):
+        got = collected(resample.auc_count_replicates(counts, "s", "m", "t", 600, width=width))
+        again = collected(resample.auc_count_replicates(counts.repartition(5, "pos"), "s", "m", "t", 600, width=width))
+        assert len(got) == 601 and all(abs(got[k] - again[k]) < 1e-12 for k in got)
+        assert abs(got["m", "auc", -1] - resample.auc_of(w, c)) < 1e-12
+        reps = np.array([v for k, v in got.items() if k[2] >= 0])
+        assert abs(reps.std() / np.std(expected) - 1) < 0.12 and abs(reps.mean() - np.mean(expected)) < 5 * reps.std() / 600**0.5
+    empty = collected(resample.auc_count_replicates(counts.withColumn("pos", F.lit(0)), "s", "m", "t", 5))
+    assert len(empty) == 6 and all(np.isnan(v) for v in empty.values())
+    with pytest.raises(ValueError, match="widen"):
+        resample.auc_count_replicates(counts, "s", "m", "t", 2_000_000, width=0.01)
+
+
 def test_intervals_and_differences_ignore_nan(spark):
     rows = [("a", "s", -1, 0.5)] + [("a", "s", b, float(b) if b else float("nan")) for b in range(101)]
     rows += [("b", "s", -1, 0.25)] + [("b", "s", b, float(b) - 1) for b in range(101)]
