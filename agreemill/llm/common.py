@@ -56,6 +56,17 @@ def checkpoint(df: DataFrame, files: int | None = None) -> DataFrame:
     return df.coalesce(max(1, files or 4 * sc.defaultParallelism)).checkpoint(eager=True)
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The rows of a checkpointed table under a plan without its size estimate.
+
+    A checkpoint keeps the estimate of the plan that made it, and a join's is the
+    product of its sides: over the rounds of a loop its digits grow as a power of
+    the rounds, until the driver's memory is full of one number.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), spark)
+
+
 def small_batches() -> None:
     """Bound by bytes what a Python worker gets at once: texts may be long, and
     a default batch of 10,000 of them fills memory on both sides."""

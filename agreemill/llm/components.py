@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agreemill.llm.common import checkpoint
+from agreemill.llm.common import checkpoint, fresh
 
 MAX_ROUNDS = 60
 ROWS_A_FILE = 200_000
@@ -48,13 +48,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node that has an edge to another one;
     component is the smallest node it can reach."""
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a) != F.col(b)).distinct()
-    now = checkpoint(now)
+    now = fresh(checkpoint(now))
     rows = now.count()
     for _ in range(MAX_ROUNDS):
         if _settled(now, rows):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct()
         files = 1 + rows // ROWS_A_FILE
         large = checkpoint(_large_star(now, files), files)
-        now = checkpoint(_small_star(large, files), files)
+        now = fresh(checkpoint(_small_star(large, files), files))
         rows = now.count()
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
