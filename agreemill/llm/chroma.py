@@ -16,10 +16,11 @@ Candidates share an integer. Postings are (integer, recording) alone, and each
 candidate pair is aligned once, so what is shuffled grows with the length of a
 recording, not with its square. Within an integer all recordings are first
 compared with one of them; then only pairs that this does not show to be
-connected. Integers of up to ``FEW`` recordings yield these pairs; crowded ones
-are dealt as pairs of parts of ``PART`` recordings, with their fingerprints, and
-each such task yields a spanning forest of its links. No pair goes unseen and no
-task holds a whole hot integer.
+connected. Integers of up to ``FEW`` recordings yield these pairs (of two: one
+pair an integer); others are dealt as pairs of parts of ``PART`` recordings, with
+their fingerprints. Such a task tries a pair only at the smallest integer that
+its recordings share, so once in all, and yields a spanning forest of its links,
+never the pairs. No pair goes unseen and no task holds a whole hot integer.
 
 Edge cases: null, empty and too short recordings have no integers and are
 classes of their own (null ids too); silence gives zero frames and equal
@@ -51,7 +52,7 @@ SPAN = 16
 THRESHOLD = 0.25
 MAX_ERRORS = 0.2
 MIN_OVERLAP = 16
-FEW = 32
+FEW = 2
 PART = 256
 
 Decoder = Callable[[object], np.ndarray | None]
@@ -246,13 +247,14 @@ def _crowd(max_errors: float):
 
         def flush() -> Iterator[pa.RecordBatch]:
             label = {x[2]: x[2] for x in held}
+            own = [np.unique(x[3]) for x in held]
             out = []
             for i, (_, n, mine, fp) in enumerate(held):
-                for second, m, other, print_ in held[i + 1 :]:
+                for j, (second, m, other, print_) in enumerate(held[i + 1 :], i + 1):
                     if key[1] != key[2] and (held[i][0] or not second):
                         continue
                     x, y = label[mine], label[other]
-                    if x != y and linked(fp, print_, max_errors):
+                    if x != y and np.intersect1d(own[i], own[j], assume_unique=True)[0] == key[0] and linked(fp, print_, max_errors):
                         out.append((min(n, m), max(n, m)))
                         label = {k: min(x, y) if v == max(x, y) else v for k, v in label.items()}
             held.clear()
