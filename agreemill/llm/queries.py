@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agreemill.llm import chat, chroma, decontam, htmltext, langid, licenses, packing, simhash, tokencount, toxicity
+from agreemill.llm import chat, chroma, decontam, htmltext, langid, licenses, negatives, packing, simhash, tokencount, toxicity
 from agreemill.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminations(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chroma": op1_chroma,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tokencount": op8_tokencount,
         "op9_simhash": op9_simhash,
         "op10_decontam": op10_decontam,
+        "op11_negatives": op11_negatives,
     }
 
 
@@ -69,4 +74,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_chat": chat.ORACLE_SQL,
         "op10_decontam": decontam.ORACLE_SQL,
+        "op11_negatives": negatives.ORACLE_SQL,
     }
