@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agreemill.llm import chat, chroma, decontam, htmltext, langid, licenses, negatives, packing, simhash, tokencount, toxicity
+from agreemill.llm import chat, chroma, decontam, htmltext, langid, licenses, negatives, packing, quality, simhash, spelling, tokencount, toxicity
 from agreemill.llm.common import table
 
 
@@ -54,6 +54,14 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mined(spark, sf_dir)
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.documents(spark, sf_dir)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chroma": op1_chroma,
@@ -67,6 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": op9_simhash,
         "op10_decontam": op10_decontam,
         "op11_negatives": op11_negatives,
+        "op12_quality": op12_quality,
+        "op13_spelling": op13_spelling,
     }
 
 
@@ -75,4 +85,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat": chat.ORACLE_SQL,
         "op10_decontam": decontam.ORACLE_SQL,
         "op11_negatives": negatives.ORACLE_SQL,
+        "op12_quality": quality.ORACLE_SQL,
+        "op13_spelling": spelling.ORACLE_SQL,
     }
