@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agreemill.functions.text import STRIPPERS, strip_subject, was_stripped
-from agreemill.operators import pairs, patches
+from agreemill.operators import pairs, patches, pooling
 
 __all__ = ["STRIPPERS", "PairScorer"]
 
+BACKGROUND_COUNTS = ("pf_n_fg", "pf_n_total", "pf_n_bg_pooled")
+
 
 @dataclass(frozen=True)
 class PairScorer:
@@ -23,11 +25,14 @@ class PairScorer:
 
     ``fg_threshold``: reference patches above it count for concept
     preservation; output patches that don't reach it are background for prompt
-    following. ``stripper``: how the subject leaves the prompt.
+    following. ``stripper``: how the subject leaves the prompt. ``head``: the
+    image tower's attention pool, which the background goes through; without one
+    background patches are averaged.
     """
 
     fg_threshold: float = 0.5
     stripper: str = "regex"
+    head: pooling.AttentionHead | None = None
 
     def __post_init__(self) -> None:
         if self.stripper not in STRIPPERS:
@@ -47,14 +52,26 @@ class PairScorer:
         ``triples``: (ref, out, prompt, object_name); ``texts``: (pf_prompt, vector).
         """
         ready = self.prompts(triples)
-        rows = patches.per_patch(patches.matches(ready.select("ref", "out").distinct(), patches.image_blocks(patch_rows)))
+        blocks = patches.image_blocks(patch_rows)
+        rows = patches.per_patch(patches.matches(ready.select("ref", "out").distinct(), blocks))
         parts = patches.scores(self.fg_threshold) | {"cp": patches.masked_maxcos(self.fg_threshold)}
         scored = rows.groupBy("ref", "out").agg(*[v.alias(k) for k, v in parts.items()])
-        out = ready.join(scored, ["ref", "out"])
+        out = ready.join(scored, ["ref", "out"]).join(self.background(blocks, patch_rows), "out", "left")
         if texts is None:
             out = out.withColumn("pf", F.lit(None).cast("double"))
         else:
-            pooled = patches.mean_pool(patch_rows, ~(F.col("w") >= self.fg_threshold), "bg").withColumnRenamed("image_id", "out")
-            out = out.join(pooled, "out", "left").join(texts, "pf_prompt", "left").withColumn("pf", pairs.cosine(F.col("bg"), F.col("vector")))
-        extras = F.struct("pf_prompt", "was_stripped", *[k for k in parts if k != "cp"])
+            out = out.join(texts, "pf_prompt", "left").withColumn("pf", pairs.cosine(F.col("bg"), F.col("vector")))
+        extras = F.struct("pf_prompt", "was_stripped", *[k for k in parts if k != "cp"], *BACKGROUND_COUNTS)
         return out.select("ref", "out", "cp", "pf", extras.alias("extras"))
+
+    def background(self, blocks: DataFrame, patch_rows: DataFrame) -> DataFrame:
+        """(out, bg, and its counts): the pooled background of each image, NULL
+        where all is foreground."""
+        n_bg = F.size(F.filter("w", lambda w: ~(w >= self.fg_threshold)))
+        if self.head:
+            pooled = pooling.background_pool(blocks, self.head, self.fg_threshold)
+        else:
+            means = patches.mean_pool(patch_rows, ~(F.col("w") >= self.fg_threshold), "bg")
+            pooled = blocks.select("image_id", (F.size("w") - n_bg).alias("n_fg"), F.size("w").alias("n_total"), n_bg.alias("n_bg")).join(means, "image_id", "left")
+        counts = [F.col(c).alias(k) for c, k in zip(("n_fg", "n_total", "n_bg"), BACKGROUND_COUNTS, strict=True)]
+        return pooled.select(F.col("image_id").alias("out"), "bg", *counts)

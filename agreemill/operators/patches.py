@@ -119,17 +119,6 @@ def mean_pool(patches: DataFrame, keep: Column, name: str = "pooled") -> DataFra
     return means.groupBy("image_id").agg(F.transform(ordered, lambda x: x["m"]).alias(name))
 
 
-def attention_pool(features: np.ndarray, allowed: np.ndarray, probe: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray | None:
-    """One probe's softmax-weighted mean of the allowed patches' values; None if
-    no patch is allowed. The trained weights are the caller's."""
-    if not allowed.any():
-        return None
-    x = features[allowed]
-    logits = (x @ keys) @ probe / np.sqrt(len(probe))
-    p = np.exp(logits - logits.max())
-    return (p / p.sum()) @ (x @ values)
-
-
 def points_in_mask(points: DataFrame, mask: DataFrame, key: str, x: str, y: str, width: int, height: int, name: str, threshold: float = 0.5) -> DataFrame:
     """Whether each point lies on the mask: coordinates are truncated and
     clipped to its bounds, then looked up by (key, y, x)."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agreemill.functions.numbers import r6, ratio
-from agreemill.operators import pairs, patches, stats
+from agreemill.operators import pairs, patches, pooling, stats
 from agreemill.session import kept
 from agreemill.sources import testdata as td
 from agreemill.sources.testdata import sql
@@ -120,6 +120,37 @@ def pool_bg_mean_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bg.join(whole, "image_id").select("image_id", r6(pairs.cosine(F.col("bg"), F.col("whole"))).alias("cos"))
 
 
+def pooling_head(dims: int = 64, hidden: int = 32, heads: int = 4) -> pooling.AttentionHead:
+    """A head with weights by rule; a trained one is the caller's."""
+    w = lambda rows, columns, salt: td.weights(rows, columns, salt) / 2
+    row = lambda n, salt: td.weights(1, n, salt)[0]
+    return pooling.AttentionHead(
+        probe=row(dims, 1) * 8, query=w(dims, dims, 2), query_bias=row(dims, 3), key=w(dims, dims, 4), value=w(dims, dims, 5), value_bias=row(dims, 6), out=w(dims, dims, 7), out_bias=row(dims, 8),
+        norm=1 + row(dims, 9), norm_bias=row(dims, 10), up=w(hidden, dims, 11), up_bias=row(hidden, 12), down=w(dims, hidden, 13), down_bias=row(dims, 14), heads=heads,
+    )
+
+
+def pool_bg_attention_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt following: attention-pooled background against a text vector (the
+    mean of another image plays the text)."""
+    p = td.patches(spark, sf_dir)
+    bg = pooling.background_pool(patches.image_blocks(p), pooling_head())
+    text = patches.mean_pool(p, F.lit(True), "text").withColumn("image_id", (F.col("image_id") + 9) % 10)
+    return bg.join(text, "image_id").select("image_id", "n_fg", "n_total", "n_bg", r6(pairs.cosine(F.col("bg"), F.col("text"))).alias("pf"))
+
+
+def maxsim_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late interaction of every text with its image, raw and with projected tokens."""
+    tokens = td.tokens(spark, sf_dir)
+    blocks = patches.image_blocks(td.patches(spark, sf_dir))
+    pairs_ = tokens.select("text_id", (F.col("text_id") % 10).alias("image_id")).distinct()
+    raw = pooling.maxsim(pairs_, pooling.text_blocks(tokens, (0, 1)), blocks)
+    layer = pooling.text_blocks(tokens, (0, 1), (td.weights(64, 64, 21), td.weights(1, 64, 22)[0]))
+    projected = pooling.maxsim(pairs_, layer, blocks).select("text_id", "image_id", F.col("maxsim").alias("projected"))
+    joined = raw.join(projected, ["text_id", "image_id"])
+    return joined.select("text_id", "image_id", "n_tokens", "n_patches", r6(F.col("maxsim")).alias("maxsim"), r6(F.col("projected")).alias("maxsim_textproj"))
+
+
 def maxsim_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late interaction: patches of one image play tokens, every fifth special."""
     rows = _per_patch(spark, sf_dir).where(F.col("ref_idx") % 5 != 0)
@@ -171,6 +202,38 @@ _SCORES = {
 }
 
 
+def _weight(i: str, j: str, salt: int) -> str:
+    """``testdata.weights`` in SQL."""
+    return f"(CAST(({i} * 31 + {j} * 17 + {salt * 13}) % 29 - 14 AS DOUBLE) / 64.0::DOUBLE)"
+
+
+#: The pooling head unfolded: every patch has its own keys and values.
+_ATTENTION = f"""WITH x AS (SELECT image_id, patch_idx, w, unnest(feat) AS v, unnest(range(64)) AS d FROM v_patches WHERE NOT w >= 0.5::DOUBLE),
+ j AS (SELECT unnest(range(64)) AS j), q AS (SELECT j, sum({_weight("j", "d", 2)} / 2 * {_weight("0", "d", 1)} * 8) + any_value({_weight("0", "j", 3)}) AS q FROM j, (SELECT unnest(range(64)) AS d) GROUP BY j),
+ kv AS (SELECT image_id, patch_idx, j, sum(v * {_weight("j", "d", 4)} / 2) AS k, sum(v * {_weight("j", "d", 5)} / 2) + any_value({_weight("0", "j", 6)}) AS v FROM x, j GROUP BY image_id, patch_idx, j),
+ l AS (SELECT image_id, patch_idx, j // 16 AS h, exp(sum(q * k) / 4) AS e FROM kv JOIN q USING (j) GROUP BY image_id, patch_idx, h),
+ a AS (SELECT image_id, patch_idx, h, e / sum(e) OVER (PARTITION BY image_id, h) AS a FROM l),
+ c AS (SELECT kv.image_id, j, sum(a * v) AS c FROM kv JOIN a ON a.image_id = kv.image_id AND a.patch_idx = kv.patch_idx AND h = j // 16 GROUP BY ALL),
+ o AS (SELECT image_id, i.j AS i, sum(c * {_weight("i.j", "c.j", 7)} / 2) + any_value({_weight("0", "i.j", 8)}) AS o FROM c, j i GROUP BY ALL),
+ n AS (SELECT image_id, i, o, (o - avg(o) OVER p) / sqrt(var_pop(o) OVER p + 1e-6::DOUBLE) * (1 + {_weight("0", "i", 9)}) + {_weight("0", "i", 10)} AS n FROM o WINDOW p AS (PARTITION BY image_id)),
+ u AS (SELECT image_id, m.j AS m, sum(n * {_weight("m.j", "i", 11)} / 2) + any_value({_weight("0", "m.j", 12)}) AS u FROM n, j m WHERE m.j < 32 GROUP BY ALL),
+ g AS (SELECT image_id, m, 0.5::DOUBLE * u * (1 + (exp(2 * z) - 1) / (exp(2 * z) + 1)) AS g FROM (SELECT *, sqrt(2 / pi()) * (u + 0.044715::DOUBLE * u * u * u) AS z FROM u)),
+ f AS (SELECT g.image_id, j.j AS i, sum(g * {_weight("j.j", "m", 13)} / 2) + any_value({_weight("0", "j.j", 14)}) AS f FROM g, j GROUP BY ALL),
+ b AS (SELECT image_id, list(o + f ORDER BY i) AS b FROM n JOIN f USING (image_id, i) GROUP BY image_id),
+ t AS (SELECT (image_id + 9) % 10 AS image_id, list(m ORDER BY d) AS t FROM (SELECT image_id, d, avg(v) AS m FROM (SELECT image_id, unnest(feat) AS v, unnest(range(64)) AS d FROM v_patches) GROUP BY image_id, d) GROUP BY image_id),
+ s AS (SELECT image_id, CAST(count(*) FILTER (WHERE w >= 0.5::DOUBLE) AS INTEGER) AS n_fg, CAST(count(*) AS INTEGER) AS n_total, CAST(count(*) FILTER (WHERE NOT w >= 0.5::DOUBLE) AS INTEGER) AS n_bg FROM v_patches GROUP BY image_id)
+ SELECT image_id, n_fg, n_total, n_bg, round(list_cosine_similarity(b, t), 6) AS pf FROM s JOIN t USING (image_id) LEFT JOIN b USING (image_id)"""
+_MAXSIM = f"""WITH k AS (SELECT *, token_id > 1 AS valid, text_id % 10 AS image_id FROM v_tokens),
+ y AS (SELECT text_id, token_idx, list(y ORDER BY i) AS feat FROM (SELECT text_id, token_idx, i, sum(v * {_weight("i", "d", 21)}) + any_value({_weight("0", "i", 22)}) AS y
+   FROM (SELECT text_id, token_idx, unnest(feat) AS v, unnest(range(64)) AS d FROM k WHERE valid), (SELECT unnest(range(64)) AS i) GROUP BY ALL) GROUP BY ALL),
+ s AS (SELECT k.text_id, k.token_idx, max(list_cosine_similarity(k.feat, p.feat)) AS raw, max(list_cosine_similarity(y.feat, p.feat)) AS projected
+   FROM k JOIN y USING (text_id, token_idx) JOIN v_patches p ON p.image_id = k.image_id GROUP BY ALL),
+ n AS (SELECT image_id, CAST(count(*) AS INTEGER) AS n_patches FROM v_patches GROUP BY image_id),
+ t AS (SELECT text_id, image_id, CAST(count(*) FILTER (WHERE valid) AS INTEGER) AS n_tokens FROM k GROUP BY ALL)
+ SELECT text_id, image_id, n_tokens, n_patches, round(raw, 6) AS maxsim, round(projected, 6) AS maxsim_textproj FROM t JOIN n USING (image_id)
+ LEFT JOIN (SELECT text_id, avg(raw) AS raw, avg(projected) AS projected FROM s GROUP BY text_id) USING (text_id)"""
+
+
 def _score_sql(*names: str) -> str:
     cols = ", ".join(f"{v} AS {k}" for k, v in _SCORES.items() if not names or k in names)
     return sql(f"WITH {NN} SELECT ref, out, {cols} FROM m GROUP BY ref, out", "v_patches")
@@ -189,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pair_auc_within_cross, pair_describe_separation, pair_within_theta_join, pair_cross_sample_hashed, pair_even_stride_pick, global_cosine, nn_top1_cosine, nn_mutual, cp_masked_maxcos, cp_global_maxcos,
-        cp_weighted_maxcos, cp_recall_fg, cp_all_variants, cp_threshold_boundary, cp_remask_from_arrays, pool_bg_mean_cosine, maxsim_tokens, recall_sparse_points,
+        cp_weighted_maxcos, cp_recall_fg, cp_all_variants, cp_threshold_boundary, cp_remask_from_arrays, pool_bg_mean_cosine, pool_bg_attention_cosine, maxsim_tokens, maxsim_token_table, recall_sparse_points,
     )
 }
 
@@ -229,6 +292,8 @@ ORACLE_SQL = {
         SELECT b.image_id, round(list_cosine_similarity(b.v, g.v), 6) AS cos FROM b JOIN g ON b.image_id = g.image_id""",
         "v_patches",
     ),
+    "pool_bg_attention_cosine": sql(_ATTENTION, "v_patches"),
+    "maxsim_token_table": sql(_MAXSIM, "v_patches", "v_tokens"),
     "maxsim_tokens": sql(f"WITH {NN} SELECT ref, out, round(avg(cos), 6) AS maxsim, count(*) AS n_tokens FROM m WHERE ref_idx % 5 <> 0 GROUP BY ref, out", "v_patches"),
     "recall_sparse_points": """WITH r AS (SELECT l_returnflag || l_linestatus AS pair, l_quantity AS xr, CAST(l_partkey % 70 - 3 AS DOUBLE) + 0.5::DOUBLE AS yr, CAST(l_suppkey % 67 - 1 AS DOUBLE) + 0.25::DOUBLE AS xo, l_orderkey % 61 AS yo, l_discount * 10 AS conf FROM lineitem),
       k AS (SELECT * FROM r WHERE conf >= 0.2::DOUBLE AND xr >= 3 AND xr < 61 AND yr >= 3 AND yr < 61),

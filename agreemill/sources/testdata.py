@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +55,21 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("pool"), F.col("l_linestatus").alias("prompt"), F.col("l_extendedprice").alias("score"), F.col("l_quantity").alias("rating"))
 
 
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(text_id, token_idx, token_id, feat): ten vectors are a text. Ids 0 and 1
+    (padding, end) are special; the texts divisible by 17 hold nothing else."""
+    v = F.col("vec_id")
+    text = F.floor(v / 10)
+    ids = F.when((text % 17 == 0) | (v % 10 > 4 + text % 6), v % 2).otherwise(2 + v % 97)
+    return table(spark, sf_dir, "embeddings").select(text.alias("text_id"), (v % 10).cast("int").alias("token_idx"), ids.cast("int").alias("token_id"), F.col("embedding").alias("feat"))
+
+
+def weights(rows: int, columns: int, salt: int) -> np.ndarray:
+    """A matrix by rule, for layers whose trained weights are the caller's."""
+    i, j = np.indices((rows, columns))
+    return ((i * 31 + j * 17 + salt * 13) % 29 - 14) / 64.0
+
+
 #: The same views for the SQL side.
 SQL = {
     "v_patches": """SELECT label AS image_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS patch_idx,
@@ -68,6 +84,8 @@ SQL = {
     "v_long": """SELECT method, key, 'g1' AS rater, g1 AS value FROM v_rated UNION ALL SELECT method, key, 'g2', g2 FROM v_rated
       UNION ALL SELECT method, key, 'a', x FROM v_rated WHERE key % 5 <> 0 UNION ALL SELECT method, key, 'b', judge FROM v_rated WHERE key % 7 <> 0
       UNION ALL SELECT method, key, 'c', x / 2 + g1 FROM v_rated WHERE key % 11 <> 0""",
+    "v_tokens": """SELECT vec_id // 10 AS text_id, CAST(vec_id % 10 AS INTEGER) AS token_idx,
+      CAST(CASE WHEN vec_id // 10 % 17 = 0 OR vec_id % 10 > 4 + vec_id // 10 % 6 THEN vec_id % 2 ELSE 2 + vec_id % 97 END AS INTEGER) AS token_id, embedding::DOUBLE[] AS feat FROM embeddings""",
     "v_prompts": """SELECT p_partkey AS id, 'A photo of a ' || p_name || ' on a desk' AS prompt, split_part(p_name, ' ', 2) AS object_name FROM part""",
     "v_cells": """SELECT l_returnflag AS pool, l_linestatus AS prompt, l_extendedprice AS score, l_quantity AS rating FROM lineitem""",
 }

@@ -116,12 +116,3 @@ def test_dense_and_stored_scores(spark):
     assert got == {0.0: (0.2, 1), -0.3: (0.0, 0)}
     tokens = spark.createDataFrame([(i, i % 4, i // 4) for i in range(16)], "token_idx int, gx int, gy int")
     assert patches.strided(tokens, 2).count() == 4 and patches.without_prefix(tokens, 5).agg(F.min("token_idx"), F.count("*")).first()[:] == (0, 11)
-
-
-def test_attention_pool():
-    rng = np.random.default_rng(0)
-    x, probe, k, v = rng.normal(size=(5, 4)), rng.normal(size=3), rng.normal(size=(4, 3)), rng.normal(size=(4, 2))
-    allowed = np.array([True, False, True, False, False])
-    e = np.exp(x[allowed] @ k @ probe / 3**0.5)
-    assert np.allclose(patches.attention_pool(x, allowed, probe, k, v), (e / e.sum()) @ x[allowed] @ v)
-    assert patches.attention_pool(x, np.zeros(5, bool), probe, k, v) is None
