@@ -7,11 +7,11 @@ combines it on the map side: no rows are exploded, sorted or collected. Ranks
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agreemill.functions.numbers import c, ratio
-from agreemill.operators.ranks import running_totals, with_rank
+from agreemill.operators.ranks import bucketed_totals, with_ranks
 
 
 def _alpha(n: Column, mx: Column, my: Column, vx: Column, vy: Column, cxy: Column) -> Column:
@@ -62,7 +62,7 @@ def pearson(x: Column | str, y: Column | str) -> Column:
 
 def ranked_pair(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """Average ranks of x and y as ``rank_x`` and ``rank_y``."""
-    return with_rank(with_rank(df, x, "rank_x", by), y, "rank_y", by)
+    return with_ranks(df, {x: "rank_x", y: "rank_y"}, by)
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, name: str = "rho") -> DataFrame:
@@ -77,12 +77,17 @@ def score_counts(df: DataFrame, score: str, positive: Column, by: list[str] | No
 
 
 def auc_of_counts(counts: DataFrame, score: str, by: list[str] | None = None) -> DataFrame:
-    """(by, n_pos, n_neg, auc) of ``score_counts``, which is read three times:
-    checkpoint it where it costs more than a scan."""
+    """(by, n_pos, n_neg, auc) of ``score_counts``, in one pass: wins inside each
+    bucket of scores, then wins against the buckets before it. Dealing by range
+    samples the counts first, so checkpoint them where they cost more than a scan."""
     by = by or []
-    below = running_totals(counts, score, ["neg"], by)
-    wins = F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2.0))
-    out = below.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), wins.alias("_wins"))
+    local = bucketed_totals(counts, score, ["neg"], by)
+    inner = F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2.0))
+    parts = local.groupBy(*by, "_bucket").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"), inner.alias("_inner"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_neg").over(before), F.lit(0)))
+    wins = F.sum(F.col("_inner") + F.col("_pos").cast("double") * F.col("_before"))
+    out = parts.groupBy(*by).agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"), wins.alias("_wins"))
     return out.select(*by, "n_pos", "n_neg", ratio(F.col("_wins"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"))
 
 

@@ -51,16 +51,39 @@ def test_key_replicates_are_numpys_draws_whatever_the_tasks(spark):
     assert one != collected(resample.rated_replicates(spark, table, ROWS, "other", total, tasks=1))
 
 
-def test_draws_go_on_over_chunks():
-    whole = list(resample.key_draws("t", 7, 0, 600, 600))
-    parts = [d for a, b in ((0, 100), (100, 333), (333, 600)) for d in resample.key_draws("t", 7, a, b, 600)]
-    assert len(whole) == 600 and all((x == y).all() for x, y in zip(whole, parts, strict=True))
+def test_states_go_on_where_the_last_range_ended(monkeypatch):
+    """Ranges of any size, wound in blocks of any size, give one stream."""
+    whole = [np.bincount(d, minlength=7) for d in resample.generator("t").integers(0, 7, size=(600, 7))]
+    for wind in (5, 64, 8_000_000):
+        monkeypatch.setattr(resample, "WIND", wind)
+        ranges = [(0, 100), (100, 333), (333, 334), (334, 600)]
+        states = resample.draw_states("t", 7, 600, ranges)
+        parts = [d for (a, b), state in zip(ranges, states, strict=True) for d in resample.key_draws(state, 7, b - a)]
+        assert len(parts) == 600 and all((x == y).all() for x, y in zip(whole, parts, strict=True))
+
+
+def test_tasks_do_not_wind(spark, monkeypatch):
+    """Winding happens once, before the tasks: twice the tasks, as many draws."""
+    drawn = []
+    real = resample._drawn
+
+    def counted(rng, high, rows, size):
+        drawn.append(rows)
+        return real(rng, high, rows, size)
+
+    monkeypatch.setattr(resample, "_drawn", counted)
+    for tasks in (4, 8, 16):
+        drawn.clear()
+        resample.draw_states("t", 50, 160, resample._ranges(160, tasks))
+        assert sum(drawn) == 160 - 160 // tasks
 
 
 def test_cluster_draws_take_whole_clusters():
-    clusters = np.array([3, 1, 1, 2, 3, 3])
-    for counts in resample.cluster_draws("t", clusters, 0, 50):
-        assert counts[0] == counts[4] == counts[5] and counts[1] == counts[2]
+    member = np.array([2, 0, 0, 1, 2, 2])
+    (state,) = resample.draw_states("t|cluster", 3, 50, [(0, 50)])
+    rng = resample.generator("t|cluster")
+    for counts in resample.cluster_draws(state, member, 3, 50):
+        assert (counts == np.bincount(rng.integers(0, 3, size=3), minlength=3)[member]).all()
         assert counts[0] + counts[1] + counts[3] == 3
 
 
