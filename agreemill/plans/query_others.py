@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from agreemill.functions import text as tx
 from agreemill.functions.numbers import r6, ratio
-from agreemill.operators import masks, resample, syntax
-from agreemill.plans.query_pairs import pair_counts
-from agreemill.session import scratch
+from agreemill.operators import masks, paired, resample, syntax
+from agreemill.plans.query_pairs import all_scores, pair_counts
+from agreemill.session import kept, scratch
 from agreemill.sources import testdata as td
 from agreemill.sources import tokens, trees
 from agreemill.sources.results import last_wins
@@ -160,6 +160,21 @@ def boot_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.intervals(of("score", 6).unionByName(of("rounded", 1)))
 
 
+PAIRED_REPLICATES = 100
+
+
+def boot_auc_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC intervals of three scores of all embedding pairs on the same draws,
+    and the intervals of their differences."""
+    s = F.col("score")
+    noise = (F.col("a") * 31 + F.col("b") * 17) % 97 / 97.0 * 0.3
+    table = all_scores(spark, sf_dir).select("a", "b", "within", "score", F.round(s, 1).alias("coarse"), (s + noise).alias("noisy"))
+    found = paired.auc_table(kept(table), ["score", "coarse", "noisy"], [("score", "coarse"), ("score", "noisy")], PAIRED_REPLICATES)
+    rows = found["rows"].select("label", F.lit(None).cast("string").alias("against"), "point", "lo", "hi", "se", F.lit(None).cast("double").alias("p"))
+    both = rows.unionByName(found["comparisons"].select(F.col("a").alias("label"), F.col("b").alias("against"), F.col("diff_point").alias("point"), "lo", "hi", "se", F.col("p_boot_two_sided").alias("p")))
+    return both.select("label", "against", *[r6(F.col(c)).alias(c) for c in ("point", "lo", "hi", "se", "p")])
+
+
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a file stream, finished ones left out, each id once, appended
     under a checkpoint and read again."""
@@ -178,7 +193,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         strip_subject_regex, text_cleanup_punct, parse_subject_dir, parse_stem, model_tag, first_per_group, resume_antijoin, latest_score, jsonl_extras_extract, bench_summary, strip_subject_syntax,
-        prompt_strata_dependency, prompt_strata_lexical, mask_fg_fraction, mask_grid_weights, mask_perturb, boot_key_alpha_rho, boot_cluster_alpha_rho, boot_auc, stream_resume,
+        prompt_strata_dependency, prompt_strata_lexical, mask_fg_fraction, mask_grid_weights, mask_perturb, boot_key_alpha_rho, boot_cluster_alpha_rho, boot_auc, boot_auc_paired, stream_resume,
     )
 }
 
@@ -213,5 +228,21 @@ ORACLE_SQL = {
       SELECT CAST(s_suppkey AS VARCHAR) AS image_id, CAST(gy * 6 + gx AS INTEGER) AS patch_idx,
       CAST(avg(CASE WHEN (8 * gy + 3 + dy - cy) * (8 * gy + 3 + dy - cy) + (8 * gx + 3 + dx - 24) * (8 * gx + 3 + dx - 24) <= r * r THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS FLOAT) AS w
       FROM k, range(8) AS a(gy), range(6) AS b(gx), range(2) AS c(dy), range(2) AS d(dx) GROUP BY s_suppkey, gy, gx""",
+    "boot_auc_paired": sql(
+        f"""WITH l AS (SELECT a, b, within, metric, CASE metric WHEN 'score' THEN score WHEN 'coarse' THEN round(score, 1) ELSE score + ((a * 31 + b * 17) % 97) / 97.0::DOUBLE * 0.3::DOUBLE END AS s
+        FROM v_pairs, (SELECT unnest(['score', 'coarse', 'noisy']) AS metric)),
+        h0 AS (SELECT a, b, r, ((a * {paired.STEPS[0]} + b * {paired.STEPS[1]}) % {paired.PRIME} + (r + 1) * {paired.STEPS[2]}) % {paired.PRIME} AS h FROM v_pairs, (SELECT unnest(range(-1, {PAIRED_REPLICATES})) AS r)),
+        h1 AS (SELECT a, b, r, (h * h + {paired.ADDED[0]}) % {paired.PRIME} AS h FROM h0), h2 AS (SELECT a, b, r, (h * h + {paired.ADDED[1]}) % {paired.PRIME} AS h FROM h1),
+        h3 AS (SELECT a, b, r, (h * h + {paired.ADDED[2]}) % {paired.PRIME} AS h FROM h2),
+        w AS (SELECT a, b, r, CASE WHEN r < 0 THEN 1 ELSE {" + ".join(f"CAST(h >= {x} AS INTEGER)" for x in paired.LIMITS)} END AS w FROM h3),
+        g AS (SELECT metric, r, s, sum(CASE WHEN within THEN w ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN within THEN 0 ELSE w END)::DOUBLE AS n FROM l JOIN w USING (a, b) WHERE w > 0 GROUP BY metric, r, s),
+        u AS (SELECT metric, r, p, n, coalesce(sum(n) OVER (PARTITION BY metric, r ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+        v AS (SELECT metric, r, sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS v FROM u GROUP BY metric, r),
+        d AS (SELECT metric AS label, CAST(NULL AS VARCHAR) AS against, r, v FROM v UNION ALL SELECT x.metric, y.metric, x.r, x.v - y.v FROM v x JOIN v y ON x.r = y.r AND x.metric = 'score' AND y.metric <> 'score')
+        SELECT label, against, round(max(v) FILTER (WHERE r < 0), 6) AS point, round(quantile_cont(v, 0.025) FILTER (WHERE r >= 0), 6) AS lo, round(quantile_cont(v, 0.975) FILTER (WHERE r >= 0), 6) AS hi,
+        round(stddev_samp(v) FILTER (WHERE r >= 0), 6) AS se, CASE WHEN against IS NOT NULL THEN round(least(1.0::DOUBLE, 2 * least(count(*) FILTER (WHERE r >= 0 AND v <= 0), count(*) FILTER (WHERE r >= 0 AND v >= 0)) / {PAIRED_REPLICATES}::DOUBLE), 6) END AS p
+        FROM d GROUP BY label, against""",
+        "v_pairs",
+    ),
     "stream_resume": "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS sum_id FROM events WHERE event_id % 3 <> 0 GROUP BY event_type",
 }
