@@ -42,9 +42,10 @@ RATIO = 10
 #: One run in so many loses a letter.
 TYPO = 31
 #: Letters of a group, and of the tries that a task builds at a time.
-GROUP_LETTERS = 200_000
-CHUNK_LETTERS = 400_000
+GROUP_LETTERS = 100_000
+CHUNK_LETTERS = 100_000
 MAX_ROUNDS = 64
+ROWS_A_FILE = 200_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -198,10 +199,11 @@ def groups(words: DataFrame, letters: int = GROUP_LETTERS) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         now = _dealt(ranged)
         sizes = now.where("hi - lo > 1").groupBy(*_KEYS).agg(F.sum(F.length("middle") + 1).alias("letters"))
-        heavy = checkpoint(sizes.where(F.col("letters") > letters).select(*_KEYS))
+        heavy = sizes.where(F.col("letters") > letters).select(*_KEYS)
         if not heavy.head(1):
             done.append(now)
             break
+        heavy = checkpoint(heavy)
         done.append(now.join(heavy, _KEYS, "left_anti"))
         ranged = checkpoint(_halved(now.join(heavy, _KEYS, "left_semi").select("l", "lo", "hi", "word", "n")))
     out = done[0]
@@ -261,15 +263,16 @@ def near_words(words: DataFrame, letters: int = GROUP_LETTERS) -> DataFrame:
     return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "middle").mapInArrow(search, "a string, n_a long, b string, n_b long")
 
 
-def roots(links: DataFrame) -> DataFrame:
+def roots(links: DataFrame, files: int | None = None) -> DataFrame:
     """(word, root): the last form of each chain of (word, form), by doubling.
 
-    Forms are more frequent than their words, so chains end.
+    Forms are more frequent than their words, so chains end. Each round is
+    written in ``files`` files.
     """
-    now = checkpoint(links.select("word", F.col("form").alias("root")))
+    now = checkpoint(links.select("word", F.col("form").alias("root")), files)
     for _ in range(MAX_ROUNDS):
         far = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        step = checkpoint(now.join(far, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        step = checkpoint(now.join(far, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), files)
         now = fresh(step.select("word", "root"))
         if not step.where("moved").head(1):
             return now
@@ -282,13 +285,14 @@ def variants(words: DataFrame, ratio: int = RATIO, letters: int = GROUP_LETTERS)
     A word's form is its most frequent near word, if that is at least ``ratio``
     times as frequent; the root is the last form reached.
     """
-    words = checkpoint(words.select("word", "n"))
+    words = checkpoint(words.select("word", "n"), words.sparkSession.sparkContext.defaultParallelism)
+    files = 1 + words.count() // ROWS_A_FILE
     one = F.struct(F.col("a").alias("word"), F.col("n_a").alias("n"), F.col("b").alias("other"), F.col("n_b").alias("m"))
     two = F.struct(F.col("b").alias("word"), F.col("n_b").alias("n"), F.col("a").alias("other"), F.col("n_a").alias("m"))
     best = near_words(words, letters).select(F.inline(F.array(one, two))).groupBy("word", "n").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
     form = F.when(-F.col("best.m") >= ratio * F.col("n"), F.struct(F.col("best.other").alias("form"), (-F.col("best.m")).alias("form_n")))
-    best = checkpoint(best.select("word", "n_near", form.alias("best")).select("word", "n_near", "best.form", "best.form_n"))
-    last = roots(best.where("form is not null"))
+    best = checkpoint(best.select("word", "n_near", form.alias("best")).select("word", "n_near", "best.form", "best.form_n"), files)
+    last = roots(best.where("form is not null"), files)
     out = words.join(best, "word", "left").join(last, "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
