@@ -7,11 +7,15 @@ vector is sent once for each block, not once for each partner.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agreemill.operators.ranks import positions
+
 TILE_ROWS = 1024
 
 
@@ -80,6 +84,86 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.greatest(F.sqrt(dot(a, a)), F.lit(1e-12)) * F.greatest(F.sqrt(dot(b, b)), F.lit(1e-12)))
 
 
+#: Groups whose sizes, and ordinals whose values, the driver holds and sends.
+MAX_GROUPS = 1_000_000
+MAX_DRAWN = 10_000_000
+
+
 def sampled_pool(size: int, k: int, seed: int) -> list[int]:
     """Ordinals drawn without replacement from an enumerated pool."""
     return np.random.default_rng(seed).choice(size, size=min(k, size), replace=False).tolist()
+
+
+class CrossPool:
+    """All pairs of members of different groups, enumerated but not made.
+
+    Groups are in order, and so are the members of each. Pairs are counted by
+    first group, second group, first member, second member; an ordinal is turned
+    into them by the sizes alone.
+    """
+
+    def __init__(self, sizes: np.ndarray):
+        self.sizes = np.asarray(sizes, np.int64)
+        self.ends = np.cumsum(self.sizes)
+        later = self.ends[-1] - self.ends if len(self.ends) else self.sizes
+        if sum(int(a) * int(b) for a, b in zip(self.sizes, later, strict=True)) >= 2**62:
+            raise ValueError("the pool has too many pairs to count")
+        self.starts = np.cumsum(np.concatenate([[0], self.sizes * later]))
+
+    def __len__(self) -> int:
+        return int(self.starts[-1])
+
+    def pairs(self, ordinals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first group, second group, first member, second member) of ordinals."""
+        ordinals = np.asarray(ordinals, np.int64)
+        one = np.searchsorted(self.starts, ordinals, side="right") - 1
+        rest = ordinals - self.starts[one]
+        # the second group holds sizes[one] pairs for each of its members
+        behind = self.ends[one] + rest // self.sizes[one]
+        two = np.searchsorted(self.ends, behind, side="right")
+        rest -= (self.ends[two] - self.sizes[two] - self.ends[one]) * self.sizes[one]
+        return one, two, rest // self.sizes[two], rest % self.sizes[two]
+
+
+def cross_pool(df: DataFrame, group: str) -> tuple[CrossPool, list]:
+    """The pool of a table and its groups in order. The sizes of at most
+    MAX_GROUPS groups are collected."""
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n")).limit(MAX_GROUPS + 1).collect()
+    if len(sizes) > MAX_GROUPS:
+        raise ValueError(f"a cross pool has at most {MAX_GROUPS} groups")
+    ordered = sorted(sizes, key=lambda r: r[group])
+    return CrossPool(np.array([r["n"] for r in ordered], np.int64)), [r[group] for r in ordered]
+
+
+def unranked(df: DataFrame, group: str, key: str, ordinals: DataFrame) -> DataFrame:
+    """(ordinal, group_a, a, group_b, b): the pairs of an enumerated cross pool
+    that ``ordinals`` (a column ``ordinal``) names, members in order of a distinct
+    ``key``. The pool itself is never made: ordinals become group and position,
+    and members are found by two key joins. Ordinals beyond the pool go."""
+    pool, names = cross_pool(df, group)
+    spark = df.sparkSession
+    sent = spark.sparkContext.broadcast(pool)
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            o = batch["ordinal"].to_numpy()
+            o = o[(o >= 0) & (o < len(sent.value))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (o, *sent.value.pairs(o))], ["ordinal", "ga", "gb", "ia", "ib"])
+
+    turned = ordinals.select(F.col("ordinal").cast("long").alias("ordinal")).mapInArrow(turn, "ordinal long, ga long, gb long, ia long, ib long")
+    kind = df.schema[group].dataType.simpleString()
+    numbers = spark.createDataFrame(list(enumerate(names)), f"g long, _group {kind}")
+    members = positions(df.where(F.col(group).isNotNull()).select(F.col(group).alias("_group"), F.col(key).alias("_key")), "_group", "_key").join(numbers, "_group")
+    side = lambda x: members.select(F.col("g").alias(f"g{x}"), F.col("pos").cast("long").alias(f"i{x}"), F.col("_group").alias(f"group_{x}"), F.col("_key").alias(x))
+    return turned.join(side("a"), ["ga", "ia"]).join(side("b"), ["gb", "ib"]).select("ordinal", "group_a", "a", "group_b", "b")
+
+
+def cross_sample(df: DataFrame, group: str, key: str, k: int, seed: int) -> DataFrame:
+    """``k`` cross pairs (all, if fewer) drawn without replacement by the seeded
+    generator from the enumerated pool; at most MAX_DRAWN."""
+    if k > MAX_DRAWN:
+        raise ValueError(f"at most {MAX_DRAWN} pairs are drawn by the generator; name ordinals by a rule instead")
+    pool, _ = cross_pool(df, group)
+    drawn = np.array(sampled_pool(len(pool), k, seed) if len(pool) else [], np.int64)
+    ordinals = df.sparkSession.createDataFrame(pa.table({"ordinal": drawn}))
+    return unranked(df, group, key, ordinals)

@@ -48,6 +48,25 @@ def pair_cross_sample_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, F.col("la") < F.col("lb")).select("a", "b", draw).orderBy("draw", "a", "b").limit(500)
 
 
+#: A step of ordinals that no pool size here divides, so that none comes twice.
+STEP = 1_000_003
+
+
+def pair_cross_unranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many cross pairs as there are vectors, by ordinals at even steps through
+    the enumerated pool."""
+    e = td.table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    pool, _ = pairs.cross_pool(e, "label")
+    ordinals = spark.range(e.count()).select(F.expr(f"(id * {STEP}L + 17) % {max(1, len(pool))}L").alias("ordinal"))
+    return pairs.unranked(e, "label", "vec_id", ordinals).select("ordinal", F.col("group_a").alias("label_a"), "a", F.col("group_b").alias("label_b"), "b")
+
+
+def pair_cross_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many cross pairs as there are vectors, drawn by the seeded generator."""
+    e = td.table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return pairs.cross_sample(e, "label", "vec_id", e.count(), 42).select("ordinal", "a", "b")
+
+
 def pair_even_stride_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = td.table(spark, sf_dir, "embeddings").select("label", "vec_id")
     return pairs.even_stride(e, "label", "vec_id", 10).select("label", "vec_id", "pos")
@@ -256,7 +275,7 @@ _SEPARATION = """SELECT count(*) FILTER (WHERE within) AS n_within, count(*) FIL
 QUERIES = {
     f.__name__: f
     for f in (
-        pair_auc_within_cross, pair_describe_separation, pair_within_theta_join, pair_cross_sample_hashed, pair_even_stride_pick, global_cosine, nn_top1_cosine, nn_mutual, cp_masked_maxcos, cp_global_maxcos,
+        pair_auc_within_cross, pair_describe_separation, pair_within_theta_join, pair_cross_sample_hashed, pair_cross_unranked, pair_cross_seeded, pair_even_stride_pick, global_cosine, nn_top1_cosine, nn_mutual, cp_masked_maxcos, cp_global_maxcos,
         cp_weighted_maxcos, cp_recall_fg, cp_all_variants, cp_threshold_boundary, cp_remask_from_arrays, pool_bg_mean_cosine, pool_bg_attention_cosine, maxsim_tokens, maxsim_token_table, recall_sparse_points,
     )
 }
@@ -268,6 +287,10 @@ ORACLE_SQL = {
       SELECT a.label, a.vec_id AS a, b.vec_id AS b, a.pos AS i, b.pos AS j FROM p a JOIN p b ON a.label = b.label AND a.pos < b.pos""",
     "pair_cross_sample_hashed": """SELECT a.vec_id AS a, b.vec_id AS b, (a.vec_id * 7919 + b.vec_id * 104729) % 1000003 AS draw
       FROM embeddings a JOIN embeddings b ON a.label < b.label ORDER BY draw, a.vec_id, b.vec_id LIMIT 500""",
+    "pair_cross_unranked": f"""WITH p AS (SELECT a.label AS label_a, a.vec_id AS a, b.label AS label_b, b.vec_id AS b, row_number() OVER (ORDER BY a.label, b.label, a.vec_id, b.vec_id) - 1 AS ordinal
+      FROM embeddings a JOIN embeddings b ON a.label < b.label), n AS (SELECT count(*) AS n FROM p),
+      o AS (SELECT (id * {STEP} + 17) % n AS ordinal FROM (SELECT unnest(range((SELECT count(*) FROM embeddings))) AS id), n)
+      SELECT ordinal, label_a, a, label_b, b FROM o JOIN p USING (ordinal)""",
     "pair_even_stride_pick": """WITH p AS (SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS pos, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
       SELECT label, vec_id, pos FROM p WHERE list_contains(list_transform(range(0, 10), lambda i: CAST(floor(n / 10::DOUBLE * i) AS INTEGER)), pos)""",
     "global_cosine": """SELECT b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos,
