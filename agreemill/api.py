@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agreemill.functions.text import STRIPPERS, strip_subject, was_stripped
-from agreemill.operators import pairs, patches, pooling
+from agreemill.functions.text import STRIPPERS, collapse, strip_subject, was_stripped
+from agreemill.operators import pairs, patches, pooling, syntax
 
 __all__ = ["STRIPPERS", "PairScorer"]
 
@@ -40,18 +40,31 @@ class PairScorer:
         if not 0 <= self.fg_threshold <= 1:
             raise ValueError("fg_threshold lies between 0 and 1")
 
-    def prompts(self, triples: DataFrame) -> DataFrame:
-        """Add ``pf_prompt``, the prompt as it is encoded, and ``was_stripped``."""
-        out = triples.withColumn("pf_prompt", strip_subject("prompt", "object_name", self.stripper))
+    def prompts(self, triples: DataFrame, parses: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        """Add ``pf_prompt``, the prompt as it is encoded, and ``was_stripped``.
+
+        The syntax stripper needs ``parses``, the token tables of the prompts and
+        of the subjects' names; their ``doc_id`` is a column of ``triples``.
+        """
+        if self.stripper == "syntax":
+            if parses is None:
+                raise ValueError("the syntax stripper needs the token tables of prompts and names")
+            words, names = (syntax.documents(p) for p in parses)
+            found = syntax.strip_subjects(syntax.mentions(words, names.withColumnRenamed("t", "name"))).select("doc_id", "stripped")
+            named = F.coalesce(F.trim("object_name"), F.lit("")) != ""
+            out = triples.join(found, "doc_id", "left").withColumn("pf_prompt", F.when(named, F.coalesce("stripped", collapse("prompt"))).otherwise(F.col("prompt"))).drop("stripped")
+        else:
+            out = triples.withColumn("pf_prompt", strip_subject("prompt", "object_name", self.stripper))
         return out.withColumn("was_stripped", was_stripped("prompt", "pf_prompt"))
 
-    def score(self, triples: DataFrame, patch_rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    def score(self, triples: DataFrame, patch_rows: DataFrame, texts: DataFrame | None = None, parses: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
         """(ref, out, cp, pf, extras): cp is NULL without foreground in the
         reference, pf without background in the output or without a text.
 
-        ``triples``: (ref, out, prompt, object_name); ``texts``: (pf_prompt, vector).
+        ``triples``: (ref, out, prompt, object_name); ``texts``: (pf_prompt, vector);
+        ``parses`` as in ``prompts``.
         """
-        ready = self.prompts(triples)
+        ready = self.prompts(triples, parses)
         blocks = patches.image_blocks(patch_rows)
         rows = patches.per_patch(patches.matches(ready.select("ref", "out").distinct(), blocks))
         parts = patches.scores(self.fg_threshold) | {"cp": patches.masked_maxcos(self.fg_threshold)}

@@ -1,12 +1,17 @@
 """Subject stripping and prompt strata over parsed tokens.
 
 The parser is the caller's: its output is a token table (doc_id, i, text, ws,
-lower, lemma, pos, dep, head). Everything here is DataFrame functions over one
-row a document with its tokens in order.
+lower, lemma, pos, dep, head). Rules are DataFrame functions over one row a
+document with its tokens in order. Where a subtree begins and ends is found once
+for all tokens, from the leaves up and at any depth; it then is one look-up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +20,6 @@ PRE_MODIFIERS = ("det", "predet", "poss", "nummod", "quantmod", "amod", "compoun
 MODIFIERS_OF_LATER = ("amod", "compound", "nmod", "nn")
 MEDIUM_NOUNS = ("photo", "photograph", "picture", "image", "painting", "illustration", "sketch", "drawing", "render", "rendering", "art", "artwork", "portrait", "watercolor", "style", "scene", "shot", "close", "view", "poster", "design", "version")
 MEDIUM_VERBS = ("style", "render", "depict", "show", "feature", "capture", "inspire", "focus", "emphasize")
-MAX_HOPS = 12
 
 
 def documents(tokens: DataFrame) -> DataFrame:
@@ -65,26 +69,52 @@ def _root_of(t: Column, start: Column, end: Column) -> Column:
     return F.coalesce(F.get(F.filter(inside, lambda x: (x["head"] < start) | (x["head"] >= end) | (x["head"] == x["i"])), F.lit(0)), F.get(inside, F.lit(0)))
 
 
-def _ancestors(t: Column, of: Column) -> Column:
-    """The chain of heads above a token, itself first."""
-    hops = F.sequence(F.lit(1), F.lit(MAX_HOPS))
-    grow = lambda acc, _: F.when(F.get(t, F.element_at(acc, -1))["head"] == F.element_at(acc, -1), acc).otherwise(F.concat(acc, F.array(F.get(t, F.element_at(acc, -1))["head"].cast("int"))))
-    return F.aggregate(hops, F.array(of.cast("int")), grow)
-
+def edges(heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last token of every token's subtree, for the heads of several
+    documents on end (``sizes`` tokens each; both count within the document).
 
-def _edge(t: Column, of: Column, right: bool = False) -> Column:
-    """The leftmost or rightmost token of a token's subtree."""
-    below = F.filter(t, lambda x: F.array_contains(_ancestors(t, x["i"]), of.cast("int")))
-    at = F.transform(below, lambda x: x["i"].cast("int"))
-    return F.array_max(at) if right else F.array_min(at)
+    A root heads itself. Tokens without a head in their document, and tokens in
+    a ring of heads or below one, count as roots.
+    """
+    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    n = np.repeat(sizes, sizes)
+    own = np.arange(len(heads))
+    up = np.where((heads >= 0) & (heads < n), heads + starts, own)
+    depth, far = (up != own).astype(np.int64), up.copy()
+    for _ in range(int(sizes.max(initial=0)).bit_length()):
+        depth, far = depth + depth[far], far[far]
+    ring = up[far] != far
+    up[ring], depth[ring] = own[ring], 0
+    first, last = own.copy(), own.copy()
+    order = np.argsort(-depth, kind="stable")
+    cuts = np.flatnonzero(np.diff(depth[order])) + 1
+    for level in np.split(order, cuts):  # a level's subtrees are whole before the one above
+        np.minimum.at(first, up[level], first[level])
+        np.maximum.at(last, up[level], last[level])
+    return first - starts, last - starts
+
+
+def with_edges(docs: DataFrame) -> DataFrame:
+    """Add ``lefts`` and ``rights``: the first and last token of each token's subtree."""
+
+    @F.arrow_udf("struct<lefts: array<int>, rights: array<int>>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for heads in batches:
+            offsets = heads.offsets.to_numpy()
+            found = edges(heads.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets))
+            at = pa.array(offsets - offsets[0], pa.int32())
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in found], ["lefts", "rights"])
+
+    heads = F.transform("t", lambda x: x["head"].cast("int"))
+    return docs.withColumn("_edges", find(heads)).withColumns({"lefts": F.col("_edges.lefts"), "rights": F.col("_edges.rights")}).drop("_edges")
 
 
 def _left_reach(t: Column, of: Column, before: Column, strict: bool) -> Column:
     """Leftmost reach of a token's pre-modifiers on its left (else ``before``)."""
     mods = F.filter(t, lambda x: (x["head"] == of) & (x["i"] < of) & x["dep"].isin(*PRE_MODIFIERS))
     if strict:
-        mods = F.filter(mods, lambda x: _edge(t, x["i"], True) < before)
-    return F.least(before, F.coalesce(F.array_min(F.transform(mods, lambda x: _edge(t, x["i"]))), before))
+        mods = F.filter(mods, lambda x: F.get(F.col("rights"), x["i"].cast("int")) < before)
+    return F.least(before, F.coalesce(F.array_min(F.transform(mods, lambda x: F.get(F.col("lefts"), x["i"].cast("int")))), before))
 
 
 def _removed(t: Column, span: Column) -> Column:
@@ -103,7 +133,7 @@ def _removed(t: Column, span: Column) -> Column:
         reach = F.least(acc["left"], _left_reach(t, up, start, True)).cast("int")
         return F.when(go, F.struct(up.alias("node"), reach.alias("left"), F.lit(True).alias("on"))).otherwise(F.struct(acc["node"].alias("node"), acc["left"].alias("left"), F.lit(False).alias("on")))
 
-    left = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_HOPS)), zero, climb, lambda acc: acc["left"])
+    left = F.aggregate(t, zero, climb, lambda acc: acc["left"])
     marker = F.transform(F.filter(t, lambda x: (head["dep"] == "poss") & (x["head"] == head["i"]) & (x["i"] > head["i"]) & (x["dep"] == "case")), lambda x: x["i"].cast("int"))
     return F.concat(F.sequence(left, right - 1), marker)
 
@@ -111,13 +141,14 @@ def _removed(t: Column, span: Column) -> Column:
 def strip_subjects(docs: DataFrame) -> DataFrame:
     """Add ``stripped``: the text without the mentions (``spans``) and the
     pre-modifiers of their noun phrases, white space collapsed."""
+    columns, docs = docs.columns, with_edges(docs)
     t = F.col("t")
     gone = F.flatten(F.transform("spans", lambda s: _removed(t, s)))
     kept = F.filter(t, lambda x: ~F.array_contains(F.col("gone"), x["i"].cast("int")))
     text = F.array_join(F.transform(kept, lambda x: F.concat(x["text"], F.when(x["ws"], F.lit(" ")).otherwise(F.lit("")))), "")
     space = F.regexp_replace(text, r"(?U)\s+", " ")
     tidy = F.regexp_replace(F.trim(F.regexp_replace(space, r"\s+([,.;:!?])", "$1")), r"^[\s,;:]+", "")
-    return docs.withColumn("gone", gone).withColumn("stripped", F.when(F.size("spans") > 0, tidy).otherwise(F.trim(space))).drop("gone")
+    return docs.withColumn("gone", gone).withColumn("stripped", F.when(F.size("spans") > 0, tidy).otherwise(F.trim(space))).select(*columns, "stripped")
 
 
 def strata(docs: DataFrame, lexical: bool = False) -> DataFrame:
@@ -146,8 +177,6 @@ def strata(docs: DataFrame, lexical: bool = False) -> DataFrame:
     return out.withColumn("subject_dependent", either).withColumn("scene_only", ~either).drop("heads")
 
 
-
-
 def stratum(name: str) -> Column:
     """The condition of a named stratum."""
     both = F.col("action_pose") & F.col("attribute")

@@ -83,24 +83,25 @@ def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return td.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), *[r6(x).alias(k) for k, x in parts.items()])
 
 
-def _prompts(spark: SparkSession) -> DataFrame:
-    words, names = tokens.fixture(spark)
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed prompts about all parts, with the subject's mentions."""
+    words, names = tokens.part_tokens(td.table(spark, sf_dir, "part"))
     return syntax.mentions(syntax.documents(words), syntax.documents(names).withColumnRenamed("t", "name"))
 
 
 def strip_subject_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax.strip_subjects(_prompts(spark)).select("doc_id", "stripped")
+    return syntax.strip_subjects(_prompts(spark, sf_dir)).select("doc_id", "stripped")
 
 
 LABELS = ["doc_id", "action_pose", "attribute", "subject_dependent", "scene_only", "subject_found_by"]
 
 
 def prompt_strata_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax.strata(_prompts(spark)).select(*LABELS)
+    return syntax.strata(_prompts(spark, sf_dir)).select(*LABELS)
 
 
 def prompt_strata_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax.strata(_prompts(spark), lexical=True).select(*LABELS)
+    return syntax.strata(_prompts(spark, sf_dir), lexical=True).select(*LABELS)
 
 
 def disk_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +198,42 @@ QUERIES = {
     )
 }
 
+_IN = lambda words: ", ".join(f"'{w}'" for w in words)
+#: Mentions of the subject and the roots of their spans. No two windows overlap here.
+_MENTIONS = """m AS (SELECT doc_id, list(lower(lemma) ORDER BY i) AS l, list(lower(lower) ORDER BY i) AS w, count(*) AS size FROM v_parsed GROUP BY doc_id),
+ k AS (SELECT doc_id, list(lower(lemma) ORDER BY i) AS kl, list(lower(lower) ORDER BY i) AS kw, count(*) AS n, min(lower(lemma)) FILTER (WHERE head = i) AS root FROM v_names GROUP BY doc_id),
+ whole AS (SELECT doc_id, s, n FROM (SELECT *, unnest(range(size - n + 1)) AS s FROM m JOIN k USING (doc_id)) WHERE l[s + 1:s + n] = kl OR w[s + 1:s + n] = kw),
+ spans AS (SELECT doc_id, s, s + n AS e FROM whole UNION ALL SELECT doc_id, i, i + 1 FROM v_parsed JOIN k USING (doc_id) WHERE n > 1 AND pos IN ('NOUN', 'PROPN') AND lower(lemma) = root AND doc_id NOT IN (SELECT doc_id FROM whole)),
+ roots AS (SELECT doc_id, s, e, min(i) AS h FROM spans JOIN v_parsed USING (doc_id) WHERE i >= s AND i < e AND (head < s OR head >= e OR head = i) GROUP BY ALL)"""
+_STRIP = rf"""WITH {_MENTIONS},
+ above AS (WITH RECURSIVE r AS (SELECT doc_id, i, i AS a FROM v_parsed UNION ALL SELECT r.doc_id, r.i, p.head FROM r JOIN v_parsed p ON p.doc_id = r.doc_id AND p.i = r.a WHERE p.head <> p.i) SELECT * FROM r),
+ edge AS (SELECT doc_id, a AS i, min(i) AS lo, max(i) AS hi FROM above GROUP BY doc_id, a),
+ outer_ AS (SELECT r.*, h.dep AS h_dep, o.i = greatest(e, h + 1) AND o.pos IN ('NOUN', 'PROPN') AND o.lower NOT LIKE '%ing' AS own FROM roots r JOIN v_parsed h ON h.doc_id = r.doc_id AND h.i = r.h JOIN v_parsed o ON o.doc_id = r.doc_id AND o.i = h.head),
+ climb AS (WITH RECURSIVE c AS (SELECT doc_id, s, own, h AS node, false AS up FROM outer_ UNION ALL
+   SELECT c.doc_id, s, own, p.head, true FROM c JOIN v_parsed p ON p.doc_id = c.doc_id AND p.i = c.node WHERE NOT own AND p.dep IN ({_IN(syntax.MODIFIERS_OF_LATER)}) AND p.head > p.i) SELECT * FROM c),
+ reach AS (SELECT c.doc_id, c.s, min(lo) AS lo FROM climb c JOIN v_parsed p ON p.doc_id = c.doc_id AND p.head = c.node AND p.i < c.node AND p.dep IN ({_IN(syntax.PRE_MODIFIERS)})
+   JOIN edge g ON g.doc_id = p.doc_id AND g.i = p.i WHERE NOT c.up OR g.hi < c.s GROUP BY c.doc_id, c.s),
+ cut AS (SELECT o.*, least(o.s, coalesce(lo, o.s)) AS a, greatest(e, h + 1) AS b FROM outer_ o LEFT JOIN reach USING (doc_id, s)),
+ gone AS (SELECT DISTINCT p.doc_id, p.i FROM v_parsed p JOIN cut c ON c.doc_id = p.doc_id AND ((p.i >= a AND p.i < b) OR (h_dep = 'poss' AND p.head = h AND p.i > h AND p.dep = 'case'))),
+ rest AS (SELECT doc_id, string_agg(text || CASE WHEN ws THEN ' ' ELSE '' END, '' ORDER BY i) AS x FROM v_parsed p WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.i = p.i) GROUP BY doc_id),
+ flat AS (SELECT doc_id, trim(regexp_replace(coalesce(x, ''), '\s+', ' ', 'g')) AS x FROM (SELECT DISTINCT doc_id FROM v_parsed) LEFT JOIN rest USING (doc_id))
+ SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM spans) THEN regexp_replace(trim(regexp_replace(x, '\s+([,.;:!?])', '\1', 'g')), '^[\s,;:]+', '') ELSE x END AS stripped FROM flat"""
+
+
+def _strata_sql(lexical: bool) -> str:
+    acts = f"bool_or(p.pos = 'VERB' AND lower(p.lemma) NOT IN ({_IN(syntax.MEDIUM_VERBS)}))" if lexical else "bool_or(x.h IS NOT NULL AND p.head <> p.i AND p.dep IN ('acl', 'relcl') AND p.pos IN ('VERB', 'AUX')) OR bool_or(y.h IS NOT NULL AND p.dep IN ('nsubj', 'nsubjpass') AND q.pos = 'VERB')"
+    return sql(
+        f"""WITH {_MENTIONS}, first AS (SELECT doc_id, min(i) AS h FROM v_parsed WHERE pos IN ('NOUN', 'PROPN', 'PRON') AND dep NOT IN ('compound', 'nmod', 'nn') AND lower(lemma) NOT IN ({_IN(syntax.MEDIUM_NOUNS)}) GROUP BY doc_id),
+        heads AS (SELECT DISTINCT doc_id, h, 'mention' AS how FROM roots UNION ALL SELECT doc_id, h, 'first_noun_chunk' FROM first WHERE doc_id NOT IN (SELECT doc_id FROM spans)),
+        g AS (SELECT p.doc_id, {acts} AS action_pose, bool_or(x.h IS NOT NULL AND p.head <> p.i AND ((p.dep IN ('amod', 'compound', 'nmod') AND p.i < p.head AND n.i IS NULL) OR (p.dep = 'prep' AND p.lower = 'with'))) AS attribute,
+          coalesce(min(y.how), 'none') AS subject_found_by
+          FROM v_parsed p JOIN v_parsed q ON q.doc_id = p.doc_id AND q.i = p.head LEFT JOIN heads x ON x.doc_id = p.doc_id AND x.h = p.head LEFT JOIN heads y ON y.doc_id = p.doc_id AND y.h = p.i
+          LEFT JOIN v_names n ON n.doc_id = p.doc_id AND n.lower = p.lower GROUP BY p.doc_id)
+        SELECT doc_id, action_pose, attribute, action_pose OR attribute AS subject_dependent, NOT (action_pose OR attribute) AS scene_only, subject_found_by FROM g""",
+        "v_parsed", "v_names",
+    )
+
+
 _SPACE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 ORACLE_SQL = {
@@ -222,6 +259,9 @@ ORACLE_SQL = {
     "latest_score": "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM events WHERE event_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "jsonl_extras_extract": """SELECT event_type, TRY_CAST(regexp_extract(props, '"k"\\s*:\\s*"?([^,"}\\s]+)', 1) AS INTEGER) AS k, count(*) AS n FROM events GROUP BY ALL""",
     "bench_summary": "SELECT event_type, count(*) AS n, round(median(value), 6) AS median, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stdev, round(1000 / nullif(median(value), 0), 6) AS throughput FROM events GROUP BY event_type",
+    "strip_subject_syntax": sql(_STRIP, "v_parsed", "v_names"),
+    "prompt_strata_dependency": _strata_sql(False),
+    "prompt_strata_lexical": _strata_sql(True),
     "mask_fg_fraction": """WITH k AS (SELECT s_suppkey, 20 + s_suppkey % 24 AS cy, s_suppkey % 25 - 1 AS r FROM supplier)
       SELECT CAST(s_suppkey AS VARCHAR) AS image_id, round(CAST(count(*) FILTER (WHERE (y - cy) * (y - cy) + (x - 24) * (x - 24) <= r * r) AS DOUBLE) / (64 * 48), 6) AS fraction FROM k, range(64) AS a(y), range(48) AS b(x) GROUP BY s_suppkey""",
     "mask_grid_weights": """WITH k AS (SELECT s_suppkey, 20 + s_suppkey % 24 AS cy, s_suppkey % 25 - 1 AS r FROM supplier)

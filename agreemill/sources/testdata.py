@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agreemill.functions.numbers import clip
+from agreemill.sources.tokens import part_tokens_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +88,8 @@ SQL = {
     "v_tokens": """SELECT vec_id // 10 AS text_id, CAST(vec_id % 10 AS INTEGER) AS token_idx,
       CAST(CASE WHEN vec_id // 10 % 17 = 0 OR vec_id % 10 > 4 + vec_id // 10 % 6 THEN vec_id % 2 ELSE 2 + vec_id % 97 END AS INTEGER) AS token_id, embedding::DOUBLE[] AS feat FROM embeddings""",
     "v_prompts": """SELECT p_partkey AS id, 'A photo of a ' || p_name || ' on a desk' AS prompt, split_part(p_name, ' ', 2) AS object_name FROM part""",
+    "v_parsed": part_tokens_sql(0),
+    "v_names": part_tokens_sql(1),
     "v_cells": """SELECT l_returnflag AS pool, l_linestatus AS prompt, l_extendedprice AS score, l_quantity AS rating FROM lineitem""",
 }
 

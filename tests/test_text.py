@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from agreemill.api import PairScorer
 from agreemill.functions import text as tx
 from agreemill.operators import syntax
+from agreemill.schema import TOKEN, struct
 from agreemill.sources import tokens
 
 CASES = [
@@ -78,3 +81,45 @@ def test_strata(spark):
         assert r["subject_dependent"] == (r["action_pose"] or r["attribute"]) == (not r["scene_only"])
     labelled = syntax.strata(prompts(spark))
     assert {n: labelled.where(syntax.stratum(n)).count() for n in ("all", "action_pose", "attribute", "both_action_and_attribute", "scene_only")} == {"all": 8, "action_pose": 2, "attribute": 2, "both_action_and_attribute": 1, "scene_only": 5}
+
+
+def test_edges_of_any_depth():
+    """Chains, forests, rings and wrong heads against a walk up from every token."""
+    rng = np.random.default_rng(0)
+    docs = [[], [0], list(range(1, 40)) + [39], [0] * 30, [1, 2, 0, 0, 4], [-1, 5, 1, 2], [1, 0]]
+    docs += [[int(rng.integers(0, n)) for _ in range(n)] for n in rng.integers(1, 25, 60)]
+    lefts, rights = syntax.edges(np.array([h for d in docs for h in d]), np.array([len(d) for d in docs]))
+    at = 0
+    for heads in docs:
+        n = len(heads)
+        up = [h if 0 <= h < n else i for i, h in enumerate(heads)]
+
+        def walk(i, up=up):
+            seen = [i]
+            while up[seen[-1]] != seen[-1] and len(seen) <= len(up):
+                seen.append(up[seen[-1]])
+            return seen if len(seen) <= len(up) else [i]  # leads into a ring
+
+        above = [walk(i) for i in range(n)]
+        for i in range(n):
+            below = [j for j in range(n) if i in above[j]]
+            assert (lefts[at + i], rights[at + i]) == (min(below), max(below)), heads
+        at += n
+
+
+def test_deep_modifiers_go_with_the_mention(spark):
+    n = 200
+    rows = [("d", i, "so", True, "so", "so", "ADV", "nmod", i + 1) for i in range(n)] + [("d", n, "owl", True, "owl", "owl", "NOUN", "ROOT", n), ("d", n + 1, "sits", False, "sits", "sit", "VERB", "acl", n)]
+    words = spark.createDataFrame(rows, struct(TOKEN))
+    name = spark.createDataFrame([("d", 0, "owl", False, "owl", "owl", "NOUN", "ROOT", 0)], struct(TOKEN))
+    docs = syntax.mentions(syntax.documents(words), syntax.documents(name).withColumnRenamed("t", "name"))
+    assert syntax.strip_subjects(docs).first()["stripped"] == "sits"
+
+
+def test_facade_strips_by_syntax(spark):
+    words, names = tokens.fixture(spark)
+    triples = words.groupBy("doc_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list(F.struct("i", "text")))["text"]).alias("prompt")).withColumn("object_name", F.when(F.col("doc_id") != "d7", "some"))
+    got = {r["doc_id"]: r["pf_prompt"] for r in PairScorer(stripper="syntax").prompts(triples, (words, names)).collect()}
+    assert {k: v for k, v in got.items() if k != "d7"} == {k: v for k, v in STRIPPED.items() if k != "d7"}
+    with pytest.raises(ValueError, match="token tables"):
+        PairScorer(stripper="syntax").prompts(triples)
