@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agreemill.functions.numbers import r6, ratio
-from agreemill.operators import pairs, patches, pooling, stats
+from agreemill.operators import matching, pairs, patches, pooling, stats
 from agreemill.session import kept
 from agreemill.sources import testdata as td
 from agreemill.sources.testdata import sql
@@ -181,14 +181,47 @@ def maxsim_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("ref", "out").agg(r6(F.avg("cos")).alias("maxsim"), F.count("*").alias("n_tokens"))
 
 
-def recall_sparse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keypoint matches with a confidence and a border rule, looked up in masks."""
+def _keypoints(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(matched points with a confidence, masks by point) of image pairs."""
     rows = td.table(spark, sf_dir, "lineitem").select(
-        F.concat("l_returnflag", "l_linestatus").alias("pair"), F.col("l_quantity").alias("xr"), (F.col("l_partkey") % 70 - 3 + 0.5).alias("yr"), (F.col("l_suppkey") % 67 - 1 + 0.25).alias("xo"), (F.col("l_orderkey") % 61).cast("double").alias("yo"), (F.col("l_discount") * 10).alias("conf"),
+        F.concat("l_returnflag", "l_linestatus").alias("pair"), F.col("l_quantity").alias("xr"), (F.col("l_partkey") % 70 - 3 + 0.5).alias("yr"), (F.col("l_suppkey") % 67 - 1 + 0.25).alias("xo"), (F.col("l_orderkey") % 61).cast("double").alias("yo"), (F.col("l_discount") * 10).alias("conf"), "l_orderkey", "l_linenumber",
     )
     spots = spark.range(64 * 64).select((F.col("id") % 64).cast("int").alias("x"), F.floor(F.col("id") / 64).cast("int").alias("y"))
     names = rows.select("pair").distinct()
-    mask = spots.crossJoin(F.broadcast(names)).select("pair", "x", "y", F.when((F.col("x") * 7 + F.col("y") * 13 + F.ascii("pair")) % 10 > 4, 255).otherwise(0).alias("value"))
+    return rows, spots.crossJoin(F.broadcast(names)).select("pair", "x", "y", F.when((F.col("x") * 7 + F.col("y") * 13 + F.ascii("pair")) % 10 > 4, 255).otherwise(0).alias("value"))
+
+
+def recall_sampled_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of 5,000 matches a pair, drawn by their certainty."""
+    rows, mask = _keypoints(spark, sf_dir)
+    drawn = matching.weighted_sample(rows, ["pair"], F.col("conf"), ["l_orderkey", "l_linenumber"], seed=7)
+    found = patches.points_in_mask(patches.points_in_mask(drawn, mask, "pair", "xr", "yr", 64, 64, "in_ref"), mask, "pair", "xo", "yo", 64, 64, "in_out")
+    parts = matching.sampled_recall(certainty="conf")
+    return found.groupBy("pair").agg(*[(v if k.startswith("n_") else r6(v)).alias(k) for k, v in parts.items()])
+
+
+GRID, STRIDE, BORDER = 8, 2, 1
+
+
+def recall_reciprocal_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of reciprocal matches from strided seeds, away from the border of a
+    grid of eight columns."""
+    p = td.patches(spark, sf_dir)
+    blocks = patches.image_blocks(p).withColumn("width", F.lit(GRID))
+    found = matching.reciprocal_matches(td.image_pairs(p), blocks, STRIDE)
+    sides = p.select("image_id", "patch_idx", (F.col("w") > 0.5).alias("fg"))
+    high = blocks.select("image_id", F.ceil(F.size("feat") / GRID).cast("int").alias("height"))
+    for side in ("ref", "out"):
+        own = sides.join(high, "image_id").toDF(side, f"{side}_idx", f"in_{side}", f"{side}_height")
+        at = F.col(f"{side}_idx")
+        found = found.join(own, [side, f"{side}_idx"]).where(patches.away_from_border(at % GRID, F.floor(at / GRID), GRID, F.col(f"{side}_height"), BORDER))
+    parts = patches.match_recall()
+    return found.groupBy("ref", "out").agg(*[(v if k.startswith("n_") else r6(v)).alias(k) for k, v in parts.items()], F.max("rounds").alias("max_rounds"))
+
+
+def recall_sparse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keypoint matches with a confidence and a border rule, looked up in masks."""
+    rows, mask = _keypoints(spark, sf_dir)
     kept = rows.where((F.col("conf") >= 0.2) & patches.away_from_border(F.col("xr"), F.col("yr"), 64, 64))
     found = patches.points_in_mask(patches.points_in_mask(kept, mask, "pair", "xr", "yr", 64, 64, "in_ref"), mask, "pair", "xo", "yo", 64, 64, "in_out")
     ref, both = F.count_if(F.col("in_ref")), F.count_if(F.col("in_ref") & F.col("in_out"))
@@ -263,6 +296,25 @@ def _score_sql(*names: str) -> str:
     return sql(f"WITH {NN} SELECT ref, out, {cols} FROM m GROUP BY ref, out", "v_patches")
 
 
+_POINTS = """r AS (SELECT l_returnflag || l_linestatus AS pair, l_quantity AS xr, CAST(l_partkey % 70 - 3 AS DOUBLE) + 0.5::DOUBLE AS yr, CAST(l_suppkey % 67 - 1 AS DOUBLE) + 0.25::DOUBLE AS xo, l_orderkey % 61 AS yo, l_discount * 10 AS conf, l_orderkey, l_linenumber FROM lineitem)"""
+_PLACED = """c AS (SELECT *, least(greatest(CAST(trunc(xr) AS INTEGER), 0), 63) AS x1, least(greatest(CAST(trunc(yr) AS INTEGER), 0), 63) AS y1, least(greatest(CAST(trunc(xo) AS INTEGER), 0), 63) AS x2, least(greatest(CAST(yo AS INTEGER), 0), 63) AS y2 FROM k),
+ f AS (SELECT *, (x1 * 7 + y1 * 13 + ascii(pair)) % 10 > 4 AS in_ref, (x2 * 7 + y2 * 13 + ascii(pair)) % 10 > 4 AS in_out FROM c)"""
+_SQUARE = "SELECT * REPLACE ((h * h + {} ) % 2147483647 AS h) FROM"
+_SAMPLED = f"""WITH {_POINTS}, h1 AS (SELECT *, (7::BIGINT * 1000003 + l_orderkey % 2147483647) % 2147483647 AS h FROM r WHERE conf > 0),
+ h2 AS ({_SQUARE.format(12345)} h1), h3 AS ({_SQUARE.format(67891)} h2), h4 AS (SELECT * REPLACE ((h * 1000003 + l_linenumber) % 2147483647 AS h) FROM h3), h5 AS ({_SQUARE.format(12345)} h4), h6 AS ({_SQUARE.format(67891)} h5),
+ k AS (SELECT * FROM h6 QUALIFY row_number() OVER (PARTITION BY pair ORDER BY -ln((h + 0.5::DOUBLE) / 2147483647) / conf) <= {matching.N_SAMPLE}), {_PLACED}
+ SELECT pair, round(coalesce(CAST(count(*) FILTER (WHERE in_ref AND in_out) AS DOUBLE) / nullif(count(*) FILTER (WHERE in_ref), 0), 0), 6) AS recall, count(*) AS n_matches, count(*) FILTER (WHERE in_ref) AS n_ref_in_fg,
+ count(*) FILTER (WHERE in_ref AND in_out) AS n_both_in_fg, round(coalesce(avg(conf) FILTER (WHERE in_ref AND in_out), 0), 6) AS mean_certainty_fg FROM f GROUP BY pair"""
+_RECIPROCAL = f"""WITH c AS (SELECT a.image_id AS ref, b.image_id AS out, a.patch_idx AS i, b.patch_idx AS j, round(list_cosine_similarity(a.feat, b.feat), 12) AS cos FROM v_patches a JOIN v_patches b ON a.image_id < b.image_id),
+ go AS (SELECT ref, out, i, j FROM c QUALIFY row_number() OVER (PARTITION BY ref, out, i ORDER BY cos DESC, j) = 1), back AS (SELECT ref, out, j, i FROM c QUALIFY row_number() OVER (PARTITION BY ref, out, j ORDER BY cos DESC, i) = 1),
+ hop AS (SELECT ref, out, go.i, j, back.i AS home FROM go JOIN back USING (ref, out, j)),
+ walk AS (WITH RECURSIVE w AS (SELECT ref, out, i, j, home, 1 AS rounds FROM hop WHERE i // {GRID} % {STRIDE} = {STRIDE // 2} AND i % {GRID} % {STRIDE} = {STRIDE // 2}
+   UNION SELECT h.ref, h.out, h.i, h.j, h.home, rounds + 1 FROM w JOIN hop h ON h.ref = w.ref AND h.out = w.out AND h.i = w.home WHERE w.home <> w.i AND rounds < {matching.MAX_HOPS}) SELECT * FROM w),
+ m AS (SELECT ref, out, i, j, min(rounds) AS rounds FROM walk WHERE home = i GROUP BY ALL), z AS (SELECT image_id, CAST(ceil(count(*) / {GRID}::DOUBLE) AS INTEGER) AS rows FROM v_patches GROUP BY image_id),
+ f AS (SELECT m.*, p.w > 0.5::DOUBLE AS in_ref, q.w > 0.5::DOUBLE AS in_out FROM m JOIN v_patches p ON p.image_id = ref AND p.patch_idx = i JOIN v_patches q ON q.image_id = out AND q.patch_idx = j JOIN z a ON a.image_id = ref JOIN z b ON b.image_id = out
+   WHERE i % {GRID} BETWEEN {BORDER} AND {GRID - BORDER - 1} AND j % {GRID} BETWEEN {BORDER} AND {GRID - BORDER - 1} AND i // {GRID} BETWEEN {BORDER} AND a.rows - {BORDER + 1} AND j // {GRID} BETWEEN {BORDER} AND b.rows - {BORDER + 1})
+ SELECT ref, out, round(coalesce(CAST(count(*) FILTER (WHERE in_ref AND in_out) AS DOUBLE) / nullif(count(*) FILTER (WHERE in_ref), 0), 0), 6) AS recall, count(*) FILTER (WHERE in_ref) AS n_ref_fg, count(*) FILTER (WHERE in_ref AND in_out) AS n_both_fg,
+ count(*) AS n_matches, max(rounds) AS max_rounds FROM f GROUP BY ref, out"""
 _AUC = """WITH s AS (SELECT score, count(*) FILTER (WHERE within) AS w, count(*) FILTER (WHERE NOT within) AS c FROM v_pairs GROUP BY score),
  u AS (SELECT w, c, coalesce(sum(c) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)
  SELECT CAST(sum(w) AS BIGINT) AS n_within, CAST(sum(c) AS BIGINT) AS n_cross, round(CAST(sum(w * (below + c / 2::DOUBLE)) AS DOUBLE) / (CAST(sum(w) AS DOUBLE) * CAST(sum(c) AS DOUBLE)), 6) AS auc FROM u"""
@@ -276,7 +328,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pair_auc_within_cross, pair_describe_separation, pair_within_theta_join, pair_cross_sample_hashed, pair_cross_unranked, pair_cross_seeded, pair_even_stride_pick, global_cosine, nn_top1_cosine, nn_mutual, cp_masked_maxcos, cp_global_maxcos,
-        cp_weighted_maxcos, cp_recall_fg, cp_all_variants, cp_threshold_boundary, cp_remask_from_arrays, pool_bg_mean_cosine, pool_bg_attention_cosine, maxsim_tokens, maxsim_token_table, recall_sparse_points,
+        cp_weighted_maxcos, cp_recall_fg, cp_all_variants, cp_threshold_boundary, cp_remask_from_arrays, pool_bg_mean_cosine, pool_bg_attention_cosine, maxsim_tokens, maxsim_token_table, recall_sparse_points, recall_sampled_matches, recall_reciprocal_seeds,
     )
 }
 
@@ -323,6 +375,8 @@ ORACLE_SQL = {
     "pool_bg_attention_cosine": sql(_ATTENTION, "v_patches"),
     "maxsim_token_table": sql(_MAXSIM, "v_patches", "v_tokens"),
     "maxsim_tokens": sql(f"WITH {NN} SELECT ref, out, round(avg(cos), 6) AS maxsim, count(*) AS n_tokens FROM m WHERE ref_idx % 5 <> 0 GROUP BY ref, out", "v_patches"),
+    "recall_sampled_matches": _SAMPLED,
+    "recall_reciprocal_seeds": sql(_RECIPROCAL, "v_patches"),
     "recall_sparse_points": """WITH r AS (SELECT l_returnflag || l_linestatus AS pair, l_quantity AS xr, CAST(l_partkey % 70 - 3 AS DOUBLE) + 0.5::DOUBLE AS yr, CAST(l_suppkey % 67 - 1 AS DOUBLE) + 0.25::DOUBLE AS xo, l_orderkey % 61 AS yo, l_discount * 10 AS conf FROM lineitem),
       k AS (SELECT * FROM r WHERE conf >= 0.2::DOUBLE AND xr >= 3 AND xr < 61 AND yr >= 3 AND yr < 61),
       c AS (SELECT pair, least(greatest(CAST(trunc(xr) AS INTEGER), 0), 63) AS x1, least(greatest(CAST(trunc(yr) AS INTEGER), 0), 63) AS y1, least(greatest(CAST(trunc(xo) AS INTEGER), 0), 63) AS x2, least(greatest(CAST(yo AS INTEGER), 0), 63) AS y2 FROM k),
