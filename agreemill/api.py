@@ -57,16 +57,17 @@ class PairScorer:
             out = triples.withColumn("pf_prompt", strip_subject("prompt", "object_name", self.stripper))
         return out.withColumn("was_stripped", was_stripped("prompt", "pf_prompt"))
 
-    def score(self, triples: DataFrame, patch_rows: DataFrame, texts: DataFrame | None = None, parses: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    def score(self, triples: DataFrame, patch_rows: DataFrame, texts: DataFrame | None = None, parses: tuple[DataFrame, DataFrame] | None = None, matched: DataFrame | None = None) -> DataFrame:
         """(ref, out, cp, pf, extras): cp is NULL without foreground in the
         reference, pf without background in the output or without a text.
 
         ``triples``: (ref, out, prompt, object_name); ``texts``: (pf_prompt, vector);
-        ``parses`` as in ``prompts``.
+        ``parses`` as in ``prompts``; ``matched``: stored ``patches.matches`` of
+        these pairs, which are then not made again.
         """
         ready = self.prompts(triples, parses)
         blocks = patches.image_blocks(patch_rows)
-        rows = patches.per_patch(patches.matches(ready.select("ref", "out").distinct(), blocks))
+        rows = patches.per_patch(patches.matches(ready.select("ref", "out").distinct(), blocks) if matched is None else matched)
         parts = patches.scores(self.fg_threshold) | {"cp": patches.masked_maxcos(self.fg_threshold)}
         scored = rows.groupBy("ref", "out").agg(*[v.alias(k) for k, v in parts.items()])
         out = ready.join(scored, ["ref", "out"]).join(self.background(blocks, patch_rows), "out", "left")

@@ -10,6 +10,10 @@ from agreemill.functions.text import STRIPPERS, comma_list, strip_subject
 from agreemill.session import session
 
 
+#: Stands for a flag that was not given, where None is a value.
+UNSET = object()
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="agreemill", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
@@ -23,13 +27,17 @@ def parser() -> argparse.ArgumentParser:
     score.add_argument("--config", required=True)
     score.add_argument("--pairs", required=True)
     score.add_argument("--patches", required=True)
-    score.add_argument("--method", help="comma-separated methods")
-    score.add_argument("--min-fg-fraction", type=fraction_or_none, default=0.05, help="a number, or none")
-    score.add_argument("--tag-suffix", default="")
-    score.add_argument("--stripper", choices=STRIPPERS, default="regex")
+    score.add_argument("--texts", help="vectors by pf_prompt")
+    score.add_argument("--tokens", help="parsed prompts, for the syntax stripper")
+    score.add_argument("--names", help="parsed names of the subjects, for the syntax stripper")
+    score.add_argument("--method", help="comma-separated methods, instead of the configuration's")
+    score.add_argument("--min-fg-fraction", type=fraction_or_none, default=UNSET, help="a number, or none, instead of the configuration's")
+    score.add_argument("--tag-suffix", default="", help="added to the configuration's tag")
+    score.add_argument("--stripper", choices=STRIPPERS, help="instead of the configuration's")
     score.add_argument("--dump-patch-arrays", action="store_true")
     score.add_argument("--max-samples", type=int)
-    score.add_argument("--out", required=True)
+    score.add_argument("--batches", type=int, default=1, help="parts of the run that are committed one by one")
+    score.add_argument("--out", help="instead of the configuration's")
     strip = sub.add_parser("strip", help="strip a subject from a prompt")
     strip.add_argument("prompt")
     strip.add_argument("subject")
@@ -83,23 +91,23 @@ def main(argv: list[str] | None = None) -> int:
         row = spark.createDataFrame([(args.prompt, args.subject)], "prompt string, subject string")
         print(row.select(strip_subject("prompt", "subject", args.stripper)).first()[0])
     else:
-        from agreemill.api import PairScorer
-        from agreemill.operators import patches
-        from agreemill.sources.results import capped
-
-        config = load(args.config, tag=args.tag_suffix or None, max_samples=args.max_samples, dump_patch_arrays=args.dump_patch_arrays or None)
-        rows = spark.read.parquet(args.pairs)
-        if methods(args.method):
-            rows = rows.where(F.array_contains(comma_list(F.lit(args.method)), F.col("gen_method")))
-        if args.min_fg_fraction is not None and "fg_ref" in rows.columns:
-            rows = rows.where((F.col("fg_ref") > args.min_fg_fraction) & (F.col("fg_out") > args.min_fg_fraction))
-        if config.max_samples:
-            rows = capped(rows, config.max_samples)
-        features = spark.read.parquet(args.patches)
-        PairScorer(stripper=args.stripper).score(rows, features).write.mode("append").parquet(args.out)
-        if config.dump_patch_arrays:
-            found = patches.matches(rows.select("ref", "out").distinct(), patches.image_blocks(features))
-            found.write.mode("append").parquet(f"{args.out}_arrays")
+        from dataclasses import replace
+
+        from agreemill.plans import scoring
+        from agreemill.sinks.reports import run_record
+
+        config = load(args.config, stripper=args.stripper, max_samples=args.max_samples, dump_patch_arrays=args.dump_patch_arrays or None, out=args.out, methods=methods(args.method) or None)
+        config = replace(config, tag=config.tag + args.tag_suffix, **({} if args.min_fg_fraction is UNSET else {"min_fg_fraction": args.min_fg_fraction}))
+        if not config.out:
+            raise SystemExit("no place for the results: set out in the configuration or --out")
+        pairs, features = spark.read.parquet(args.pairs), spark.read.parquet(args.patches)
+        parses = (spark.read.parquet(args.tokens), spark.read.parquet(args.names)) if args.tokens and args.names else None
+        texts = spark.read.parquet(args.texts) if args.texts else None
+        run = scoring.score_run(spark, config, pairs, features, texts, parses, batches=args.batches)
+        missing = scoring.without_features(scoring.samples_of(config, pairs), features).first()
+        records = run.records()
+        run_record(spark, scoring.settings(config), out=config.out, n_samples=missing["n_samples"], n_missing=missing["n_missing"], n_rows=sum(r["n_rows"] for r in records), n_batches=len(records)).write.mode("append").json(f"{config.out}/_runs")
+        print(f"{sum(r['n_rows'] for r in records)} rows in {len(records)} batches; {missing['n_missing']} of {missing['n_samples']} samples without features")
     return 0
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from agreemill.functions.numbers import r6, ratio
 from agreemill.operators import masks, paired, resample, syntax
 from agreemill.plans.query_pairs import all_scores, pair_counts
 from agreemill.session import kept, scratch
+from agreemill.sinks.runs import Run
 from agreemill.sources import testdata as td
 from agreemill.sources import tokens, trees
 from agreemill.sources.results import last_wins
@@ -176,6 +178,31 @@ def boot_auc_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("label", "against", *[r6(F.col(c)).alias(c) for c in ("point", "lo", "hi", "se", "p")])
 
 
+class Stopped(Exception):
+    """Stands for a kill in the middle of a run."""
+
+
+def resumable_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of four batches with rows and arrays, stopped in its third one and
+    gone on with; what is committed at the end."""
+    samples = td.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    run = Run(spark, scratch(spark), ("event_id",), "one")
+    begun = []
+
+    def scored(part: DataFrame, further: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
+        arrays = further("arrays", part.select("event_id", F.array("value", F.col("value") * 2).alias("both")))
+        begun.append(1)
+        if len(begun) == 3:
+            raise Stopped
+        return arrays.select("event_id", F.element_at("both", 2).alias("score"))
+
+    with suppress(Stopped):
+        run.score(samples, scored, 4)
+    run.score(samples, scored, 4)
+    rows = run.read().join(run.read("arrays"), "event_id").join(samples, "event_id")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_keys"), F.round(F.sum("score"), 3).alias("total"))
+
+
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a file stream, finished ones left out, each id once, appended
     under a checkpoint and read again."""
@@ -194,7 +221,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         strip_subject_regex, text_cleanup_punct, parse_subject_dir, parse_stem, model_tag, first_per_group, resume_antijoin, latest_score, jsonl_extras_extract, bench_summary, strip_subject_syntax,
-        prompt_strata_dependency, prompt_strata_lexical, mask_fg_fraction, mask_grid_weights, mask_perturb, boot_key_alpha_rho, boot_cluster_alpha_rho, boot_auc, boot_auc_paired, stream_resume,
+        prompt_strata_dependency, prompt_strata_lexical, mask_fg_fraction, mask_grid_weights, mask_perturb, boot_key_alpha_rho, boot_cluster_alpha_rho, boot_auc, boot_auc_paired, resumable_run, stream_resume,
     )
 }
 
@@ -284,5 +311,6 @@ ORACLE_SQL = {
         FROM d GROUP BY label, against""",
         "v_pairs",
     ),
+    "resumable_run": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_keys, round(sum(value * 2), 3) AS total FROM events GROUP BY event_type",
     "stream_resume": "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS sum_id FROM events WHERE event_id % 3 <> 0 GROUP BY event_type",
 }

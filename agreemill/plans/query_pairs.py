@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agreemill.functions.numbers import r6, ratio
 from agreemill.operators import matching, pairs, patches, pooling, stats
+from agreemill.plans import scoring
 from agreemill.session import kept
 from agreemill.sources import testdata as td
 from agreemill.sources.testdata import sql
@@ -175,6 +176,19 @@ def maxsim_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("text_id", "image_id", "n_tokens", "n_patches", r6(F.col("maxsim")).alias("maxsim"), r6(F.col("projected")).alias("maxsim_textproj"))
 
 
+def pf_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every variant of prompt following, for the samples that have a prompt and
+    no style subject."""
+    tokens = td.tokens(spark, sf_dir)
+    blocks = patches.image_blocks(td.patches(spark, sf_dir))
+    t = F.col("text_id")
+    samples = tokens.select("text_id").distinct().select("text_id", (t % 10).alias("image_id"), F.when(t % 5 != 0, t.cast("string")).otherwise("").alias("prompt"), F.when(t % 4 == 3, "style").otherwise("object").alias("category"))
+    ready = scoring.scorable(samples, skip_style=True).where("skipped IS NULL").select("text_id", "image_id")
+    vectors = patches.mean_pool(tokens.withColumnRenamed("text_id", "image_id"), F.col("token_id") > 1, "vector").withColumnRenamed("image_id", "text_id")
+    out = scoring.prompt_following(ready, blocks, scoring.VARIANTS, vectors, tokens, (0, 1), (td.weights(64, 64, 21), td.weights(1, 64, 22)[0]))
+    return out.select("text_id", "image_id", *[r6(F.col(v)).alias(v) for v in scoring.VARIANTS])
+
+
 def maxsim_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late interaction: patches of one image play tokens, every fifth special."""
     rows = _per_patch(spark, sf_dir).where(F.col("ref_idx") % 5 != 0)
@@ -291,6 +305,15 @@ _MAXSIM = f"""WITH k AS (SELECT *, token_id > 1 AS valid, text_id % 10 AS image_
  LEFT JOIN (SELECT text_id, avg(raw) AS raw, avg(projected) AS projected FROM s GROUP BY text_id) USING (text_id)"""
 
 
+def _mean_sql(name: str, where: str, table: str = "v_patches", key: str = "image_id") -> str:
+    return f"{name} AS (SELECT {key}, list(m ORDER BY d) AS v FROM (SELECT {key}, d, avg(v) AS m FROM (SELECT {key}, unnest(feat) AS v, unnest(range(64)) AS d FROM {table} WHERE {where}) GROUP BY ALL) GROUP BY {key})"
+
+
+_VARIANTS = f"""WITH sims AS ({sql(_MAXSIM, "v_patches", "v_tokens")}), {_mean_sql("whole", "true")}, {_mean_sql("bg", "NOT w >= 0.5::DOUBLE")}, {_mean_sql("fg", "w >= 0.5::DOUBLE")}, {_mean_sql("txt", "token_id > 1", "v_tokens", "text_id")}
+ SELECT s.text_id, s.image_id, round(list_cosine_similarity(whole.v, txt.v), 6) AS global, round(list_cosine_similarity(bg.v, txt.v), 6) AS global_bg, round(list_cosine_similarity(fg.v, txt.v), 6) AS global_fg, maxsim, maxsim_textproj
+ FROM sims s LEFT JOIN whole USING (image_id) LEFT JOIN bg USING (image_id) LEFT JOIN fg USING (image_id) LEFT JOIN txt USING (text_id) WHERE s.text_id % 5 <> 0 AND s.text_id % 4 <> 3"""
+
+
 def _score_sql(*names: str) -> str:
     cols = ", ".join(f"{v} AS {k}" for k, v in _SCORES.items() if not names or k in names)
     return sql(f"WITH {NN} SELECT ref, out, {cols} FROM m GROUP BY ref, out", "v_patches")
@@ -328,7 +351,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pair_auc_within_cross, pair_describe_separation, pair_within_theta_join, pair_cross_sample_hashed, pair_cross_unranked, pair_cross_seeded, pair_even_stride_pick, global_cosine, nn_top1_cosine, nn_mutual, cp_masked_maxcos, cp_global_maxcos,
-        cp_weighted_maxcos, cp_recall_fg, cp_all_variants, cp_threshold_boundary, cp_remask_from_arrays, pool_bg_mean_cosine, pool_bg_attention_cosine, maxsim_tokens, maxsim_token_table, recall_sparse_points, recall_sampled_matches, recall_reciprocal_seeds,
+        cp_weighted_maxcos, cp_recall_fg, cp_all_variants, cp_threshold_boundary, cp_remask_from_arrays, pool_bg_mean_cosine, pool_bg_attention_cosine, maxsim_tokens, maxsim_token_table, pf_variants, recall_sparse_points, recall_sampled_matches, recall_reciprocal_seeds,
     )
 }
 
@@ -374,6 +397,7 @@ ORACLE_SQL = {
     ),
     "pool_bg_attention_cosine": sql(_ATTENTION, "v_patches"),
     "maxsim_token_table": sql(_MAXSIM, "v_patches", "v_tokens"),
+    "pf_variants": sql(_VARIANTS, "v_patches", "v_tokens"),
     "maxsim_tokens": sql(f"WITH {NN} SELECT ref, out, round(avg(cos), 6) AS maxsim, count(*) AS n_tokens FROM m WHERE ref_idx % 5 <> 0 GROUP BY ref, out", "v_patches"),
     "recall_sampled_matches": _SAMPLED,
     "recall_reciprocal_seeds": sql(_RECIPROCAL, "v_patches"),

@@ -16,7 +16,7 @@ SAMPLE = "concept_id STRING, ref_image STRING, ref_mask STRING, out_image STRING
 PATCH = "image_id STRING, patch_idx INT, gy INT, gx INT, w FLOAT, feat ARRAY<FLOAT>"
 MASK = "image_id STRING, h INT, w INT, data BINARY"
 TOKEN = "doc_id STRING, i INT, text STRING, ws BOOLEAN, lower STRING, lemma STRING, pos STRING, dep STRING, head INT"
-RUN_META = "ts TIMESTAMP, argv STRING, config_sha256 STRING, spark_version STRING, python_version STRING, host STRING, extras MAP<STRING,STRING>"
+RUN_META = "ts TIMESTAMP, argv STRING, config_sha256 STRING, spark_version STRING, python_version STRING, host STRING, commit STRING, extras MAP<STRING,STRING>"
 
 
 def struct(ddl: str) -> T.StructType:

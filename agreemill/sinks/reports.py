@@ -9,6 +9,7 @@ import hashlib
 import json
 import math
 import platform
+import subprocess
 import sys
 from datetime import UTC, datetime
 from pathlib import Path
@@ -74,9 +75,18 @@ def with_interval(point: float, lo: float, hi: float, digits: int = 3) -> str:
     return f"{point:+.{digits}f} [{lo:+.{digits}f}, {hi:+.{digits}f}]"
 
 
+def commit_id() -> str:
+    """The commit of the code that runs, empty outside a checkout."""
+    try:
+        return subprocess.run(["git", "rev-parse", "HEAD"], cwd=Path(__file__).parent, capture_output=True, text=True, timeout=10, check=True).stdout.strip()
+    except (OSError, subprocess.SubprocessError):
+        return ""
+
+
 def run_record(spark: SparkSession, config: str = "", **extras: str) -> DataFrame:
-    """One row that says what ran: time, arguments, config digest, versions, host."""
-    row = (datetime.now(UTC).replace(tzinfo=None), " ".join(sys.argv), hashlib.sha256(config.encode()).hexdigest(), spark.version, platform.python_version(), platform.node(), {k: str(v) for k, v in extras.items()})
+    """One row that says what ran: time, arguments, config digest, versions, host,
+    commit."""
+    row = (datetime.now(UTC).replace(tzinfo=None), " ".join(sys.argv), hashlib.sha256(config.encode()).hexdigest(), spark.version, platform.python_version(), platform.node(), commit_id(), {k: str(v) for k, v in extras.items()})
     return spark.createDataFrame([row], struct(RUN_META))
 
 

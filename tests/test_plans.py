@@ -105,7 +105,7 @@ def test_config(tmp_path):
 def test_command_line(spark, capsys):
     p = cli.parser()
     a = p.parse_args("score --config c --pairs p --patches f --out o --method a,b --min-fg-fraction none --dump-patch-arrays".split())
-    assert (a.min_fg_fraction, a.stripper, a.dump_patch_arrays, a.max_samples, cli.methods(a.method)) == (None, "regex", True, None, ["a", "b"])
+    assert (a.min_fg_fraction, a.stripper, a.dump_patch_arrays, a.max_samples, cli.methods(a.method)) == (None, None, True, None, ["a", "b"])
     b = p.parse_args(["bench", "--sf-dir", "d"])
     assert (b.warmup, b.runs, b.only) == (1, 3, None)
     with pytest.raises(SystemExit):
