@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import time
 
 from agreemill.config import fraction_or_none, load
 from agreemill.functions.text import STRIPPERS, comma_list, strip_subject
 from agreemill.session import session
+from agreemill.sinks.tables import bench_rows
 
 
 #: Stands for a flag that was not given, where None is a value.
@@ -48,9 +50,87 @@ def parser() -> argparse.ArgumentParser:
     bench.add_argument("--skip", default="")
     bench.add_argument("--warmup", type=int, default=1)
     bench.add_argument("--runs", type=int, default=3)
+    bench.add_argument("--out", help="a folder for one JSON line a query")
+    follow = sub.add_parser("follow", help="score a variant of prompt following from stored features")
+    follow.add_argument("--config", required=True)
+    follow.add_argument("--samples", required=True, help="samples with text_id, image_id and prompt")
+    follow.add_argument("--patches", required=True)
+    follow.add_argument("--texts", help="pooled vectors by text_id")
+    follow.add_argument("--tokens", help="token features by text_id")
+    follow.add_argument("--variant")
+    follow.add_argument("--skip-style", action="store_true")
+    follow.add_argument("--batches", type=int, default=1)
+    follow.add_argument("--out")
+    masks = sub.add_parser("masks", help="make masks by a registered segmenter")
+    masks.add_argument("--jobs", required=True, help="path, name and what the segmenter reads")
+    masks.add_argument("--segmenter", required=True)
+    masks.add_argument("--plugins", help="a module that registers it")
+    masks.add_argument("--overwrite", action="store_true")
+    masks.add_argument("--batches", type=int, default=1)
+    masks.add_argument("--out", required=True)
+    boot = sub.add_parser("boot", help="agreement of rated rows with bootstrap intervals")
+    boot.add_argument("--table", required=True, help="row_idx, g1, g2 and a column a row label")
+    boot.add_argument("--rows", required=True, help="label:ordinal or label:continuous, comma-separated")
+    boot.add_argument("--id", default="table", help="names the draws")
+    boot.add_argument("--cluster", help="column of the cluster bootstrap")
+    auc = sub.add_parser("auc", help="AUC of pair scores with paired bootstrap intervals")
+    auc.add_argument("--pairs", required=True, help="a, b, within and a column a metric")
+    auc.add_argument("--metrics", required=True)
+    for p in (boot, auc):
+        p.add_argument("--compare", default="", help="pairs one-two, comma-separated")
+        p.add_argument("--B", type=int, default=10_000, help="replicates")
+        p.add_argument("--out", required=True, help="a folder for one table a part")
     return top
 
 
+def _pairs_of(text: str) -> list[tuple[str, str]]:
+    out = []
+    for part in methods(text):
+        one, dash, two = part.partition("-")
+        if not dash:
+            raise ValueError(f"{part!r} names no two labels")
+        out.append((one, two))
+    return out
+
+
+def _tables(frames: dict, out: str) -> None:
+    for name, frame in frames.items():
+        frame.write.mode("overwrite").parquet(f"{out}/{name}")
+        print(f"{name}\t{out}/{name}")
+
+
+def appendix(spark, args) -> None:
+    """The commands boot and auc."""
+    if args.command == "auc":
+        from agreemill.operators.paired import auc_table
+
+        _tables(auc_table(spark.read.parquet(args.pairs), methods(args.metrics), _pairs_of(args.compare), args.B), args.out)
+        return
+    from agreemill.plans.rated import rated
+
+    kinds = dict(part.partition(":")[::2] for part in methods(args.rows))
+    if set(kinds.values()) - {"ordinal", "continuous"}:
+        raise ValueError("rows are label:ordinal or label:continuous")
+    _tables(rated(spark, spark.read.parquet(args.table), {k: v == "ordinal" for k, v in kinds.items()}, args.id, args.B, _pairs_of(args.compare), args.cluster), args.out)
+
+
+def features_run(spark, args) -> None:
+    """The commands follow and masks."""
+    from agreemill.plans import scoring
+
+    if args.command == "masks":
+        if args.plugins:
+            importlib.import_module(args.plugins)
+        run = scoring.mask_run(spark, spark.read.parquet(args.jobs), args.segmenter, args.out, args.overwrite, args.batches)
+    else:
+        config = load(args.config, out=args.out, variant=args.variant, skip_style=args.skip_style or None)
+        if not config.out:
+            raise SystemExit("no place for the results: set out in the configuration or --out")
+        optional = [spark.read.parquet(p) if p else None for p in (args.texts, args.tokens)]
+        run = scoring.follow_run(spark, config, spark.read.parquet(args.samples), spark.read.parquet(args.patches), *optional, batches=args.batches)
+    print(f"{sum(r['n_rows'] for r in run.records())} rows in {len(run.records())} batches")
+
+
 def methods(text: str | None) -> list[str]:
     return [m.strip() for m in (text or "").split(",") if m.strip()]
 
@@ -86,7 +166,14 @@ def main(argv: list[str] | None = None) -> int:
         wanted = methods(args.only) or sorted(queries)
         rows = [(n, s) for n in wanted if n not in methods(args.skip) for s in timed(queries[n], spark, args.sf_dir, args.warmup, args.runs)]
         df = spark.createDataFrame(rows, "name string, seconds double")
-        df.groupBy("name").agg(F.median("seconds").alias("median"), F.avg("seconds").alias("mean"), F.stddev_samp("seconds").alias("stdev")).orderBy("name").show(200, truncate=False)
+        summary = df.groupBy("name").agg(F.median("seconds").alias("median"), F.avg("seconds").alias("mean"), F.stddev_samp("seconds").alias("stdev")).orderBy("name")
+        summary.show(200, truncate=False)
+        if args.out:
+            bench_rows(summary, args.out)
+    elif args.command in ("boot", "auc"):
+        appendix(spark, args)
+    elif args.command in ("follow", "masks"):
+        features_run(spark, args)
     elif args.command == "strip":
         row = spark.createDataFrame([(args.prompt, args.subject)], "prompt string, subject string")
         print(row.select(strip_subject("prompt", "subject", args.stripper)).first()[0])

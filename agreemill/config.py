@@ -22,6 +22,8 @@ class RunConfig:
     methods: tuple[str, ...] = ()
     min_fg_fraction: float | None = 0.05
     stripper: str = "regex"
+    skip_style: bool = False
+    variant: str = "global_bg"
     max_samples: int | None = None
     dump_patch_arrays: bool = False
     out: str = ""

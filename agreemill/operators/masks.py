@@ -168,6 +168,31 @@ def fractions(mask: Column) -> Column:
     return share(mask)
 
 
+def nonempty(mask: Column) -> Column:
+    """Has a struct(h, w, data) column any pixel above zero? Missing masks have none."""
+
+    @F.arrow_udf("boolean")
+    def some(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([any(m["data"]) if m and m["data"] else False for m in batch.to_pylist()], pa.bool_())
+
+    return some(mask)
+
+
+def upsampled(probabilities: Column, h: int, w: int, threshold: float) -> Column:
+    """struct(h, w, data): a grid of probabilities (array of rows) bilinearly
+    brought to a size, 255 where it is above the threshold."""
+
+    @F.arrow_udf("struct<h: int, w: int, data: binary>")
+    def bring(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("h", pa.int32()), ("w", pa.int32()), ("data", pa.binary())])
+        for batch in batches:
+            grids = [None if g is None else (resize(np.array(g, float), h, w) > threshold).astype(np.uint8) * 255 for g in batch.to_pylist()]
+            yield pa.array([None if g is None else {"h": h, "w": w, "data": g.tobytes()} for g in grids], kind)
+
+    return bring(probabilities)
+
+
 def perturbed(mask: Column, p: Column) -> Column:
     """struct(h, w, data) after perturbation."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,20 @@ def expected(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("name STRING, paper DOUBLE, digits INT, tol DOUBLE").option("header", "true").csv(path)
 
 
+EXPECTED = Path(__file__).resolve().parent.parent / "expected"
+
+
+def shipped(spark: SparkSession, name: str) -> DataFrame:
+    """A shipped table of printed numbers: cp_alpha, pf_alpha or pair_auc. They
+    need the published images and models; nothing here computes their left side."""
+    path = EXPECTED / f"{name}.csv"
+    if not path.exists():
+        raise ValueError(f"no expected table {name!r}; known: {', '.join(sorted(p.stem for p in EXPECTED.glob('*.csv')))}")
+    with path.open(newline="") as f:
+        rows = [(r["name"], float(r["paper"]), int(r["digits"]), float(r["tol"]) if r["tol"] else None) for r in csv.DictReader(f)]
+    return spark.createDataFrame(rows, "name STRING, paper DOUBLE, digits INT, tol DOUBLE")
+
+
 def against(ours: DataFrame, printed: DataFrame) -> DataFrame:
     """Cells to check: (name, ours) joined with the printed numbers."""
     return ours.join(printed, "name", "inner").select("name", "ours", "paper", "digits", "tol")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agreemill.functions.numbers import ratio
+from agreemill.operators.stats import spearman
+
 THRESHOLDS = (0.0, 0.025, 0.05, 0.10)
 
 
@@ -52,3 +55,18 @@ def fate(t: float) -> Column:
     ref = F.coalesce(F.col("fg_ref") > t, F.lit(False))
     out = F.coalesce(F.col("fg_out") > t, F.lit(False))
     return F.when(~ref, F.lit("ref")).when(~out, F.lit("out")).otherwise(F.lit("kept"))
+
+
+def audit(df: DataFrame, t: float = 0.05, high: float = 3.0) -> DataFrame:
+    """One row: what a mask-area filter drops on either side, how the kept and the
+    dropped were rated (mean of g1 and g2), and how the output's area goes with
+    the rating where the reference is kept."""
+    rows = df.withColumn("_h", (F.col("g1") + F.col("g2")) / 2).withColumn("_fate", fate(t))
+    f, h = F.col("_fate"), F.col("_h")
+    rated = h.isNotNull()
+    counts = rows.agg(
+        F.count_if(f == "ref").alias("n_ref_side"), F.count_if(f == "out").alias("n_out_side"), F.avg(F.when(f == "kept", h)).alias("mean_kept"), F.avg(F.when(f != "kept", h)).alias("mean_dropped"), F.avg(F.when(f == "out", h)).alias("mean_out_side"),
+        (100 * ratio(F.count_if((f == "out") & (h >= high)), F.count_if(rated))).alias("pct_out_side_high"),
+    )
+    rho = spearman(rows.where((f != "ref") & rated & F.col("fg_out").isNotNull()), "fg_out", "_h", name="rho_out_area").select("rho_out_area")
+    return counts.crossJoin(F.broadcast(rho))

@@ -295,6 +295,14 @@ ORACLE_SQL = {
       SELECT CAST(s_suppkey AS VARCHAR) AS image_id, CAST(gy * 6 + gx AS INTEGER) AS patch_idx,
       CAST(avg(CASE WHEN (8 * gy + 3 + dy - cy) * (8 * gy + 3 + dy - cy) + (8 * gx + 3 + dx - 24) * (8 * gx + 3 + dx - 24) <= r * r THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS FLOAT) AS w
       FROM k, range(8) AS a(gy), range(6) AS b(gx), range(2) AS c(dy), range(2) AS d(dx) GROUP BY s_suppkey, gy, gx""",
+    "mask_perturb": """WITH k AS (SELECT s_suppkey, 20 + s_suppkey % 24 AS cy, s_suppkey % 25 - 1 AS r FROM supplier),
+      px AS (SELECT s_suppkey, y, x, y BETWEEN 0 AND 63 AND x BETWEEN 0 AND 47 AND (y - cy) * (y - cy) + (x - 24) * (x - 24) <= r * r AS is_on FROM k, range(-1, 65) AS a(y), range(-1, 49) AS b(x)),
+      s AS (SELECT gy, gx, 8 * gy + 3 + dy AS sy, 8 * gx + 3 + dx AS sx FROM range(8) AS a(gy), range(6) AS b(gx), range(2) AS c(dy), range(2) AS d(dx)),
+      n AS (SELECT s_suppkey, gy, gx, sy, sx, bool_or(is_on AND y = sy AND x = sx) AS is_on, min((y - sy) * (y - sy) + (x - sx) * (x - sx)) FILTER (WHERE is_on) AS d_on, min((y - sy) * (y - sy) + (x - sx) * (x - sx)) FILTER (WHERE NOT is_on) AS d_off FROM px, s GROUP BY ALL),
+      p AS (SELECT unnest([-0.32, -0.16, -0.08, 0, 0.08, 0.16, 0.32])::DOUBLE AS p), q AS (SELECT p, round(abs(p) * 48) AS q FROM p),
+      g AS (SELECT s_suppkey, p, gy, gx, count(*) FILTER (WHERE CASE WHEN p > 0 THEN coalesce(d_on <= q * q, false) WHEN p < 0 THEN is_on AND d_off > q * q ELSE is_on END) AS n FROM n, q GROUP BY ALL)
+      SELECT CAST(s_suppkey AS VARCHAR) AS image_id, CASE WHEN p < 0 THEN 'Erode ' || CAST(round(-100 * p) AS INTEGER) || '%' WHEN p > 0 THEN 'Dilate ' || CAST(round(100 * p) AS INTEGER) || '%' ELSE 'Default' END AS label,
+      CAST(count(*) FILTER (WHERE n > 2) AS INTEGER) AS n_fg FROM g GROUP BY s_suppkey, p""",
     "boot_auc_paired": sql(
         f"""WITH l AS (SELECT a, b, within, metric, CASE metric WHEN 'score' THEN score WHEN 'coarse' THEN round(score, 1) ELSE score + ((a * 31 + b * 17) % 97) / 97.0::DOUBLE * 0.3::DOUBLE END AS s
         FROM v_pairs, (SELECT unnest(['score', 'coarse', 'noisy']) AS metric)),

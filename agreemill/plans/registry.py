@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agreemill.plans import query_others, query_pairs, query_ratings
+from agreemill.plans import query_others, query_pairs, query_ratings, query_tables
 
-MODULES = (query_pairs, query_ratings, query_others)
+MODULES = (query_pairs, query_ratings, query_others, query_tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from agreemill import plugins
 from agreemill.api import PairScorer
 from agreemill.config import RunConfig
-from agreemill.functions.text import is_style
+from agreemill.functions.text import is_style, segmenter_prompt
 from agreemill.operators import pairs as pair_ops
 from agreemill.operators import patches, pooling
 from agreemill.schema import assert_unique
@@ -29,6 +29,9 @@ def samples_of(config: RunConfig, pairs: DataFrame) -> DataFrame:
         rows = rows.where(F.col("gen_method").isin(*config.methods))
     if config.min_fg_fraction is not None and "fg_ref" in rows.columns:
         rows = rows.where((F.col("fg_ref") > config.min_fg_fraction) & (F.col("fg_out") > config.min_fg_fraction))
+    if config.signal == "pf" and "prompt" in rows.columns:
+        style = config.skip_style and "category" in rows.columns
+        rows = scorable(rows, style).where("skipped IS NULL").drop("skipped")
     return capped(rows, config.max_samples) if config.max_samples else rows
 
 
@@ -82,6 +85,37 @@ def score_run(spark: SparkSession, config: RunConfig, pairs: DataFrame, features
     return run
 
 
+def follow_run(spark: SparkSession, config: RunConfig, samples: DataFrame, features: DataFrame, texts: DataFrame | None = None, tokens: DataFrame | None = None, special: tuple[int, ...] = (0, 1), projection: tuple | None = None, head: pooling.AttentionHead | None = None, batches: int = 1) -> Run:
+    """Score a variant of prompt following into ``config.out``, going on where an
+    earlier run stopped. ``samples`` has text_id and image_id besides its keys;
+    samples without a prompt, and style subjects where they are skipped, get no
+    row. Other arguments as in ``prompt_following``."""
+    rows = samples_of(replace(config, signal="pf"), samples)
+    keys = tuple(k for k in (*KEYS, "text_id", "image_id") if k in rows.columns)
+    run = Run(spark, config.out, keys, config.digest)
+    blocks = patches.image_blocks(features)
+
+    def scored(part: DataFrame, further: object) -> DataFrame:
+        out = prompt_following(part.select(*keys), blocks, (config.variant,), texts, tokens, special, projection, head)
+        return out.select(*keys, F.col(config.variant).alias("score"), F.lit("pf").alias("signal"), F.lit(config.model).alias("model"), F.lit(config.variant).alias("variant"))
+
+    run.score(rows, scored, batches)
+    return run
+
+
+def mask_run(spark: SparkSession, jobs: DataFrame, segmenter: str, out: str, overwrite: bool = False, batches: int = 1, **options: object) -> Run:
+    """Masks (path, h, w, data) of ``jobs`` (path, name, and what the segmenter
+    reads) by a plug-in, asked with the name as it wants it. Paths that have a mask
+    are skipped unless ``overwrite``."""
+    run = Run(spark, out, ("path",), f"{segmenter} {sorted(options.items())}")
+    if overwrite:
+        run.clear()
+    plugins.loader("segmenter", segmenter)
+    asked = jobs.withColumn("prompt", segmenter_prompt("name"))
+    run.score(asked, lambda part, further: plugins.apply(part, "segmenter", segmenter, ["path"], "path string, h int, w int, data binary", **options), batches)
+    return run
+
+
 def settings(config: RunConfig) -> str:
     """All settings of a run, for its record."""
     return str(asdict(config))

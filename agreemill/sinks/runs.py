@@ -89,6 +89,12 @@ class Run:
         self._delete(f"{self.path}/_staged")
         return len(swept)
 
+    def clear(self) -> None:
+        """Forget everything: the records go first, so that a kill on the way
+        leaves only batches to sweep."""
+        self._delete(f"{self.path}/_commits")
+        self.sweep()
+
     def _tables_beside(self) -> list[str]:
         parent, _, own = self.path.rpartition("/")
         return [n[len(own) + 1 :] for n in self._children(parent or ".") if n.startswith(f"{own}_")]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agreemill.functions.text import bare, is_style, key_of, stem_parts, subject_parts
+from agreemill.operators.pairs import even_stride
 
 IMAGES = ("png", "jpg", "jpeg", "webp")
 
@@ -92,6 +93,20 @@ def photo_pool(photos: DataFrame, min_fraction: float = 0.005) -> DataFrame:
     return factual.unionByName(other).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "rank")
 
 
+def pooled_photos(photos: DataFrame, per_subject: int = 8, min_fraction: float = 0.005) -> DataFrame:
+    """(subject, pos, path, source): the photos of a subject that are used.
+
+    All usable factual photos in order, then the first usable ``_1`` image of each
+    counterfactual scene; of these ``per_subject`` at even strides (all, if fewer).
+    """
+    usable = photos.where(F.col("fg") > min_fraction)
+    factual = usable.where(F.col("source") == "factual_only").select("subject", "path", "source", F.lit(0).alias("_rank"), F.lit("").alias("_scene"))
+    scenes = usable.where((F.col("source") == "factual_counterfactual") & F.endswith("stem", F.lit("_1"))).groupBy("subject", "scene").agg(F.min("path").alias("path"))
+    other = scenes.select("subject", "path", F.lit("factual_counterfactual").alias("source"), F.lit(1).alias("_rank"), F.col("scene").cast("string").alias("_scene"))
+    pool = factual.unionByName(other).withColumn("_order", F.struct("_rank", "_scene", "path"))
+    return even_stride(pool, "subject", "_order", per_subject).select("subject", "pos", "path", "source")
+
+
 def with_enough(photos: DataFrame, k: int, n_subjects: int | None = None) -> DataFrame:
     """The first k backgrounds of each subject that has as many; at most the
     first ``n_subjects`` of them, numeric names in numeric order."""
@@ -104,7 +119,7 @@ def with_enough(photos: DataFrame, k: int, n_subjects: int | None = None) -> Dat
     return rows
 
 
-BUILDERS: dict[str, Callable[..., DataFrame]] = {"rated_samples": rated_samples, "photo_pool": photo_pool, "with_enough": with_enough}
+BUILDERS: dict[str, Callable[..., DataFrame]] = {"rated_samples": rated_samples, "photo_pool": photo_pool, "pooled_photos": pooled_photos, "with_enough": with_enough}
 
 
 def builder(name: str) -> Callable[..., DataFrame]:
