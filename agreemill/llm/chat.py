@@ -10,7 +10,8 @@ spans of the formatted text that a loss covers (assistant texts).
 Edge cases: paths that no mapping names are ignored, so extra columns never
 matter. A record that fits no mapping has layout ``unknown`` and no turns. Null
 texts and roles are empty. Turns of equal number are ordered by role and text;
-repeated rows are repeated turns. An empty table gives an empty result. A
+repeated rows are repeated turns. Texts of any length are read whole, and n turns
+take n root n steps. An empty table gives an empty result. A
 conversation is one value and so must fit a task; nothing else is gathered.
 """
 
@@ -29,6 +30,8 @@ from agreemill.llm.common import col, free_name
 BEGIN, STOP, BREAK = "<s>", "</s>", "\n"
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lsqb;"))
 ROLE_ESCAPES = (*ESCAPES, ("\n", "&nl;"))
+#: Code points of a text that are counted through at a time.
+CHUNK = 2048
 TURN = "struct<role: string, text: string>"
 
 
@@ -157,6 +160,27 @@ def unescape(text: Column, escapes: tuple[tuple[str, str], ...] = ESCAPES) -> Co
     return text
 
 
+def _running(df: DataFrame, lengths: str, name: str) -> DataFrame:
+    """Add the sum of the lengths before each place of an array column, from 0.
+
+    Blocks of about the root of the array's length are added up first, then each
+    place adds the blocks before its own and the rest, so that n places take
+    n root n steps. What a lambda reads is a column of its own, read twice.
+    """
+    size, blocks, bases = (free_name(df, f"{name}_{x}") for x in ("size", "blocks", "bases"))
+    x, k, own, base = (F.col(c) for c in (lengths, size, blocks, bases))
+    upto = lambda n: F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
+    # places are looked up one by one: a slice would copy the whole array
+    add = lambda array, start, end: F.when(end > start, F.aggregate(F.sequence(start, end - 1), F.lit(0).cast("long"), lambda s, j: s + F.get(array, j))).otherwise(F.lit(0).cast("long"))
+    df = df.withColumn(size, F.greatest(F.lit(1), F.floor(F.sqrt(F.size(lengths))).cast("int")))
+    count = F.ceil(F.size(lengths) / k).cast("int")
+    df = df.withColumn(blocks, F.when(F.size(x) >= 0, F.transform(upto(count), lambda i: add(x, i * k, F.least((i + 1) * k, F.size(x))))))
+    df = df.withColumn(bases, F.when(F.size(own) >= 0, F.transform(upto(F.size(own)), lambda i: add(own, F.lit(0), i))))
+    at = lambda i: F.floor(i / k).cast("int")
+    sums = F.transform(upto(F.size(x)), lambda i: F.get(base, at(i)) + add(x, at(i) * k, i))
+    return df.withColumn(name, F.when((F.size(x) >= 0) & (F.size(base) >= 0), sums)).drop(size, blocks, bases)
+
+
 def format_turns(df: DataFrame, turns: str = "turns", loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Add ``formatted`` and ``loss_spans``, which replace columns of these names:
     (start, length) in code points from 0."""
@@ -168,19 +192,15 @@ def format_turns(df: DataFrame, turns: str = "turns", loss_roles: tuple[str, ...
             t["role"].isin(*loss_roles).alias("loss"),
         ),
     )
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: bigint, length: bigint>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.char_length(p["head"])
-        length = F.char_length(p["body"]).cast("long")
-        span = F.struct(start.alias("start"), length.alias("length"))
-        return F.struct((start + length + F.lit(len(STOP))).alias("at"), F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    name = free_name(df, "parts")
-    formatted = F.array_join(F.transform(col(name), lambda p: F.concat(p["head"], p["body"], F.lit(STOP))), "")
-    out = df.withColumn(name, parts)
+    names = [free_name(df, x) for x in ("parts", "lengths", "starts")]
+    part, length, start = (col(n) for n in names)
     kept = [col(c) for c in df.columns if c.lower() not in ("formatted", "loss_spans")]
-    return out.select(*kept, formatted.alias("formatted"), F.aggregate(col(name), zero, step, lambda acc: acc["spans"]).alias("loss_spans"))
+    out = df.withColumn(names[0], parts)
+    out = out.withColumn(names[1], F.transform(part, lambda p: (F.char_length(p["head"]) + F.char_length(p["body"]) + F.lit(len(STOP))).cast("long")))
+    out = _running(out, names[1], names[2])
+    formatted = F.array_join(F.transform(part, lambda p: F.concat(p["head"], p["body"], F.lit(STOP))), "")
+    spans = F.transform(F.arrays_zip(part.alias("p"), start.alias("s")), lambda x: F.when(x["p"]["loss"], F.struct((x["s"] + F.char_length(x["p"]["head"])).alias("start"), F.char_length(x["p"]["body"]).cast("long").alias("length"))))
+    return out.select(*kept, formatted.alias("formatted"), F.array_compact(spans).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -196,9 +216,22 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(pieces, turn)
 
 
-def read_loss(formatted: Column, spans: Column) -> Column:
-    """The text under the loss mask, unescaped, nothing between the spans."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+def with_loss(df: DataFrame, name: str = "loss") -> DataFrame:
+    """Add the text under the loss mask, unescaped, nothing between the spans.
+
+    A place in a string is counted from its start, so the text is cut once into
+    chunks of ``CHUNK`` code points, and a span reads the chunks that it lies in.
+    """
+    chunks = free_name(df, "chunks")
+    out = df.withColumn(chunks, F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+
+    def read(start: Column, end: Column) -> Column:
+        place = lambda at, i: F.least(F.greatest(at - i * CHUNK, F.lit(0)), F.lit(CHUNK)).cast("int")
+        part = lambda i: F.substring(F.get(col(chunks), i), place(start, i) + 1, place(end, i) - place(start, i))
+        return F.array_join(F.transform(F.sequence(F.floor(start / CHUNK).cast("int"), F.floor(F.greatest(end - 1, start) / CHUNK).cast("int")), part), "")
+
+    cut = F.transform("loss_spans", lambda s: F.when(s["length"] > 0, unescape(read(s["start"], s["start"] + s["length"]))).otherwise(""))
+    return out.withColumn(name, F.when(F.size(chunks) >= 0, F.array_join(cut, ""))).drop(chunks)
 
 
 def records(rows: DataFrame) -> DataFrame:
@@ -232,7 +265,7 @@ def formatted_conversations(conversations: DataFrame) -> DataFrame:
     extra = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").union(extra)
     done = format_turns(canonical_turns(records(rows)))
-    back = done.select("conv_id", "layout", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    back = with_loss(done).select("conv_id", "layout", "formatted", read_turns(F.col("formatted")).alias("turns"), "loss")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

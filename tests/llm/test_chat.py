@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import time
 
 import duckdb
 import pandas as pd
@@ -110,3 +111,30 @@ def test_own_columns_replace_those_of_the_caller(spark):
     df = spark.createDataFrame([([("user", "a")], "mine", 3)], "turns array<struct<role: string, text: string>>, Formatted string, parts int")
     got = chat.format_turns(df)
     assert got.columns == ["turns", "parts", "formatted", "loss_spans"] and got.first()["parts"] == 3
+
+
+def test_conversations_of_many_turns(spark):
+    """Spans of a long conversation are right, and take no square of its turns."""
+    n = 30_000
+    rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id, ' <s> 😀 & more') AS text")
+    start = time.time()
+    got = {r["conv_id"]: r for r in chat.formatted_conversations(rows).collect()}[1]
+    assert time.time() - start < 40
+    loss = "".join(f"turn {i} <s> 😀 & more" for i in range(1, n, 2))
+    assert (got["n_turns"], got["loss_chars"], got["loss_sha256"]) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_running_sums(spark):
+    rows = spark.createDataFrame([(i, [int(x) for x in range(i)]) for i in (0, 1, 2, 3, 4, 9, 10, 50)], "i int, x array<long>")
+    for r in chat._running(rows, "x", "s").collect():
+        assert r["s"] == [sum(r["x"][:k]) for k in range(len(r["x"]))]
+
+
+def test_spans_over_chunks(spark, monkeypatch):
+    for chunk in (1, 3, 7):
+        monkeypatch.setattr(chat, "CHUNK", chunk)
+        text = "ab\n😀\r\ncd\u2028ef" * 3
+        rows = [(text, [(a, n)]) for a in range(len(text)) for n in range(len(text) - a + 1)] + [(text, [(0, 2), (5, 0), (4, 9)]), ("", [])]
+        df = spark.createDataFrame(rows, "formatted string, loss_spans array<struct<start: long, length: long>>")
+        for r in chat.with_loss(df).collect():
+            assert r["loss"] == "".join(r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"])
