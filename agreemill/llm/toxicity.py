@@ -7,9 +7,10 @@ Decision thresholds are calibrated for each language; the language is guessed
 from the text by ``langid``, so neither labels nor the lang, source and doc_id
 columns are inputs of a score. A score of 0.5 is the threshold.
 
-The classifier is fitted on a bounded sample of labelled rows: about ``SAMPLE``
-documents of labels 0 and 1 (never over twice that), of at most ``FIT_CHARS``
-characters each, equal texts once. Scoring reads whole texts of any length.
+The classifier is fitted on a bounded sample of labelled rows of any length: about
+``SAMPLE`` documents of labels 0 and 1 (never over twice that), equal texts once.
+Of a text over ``FIT_CHARS`` characters a window of so many is learned, at a place
+that a hash of its id draws. Scoring reads whole texts of any length.
 
 Edge cases: null and empty texts get the score of a text without words.
 Without training rows of both classes every score is 0. Several label rows of
@@ -40,7 +41,7 @@ DIM = 8
 BUCKETS = 1 << 15
 FEATURES = 5
 SAMPLE = (4500, 2500)
-FIT_CHARS = 6000
+FIT_CHARS = 40_000
 EPOCHS = 8
 LANGUAGE_SAMPLE = 1500
 BATCH = 128
@@ -253,7 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample:
     share = F.when(F.col("toxic") == 1, min(1.0, sample[1] / sizes[1])).otherwise(min(1.0, sample[0] / sizes[0]))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_003)) / 1_000_003.0
     picked = known.where(drawn < share).orderBy(drawn, "doc_id").limit(2 * sum(sample))
-    texts = docs.select("doc_id", "text", "lang").where(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS)
+    rest = F.length("text") - FIT_CHARS
+    window = F.when(rest > 0, F.substring("text", (1 + F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(rest, F.lit(0)) + 1)).cast("int"), F.lit(FIT_CHARS))).otherwise(F.col("text"))
+    texts = docs.select("doc_id", window.alias("text"), "lang")
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "lang", "toxic").orderBy("doc_id", F.xxhash64("text")).limit(2 * sum(sample)).collect()
     rows = list({r["text"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))}.values())
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], [r["lang"] for r in rows], prior=sizes[1] / sum(sizes.values()))
