@@ -24,7 +24,7 @@ def slow_score(model, text):
             for at in range(max(1, len(words))):
                 best = max(best, sum(float((vectors[at + i] if at + i < len(vectors) else zero) @ model.filters[k][i][:, j]) for i in range(width)))
             total += model.out[k * toxicity.FILTERS + j] * max(0.0, best + model.bias[k * toxicity.FILTERS + j])
-    language = model.language.predict([text])[0][0]
+    language = next(iter(model.language.predict([text])))[0]
     z = total - model.thresholds.get(language, model.threshold)
     return 1 / (1 + math.exp(-max(-30, min(30, z))))
 
