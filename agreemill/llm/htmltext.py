@@ -6,9 +6,12 @@ full to its container, half to the next and less further up, discounted by the
 block's share of linked text. The element with the most points, discounted by
 its own link density, is the main container. Inside an article (or else a main)
 element, what surrounds the container up to that element is kept too, unless most
-of it is links; elsewhere siblings that score near it or that are running text. Elements that are no article text by their
-tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments) never count, unless they enclose the article.
+of it is links; elsewhere siblings that score near it, that are running text, or
+that are sections (a heading and text, few links). Elements that are no article
+text by their tag, role or class (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, comments) never count, unless they enclose the
+article; inside an article, a block named only like a widget (share, menu) counts
+if it holds running text without links.
 
 Edge cases: null, empty or textless html gives an empty text. Unclosed and
 stray tags, comments and quotes are read as browsers do, to the end of the page
@@ -40,6 +43,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert aler
 NAMES = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations sidebar aside nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead comment comments disqus reply replies respond toolbar".split()
 )
+#: Names of widgets, which hold no running text; other things may be called so.
+WIDGETS = frozenset("share sharing social menu toolbar login signup pagination pager".split())
+WIDGET_CHARS = 80
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A header with one of these belongs to the article.
 OWN_HEADERS = frozenset("article post entry story content main title section".split())
 #: Start tag -> open elements that it ends.
@@ -61,7 +68,7 @@ class _Page:
     where they hold the article (soft); and the blocks of text: (owner, text, linked)."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.hard, self.soft = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.hard, self.soft, self.widget = ["#root"], [-1], [False], [False], [False]
         self.stack = [0]
         self.holders = [0]
         self.opened: dict[str, list[int]] = {}
@@ -97,14 +104,15 @@ class _Page:
             self.parts.append(" ")
         if tag in VOID:
             return
-        hard, soft = tag in DROPPED, tag == "header"
+        hard, soft, widget = tag in DROPPED, tag == "header", tag != "header"
         for name, a, b, c in _attribute.findall(attributes):
             name, value = name.lower(), a or b or c
             if name == "hidden" or (name == "style" and _hidden.search(value)) or (name == "role" and value.lower() in ROLES) or (name == "aria-hidden" and value.lower() == "true"):
                 hard = True
             elif name in ("class", "id") and tag not in ("html", "body", "main"):
                 parts = {p.lower() for p in _name_parts.findall(value)}
-                soft = soft or bool(parts & NAMES) or ("header" in parts and not parts & OWN_HEADERS)
+                other = bool(parts & NAMES - WIDGETS) or ("header" in parts and not parts & OWN_HEADERS)
+                soft, widget = soft or other or bool(parts & WIDGETS), widget and not other
         if closed and tag not in BLOCKS:
             return
         node = len(self.tag)
@@ -112,6 +120,7 @@ class _Page:
         self.parent.append(self.stack[-1])
         self.hard.append(hard)
         self.soft.append(soft)
+        self.widget.append(soft and widget)
         self.opened.setdefault(tag, []).append(len(self.stack))
         self.stack.append(node)
         if tag in BLOCKS:
@@ -187,11 +196,13 @@ def main_text(html: str | None) -> str:
     page = parse(html)
     n = len(page.tag)
     holds = [t in ("article", "main", "h1") and not s for t, s in zip(page.tag, page.soft, strict=True)]
-    share = [0] * n
-    for owner, text, _ in page.blocks:
+    share, tied = [0] * n, [0] * n
+    for owner, text, links in page.blocks:
         share[owner] += len(text)
+        tied[owner] += links
     for i in range(n - 1, 0, -1):
         share[page.parent[i]] += 0 if page.hard[i] else share[i]
+        tied[page.parent[i]] += tied[i]
         if holds[i]:
             holds[page.parent[i]] = True
     holds = [h and 2 * x > share[0] for h, x in zip(holds, share, strict=True)]
@@ -204,14 +215,18 @@ def main_text(html: str | None) -> str:
         nested[i] = nested[up] or page.tag[up] == "article"
         own = page.tag[i] == "article" and articles == 1 and not nested[i]
         soft = page.soft[i] and not own and not (page.tag[i] == "header" and inside[up]) and not (page.tag[i] != "header" and holds[i])
+        soft = soft and not (page.widget[i] and inside[up] and share[i] >= WIDGET_CHARS and not tied[i])
         dropped[i] = dropped[up] or page.hard[i] or soft
         inside[i] = inside[i] or inside[up]
     blocks = [b for b in page.blocks if not dropped[b[0]]]
     if not blocks:
         return ""
     points, size, linked = [0.0] * n, [0] * n, [0] * n
+    heads, texts = [False] * n, [False] * n
     for owner, text, links in blocks:
         size[owner] += len(text)
+        heads[owner] = heads[owner] or page.tag[owner] in HEADINGS
+        texts[owner] = texts[owner] or (page.tag[owner] == "p" and links < 0.25 * len(text))
         linked[owner] += links
         worth = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
         node = page.parent[owner] if page.tag[owner] in LEAVES else owner
@@ -223,6 +238,8 @@ def main_text(html: str | None) -> str:
     for i in range(n - 1, 0, -1):
         size[page.parent[i]] += size[i]
         linked[page.parent[i]] += linked[i]
+        heads[page.parent[i]] |= heads[i]
+        texts[page.parent[i]] |= texts[i]
     density = [linked[i] / size[i] if size[i] else 0.0 for i in range(n)]
     final = [points[i] * (1 - density[i]) for i in range(n)]
     best = max(range(n), key=lambda i: (final[i], -i))
@@ -244,7 +261,8 @@ def main_text(html: str | None) -> str:
                 kept[i] = density[i] < 0.5
             elif up == page.parent[best]:
                 running = page.tag[i] in LEAVES and page.tag[i] != "li" and density[i] < 0.25
-                kept[i] = running or final[i] > 0.2 * final[best]
+                section = heads[i] and texts[i] and density[i] < 0.1
+                kept[i] = running or section or final[i] > 0.2 * final[best]
     for i in range(1, n):
         kept[i] = kept[i] or (kept[page.parent[i]] and i not in path)
     beside = {page.parent[best]} | (path if wide >= 0 else set())

@@ -67,6 +67,19 @@ def test_sectioned_article_is_kept_whole():
     assert htmltext.main_text(main).split("\n\n") == got
 
 
+def test_sections_without_an_article_element():
+    long = "".join(f"<p>{words(60, 15)}</p>" for _ in range(8))
+    html = f"<body><div class=side><h3>Links</h3><p><a>one</a> <a>two</a></p></div><div id=c><div class=s1><h2>Intro</h2><p>Short intro, here.</p></div><div class=s2>{long}</div><div class=s3><h2>End</h2><p>So it ends.</p></div><div><a>Next</a></div></div></body>"
+    assert htmltext.main_text(html).split("\n\n") == ["Intro", "Short intro, here.", *[words(60, 15)] * 8, "End", "So it ends."]
+
+
+def test_widget_names_do_not_drop_running_text():
+    body = "".join(f"<p>{words(60, 15)}</p>" for _ in range(3))
+    price = "The share price rose by three percent, after the company had published its results."
+    html = f"<article><h1>Head</h1>{body}<div class=share-price><p>{price}</p></div><div class=share><p>Share this <a>here</a>, or <a>there</a>, and tell all of your friends about it today or tomorrow.</p></div><div class=social>Follow us</div><div class=comments><p>{words(60, 15)}</p></div><div class='notice share'><p>{price}</p></div></article><div class=menu><p>{price}</p></div>"
+    assert htmltext.main_text(html).split("\n\n") == ["Head", *[words(60, 15)] * 3, price]
+
+
 HOSTILE = {
     "quotes": '<a "' * 200_000,
     "depth": "<div>" * 100_000 + "x",
