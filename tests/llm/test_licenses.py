@@ -153,3 +153,23 @@ def test_full_notices_are_one_block_of_the_right_name():
     for name, text in full.items():
         found = Scanner().scan(text)
         assert [(f.license, f.exact, f.words) for f in found] == [(name, True, len(licenses.normal(text)))], name
+
+
+def test_shorter_wordings_are_not_taken_for_longer_ones():
+    """A notice that is part of another one has its own name."""
+    scanner = licenses.Scanner()
+    bsd2 = BSD[: BSD.index("3. Neither")] + BSD[BSD.index("THIS SOFTWARE IS PROVIDED") :]
+    only = GNU.format("program", "General Public License")
+    start, end = only.index("the GNU General Public License as published"), only.index("any later version.") + len("any later version.")
+    only = only[:start] + "the GNU General Public License version 3 as published by the Free Software Foundation." + only[end:]
+    for text, name in ((bsd2, "BSD-2-Clause"), (BSD, "BSD-3-Clause"), (only, "GPL-3.0-only"), (GNU.format("program", "General Public License"), "GPL-3.0-or-later"), ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0-only")):
+        assert {f.license for f in scanner.scan(text)} == {name}, name
+
+
+def test_search_ends_at_the_first_exact_template(monkeypatch):
+    scanner, tried = licenses.Scanner(), []
+    real = licenses.Scanner.confirm
+    monkeypatch.setattr(licenses.Scanner, "confirm", lambda self, block, i: tried.append(i) or real(self, block, i))
+    whole = dict(licenses.templates())["ISC"]
+    found = scanner.judge(whole)
+    assert found.license == "ISC" and found.exact and len(tried) == 1
