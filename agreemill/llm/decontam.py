@@ -12,9 +12,11 @@ nothing. The document side is not sketched, since a short item is a vanishing
 part of a long document; all its shingle hashes probe the signature table.
 Candidates are verified on the shingles themselves.
 
-Up to ``BLOCK_CHARS`` characters of items are sent to the tasks as one index, so
-what is broadcast is bounded. More items are searched by a join of the documents'
-shingle hashes with the signatures, with the same results.
+Up to ``BLOCK_CHARS`` characters of items are sent to the tasks as one index of
+about 30 bytes a character, so what is broadcast is bounded. More items are searched
+by a join of the documents' shingle hashes with the signatures, with the same
+results; a table of the signatures' first ``PREFIX_BITS`` bits (512 KB) goes to the
+tasks and lets through only hashes that may meet one, before they are shuffled.
 
 Edge cases: null, empty and wordless texts have no shingle and match nothing;
 one to four words are a single shingle (matched only by an equal text). Repeated
@@ -41,7 +43,8 @@ from agreemill.llm.common import checkpoint, class_of, col, free_name, small_bat
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
+PREFIX_BITS = 22
 CACHE_WORDS = 400_000
 
 _words = re.compile(r"\w+").findall
@@ -152,18 +155,38 @@ def contained(index: Index, text: Column) -> Column:
     return search(text)
 
 
-def _hashes_of(text: Column, of_item: bool) -> Column:
-    """array<long>: the signature of an item, or all distinct hashes of a document."""
+def _prefixes(signatures: DataFrame) -> np.ndarray:
+    """Which first bits any signature hash has: at most 2 ** PREFIX_BITS are collected."""
+    seen = np.zeros(1 << PREFIX_BITS, bool)
+    for r in signatures.select(F.shiftrightunsigned("h", 64 - PREFIX_BITS).cast("int").alias("p")).distinct().toArrow()["p"].chunks:
+        seen[r.to_numpy()] = True
+    return np.packbits(seen)
+
+
+def _hashes_of(text: Column, seen: np.ndarray | None = None) -> Column:
+    """array<long>: the signature of an item, or with ``seen`` (of ``_prefixes``) the
+    distinct hashes of a document that begin as some signature hash."""
     small_batches()
+    from pyspark import SparkContext
+
+    sent = SparkContext.getOrCreate().broadcast(seen)
 
     @F.arrow_udf("array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hashes = _Hashes()
+        hashes, bits = _Hashes(), sent.value
+        known = None if bits is None else np.unpackbits(bits).astype(bool)
+
+        def one(text: str | None) -> np.ndarray:
+            if known is None:
+                return signature(text, hashes)
+            tokens = words(text)
+            if not tokens:
+                return np.zeros(0, np.uint64)
+            own = hashes.shingles(tokens)
+            return np.unique(own[known[(own >> np.uint64(64 - PREFIX_BITS)).astype(np.intp)]])
+
         for batch in batches:
-            found = []
-            for t in batch:
-                tokens = words(t.as_py())
-                found.append((signature(t.as_py(), hashes) if of_item else np.unique(hashes.shingles(tokens)) if tokens else np.zeros(0, np.uint64)).view(np.int64))
+            found = [one(t.as_py()).view(np.int64) for t in batch]
             yield pa.array(found, pa.list_(pa.int64()))
 
     return run(text)
@@ -186,9 +209,10 @@ def _joined(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
     """(class, item_class, matched, shingles): the search by joins. Equal texts, on
     either side, are one class."""
     item = checkpoint(items.select(class_of(col("text")).alias("item_class"), col("text").alias("item")).groupBy("item_class").agg(F.min("item").alias("item")))
-    signatures = checkpoint(item.select("item_class", F.explode(_hashes_of(F.col("item"), True)).alias("h")))
+    signatures = checkpoint(item.select("item_class", F.explode(_hashes_of(F.col("item"))).alias("h")))
+    seen = _prefixes(signatures)
     texts = docs.select(class_of(col(text)).alias("class"), col(text).alias("text"))
-    pairs = checkpoint(texts.select("class", F.explode(_hashes_of(F.col("text"), False)).alias("h")).join(signatures, "h").select("class", "item_class").distinct())
+    pairs = checkpoint(texts.select("class", F.explode(_hashes_of(F.col("text"), seen)).alias("h")).join(signatures, "h").select("class", "item_class").distinct())
     some = checkpoint(texts.join(pairs.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("text").alias("text")))
     found = pairs.join(some, "class").join(item, "item_class").select("class", "item_class", _verified(F.col("text"), F.col("item")).alias("v"))
     enough = F.col("v.matched") * THRESHOLD.denominator >= F.col("v.shingles") * THRESHOLD.numerator
