@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agreemill import plugins
 from agreemill.functions.text import STRIPPERS, collapse, strip_subject, was_stripped
 from agreemill.operators import pairs, patches, pooling, syntax
 
@@ -25,7 +26,8 @@ class PairScorer:
 
     ``fg_threshold``: reference patches above it count for concept
     preservation; output patches that don't reach it are background for prompt
-    following. ``stripper``: how the subject leaves the prompt. ``head``: the
+    following. ``stripper``: how the subject leaves the prompt, or the name of a
+    registered one (from prompt and object_name to ``pf_prompt``). ``head``: the
     image tower's attention pool, which the background goes through; without one
     background patches are averaged.
     """
@@ -35,8 +37,9 @@ class PairScorer:
     head: pooling.AttentionHead | None = None
 
     def __post_init__(self) -> None:
-        if self.stripper not in STRIPPERS:
-            raise ValueError(f"unknown stripper {self.stripper!r}; known: {', '.join(STRIPPERS)}")
+        known = [*STRIPPERS, *plugins.names("stripper")]
+        if self.stripper not in known:
+            raise ValueError(f"unknown stripper {self.stripper!r}; known: {', '.join(known)}")
         if not 0 <= self.fg_threshold <= 1:
             raise ValueError("fg_threshold lies between 0 and 1")
 
@@ -53,6 +56,11 @@ class PairScorer:
             found = syntax.strip_subjects(syntax.mentions(words, names.withColumnRenamed("t", "name"))).select("doc_id", "stripped")
             named = F.coalesce(F.trim("object_name"), F.lit("")) != ""
             out = triples.join(found, "doc_id", "left").withColumn("pf_prompt", F.when(named, F.coalesce("stripped", collapse("prompt"))).otherwise(F.col("prompt"))).drop("stripped")
+        elif self.stripper not in STRIPPERS:
+            asked = triples.select("prompt", "object_name").distinct()
+            found = plugins.apply(asked, "stripper", self.stripper, ["prompt", "object_name"], "prompt string, object_name string, pf_prompt string")
+            keyed = found.select(F.struct("prompt", "object_name").alias("_asked"), "pf_prompt")
+            out = triples.withColumn("_asked", F.struct("prompt", "object_name")).join(keyed, "_asked", "left").drop("_asked").withColumn("pf_prompt", F.coalesce("pf_prompt", "prompt"))
         else:
             out = triples.withColumn("pf_prompt", strip_subject("prompt", "object_name", self.stripper))
         return out.withColumn("was_stripped", was_stripped("prompt", "pf_prompt"))

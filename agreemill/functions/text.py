@@ -118,6 +118,11 @@ def is_naflex(model: Column | str) -> Column:
     return F.contains(F.lower(c(model)), F.lit("naflex"))
 
 
+def is_clip(model: Column | str) -> Column:
+    """A model of the CLIP family, by its published name."""
+    return F.startswith(c(model), F.lit("openai/clip-"))
+
+
 def perturbation_label(p: Column | str) -> Column:
     """Erode or Dilate with the percentage, or Default."""
     pct = F.concat(F.bround(F.abs(c(p)) * 100, 0).cast("int").cast("string"), F.lit("%"))

@@ -148,6 +148,40 @@ def nearest_resize(mask: np.ndarray, h: int, w: int) -> np.ndarray:
     return m[np.arange(h) * m.shape[0] // h][:, np.arange(w) * m.shape[1] // w]
 
 
+def aligned_box(h: int, w: int, patch: int) -> tuple[int, int, int, int]:
+    """(top, left, bottom, right) of the middle of an image that whole patches
+    cover; of a square, three quarters of the height."""
+    cy, cx = h // 2, w // 2
+    half_h, half_w = (2 * cy) // patch * patch / 2, (2 * cx) // patch * patch / 2
+    if h == w:
+        half_h = 3 * half_w / 4
+    return int(cy - half_h), int(cx - half_w), int(cy + half_h), int(cx + half_w)
+
+
+def aligned(mask: np.ndarray, size: int, patch: int) -> np.ndarray:
+    """A mask as its image is brought to a model: the longer side to ``size``
+    (nearest pixels, so that it stays binary), then the middle cut to whole patches."""
+    m = first_channel(mask)
+    scale = size / max(m.shape)
+    h, w = (round(x * scale) for x in m.shape)
+    rows, columns = (np.minimum(((np.arange(n) + 0.5) * old / n).astype(int), old - 1) for n, old in ((h, m.shape[0]), (w, m.shape[1])))
+    top, left, bottom, right = aligned_box(h, w, patch)
+    return m[rows][:, columns][top:bottom, left:right]
+
+
+def aligned_masks(mask: Column, size: int, patch: int) -> Column:
+    """``aligned`` over a struct(h, w, data) column."""
+
+    @F.arrow_udf("struct<h: int, w: int, data: binary>")
+    def bring(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("h", pa.int32()), ("w", pa.int32()), ("data", pa.binary())])
+        for batch in batches:
+            found = [None if m is None else aligned(_pixels(m), size, patch) for m in batch.to_pylist()]
+            yield pa.array([None if m is None else {"h": m.shape[0], "w": m.shape[1], "data": m.tobytes()} for m in found], kind)
+
+    return bring(mask)
+
+
 def disk(h: int, w: int, cy: float, cx: float, r: float) -> np.ndarray:
     y, x = np.mgrid[:h, :w]
     return (((y - cy) ** 2 + (x - cx) ** 2) <= r * r).astype(np.uint8) * 255

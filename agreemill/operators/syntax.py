@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agreemill import plugins
+
 #: Dependency labels and word lists.
 PRE_MODIFIERS = ("det", "predet", "poss", "nummod", "quantmod", "amod", "compound", "nmod", "nn")
 MODIFIERS_OF_LATER = ("amod", "compound", "nmod", "nn")
@@ -182,3 +184,19 @@ def stratum(name: str) -> Column:
     both = F.col("action_pose") & F.col("attribute")
     known = {"all": F.lit(True), "subject_dependent": F.col("subject_dependent"), "action_pose": F.col("action_pose"), "attribute": F.col("attribute"), "both_action_and_attribute": both, "scene_only": F.col("scene_only")}
     return known[name]
+
+
+RULES = ("dependency", "lexical")
+
+
+def labelled(docs: DataFrame, rule: str = "dependency", **options: object) -> DataFrame:
+    """Strata by a rule: one of ``RULES``, or a registered strata rule, which gets a
+    document's words, pos, dep and the starts of its mentions, and returns
+    action_pose and attribute."""
+    if rule in RULES:
+        return strata(docs, lexical=rule == "lexical")
+    schema = "doc_id string, action_pose boolean, attribute boolean"
+    asked = docs.select("doc_id", F.transform("t", lambda x: x["text"]).alias("words"), F.transform("t", lambda x: x["pos"]).alias("pos"), F.transform("t", lambda x: x["dep"]).alias("dep"), F.transform("spans", lambda s: s["start"]).alias("starts"))
+    found = plugins.apply(asked, "strata_rule", rule, ["doc_id"], schema, **options)
+    either = F.col("action_pose") | F.col("attribute")
+    return docs.join(found, "doc_id").withColumn("subject_dependent", either).withColumn("scene_only", ~either)

@@ -9,11 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from agreemill import cli, plugins
-from agreemill.operators import masks
+from agreemill.api import PairScorer
+from agreemill.functions import text
+from agreemill.operators import masks, syntax
 from agreemill.plans import checks, conditions, figures
 from agreemill.sinks import tables
 from agreemill.sinks.runs import Run
-from agreemill.sources import trees
+from agreemill.sources import ratings, tokens, trees
 from tests.test_stats import rankdata
 
 
@@ -123,3 +125,57 @@ def test_masks_command_skips_existing(spark, tmp_path):
     assert {bytes(r["data"]) for r in run.read().collect()} == {b"cat 0.", b"cat 1.", b"cat 2."}
     assert cli.main(jobs(5)) == 0 and run.read().count() == 5 and {r["batch"] for r in run.records()} > first
     assert cli.main([*jobs(4), "--overwrite"]) == 0 and run.read().count() == 4 and not {r["batch"] for r in run.records()} & first
+
+
+def test_shipped_scores(spark, tmp_path):
+    files = {"clip_rating/m1.json": {"a-1": 0.5}, "clip_rating/m1_v2.json": {"a-1": 0.7}, "data_gpt_rating/full/m1.json": {"a-1": 3, "b-2": 4}, "group1/m-x-cp.json": {"a-1": 2}, "group1/m-x-pf.json": {"a-1": 1}}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(data))
+    read = lambda *a, **k: sorted(tuple(r) for r in ratings.shipped(spark, str(tmp_path), *a, **k).collect())
+    assert read("scorer", "clip_rating") == [("m1", "a-1", "clip_rating", 0.5)]
+    assert read("scorer", "clip_rating", "_v2", rater="clip") == [("m1", "a-1", "clip", 0.7)]
+    assert read("judge", "full") == [("m1", "a-1", "full", 3.0), ("m1", "b-2", "full", 4.0)]
+    assert read("group", "group1") == [("m-x", "a-1", "group1", 2.0)]
+    assert read("judge", "missing") == []
+    with pytest.raises(ValueError, match="scorer"):
+        read("other", "x")
+
+
+def test_masks_follow_their_image():
+    wide = np.zeros((30, 60), np.uint8)
+    wide[:, 30:] = 255
+    m = masks.aligned(wide, 40, 16)
+    assert m.shape == (16, 32) and set(np.unique(m)) == {0, 255} and (m[:, 16:] == 255).all() and (m[:, :16] == 0).all()
+    assert masks.aligned_box(32, 32, 16) == (4, 0, 28, 32)
+    assert masks.aligned(np.full((64, 64), 255, np.uint8), 32, 16).shape == (24, 32)
+
+
+def test_aligned_masks_column(spark):
+    rows = spark.createDataFrame([((4, 8, bytearray(range(32))),), (None,)], "m struct<h: int, w: int, data: binary>")
+    got = [r["a"] for r in rows.select(masks.aligned_masks(F.col("m"), 8, 4).alias("a")).collect()]
+    assert (got[0]["h"], got[0]["w"], bytes(got[0]["data"])) == (4, 8, bytes(range(32))) and got[1] is None
+
+
+def test_plugged_stripper_and_strata_rule(spark):
+    @plugins.register("stripper", "first word")
+    def strip():
+        return lambda row: {"pf_prompt": row["prompt"].split()[0]}
+
+    @plugins.register("strata_rule", "long")
+    def rule(n=2):
+        return lambda row: {"action_pose": len(row["words"]) > n, "attribute": len(row["starts"]) > 1}
+
+    triples = spark.createDataFrame([("a cat", "cat"), ("the dog", None), (None, "x")], "prompt string, object_name string")
+    got = {r["prompt"]: r["pf_prompt"] for r in PairScorer(stripper="first word").prompts(triples).collect()}
+    assert got == {"a cat": "a", "the dog": "the", None: None}
+    words, names = tokens.fixture(spark)
+    docs = syntax.mentions(syntax.documents(words), syntax.documents(names).withColumnRenamed("t", "name"))
+    found = {r["doc_id"]: (r["action_pose"], r["attribute"], r["scene_only"]) for r in syntax.labelled(docs, "long").collect()}
+    assert found["d7"] == (False, False, True) and found["d8"] == (True, True, False)
+    assert syntax.labelled(docs, "lexical").where("action_pose").count() == syntax.strata(docs, lexical=True).where("action_pose").count()
+
+
+def test_clip_models(spark):
+    rows = spark.createDataFrame([("openai/clip-vit-large",), ("google/siglip2-so400m",), ("clip-vit",)], "m string")
+    assert [r[0] for r in rows.select(text.is_clip("m")).collect()] == [True, False, False]
