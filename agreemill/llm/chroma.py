@@ -18,9 +18,11 @@ recording, not with its square. Within an integer all recordings are first
 compared with one of them; then only pairs that this does not show to be
 connected. Integers of up to ``FEW`` recordings yield these pairs (of two: one
 pair an integer); others are dealt as pairs of parts of ``PART`` recordings, with
-their fingerprints. Such a task tries a pair only at the smallest integer that
-its recordings share, so once in all, and yields a spanning forest of its links,
-never the pairs. No pair goes unseen and no task holds a whole hot integer.
+their fingerprints. Such a task lays its recordings out around the places of the
+integer, so that all offsets at which it meets itself are compared in a few array
+operations, and yields a spanning forest of its links, never the pairs. Any other
+offset of a pair belongs to another integer, so no pair and no offset goes unseen,
+and no task holds a whole hot integer.
 
 Edge cases: null, empty and too short recordings have no integers and are
 classes of their own (null ids too); silence gives zero frames and equal
@@ -54,6 +56,8 @@ MAX_ERRORS = 0.2
 MIN_OVERLAP = 16
 FEW = 2
 PART = 256
+#: Integers that a task lays out at a time; longer groups are compared pair by pair.
+CROWD_CELLS = 4_000_000
 
 Decoder = Callable[[object], np.ndarray | None]
 
@@ -238,6 +242,47 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _met(value: int, prints: list[np.ndarray], first: np.ndarray, second: np.ndarray, max_errors: float) -> Iterator[tuple[int, int]]:
+    """Pairs of ``prints`` that link at an offset at which ``value`` meets itself,
+    one side out of ``first``, the other, later one out of ``second``.
+
+    All are laid out around the value's places, so that one row against the rows
+    behind it is one operation; groups too long for that are compared one by one.
+    """
+    places = [np.flatnonzero(p == value) for p in prints]
+    owner = np.repeat(np.arange(len(prints)), [len(x) for x in places])
+    at = np.concatenate(places)
+    sizes = np.array([len(p) for p in prints])
+    before, after = at, sizes[owner] - at
+    middle, width = int(before.max()), int(before.max() + after.max())
+    need = 32 * np.minimum(MIN_OVERLAP, sizes)
+    if len(at) * width > CROWD_CELLS:
+        for i, j in ((i, j) for i in np.flatnonzero(first) for j in np.flatnonzero(second) if i < j):
+            offsets, counts = np.unique(np.subtract.outer(places[j], places[i]), return_counts=True)
+            for o in offsets[np.argsort(-counts, kind="stable")].tolist():
+                errors, bits = bit_errors(prints[i], prints[j], o)
+                if bits >= min(need[i], need[j]) and errors <= max_errors * bits:
+                    yield i, j
+                    break
+        return
+    laid = np.zeros((len(at), width), np.uint32)
+    for row, (k, x) in enumerate(zip(owner, at, strict=True)):
+        laid[row, middle - x : middle - x + sizes[k]] = prints[k].view(np.uint32)
+    columns = np.arange(width)
+    for row, k in enumerate(owner):
+        if not first[k]:
+            continue
+        rest = row + 1 + np.flatnonzero(second[owner[row + 1 :]] & (owner[row + 1 :] != k))
+        if not len(rest):
+            continue
+        low, high = np.minimum(before[rest], before[row]), np.minimum(after[rest], after[row])
+        differ = np.bitwise_count(laid[rest] ^ laid[row])
+        differ[(columns < middle - low[:, None]) | (columns >= middle + high[:, None])] = 0
+        bits = 32 * (low + high)
+        good = (bits >= np.minimum(need[owner[rest]], need[k])) & (differ.sum(1, dtype=np.int64) <= max_errors * bits)
+        yield from ((int(k), int(j)) for j in owner[rest[good]])
+
+
 def _crowd(max_errors: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by (value, lo, hi, second): a spanning forest of the links of each
@@ -246,17 +291,21 @@ def _crowd(max_errors: float):
         key = None
 
         def flush() -> Iterator[pa.RecordBatch]:
+            if len({x[2] for x in held}) < 2:
+                held.clear()
+                return
             label = {x[2]: x[2] for x in held}
-            own = [np.unique(x[3]) for x in held]
+            later = np.array([bool(x[0]) for x in held])
+            every = np.ones(len(held), bool)
             out = []
-            for i, (_, n, mine, fp) in enumerate(held):
-                for j, (second, m, other, print_) in enumerate(held[i + 1 :], i + 1):
-                    if key[1] != key[2] and (held[i][0] or not second):
-                        continue
-                    x, y = label[mine], label[other]
-                    if x != y and np.intersect1d(own[i], own[j], assume_unique=True)[0] == key[0] and linked(fp, print_, max_errors):
-                        out.append((min(n, m), max(n, m)))
-                        label = {k: min(x, y) if v == max(x, y) else v for k, v in label.items()}
+            sides = (every, every) if key[1] == key[2] else (~later, later)
+            for i, j in _met(key[0], [x[3] for x in held], *sides, max_errors):
+                x, y = label[held[i][2]], label[held[j][2]]
+                if x != y:
+                    out.append((min(held[i][1], held[j][1]), max(held[i][1], held[j][1])))
+                    for k, v in label.items():
+                        if v == max(x, y):
+                            label[k] = min(x, y)
             held.clear()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])

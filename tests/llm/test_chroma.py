@@ -168,3 +168,32 @@ def test_cells_that_are_no_recordings(spark):
 def test_filters_fit_the_frames():
     assert len(chroma.filters()) == 16
     assert all(0 <= y and y + h <= 12 and 2 <= w <= chroma.SPAN for _, y, h, w in chroma.filters())
+
+
+def test_groups_laid_out_equal_pair_by_pair(monkeypatch):
+    """Every offset of the shared integer, whichever way a group is compared."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(2**31), 2**31, 60).astype(np.int32)
+    prints = []
+    for _ in range(25):
+        a, b = rng.integers(0, 29), rng.integers(32, 60)
+        own = base[a:b].copy()
+        for i in rng.integers(0, len(own), int(rng.integers(0, 5 * len(own)))):
+            own[i] ^= np.int32(1 << int(rng.integers(0, 31)))
+        own[30 - a] = 7
+        if rng.random() < 0.5:
+            own[rng.integers(0, len(own))] = 7
+        prints.append(own)
+    first = rng.random(25) < 0.6
+    for one, two in ((np.ones(25, bool), np.ones(25, bool)), (first, ~first)):
+        want = set()
+        for i in range(25):
+            for j in range(i + 1, 25):
+                offsets = {int(q - p) for p in np.flatnonzero(prints[i] == 7) for q in np.flatnonzero(prints[j] == 7)}
+                tried = [chroma.bit_errors(prints[i], prints[j], o) for o in offsets]
+                if one[i] and two[j] and any(n >= 32 * min(chroma.MIN_OVERLAP, len(prints[i]), len(prints[j])) and e <= 0.2 * n for e, n in tried):
+                    want.add((i, j))
+        for cells in (1, 10**9):
+            monkeypatch.setattr(chroma, "CROWD_CELLS", cells)
+            assert set(chroma._met(7, prints, one, two, 0.2)) == want
+        assert want
