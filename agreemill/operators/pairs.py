@@ -56,6 +56,35 @@ def all_pairs(vectors: DataFrame, key: str, label: str, feat: str, blocks: int |
     return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(score, "a long, b long, within boolean, score double")
 
 
+def hashed_cross_sample(df: DataFrame, group: str, key: str, k: int, steps: tuple[int, int] = (7919, 104729), modulus: int = 1_000_003, blocks: int | None = None) -> DataFrame:
+    """(a, b, draw): the ``k`` cross pairs, a in the smaller group, of least draw, a
+    sum of the two integer keys' multiples modulo ``modulus``; ties by a, then b.
+
+    The draw ranks all cross pairs, so all are tried, in tiles of blocks; a tile
+    hands on its own ``k`` at most. ``unranked`` draws without trying any.
+    """
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(group).alias("g")).where("id IS NOT NULL AND g IS NOT NULL")
+    if blocks is None:
+        blocks = max(1, -(-rows.count() // TILE_ROWS))
+    own = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left, right = own.select(F.col("block").alias("x"), every.alias("y"), "id", "g"), own.select(every.alias("x"), F.col("block").alias("y"), "id", "g")
+
+    def least(p: pa.Table, q: pa.Table) -> pa.Table:
+        one, two = p["id"].to_numpy(), q["id"].to_numpy()
+        order = np.unique(np.concatenate([p["g"].to_numpy(zero_copy_only=False), q["g"].to_numpy(zero_copy_only=False)]), return_inverse=True)[1]
+        draw = (one[:, None] * steps[0] % modulus + two[None] * steps[1] % modulus) % modulus
+        i, j = np.nonzero(order[: len(one), None] < order[None, len(one) :])
+        if len(i) > k:  # all at or under the k-th draw, so that ties are whole
+            small = draw[i, j]
+            i, j = (x[small <= np.partition(small, k - 1)[k - 1]] for x in (i, j))
+        best = np.lexsort((two[j], one[i], draw[i, j]))[:k]
+        return pa.table({"a": one[i][best], "b": two[j][best], "draw": draw[i, j][best]})
+
+    tiles = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(least, "a long, b long, draw long")
+    return tiles.orderBy("draw", "a", "b").limit(k)
+
+
 def pools(df: DataFrame, group: str, order: str) -> DataFrame:
     """Each row's position in its group, from 0."""
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)

@@ -43,10 +43,7 @@ def pair_within_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_cross_sample_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = td.table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    left, right = e.toDF("a", "la"), e.toDF("b", "lb")
-    draw = ((F.col("a") * 7919 + F.col("b") * 104729) % 1000003).alias("draw")
-    return left.join(right, F.col("la") < F.col("lb")).select("a", "b", draw).orderBy("draw", "a", "b").limit(500)
+    return pairs.hashed_cross_sample(td.table(spark, sf_dir, "embeddings"), "label", "vec_id", 500)
 
 
 #: A step of ordinals that no pool size here divides, so that none comes twice.

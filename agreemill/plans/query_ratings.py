@@ -191,13 +191,16 @@ def source_robustness_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd.crossJoin(F.broadcast(base)).select("source", "n", r6(F.col("kd")).alias("kd"), r6(F.col("kd") - F.col("base")).alias("delta"))
 
 
-CELLS = [("exact", 0.47149, 0.471, 3, None), ("rounds away", 0.4716, 0.472, 3, None), ("count", 7304.0, 7304.0, 0, None), ("mismatch", 0.4726, 0.471, 3, None), ("tolerated", 0.4726, 0.471, 3, 0.002), ("beyond", 0.4746, 0.471, 3, 0.002), ("half", 0.0625, 0.062, 3, None)]
-
-
 def check_printed_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ", ".join(f"('{n}', {o}D, {p}D, {d}, {'CAST(NULL AS DOUBLE)' if t is None else f'{t}D'})" for n, o, p, d, t in CELLS)
-    cells = spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, ours, paper, digits, tol)")
-    return checks.checked(cells).select("name", "ok", "same_print")
+    """Every order's price in thousands against a printed number of none to three
+    digits: a digit off for some, halves exactly between two digits for others,
+    within a tolerance for every third."""
+    k, digits = F.col("key"), (F.col("key") % 4).cast("int")
+    half = F.floor("x") / 8
+    ours = F.when(k % 5 == 0, half).otherwise(F.col("x") / 1000)
+    unit = F.pow(F.lit(10.0), -digits)
+    cells = td.rated(spark, sf_dir).select("method", ours.alias("ours"), (ours + F.when(k % 7 == 0, unit).otherwise(0.0)).alias("paper"), digits.alias("digits"), F.when(k % 3 == 0, unit * 1.5).alias("tol"))
+    return checks.checked(cells).groupBy("method", "digits").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.count_if("same_print").alias("n_same_print"))
 
 
 def matched_error_total(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +248,6 @@ def _rank(v: str, by: str) -> str:
 
 _RAW = "* REPLACE ({x} AS x, CASE WHEN fg_ref > 0 AND fg_out > 0 THEN judge ELSE 0 END AS judge)"
 _COND = f"SELECT method, count(*) AS n, round(min(x), 6) AS min_x, round(avg(x), 6) AS mean_x, round(avg(judge), 6) AS mean_judge, round({_kd('judge')}, 6) AS kd FROM c GROUP BY method"
-_CELLS = ", ".join(f"('{n}', {o}::DOUBLE, {p}::DOUBLE, {d}, {'NULL' if t is None else t}::DOUBLE)" for n, o, p, d, t in CELLS)
 
 ORACLE_SQL = {
     "rating_alpha_pooled": sql(f"SELECT count(*) AS n, round({_alpha('g1', 'g2')}, 6) AS alpha FROM v_rated", "v_rated"),
@@ -341,8 +343,13 @@ ORACLE_SQL = {
         "v_rated",
         "v_long",
     ),
-    "check_printed_precision": f"""WITH c AS (SELECT * FROM (VALUES {_CELLS}) AS t(name, ours, paper, digits, tol)), p AS (SELECT *, CASE digits WHEN 0 THEN format('{{:.0f}}', ours) = format('{{:.0f}}', paper) ELSE format('{{:.3f}}', ours) = format('{{:.3f}}', paper) END AS same_print FROM c)
-      SELECT name, CASE WHEN tol IS NULL THEN same_print ELSE abs(ours - paper) <= tol + pow(10::DOUBLE, -(digits + 3)) END AS ok, same_print FROM p""",
+    "check_printed_precision": sql(
+        """WITH r AS (SELECT method, key % 4 AS digits, CASE WHEN key % 5 = 0 THEN floor(x) / 8 ELSE x / 1000 END AS ours, key FROM v_rated),
+        c AS (SELECT *, pow(10.0::DOUBLE, -digits) AS unit FROM r), p AS (SELECT *, ours + CASE WHEN key % 7 = 0 THEN unit ELSE 0.0::DOUBLE END AS paper, CASE WHEN key % 3 = 0 THEN unit * 1.5::DOUBLE END AS tol FROM c),
+        s AS (SELECT *, CASE digits WHEN 0 THEN format('{:.0f}', ours) = format('{:.0f}', paper) WHEN 1 THEN format('{:.1f}', ours) = format('{:.1f}', paper) WHEN 2 THEN format('{:.2f}', ours) = format('{:.2f}', paper) ELSE format('{:.3f}', ours) = format('{:.3f}', paper) END AS same FROM p)
+        SELECT method, CAST(digits AS INTEGER) AS digits, count(*) AS n, count(*) FILTER (WHERE CASE WHEN tol IS NULL THEN same ELSE abs(ours - paper) <= tol + pow(10.0::DOUBLE, -(digits + 3)) END) AS n_ok, count(*) FILTER (WHERE same) AS n_same_print FROM s GROUP BY ALL""",
+        "v_rated",
+    ),
     "matched_error_total": sql(f"WITH k AS (SELECT method, {_kd('judge')} AS kd FROM v_rated GROUP BY method) SELECT count(*) AS n, round(sum(abs(kd - 0.8::DOUBLE)), 6) AS total_error FROM k", "v_rated"),
     "merged_metrics": sql("SELECT method, count(*) AS n, round(avg(x), 4) AS mean_a, round(avg(judge), 4) AS mean_b, round(avg(x / 2), 4) AS mean_c FROM v_rated WHERE key % 5 <> 0 AND key % 7 <> 0 GROUP BY method", "v_rated"),
 }

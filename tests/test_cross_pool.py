@@ -61,3 +61,13 @@ def test_hot_group_and_ordinals_beyond_the_pool(spark):
 def test_one_group_and_no_rows(spark):
     assert pairs.cross_sample(frame(spark, {"a": [1, 2]}), "g", "k", 5, 0).collect() == []
     assert pairs.cross_sample(frame(spark, {}), "g", "k", 5, 0).collect() == []
+
+
+@pytest.mark.parametrize(("k", "modulus", "blocks"), [(5, 1_000_003, 1), (40, 13, 3), (10_000, 7, 4), (1, 1, 2)])
+def test_hashed_sample_equals_sorting_all_pairs(spark, k, modulus, blocks):
+    """Ties beyond a tile's share, more than all pairs, one draw for all."""
+    groups = {"a": range(0, 40, 3), "b": range(1, 30, 2), "c": [100, 7], None: [55]}
+    df = spark.createDataFrame([(g, int(x)) for g, keys in groups.items() for x in keys] + [("a", None)], "g string, k long")
+    every = sorted(((x * 7919 + y * 104729) % modulus, x, y) for g in "abc" for h in "abc" if g < h for x in groups[g] for y in groups[h])
+    got = [(r["draw"], r["a"], r["b"]) for r in pairs.hashed_cross_sample(df, "g", "k", k, modulus=modulus, blocks=blocks).collect()]
+    assert got == every[:k]
