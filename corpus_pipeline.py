@@ -25,7 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters and texts far from every language that ``lang``
-    names. Without any named language all texts with letters stay."""
+    names. Without any named language all texts with letters stay. Repeated rows
+    and equal texts share their fate; a text as far as the floor stays, and of
+    languages equally near the first by name counts."""
     return langid.accepted(docs)
 
 
@@ -40,12 +42,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold an item of ``benchmark``. Null texts hold none;
-    null and wordless items are held by none."""
+    null and wordless items are held by none. Repeated rows share their fate,
+    repeated items count as one; exactly the threshold's share is a hit."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents; a null or empty text is the end token alone."""
+    """Pack all documents; a null or empty text is the end token alone. Repeated
+    rows are packed as often as they stand; a tie between bins changes no length."""
     return packing.packed_documents(docs)
 
 
