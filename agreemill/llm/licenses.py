@@ -3,7 +3,8 @@
 Templates are short notices (below) and whole license texts (``wordings``). A text
 is split into units (sentences within lines). A unit is license-like for the
 templates whose runs of four words cover half of it (shorter units: that have it as
-a run); consecutive units that one
+a run); of a unit that is like none, stretches of at least ``STRETCH`` words in such
+runs are units of their own; consecutive units that one
 template could hold form a candidate block, which ends where its first unit comes again (the
 next copy of a notice) or where it outgrows the template. A block is compressed with
 each template as a zstandard raw dictionary; templates are ranked by the reduction
@@ -40,6 +41,9 @@ THRESHOLD = 0.8
 CANDIDATES = 6
 RUN = 4
 COVER = 0.5
+STRETCH = 12
+#: Words between two runs of a stretch, at most.
+GAP = 3
 SPDX = "spdx-license-identifier"
 CACHE = 20_000
 
@@ -66,7 +70,8 @@ TEMPLATES = {
 }
 
 _unit = re.compile(r"[^\n]+?(?:[.!?;](?=\s)|(?=\n)|$)", re.S)
-_words = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*").findall
+_word = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
+_words = _word.findall
 
 
 @lru_cache(1)
@@ -137,6 +142,38 @@ class Scanner:
                 last[i] = k + RUN
         return sum(1 << i for i, n in covered.items() if n >= COVER * len(words))
 
+    def units(self, text: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, list[str], int]]:
+        """(start, end, words, templates it is like) of the units with words."""
+        for m in _unit.finditer(text, start, len(text) if end is None else end):
+            words = normal(m[0])
+            like = self.like(words)
+            if words and (like or len(words) < STRETCH):
+                yield *m.span(), words, like
+            elif words:
+                yield from self._stretches(text, *m.span()) or [(*m.span(), words, 0)]
+
+    def _stretches(self, text: str, start: int, end: int) -> list[tuple[int, int, list[str], int]]:
+        """The stretches of a long unit that consist of templates' runs, and empty
+        units of no template where they end."""
+        found = list(_word.finditer(text, start, end))
+        words = [m[0].lower() for m in found]
+        inside = [False] * len(words)
+        for k in range(len(words) - RUN + 1):
+            if tuple(words[k : k + RUN]) in self.runs:
+                inside[k : k + RUN] = [True] * RUN
+        out: list[tuple[int, int, list[str], int]] = []
+        first = last = -1
+        for k in [*(k for k, x in enumerate(inside) if x), len(words) + GAP + 1]:
+            if first >= 0 and k - last > GAP + 1:
+                own = words[first : last + 1]
+                if len(own) >= STRETCH and (like := self.like(own)):
+                    out += [(found[first].start(), found[last].end(), own, like), (found[last].end(), found[last].end(), ["\n"] * STRETCH, 0)]
+                first = -1
+            if first < 0:
+                first = k
+            last = k
+        return out
+
     def _room(self, which: int) -> int:
         """The most words of a block that these templates could hold."""
         return 8 + max((len(w) for i, w in enumerate(self.words) if which >> i & 1), default=0) * 5 // 4
@@ -146,21 +183,17 @@ class Scanner:
         start = end = -1
         which = size = 0
         first: list[str] = []
-        for m in _unit.finditer(text):
-            words = normal(m[0])
-            if not words:
-                continue
-            like = self.like(words)
+        for a, b, words, like in self.units(text):
             both = which & like
             if start >= 0 and both and words != first and size + len(words) <= self._room(both):
-                end, which, size = m.end(), both, size + len(words)
+                end, which, size = b, both, size + len(words)
             elif start >= 0 and not like and len(words) < RUN and which & self._hold(words) and size + len(words) <= self._room(which):
                 size += len(words)  # the number of a list item, which a like unit may follow
                 continue
             else:
                 if start >= 0:
                     yield start, end
-                start, end, which, size = (m.start(), m.end(), like, len(words)) if like else (-1, -1, 0, 0)
+                start, end, which, size = (a, b, like, len(words)) if like else (-1, -1, 0, 0)
                 first = words if len(words) >= RUN else []
         if start >= 0:
             yield start, end
@@ -221,7 +254,7 @@ class Scanner:
         for start, end in self.blocks(text):
             spans = [(start, end)]
             if self.recall(text[start:end]) is None:
-                spans = [m.span() for m in _unit.finditer(text, start, end) if self.like(normal(m[0]))]
+                spans = [(a, b) for a, b, _, like in self.units(text, start, end) if like]
             for s, e in spans:
                 s += len(text[s:e]) - len(text[s:e].lstrip())
                 f = self.recall(text[s:e])

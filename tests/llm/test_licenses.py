@@ -173,3 +173,15 @@ def test_search_ends_at_the_first_exact_template(monkeypatch):
     whole = dict(licenses.templates())["ISC"]
     found = scanner.judge(whole)
     assert found.license == "ISC" and found.exact and len(tried) == 1
+
+
+def test_wordings_inside_long_lines_without_stops():
+    """A grant in the middle of running words is found, with its place."""
+    grant = dict(licenses.templates())["MIT"].split("MIT License. ")[-1].split(":")[0]
+    words = " ".join(f"w{i} and so" for i in range(80))
+    text = f"{words} {grant} {words}"
+    found = licenses.Scanner().scan(text)
+    assert [(f.license, text[f.start : f.end]) for f in found] == [("MIT", grant)]
+    assert not licenses.Scanner().scan(words)
+    two = f"{words} {grant} {words} {grant}"
+    assert [f.license for f in licenses.Scanner().scan(two)] == ["MIT", "MIT"]
