@@ -15,7 +15,7 @@ def covering(scores: DataFrame, n_methods: int) -> DataFrame:
 
 def common_keys(scores: DataFrame, raters: DataFrame) -> DataFrame:
     """(method, key) that every one of ``raters`` has, counted once each."""
-    wanted = scores.join(F.broadcast(raters), "rater", "left_semi")
+    wanted = scores.join(raters, "rater", "left_semi")
     n = raters.agg(F.count("*").alias("n_raters"))
     sized = wanted.groupBy("method", "key").agg(F.countDistinct("rater").alias("n"))
     return sized.join(F.broadcast(n), F.col("n") == F.col("n_raters")).select("method", "key")
@@ -26,7 +26,7 @@ def present_keys(scores: DataFrame) -> DataFrame:
     finite = scores.withColumn("ok", known("value").isNotNull())
     there = finite.groupBy("method").agg(F.countDistinct("rater").alias("n_raters"))
     have = finite.where("ok").groupBy("method", "key").agg(F.countDistinct("rater").alias("n"))
-    return have.join(F.broadcast(there), "method").where("n = n_raters").select("method", "key")
+    return have.join(there, "method").where("n = n_raters").select("method", "key")
 
 
 def restricted(rows: DataFrame, keys: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from agreemill.functions.numbers import r6
 from agreemill.operators import masks, patches, stats, syntax
-from agreemill.plans import checks, conditions, figures
+from agreemill.plans import checks, conditions, figures, keysets
 from agreemill.plans.query_others import _mask, _prompts, _strata_sql, disk_masks
 from agreemill.plans.query_pairs import GRID, NN, STRIDE, _matched
 from agreemill.plans.query_ratings import _alpha
@@ -155,11 +155,33 @@ def figure_contact_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures.contact_sheet(rows, "method", -F.abs(F.col("judge") - F.col("g1")), ["key"], 12)
 
 
+def rating_runs_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of a judge, the second one incomplete, each joined with a group's
+    ratings; agreement of each run, and their spread."""
+    rows = td.rated(spark, sf_dir)
+    k = F.col("key")
+    run = lambda n, keep: rows.where(keep).select("method", "key", F.lit(n).alias("run"), ((F.col("judge") + (k * n) % 3) % 5).alias("value"))
+    runs = run(1, F.lit(True)).unionByName(run(2, k % 13 != 0)).unionByName(run(3, F.lit(True)))
+    each = runs.join(rows.select("method", "key", "g1"), ["method", "key"]).groupBy("run").agg(F.count("*").alias("n"), stats.alpha("value", "g1").alias("alpha"))
+    spread = each.agg(F.avg("alpha").alias("mean"), F.stddev_samp("alpha").alias("sd"))
+    return each.crossJoin(F.broadcast(spread)).select("run", "n", *[r6(F.col(c)).alias(c) for c in ("alpha", "mean", "sd")])
+
+
+def keyset_cells_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that four cells share, used again for a fifth and a sixth one that
+    don't take part in the intersection."""
+    long = td.long_scores(td.rated(spark, sf_dir))
+    four = long.where("rater <> 'c'")
+    shared = keysets.common_keys(four, four.select("rater").distinct())
+    cells = long.unionByName(long.where("rater = 'c' AND value > 100000").withColumn("rater", F.lit("high")))
+    return keysets.restricted(cells, shared).groupBy("rater").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         filter_audit_measures, keytable_roundtrip, strata_agreement, strata_label_pairs, score_rating_join, recall_keypoint_flags, dense_scores, cp_strided_maxcos, tokens_without_prefix, cp_remask_grids,
-        photo_pool_spread, mask_nonempty, mask_upsample, check_expected_agreement, figure_heat_grid, figure_bars, figure_violins, figure_contact_sheet,
+        photo_pool_spread, mask_nonempty, mask_upsample, check_expected_agreement, figure_heat_grid, figure_bars, figure_violins, figure_contact_sheet, rating_runs_join, keyset_cells_reused,
     )
 }
 
@@ -219,6 +241,17 @@ ORACLE_SQL = {
         SELECT name, CASE WHEN tol IS NULL THEN same_print ELSE abs(ours - paper) <= tol + 1e-6::DOUBLE END AS ok, same_print FROM s""",
         "v_rated",
     ),
+    "rating_runs_join": sql(
+        f"""WITH runs AS (SELECT run, key, g1, CAST((judge + key * run % 3) % 5 AS DOUBLE) AS judge FROM v_rated, (SELECT unnest([1, 2, 3]) AS run) WHERE run <> 2 OR key % 13 <> 0),
+        e AS (SELECT run, count(*) AS n, {_alpha('judge', 'g1')} AS alpha FROM runs GROUP BY run)
+        SELECT CAST(run AS INTEGER) AS run, n, round(alpha, 6) AS alpha, round(avg(alpha) OVER (), 6) AS mean, round(stddev_samp(alpha) OVER (), 6) AS sd FROM e""",
+        "v_rated",
+    ),
+    "keyset_cells_reused": sql(
+        """WITH k AS (SELECT method, key FROM v_long WHERE rater <> 'c' GROUP BY method, key HAVING count(DISTINCT rater) = 4), c AS (SELECT * FROM v_long UNION ALL SELECT method, key, 'high', value FROM v_long WHERE rater = 'c' AND value > 100000)
+        SELECT rater, count(*) AS n, round(avg(value), 6) AS mean FROM c JOIN k USING (method, key) GROUP BY rater""",
+        "v_rated", "v_long",
+    ),
     "figure_heat_grid": sql(
         """WITH r AS (SELECT * FROM v_rated WHERE subject % 7 <> 0 OR g1 > 1), c AS (SELECT subject, g1, count(*) AS n, avg(judge) AS mean FROM r GROUP BY ALL)
         SELECT s.subject, g.g1, coalesce(n, 0) AS n, round(mean, 6) AS mean FROM (SELECT DISTINCT subject FROM r) s CROSS JOIN (SELECT DISTINCT g1 FROM r) g LEFT JOIN c ON c.subject = s.subject AND c.g1 = g.g1""",
