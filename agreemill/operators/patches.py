@@ -1,26 +1,31 @@
 """Similarity of images by their patches.
 
-An image is one row with its patch features in order (a bounded block). A pair
-of images meets by two key joins; one matrix product gives, for each reference
-patch, its nearest output patch and that one's nearest reference patch. All
-scores are plain aggregates over this mask-independent array, so it can be
-stored once and any mask applied later.
+Patches are dealt in blocks of at most BLOCK of an image. A pair of images is the
+tiles of their blocks; each tile is one group and one matrix product, in strips of
+at most CELLS cosines, and gives for every patch of either side its nearest one in
+the tile. One aggregate takes the best over tiles. No task holds more than two
+blocks and a strip, whatever the size of an image.
+
+The result, for each reference patch its nearest output patch and that one's
+nearest reference patch, does not depend on masks: it can be stored, one array an
+image pair, and any mask applied later. All scores are plain aggregates over it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agreemill.functions.numbers import ratio
-from agreemill.operators.pairs import unit
+from agreemill.operators.pairs import matrix, unit
 
 THRESHOLD = 0.5
 STRIP = 4096
+#: Patches of a block, and cosines that a task holds at a time.
+BLOCK = 32_768
+CELLS = 1_000_000
 
 
 def image_blocks(patches: DataFrame) -> DataFrame:
@@ -29,46 +34,91 @@ def image_blocks(patches: DataFrame) -> DataFrame:
     return rows.select("image_id", F.col("p.w").alias("w"), F.col("p.feat").alias("feat"))
 
 
-def _features(value: list | None) -> np.ndarray:
-    return np.array(value, np.float64) if value else np.zeros((0, 1))
+def strip_rows(width: int) -> int:
+    """Rows of a product with ``width`` columns that are made at a time."""
+    return max(1, min(STRIP, CELLS // max(1, width)))
+
+
+def nearest_both(ref: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(nearest output patch of each reference patch, its cosine, nearest reference
+    patch of each output patch, its cosine), ties to the lowest index; the product
+    is made in strips. Neither side is empty."""
+    a, b = unit(ref), unit(out).T
+    to, cos = np.empty(len(ref), int), np.empty(len(ref))
+    back, best = np.zeros(len(out), int), np.full(len(out), -np.inf)
+    step = strip_rows(len(out))
+    for at in range(0, len(a), step):
+        s = a[at : at + step] @ b
+        np.round(s, 12, out=s)
+        mine = s.argmax(axis=1)
+        to[at : at + step], cos[at : at + step] = mine, s[np.arange(len(s)), mine]
+        theirs = s.argmax(axis=0)
+        top = s[theirs, np.arange(s.shape[1])]
+        better = ~(top <= best) & ~np.isnan(best)  # a NaN is the greatest, as in argmax
+        back[better], best[better] = at + theirs[better], top[better]
+    return to, cos, back, best
 
 
 def nearest(ref: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(nearest output patch, its cosine, that patch's nearest reference patch),
-    ties to the lowest index; the product is made in strips."""
+    ties to the lowest index."""
     if not len(ref) or not len(out):
         return np.zeros(0, int), np.zeros(0), np.zeros(0, int)
-    a, b = unit(ref), unit(out)
-    to = np.empty(len(a), int)
-    cos = np.empty(len(a))
-    back, best = np.zeros(len(b), int), np.full(len(b), -np.inf)
-    for at in range(0, len(a), STRIP):
-        s = np.round(a[at : at + STRIP] @ b.T, 12)
-        to[at : at + STRIP], cos[at : at + STRIP] = s.argmax(axis=1), s.max(axis=1)
-        top = s.max(axis=0)
-        better = top > best
-        back[better], best[better] = at + s.argmax(axis=0)[better], top[better]
+    to, cos, back, _ = nearest_both(ref, out)
     return to, cos, back[to]
 
 
+def blocked(rows: DataFrame, index: str, block: int | None = None) -> DataFrame:
+    """Rows with ``_block``, the block of their index."""
+    return rows.withColumn("_block", F.floor(F.col(index) / (block or BLOCK)).cast("int"))
+
+
+def nearest_rows(pairs: DataFrame, patches: DataFrame, block: int | None = None) -> DataFrame:
+    """(ref, out, ref_idx, to, cos, back, mutual, w_ref, w_partner): one row a
+    reference patch of each pair of images, from patches (image_id, patch_idx, w,
+    feat); ties to the lowest index."""
+    rows = blocked(patches.select("image_id", F.col("patch_idx").cast("int").alias("patch_idx"), F.col("w").cast("double").alias("w"), "feat"), "patch_idx", block)
+    there = rows.select("image_id", "_block").distinct()
+    tiles = pairs.select("ref", "out").distinct()
+    for side, n in (("ref", "_x"), ("out", "_y")):
+        tiles = tiles.join(there.toDF(side, n), side)
+    sides = [tiles.join(rows.withColumnsRenamed({"image_id": side, "_block": n}), [side, n]).select(*[F.col(c).alias(c) for c in ("ref", "out", "_x", "_y", "patch_idx", "w", "feat")]) for side, n in (("ref", "_x"), ("out", "_y"))]
+    one, two = (pairs.schema[c].dataType.simpleString() for c in ("ref", "out"))
+
+    def tile(key: tuple, p: pa.Table, q: pa.Table) -> pa.Table:
+        parts = []
+        if p.num_rows and q.num_rows:
+            p, q = (t.sort_by("patch_idx") for t in (p, q))
+            to, cos, back, best = nearest_both(matrix(p["feat"], p.num_rows), matrix(q["feat"], q.num_rows))
+            i, j = p["patch_idx"].to_numpy(), q["patch_idx"].to_numpy()
+            parts = [(True, i, p["w"], j[to], cos), (False, j, q["w"], i[back], best)]
+        n = sum(len(x[1]) for x in parts)
+        join = lambda k, kind: pa.chunked_array([pa.array(x[k]) if isinstance(x[k], np.ndarray) else x[k].combine_chunks() for x in parts], kind)
+        return pa.table({
+            "ref": pa.repeat(key[0], n), "out": pa.repeat(key[1], n), "is_ref": pa.array(np.repeat([x[0] for x in parts], [len(x[1]) for x in parts]).astype(bool)),
+            "idx": join(1, pa.int32()), "w": join(2, pa.float64()), "other": join(3, pa.int32()), "cos": join(4, pa.float64()),
+        })
+
+    keys = ["ref", "out", "_x", "_y"]
+    found = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInArrow(tile, f"ref {one}, out {two}, is_ref boolean, idx int, w double, other int, cos double")
+    best = found.groupBy("ref", "out", "is_ref", "idx").agg(F.max(F.struct("cos", (-F.col("other")).alias("less"))).alias("m"), F.max("w").alias("w"))
+    best = best.select("ref", "out", "is_ref", "idx", "w", F.col("m.cos").alias("cos"), (-F.col("m.less")).alias("other"))
+    # a reference patch meets its partner's own row
+    met = Window.partitionBy("ref", "out", F.when(F.col("is_ref"), F.col("other")).otherwise(F.col("idx")))
+    of_partner = lambda c: F.max(F.when(~F.col("is_ref"), F.col(c))).over(met)
+    both = best.withColumns({"back": of_partner("other"), "w_partner": of_partner("w")}).where("is_ref")
+    return both.select("ref", "out", F.col("idx").alias("ref_idx"), F.col("other").alias("to"), "cos", "back", (F.col("back") == F.col("idx")).alias("mutual"), F.col("w").alias("w_ref"), "w_partner")
+
+
 def matches(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     """(ref, out, w_ref, w_out, nn): nn is an array of struct(to, cos, back), one
     element a reference patch. Keep or store it to apply other masks later."""
-
-    @F.arrow_udf("array<struct<to: int, cos: double, back: int>>")
-    def near(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("to", pa.int32()), ("cos", pa.float64()), ("back", pa.int32())]))
-        for refs, outs in batches:
-            rows = []
-            for a, b in zip(refs, outs, strict=True):
-                found = nearest(_features(a.as_py()), _features(b.as_py()))
-                rows.append([{"to": t, "cos": v, "back": k} for t, v, k in zip(*(x.tolist() for x in found), strict=True)])
-            yield pa.array(rows, kind)
-
-    ref = blocks.select(F.col("image_id").alias("ref"), F.col("w").alias("w_ref"), F.col("feat").alias("f_ref"))
-    out = blocks.select(F.col("image_id").alias("out"), F.col("w").alias("w_out"), F.col("feat").alias("f_out"))
-    joined = pairs.select("ref", "out").join(ref, "ref").join(out, "out")
-    return joined.select("ref", "out", "w_ref", "w_out", near("f_ref", "f_out").alias("nn"))
+    rows = blocks.select("image_id", "w", F.posexplode("feat").alias("patch_idx", "feat")).withColumn("w", F.get("w", F.col("patch_idx")))
+    found = nearest_rows(pairs, rows).groupBy("ref", "out").agg(F.sort_array(F.collect_list(F.struct("ref_idx", "to", "cos", "back"))).alias("n"))
+    sizes = blocks.select("image_id", "w")
+    joined = pairs.select("ref", "out").join(sizes.toDF("ref", "w_ref"), "ref").join(sizes.toDF("out", "w_out"), "out").join(found, ["ref", "out"], "left")
+    nn = F.coalesce(F.transform("n", lambda m: F.struct(m["to"].alias("to"), m["cos"].alias("cos"), m["back"].alias("back"))), F.array().cast("array<struct<to: int, cos: double, back: int>>"))
+    return joined.select("ref", "out", "w_ref", "w_out", nn.alias("nn"))
 
 
 def per_patch(matched: DataFrame) -> DataFrame:
@@ -107,7 +157,7 @@ def scores(threshold: float = THRESHOLD) -> dict[str, Column]:
 
 def score_pairs(pairs: DataFrame, patches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Every score of every pair in one pass."""
-    rows = per_patch(matches(pairs, image_blocks(patches)))
+    rows = nearest_rows(pairs, patches)
     return rows.groupBy("ref", "out").agg(*[v.alias(k) for k, v in scores(threshold).items()])
 
 

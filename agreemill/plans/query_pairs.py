@@ -83,7 +83,8 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _per_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patches.per_patch(_matched(spark, sf_dir))
+    p = td.patches(spark, sf_dir)
+    return patches.nearest_rows(td.image_pairs(p), p)
 
 
 def nn_top1_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +129,7 @@ def cp_threshold_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cp_remask_from_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored arrays under a second mask, and the first one's score again."""
     p = td.patches(spark, sf_dir)
-    rows = patches.per_patch(patches.matches(td.image_pairs(p), patches.image_blocks(p)))
+    rows = patches.nearest_rows(td.image_pairs(p), p)
     other = p.select(F.col("image_id").alias("ref"), F.col("patch_idx").alias("ref_idx"), ((F.col("vec_id") * 53 % 101) / 100.0).alias("w2"))
     both = rows.join(other, ["ref", "ref_idx"])
     score = both.groupBy("ref", "out").agg(patches.masked_maxcos(empty="zero").alias("stored"), F.coalesce(F.avg(F.when(F.col("w2") > 0.9, F.col("cos"))), F.lit(0.0)).alias("remasked"), F.count_if(F.col("w2") > 0.9).alias("n_fg"))

@@ -116,3 +116,23 @@ def test_dense_and_stored_scores(spark):
     assert got == {0.0: (0.2, 1), -0.3: (0.0, 0)}
     tokens = spark.createDataFrame([(i, i % 4, i // 4) for i in range(16)], "token_idx int, gx int, gy int")
     assert patches.strided(tokens, 2).count() == 4 and patches.without_prefix(tokens, 5).agg(F.min("token_idx"), F.count("*")).first()[:] == (0, 11)
+
+
+def test_tiles_of_blocks_find_what_whole_images_find(spark):
+    """Images larger than a block, with equal patches in different blocks."""
+    data = images({"r": np.linspace(0, 1, 23), "o": np.linspace(1, 0, 17), "s": [0.4]}, seed=5)
+    data["o"][1][[9, 16]] = data["r"][1][[2, 20]] = data["o"][1][1]
+    pairs_ = spark.createDataFrame([("r", "o"), ("o", "s"), ("s", "r"), ("r", "missing")], "ref string, out string")
+    got = {(x["ref"], x["out"], x["ref_idx"]): x for x in patches.nearest_rows(pairs_, frame(spark, data), block=4).collect()}
+    assert len(got) == 23 + 17 + 1
+    for ref, out in (("r", "o"), ("o", "s"), ("s", "r")):
+        (w, a), (v, b) = data[ref], data[out]
+        to, cos, back = patches.nearest(a.astype(float), b.astype(float))
+        for i in range(len(a)):
+            x = got[ref, out, i]
+            assert (x["to"], x["back"], x["mutual"]) == (to[i], back[i], back[i] == i)
+            assert x["cos"] == pytest.approx(cos[i]) and x["w_ref"] == pytest.approx(w[i]) and x["w_partner"] == pytest.approx(v[to[i]])
+
+
+def test_a_strip_is_bounded_in_cells_whatever_the_image():
+    assert all(n * patches.strip_rows(n) <= max(n, patches.CELLS) for n in (1, 1000, 60_000, 3_000_000))
