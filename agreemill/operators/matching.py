@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agreemill.functions.numbers import ratio
-from agreemill.operators.pairs import unit
-from agreemill.operators.patches import STRIP, _features
+from agreemill.operators.pairs import matrix, unit
+from agreemill.operators.patches import STRIP, strip_rows
 
 #: Rows that a sample of matches holds.
 N_SAMPLE = 5000
@@ -105,7 +105,8 @@ def _to_nearest(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     """The nearest of ``others`` for each row, ties to the lowest index."""
     if not len(rows):
         return np.zeros(0, int)
-    return np.concatenate([np.round(rows[at : at + STRIP] @ others.T, 12).argmax(1) for at in range(0, len(rows), STRIP)])
+    step = min(STRIP, strip_rows(len(others)))
+    return np.concatenate([np.round(rows[at : at + step] @ others.T, 12).argmax(1) for at in range(0, len(rows), step)])
 
 
 def reciprocal_from(seeds: np.ndarray, ref: np.ndarray, out: np.ndarray, hops: int = MAX_HOPS) -> list[tuple[int, int, int]]:
@@ -138,21 +139,21 @@ def reciprocal_matches(pairs: DataFrame, blocks: DataFrame, stride: int, hops: i
     """(ref, out, ref_idx, out_idx, rounds): reciprocal nearest patches reached
     from the seeds of the reference's grid.
 
-    ``blocks``: (image_id, width, feat), one row an image, patches in row order.
+    ``blocks``: (image_id, width, feat), one row an image, patches in row order. A
+    pair is one group, its features two matrices: a task holds two images and a
+    strip of cosines.
     """
-
-    @F.arrow_udf("array<struct<ref_idx: int, out_idx: int, rounds: int>>")
-    def hop(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("ref_idx", pa.int32()), ("out_idx", pa.int32()), ("rounds", pa.int32())]))
-        for refs, outs, widths in batches:
-            rows = []
-            for a, b, w in zip(refs, outs, widths, strict=True):
-                ref, out = unit(_features(a.as_py())), unit(_features(b.as_py()))
-                found = reciprocal_from(grid_seeds(len(ref), w.as_py(), stride), ref, out, hops)
-                rows.append([dict(zip(("ref_idx", "out_idx", "rounds"), f, strict=True)) for f in found])
-            yield pa.array(rows, kind)
-
-    ref = blocks.select(F.col("image_id").alias("ref"), F.col("feat").alias("f_ref"), F.col("width").cast("int").alias("_width"))
-    out = blocks.select(F.col("image_id").alias("out"), F.col("feat").alias("f_out"))
-    joined = pairs.select("ref", "out").join(ref, "ref").join(out, "out")
-    return joined.select("ref", "out", F.inline(hop("f_ref", "f_out", "_width")))
+    one, two = (pairs.schema[c].dataType.simpleString() for c in ("ref", "out"))
+
+    def hop(key: tuple, p: pa.Table, q: pa.Table) -> pa.Table:
+        found = []
+        if p.num_rows and q.num_rows:
+            ref, out = (unit(matrix(t["feat"], t.num_rows)[np.argsort(t["idx"].to_numpy())]) for t in (p, q))
+            found = reciprocal_from(grid_seeds(len(ref), p["width"][0].as_py(), stride), ref, out, hops)
+        columns = np.array(found, np.int32).reshape(-1, 3).T
+        return pa.table({"ref": pa.repeat(key[0], len(found)), "out": pa.repeat(key[1], len(found))} | {n: pa.array(c) for n, c in zip(("ref_idx", "out_idx", "rounds"), columns, strict=True)})
+
+    rows = blocks.select("image_id", F.col("width").cast("int").alias("width"), F.posexplode("feat").alias("idx", "feat"))
+    asked = pairs.select("ref", "out").distinct()
+    sides = [asked.join(rows.withColumnRenamed("image_id", side), side).select(*[F.col(c).alias(c) for c in ("ref", "out", "width", "idx", "feat")]) for side in ("ref", "out")]
+    return sides[0].groupBy("ref", "out").cogroup(sides[1].groupBy("ref", "out")).applyInArrow(hop, f"ref {one}, out {two}, ref_idx int, out_idx int, rounds int")

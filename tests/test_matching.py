@@ -111,3 +111,14 @@ def test_matches_of_a_frame(spark):
     got = sorted(tuple(r) for r in matching.reciprocal_matches(pairs, blocks, 2).collect())
     want = [(x, y, *m) for x, y in (("a", "b"), ("b", "a")) for m in slow_reciprocal(matching.grid_seeds(len(images[x]), 4, 2).tolist(), unit(images[x]), unit(images[y]), 10)]
     assert got == sorted(want) and got
+
+
+def test_a_strip_of_hops_is_bounded_in_cells(monkeypatch):
+    """A hop makes no more cosines at a time than CELLS, whatever the image."""
+    seen = []
+    monkeypatch.setattr(patches, "CELLS", 600)
+    monkeypatch.setattr(matching.np, "round", lambda s, *a, f=np.round, **k: (seen.append(s.size), f(s, *a, **k))[1])
+    rng = np.random.default_rng(3)
+    ref, out = unit(rng.normal(size=(200, 4))), unit(rng.normal(size=(300, 4)))
+    matching.reciprocal_from(np.arange(200), ref, out)
+    assert max(seen) <= 600
