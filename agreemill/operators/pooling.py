@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agreemill.operators.pairs import unit
+from agreemill.operators.pairs import matrix, unit
+from agreemill.operators.patches import BLOCK, strip_rows
 
 #: Weights that may be sent to the tasks.
 MAX_WEIGHTS = 64_000_000
@@ -170,20 +171,39 @@ def text_blocks(tokens: DataFrame, special: Collection[int], projection: tuple[n
     return rows.select("text_id", ready("x").alias("tokens"), F.size("x").alias("n_tokens"))
 
 
-def maxsim(pairs: DataFrame, texts: DataFrame, blocks: DataFrame) -> DataFrame:
+def maxsim(pairs: DataFrame, texts: DataFrame, blocks: DataFrame, block: int = BLOCK) -> DataFrame:
     """(text_id, image_id, maxsim, n_tokens, n_patches): the mean best cosine of a
     text's valid tokens over an image's patches; NULL without tokens or patches.
 
     ``texts`` comes from ``text_blocks``, ``blocks`` from ``patches.image_blocks``.
+    The texts of an image are dealt in parts of about ``block`` tokens, its patches
+    in blocks: a patch travels once a part, not once a text, and a task holds two
+    blocks and a strip of cosines.
     """
-
-    @F.arrow_udf("double")
-    def best(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts_, images in batches:
-            (t, n_t), (p, n_p) = _nested(texts_), _nested(images)
-            p = unit(p) if len(p) else p
-            t_ends, p_ends = np.cumsum(n_t), np.cumsum(n_p)
-            yield pa.array([float((t[a - m : a] @ p[b - n : b].T).max(1).mean()) if m and n else None for a, m, b, n in zip(t_ends, n_t, p_ends, n_p, strict=True)], pa.float64())
-
-    joined = pairs.select("text_id", "image_id").join(texts, "text_id").join(blocks.select("image_id", "feat"), "image_id")
-    return joined.select("text_id", "image_id", best("tokens", "feat").alias("maxsim"), "n_tokens", F.size("feat").alias("n_patches"))
+    asked = pairs.select("text_id", "image_id").distinct()
+    tokens = asked.join(texts.select("text_id", "tokens", "n_tokens"), "text_id")
+    parts = asked.join(texts.select("text_id", "n_tokens"), "text_id").groupBy("image_id").agg(F.ceil(F.sum("n_tokens") / block).cast("int").alias("_parts"))
+    n_blocks = blocks.select("image_id", F.ceil(F.size("feat") / block).cast("int").alias("_blocks"))
+    sizes = parts.join(n_blocks, "image_id").where("_parts > 0 AND _blocks > 0")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = tokens.join(sizes, "image_id").select("image_id", F.pmod(F.xxhash64("text_id"), F.col("_parts")).cast("int").alias("_x"), each("_blocks").alias("_y"), "text_id", "tokens")
+    left = left.select("image_id", "_x", "_y", "text_id", F.posexplode("tokens").alias("pos", "v"))
+    right = blocks.select("image_id", F.posexplode("feat").alias("_i", "v")).join(sizes, "image_id").select("image_id", each("_parts").alias("_x"), F.floor(F.col("_i") / block).cast("int").alias("_y"), "v")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    text, image = texts.schema["text_id"].dataType.simpleString(), blocks.schema["image_id"].dataType.simpleString()
+
+    def best(key: tuple, p: pa.Table, q: pa.Table) -> pa.Table:
+        n = p.num_rows if q.num_rows else 0
+        top = np.empty(n)
+        if n:
+            t, others = matrix(p["v"], n), unit(matrix(q["v"], q.num_rows)).T
+            step = strip_rows(q.num_rows)
+            for at in range(0, n, step):
+                top[at : at + step] = (t[at : at + step] @ others).max(1)
+        return pa.table({"text_id": p["text_id"].slice(0, n), "image_id": pa.repeat(key[0], n), "pos": p["pos"].slice(0, n), "best": top})
+
+    keys = ["image_id", "_x", "_y"]
+    found = left.withColumn("image_id", F.col("image_id").cast(image)).groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"text_id {text}, image_id {image}, pos int, best double")
+    means = found.groupBy("text_id", "image_id", "pos").agg(F.max("best").alias("best")).groupBy("text_id", "image_id").agg(F.avg("best").alias("maxsim"))
+    joined = pairs.select("text_id", "image_id").join(texts.select("text_id", "n_tokens"), "text_id").join(blocks.select("image_id", F.size("feat").alias("n_patches")), "image_id")
+    return joined.join(means, ["text_id", "image_id"], "left").select("text_id", "image_id", "maxsim", "n_tokens", "n_patches")

@@ -116,3 +116,20 @@ def test_maxsim_equals_plain_loops(spark):
             want = slow_maxsim(vectors[t], texts[t], images[i][1].astype(float), (0, 1), use)
             assert r["maxsim"] == (None if want is None else pytest.approx(want, abs=1e-9))
             assert r["n_patches"] == len(images[i][0]) and r["n_tokens"] == sum(v is not None and v > 1 for v in texts[t])
+
+
+def test_maxsim_in_tiles_is_that_of_whole_images(spark):
+    """More texts and patches than a block; texts of one image share its patches."""
+    rng = np.random.default_rng(8)
+    images = {k: (np.ones(n), rng.normal(size=(n, D)).astype(np.float32)) for k, n in (("i0", 13), ("i1", 2))}
+    tokens = [(t, i, 2 + i, rng.normal(size=D).astype(np.float32).tolist()) for t in range(9) for i in range(1 + t % 4)]
+    pairs = spark.createDataFrame([(t, f"i{t % 2}") for t in range(9)] + [(3, "i0")], "text_id long, image_id string")
+    ready = pooling.text_blocks(spark.createDataFrame(tokens, "text_id long, token_idx int, token_id int, feat array<float>"), (0, 1))
+    found = pooling.maxsim(pairs, ready, patches.image_blocks(frame(spark, images)), block=4)
+    got = {(r["text_id"], r["image_id"]): r for r in found.collect()}
+    assert len(got) == 10 and found.columns == ["text_id", "image_id", "maxsim", "n_tokens", "n_patches"]
+    for (t, image), r in got.items():
+        x = np.array([f for k, _, _, f in tokens if k == t])
+        y = images[image][1].astype(float)
+        cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+        assert r["maxsim"] == pytest.approx(cos.max(1).mean()) and (r["n_tokens"], r["n_patches"]) == (len(x), len(y))
