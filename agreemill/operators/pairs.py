@@ -56,6 +56,139 @@ def all_pairs(vectors: DataFrame, key: str, label: str, feat: str, blocks: int |
     return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(score, "a long, b long, within boolean, score double")
 
 
+#: Vectors of a block whose pairs are only counted, dots made at a time, and the
+#: scores of a page of counts and the pages that a task holds.
+COUNT_ROWS = 32_768
+COUNT_CELLS = 1_000_000
+PAGE, MAX_PAGES = 65_536, 128
+
+
+class ScoreCounts:
+    """Pairs by score of six decimals, all and those of equal labels, in pages of
+    the scores that occur."""
+
+    def __init__(self) -> None:
+        self.pages: dict[int, np.ndarray] = {}
+        self.odd: dict[float, np.ndarray] = {}  # not finite, or beyond exact integers
+
+    def add(self, scaled: np.ndarray, kind: int, times: int = 1) -> None:
+        """``scaled``: rounded millionths; ``kind``: 0 all, 1 within."""
+        if not scaled.size:
+            return
+        low, high = scaled.min(), scaled.max()
+        if not (-(2.0**52) < low and high < 2.0**52) or high - low > 64 * PAGE:
+            plain = np.isfinite(scaled) & (np.abs(scaled) < 2.0**52)
+            for v, n in zip(*np.unique(scaled[~plain], return_counts=True), strict=True):
+                self.odd.setdefault(float(v), np.zeros(2, np.int64))[kind] += times * n
+            for v, n in zip(*np.unique(scaled[plain].astype(np.int64), return_counts=True), strict=True):
+                self._page(int(v) // PAGE)[kind, int(v) % PAGE] += times * n
+            return
+        first = int(low) // PAGE
+        n = np.bincount((scaled - first * PAGE).astype(np.int64).ravel())
+        for k in range(0, len(n), PAGE):
+            part = n[k : k + PAGE]
+            self._page(first + k // PAGE)[kind, : len(part)] += times * part
+
+    def _page(self, k: int) -> np.ndarray:
+        if k not in self.pages:
+            self.pages[k] = np.zeros((2, PAGE), np.int64)
+        return self.pages[k]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """(score, pos, neg) of what was counted; it starts anew."""
+        for k, (every, within) in sorted(self.pages.items()):
+            at = np.flatnonzero(every)
+            yield _counted((k * PAGE + at) / 1e6, within[at], every[at] - within[at])
+        for v, (every, within) in self.odd.items():
+            yield _counted(np.array([v]) / 1e6, np.array([within]), np.array([every - within]))
+        self.pages, self.odd = {}, {}
+
+
+def _counted(score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(score + 0.0), pa.array(pos, pa.int64()), pa.array(neg, pa.int64())], ["score", "pos", "neg"])
+
+
+def count_tile(counts: ScoreCounts, p: tuple, q: tuple | None) -> None:
+    """Count the pairs of two blocks (ids, label codes, matrix), or with ``q`` None
+    those inside one. Rows are in order of label."""
+    ids, la, a = p
+    lb, b = (la, a) if q is None else q[1:]
+    step = max(1, COUNT_CELLS // max(1, len(b)))
+    for at in range(0, len(a), step):
+        end = min(len(a), at + step)
+        s = a[at:end] @ (b[at:] if q is None else b).T
+        s *= 1e6
+        np.rint(s, out=s)
+        others = lb[at:] if q is None else lb
+        if q is None:  # the square on the diagonal holds each pair twice
+            n = end - at
+            i, j = np.triu_indices(n, 1)
+            counts.add(s[i, j], 0)
+            counts.add(s[i, j][la[at + i] == la[at + j]], 1)
+            s, others = s[:, n:], others[n:]
+        counts.add(s, 0)
+        runs = np.flatnonzero(np.diff(la[at:end], prepend=la[at] - 1))
+        for i, j in zip(runs, [*runs[1:], end - at], strict=True):
+            lo, hi = np.searchsorted(others, la[at + i], "left"), np.searchsorted(others, la[at + i], "right")
+            counts.add(s[i:j, lo:hi], 1)
+    if q is None:  # rows of one id are no pair
+        _, same, n = np.unique(ids, return_inverse=True, return_counts=True)
+        for k in np.flatnonzero(n > 1):
+            rows = np.flatnonzero(same == k)
+            i, j = np.triu_indices(len(rows), 1)
+            s = np.rint((a[rows] @ a[rows].T)[i, j] * 1e6)
+            counts.add(s, 0, -1)
+            counts.add(s[la[rows[i]] == la[rows[j]]], 1, -1)
+
+
+def pair_score_counts(vectors: DataFrame, key: str, label: str, feat: str, blocks: int | None = None, tasks: int | None = None) -> DataFrame:
+    """(score, pos, neg): how many pairs a < b of equal and of other labels have each
+    dot product of six decimals. No pair is a row: a task counts its tiles of two
+    blocks and hands on its counts. Rows without a label are in no pair."""
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.xxhash64(label).alias("label"), F.col(feat).alias("feat")).where(F.col(label).isNotNull())
+    cores = spark.sparkContext.defaultParallelism
+    if blocks is None:
+        n = rows.count()
+        blocks = max(1, -(-n // COUNT_ROWS), min(-(-n // TILE_ROWS), int((8 * cores) ** 0.5) + 1))
+    tasks = tasks or max(1, min(blocks * (blocks + 1) // 2, 4 * cores))
+    own = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    met = F.explode(F.transform(every, lambda j: F.struct(F.least("_block", j).alias("x"), F.greatest("_block", j).alias("y"))))
+    sent = own.select("id", "label", "feat", "_block", met.alias("t")).select("t.x", "t.y", "_block", "id", "label", "feat")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, now = ScoreCounts(), {}, None
+
+        def done() -> None:
+            sides = []
+            for k in sorted(held):
+                t = pa.Table.from_batches(held.pop(k)).sort_by("label")
+                sides.append((k, (t["id"].to_numpy(), t["label"].to_numpy(), matrix(t["feat"], t.num_rows))))
+            if now[0] == now[1]:
+                count_tile(counts, sides[0][1], None)
+            elif len(sides) == 2:
+                count_tile(counts, sides[0][1], sides[1][1])
+
+        for batch in batches:
+            x, y, block = (batch[c].to_numpy() for c in ("x", "y", "_block"))
+            cuts = [0, *(np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0) | (np.diff(block) != 0)) + 1), batch.num_rows] if batch.num_rows else []
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                tile = (int(x[start]), int(y[start]))
+                if now is not None and tile != now:
+                    done()
+                    if len(counts.pages) > MAX_PAGES or len(counts.odd) > PAGE:
+                        yield from counts.rows()
+                now = tile
+                held.setdefault(int(block[start]), []).append(batch.slice(start, stop - start))
+        if now is not None:
+            done()
+        yield from counts.rows()
+
+    dealt = sent.repartition(tasks, "x", "y").sortWithinPartitions("x", "y", "_block")
+    return dealt.mapInArrow(run, "score double, pos long, neg long").groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg > 0")
+
+
 def hashed_cross_sample(df: DataFrame, group: str, key: str, k: int, steps: tuple[int, int] = (7919, 104729), modulus: int = 1_000_003, blocks: int | None = None) -> DataFrame:
     """(a, b, draw): the ``k`` cross pairs, a in the smaller group, of least draw, a
     sum of the two integer keys' multiples modulo ``modulus``; ties by a, then b.

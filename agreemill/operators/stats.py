@@ -116,3 +116,19 @@ def separation(score: Column | str, within: Column, divisor: float = 1.0) -> dic
         "delta": delta,
         "delta_norm": ratio(delta, F.greatest(span, F.lit(1e-12))),
     }
+
+
+def separation_of_counts(counts: DataFrame, score: str) -> DataFrame:
+    """The columns of ``separation`` from (score, pos, neg), pos being within. The
+    deviations are taken about the means, so ``counts`` is read twice."""
+    s = F.col(score)
+    total = lambda n, v: F.sum(F.when(F.col(n) > 0, F.col(n).cast("double") * v))
+    sizes = [F.sum("pos").alias("n_within"), F.sum("neg").alias("n_cross")]
+    means = counts.agg(*sizes, total("pos", s).alias("_w"), total("neg", s).alias("_x"), (F.max(s) - F.min(s)).alias("_span"))
+    means = means.select("n_within", "n_cross", ratio(F.col("_w"), F.col("n_within")).alias("mean_within"), ratio(F.col("_x"), F.col("n_cross")).alias("mean_cross"), "_span")
+    about = counts.crossJoin(F.broadcast(means.select("mean_within", "mean_cross")))
+    squares = about.agg(*[total(n, (s - F.col(m)) * (s - F.col(m))).alias(o) for n, m, o in (("pos", "mean_within", "_qw"), ("neg", "mean_cross", "_qx"))])
+    delta = F.col("mean_within") - F.col("mean_cross")
+    sd = lambda q, n: F.sqrt(ratio(F.col(q), F.col(n)))
+    out = means.crossJoin(F.broadcast(squares))
+    return out.select(F.coalesce("n_within", F.lit(0)).alias("n_within"), F.coalesce("n_cross", F.lit(0)).alias("n_cross"), "mean_within", sd("_qw", "n_within").alias("sd_within"), "mean_cross", sd("_qx", "n_cross").alias("sd_cross"), delta.alias("delta"), ratio(delta, F.greatest("_span", F.lit(1e-12))).alias("delta_norm"))

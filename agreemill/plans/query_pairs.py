@@ -24,7 +24,7 @@ def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(score, pos, neg) of all pairs, scored once: within and cross pairs at each score."""
-    return kept(stats.score_counts(_pairs(spark, sf_dir), "score", F.col("within")))
+    return kept(pairs.pair_score_counts(td.table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding"))
 
 
 def pair_auc_within_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def pair_auc_within_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_describe_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = stats.separation("score", F.col("within"))
-    return _pairs(spark, sf_dir).agg(*[(v if k.startswith("n_") else r6(v)).alias(k) for k, v in parts.items()])
+    parts = stats.separation_of_counts(pair_counts(spark, sf_dir), "score")
+    return parts.select(*[(F.col(k) if k.startswith("n_") else r6(F.col(k))).alias(k) for k in parts.columns])
 
 
 def pair_within_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
