@@ -224,10 +224,16 @@ def pools(df: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def within_pairs(pool: DataFrame, group: str, key: str) -> DataFrame:
-    """(group, a, b, i, j) of all pairs of a group, i < j: a self equi-join."""
-    left = pool.select(group, F.col(key).alias("a"), F.col("pos").alias("i"))
-    right = pool.select(group, F.col(key).alias("b"), F.col("pos").alias("j"))
-    return left.join(right, group).where("i < j")
+    """(group, a, b, i, j) of all pairs of a group, i < j: a self equi-join on tiles
+    of two blocks of TILE_ROWS positions, so that a group is many tasks and only
+    the tiles at the diagonal meet pairs that go."""
+    block = F.floor(F.col("pos") / TILE_ROWS).cast("int")
+    own = pool.select(group, F.col(key), "pos", block.alias("_block"))
+    last = own.groupBy(group).agg(F.max("_block").alias("_last"))
+    sized = own.join(last, group)
+    left = sized.select(group, F.col("_block").alias("_x"), F.explode(F.sequence("_block", "_last")).alias("_y"), F.col(key).alias("a"), F.col("pos").alias("i"))
+    right = own.select(group, F.explode(F.sequence(F.lit(0), "_block")).alias("_x"), F.col("_block").alias("_y"), F.col(key).alias("b"), F.col("pos").alias("j"))
+    return left.join(right, [group, "_x", "_y"]).where("i < j").drop("_x", "_y")
 
 
 def even_stride(df: DataFrame, group: str, order: str, k: int) -> DataFrame:
