@@ -14,11 +14,15 @@ def covering(scores: DataFrame, n_methods: int) -> DataFrame:
 
 
 def common_keys(scores: DataFrame, raters: DataFrame) -> DataFrame:
-    """(method, key) that every one of ``raters`` has, counted once each."""
-    wanted = scores.join(raters, "rater", "left_semi")
-    n = raters.agg(F.count("*").alias("n_raters"))
-    sized = wanted.groupBy("method", "key").agg(F.countDistinct("rater").alias("n"))
-    return sized.join(F.broadcast(n), F.col("n") == F.col("n_raters")).select("method", "key")
+    """(method, key) that every one of ``raters`` has, counted once each.
+
+    The raters, few names, are one row that every task has: a join on the rater
+    would deal all scores to as many tasks as there are raters.
+    """
+    names = raters.agg(F.collect_set("rater").alias("_raters"))
+    wanted = scores.crossJoin(F.broadcast(names)).where(F.array_contains("_raters", F.col("rater")))
+    sized = wanted.groupBy("method", "key").agg(F.countDistinct("rater").alias("n"), F.first(F.size("_raters")).alias("_n_raters"))
+    return sized.where(F.col("n") == F.col("_n_raters")).select("method", "key")
 
 
 def present_keys(scores: DataFrame) -> DataFrame:
