@@ -27,12 +27,18 @@ def _alpha(n: Column, mx: Column, my: Column, vx: Column, vy: Column, cxy: Colum
     return F.when(expected > 0, 1 - ratio(observed, expected))
 
 
+def variance(x: Column) -> Column:
+    """Aggregate: population variance, 0 for one value. Partial variances of one
+    value merge to some 1e-33, since n times 1 / n need not be 1."""
+    return F.when((F.min(x) == F.max(x)) & ~F.isnan(F.max(x)), 0.0).otherwise(F.var_pop(x))
+
+
 def alpha(x: Column | str, y: Column | str) -> Column:
     """Aggregate: interval alpha of x and y; NULL without spread."""
     x, y = c(x).cast("double"), c(y).cast("double")
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    return _alpha(F.count(x), F.avg(x), F.avg(y), F.var_pop(x), F.var_pop(y), F.covar_pop(x, y))
+    return _alpha(F.count(x), F.avg(x), F.avg(y), variance(x), variance(y), F.covar_pop(x, y))
 
 
 def alpha_scaled(x: Column | str, g: Column | str, low: Column | None = None, high: Column | None = None, top: float = 4.0) -> Column:
@@ -44,7 +50,7 @@ def alpha_scaled(x: Column | str, g: Column | str, low: Column | None = None, hi
     x, g = c(x).cast("double"), c(g).cast("double") / top
     low = F.min(x) if low is None else low
     span = (F.max(x) if high is None else high) - low
-    return _alpha(F.count(x), ratio(F.avg(x) - low, span), F.avg(g), ratio(F.var_pop(x), span * span), F.var_pop(g), ratio(F.covar_pop(x, g), span))
+    return _alpha(F.count(x), ratio(F.avg(x) - low, span), F.avg(g), ratio(variance(x), span * span), variance(g), ratio(F.covar_pop(x, g), span))
 
 
 def kd(x: Column | str, g1: Column | str, g2: Column | str, ordinal: bool) -> Column:
@@ -54,9 +60,11 @@ def kd(x: Column | str, g1: Column | str, g2: Column | str, ordinal: bool) -> Co
 
 
 def pearson(x: Column | str, y: Column | str) -> Column:
-    """Aggregate: correlation; NULL without variance."""
+    """Aggregate: correlation of the rows that have both; NULL without variance."""
     x, y = c(x).cast("double"), c(y).cast("double")
-    spread = F.var_pop(x) * F.var_pop(y)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    spread = variance(x) * variance(y)
     return F.when(spread > 0, ratio(F.covar_pop(x, y), F.sqrt(spread)))
 
 
