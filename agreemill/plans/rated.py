@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agreemill.functions.numbers import python_round
-from agreemill.operators import resample, stats
+from agreemill.operators import blocks, resample, stats
 
 
 def rated(spark: SparkSession, df: DataFrame, rows: dict[str, bool], table_id: str, replicates: int = 10_000, compare: list[tuple[str, str]] | None = None, cluster: str | None = None) -> dict[str, DataFrame]:
@@ -16,8 +16,7 @@ def rated(spark: SparkSession, df: DataFrame, rows: dict[str, bool], table_id: s
     ``df``: row_idx, g1, g2 and one column a row label (``rows``: label ->
     ordinal); ``cluster`` names the column of the cluster bootstrap.
     """
-    table = resample.rated_table(df, list(rows), cluster)
-    reps = resample.rated_replicates(spark, table, rows, table_id, replicates).persist()
+    reps = blocks.replicates(df, rows, table_id, replicates).persist()
     out = {"intervals": resample.intervals(reps), "points": paper_points(df, rows)}
     if compare:
         parts = [resample.differences(reps, a, b) for a, b in compare]
@@ -26,7 +25,7 @@ def rated(spark: SparkSession, df: DataFrame, rows: dict[str, bool], table_id: s
             whole = whole.unionByName(p)
         out["comparisons"] = whole
     if cluster:
-        out["cluster_intervals"] = resample.intervals(resample.rated_replicates(spark, table, rows, table_id, replicates, cluster=True))
+        out["cluster_intervals"] = resample.intervals(blocks.replicates(df, rows, table_id, replicates, cluster))
         out["n_clusters"] = df.agg(F.countDistinct(cluster).alias("n_clusters"))
     return out
 
