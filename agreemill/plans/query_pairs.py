@@ -13,15 +13,6 @@ from agreemill.sources import testdata as td
 from agreemill.sources.testdata import sql
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.all_pairs(td.table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
-
-
-def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b, within, score) of all embedding pairs."""
-    return _pairs(spark, sf_dir)
-
-
 def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(score, pos, neg) of all pairs, scored once: within and cross pairs at each score."""
     return kept(pairs.pair_score_counts(td.table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding"))
